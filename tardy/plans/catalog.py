@@ -248,3 +248,98 @@ def _tradeoff_sql(size, slide) -> str:
 def q_tradeoff(spark, sf_dir):
     ann = annotate(event_trips(spark, sf_dir), None)
     return tradeoff_table(ann, _truth(spark, sf_dir, TUMBLE), SWEEP_BOUNDS_MS, HOUR_MS)
+
+
+# --- disorder profile ----------------------------------------------------------
+
+PROFILE_FROM = "2024-01-01 00:00:00"
+PROFILE_TO = "2024-04-10 00:00:00"
+
+PROFILE_SQL = f"""WITH a AS ({EV_RAW}),
+f AS (SELECT * FROM a WHERE t BETWEEN epoch_us(TIMESTAMP '{PROFILE_FROM}') // 1000 AND epoch_us(TIMESTAMP '{PROFILE_TO}') // 1000),
+x AS (SELECT *, max(t) OVER (PARTITION BY k ORDER BY arr, id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS ms FROM f),
+d AS (SELECT *, CASE WHEN (t // 3600000) % 24 = (ms // 3600000) % 24 THEN 0.0 ELSE (ms - t) / 60000.0 END AS delay_minutes FROM x),
+l AS (SELECT * FROM d WHERE delay_minutes > 0.1),
+q AS (SELECT quantile_cont(delay_minutes, 0.99) AS q99 FROM l),
+p AS (SELECT id AS event_id, k AS taxi_id, t AS start_ms, ms AS max_seen_ms, delay_minutes,
+             CAST((ms // 60000) % 60 AS INTEGER) AS max_seen_minute FROM l, q WHERE delay_minutes <= q99)"""
+
+
+def _profile(spark, sf_dir) -> DataFrame:
+    from tardy.operators.profile import lateness_profile
+    from tardy.operators.filters import filter_range
+    trips = event_trips(spark, sf_dir, truncate_values=False)
+    trips = filter_range(trips, "start_ms", PROFILE_FROM, PROFILE_TO)
+    prof = lateness_profile(trips, "start_ms", EVENT_ORDER, ["taxi_id"], tie="event_id")
+    return prof.select("event_id", "taxi_id", "start_ms", "max_seen_ms", "delay_minutes", "max_seen_minute")
+
+
+@register("lateness_profile", PROFILE_SQL + "\nSELECT * FROM p")
+def q_lateness_profile(spark, sf_dir):
+    return _profile(spark, sf_dir)
+
+
+@register("lateness_histogram", PROFILE_SQL + """,
+mm AS (SELECT min(max_seen_minute) AS mn, max(max_seen_minute) AS mx FROM p),
+h AS (SELECT CAST(CASE WHEN (mx - mn) / 100.0 > 0 THEN least(floor((max_seen_minute - mn) / ((mx - mn) / 100.0)), 99)
+                  ELSE 0 END AS INTEGER) AS bin, mn, (mx - mn) / 100.0 AS w FROM p, mm)
+SELECT bin, count(*) AS n, min(mn) + bin * min(w) AS lo FROM h GROUP BY bin""")
+def q_lateness_histogram(spark, sf_dir):
+    from tardy.operators.profile import histogram
+    return histogram(_profile(spark, sf_dir), "max_seen_minute", 100).select("bin", "n", "lo")
+
+
+# --- processing time and generated load ----------------------------------------
+
+@register("proctime_sliding_sum", f"""WITH a AS ({EV}),
+x AS (SELECT id % 10000 AS key, arr AS pt, (arr - arr % 500) - unnest(range(5)) * 500 AS ws FROM a)
+SELECT ws AS window_start_ms, key, CAST(count(*) AS BIGINT) AS total FROM x
+WHERE ws <= pt AND pt < ws + 2500 GROUP BY ws, key""")
+def q_proctime(spark, sf_dir):
+    """2.5 s windows every 0.5 s on the arrival clock, (id % 10000, 1) summed per key."""
+    from tardy.operators.windows import assign_windows
+    trips = event_trips(spark, sf_dir)
+    x = trips.select(F.pmod("event_id", F.lit(10_000)).alias("key"), F.col("arrival_ms").alias("pt"),
+                     F.lit(1).cast("long").alias("one"))
+    return (assign_windows(x, "pt", 2_500, 500).groupBy("window_start_ms", "key")
+            .agg(F.sum("one").alias("total")))
+
+
+@register("gen_keyed", """SELECT (event_id * 20 + r.j) % 10000 AS key, CAST(count(*) AS BIGINT) AS total
+FROM events, range(20) r(j) GROUP BY 1""")
+def q_gen_keyed(spark, sf_dir):
+    """Generated keyed load (20 ids per event row, 10,000 keys), reduced per key."""
+    from tardy.sources.generate import keyed_from
+    load = keyed_from(table(spark, sf_dir, "events"), "event_id", keys=10_000, fanout=20)
+    return load.groupBy("key").agg(F.sum("one").alias("total"))
+
+
+# --- projections, filters, top-k -----------------------------------------------
+
+@register("head_trips", f"""SELECT id AS event_id, arr AS arrival_ms, t AS start_ms, k AS taxi_id, raw_v AS tip
+FROM ({EV}) a ORDER BY arr, id LIMIT 100""")
+def q_head(spark, sf_dir):
+    from tardy.operators.filters import head
+    trips = event_trips(spark, sf_dir, truncate_values=False)
+    return head(trips, EVENT_ORDER, 100).select("event_id", "arrival_ms", "start_ms", "taxi_id", "tip")
+
+
+RANGE_FROM = "2024-01-05 00:00:00"
+RANGE_TO = "2024-01-10 12:00:00"
+
+
+@register("filter_range", f"""SELECT event_id, {O.MS} AS start_ms, event_type AS taxi_id, value AS tip FROM events
+WHERE ts BETWEEN TIMESTAMP '{RANGE_FROM}' AND TIMESTAMP '{RANGE_TO}'""")
+def q_filter_range(spark, sf_dir):
+    from tardy.operators.filters import filter_range
+    ev = filter_range(table(spark, sf_dir, "events"), "ts", RANGE_FROM, RANGE_TO)
+    return trips_from(ev, {"start": "ts", "taxi": "event_type", "tip": "value"}, order_cols=("event_id",)) \
+        .select("event_id", "start_ms", "taxi_id", "tip")
+
+
+@register("scan_trips", f"""SELECT CAST(event_id AS VARCHAR) AS ride_id, event_type AS taxi_id, {O.MS} AS start_ms,
+  value AS tip, CAST(NULL AS DOUBLE) AS total_fare, event_id AS src_row FROM events""")
+def q_scan_trips(spark, sf_dir):
+    from tardy.sources.trips import EVENTS_COLUMNS, read_trips
+    t = read_trips(spark, f"{sf_dir}/events.parquet", EVENTS_COLUMNS)
+    return t.select("ride_id", "taxi_id", "start_ms", "tip", "total_fare", "src_row")

@@ -44,3 +44,13 @@ def checkpoint_dir(spark: SparkSession) -> str:
         conf = tempfile.mkdtemp(prefix="tardy-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     spark.sparkContext.setCheckpointDir(conf)
     return spark.sparkContext.getCheckpointDir() or conf
+
+
+def materialize(df):
+    """Cut lineage: reliable checkpoint into the cluster's checkpoint folder.
+
+    Used where a derived table is read by several jobs (counting, sampling
+    block bounds, ranking), so the upstream plan runs once.
+    """
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
