@@ -343,3 +343,132 @@ def q_scan_trips(spark, sf_dir):
     from tardy.sources.trips import EVENTS_COLUMNS, read_trips
     t = read_trips(spark, f"{sf_dir}/events.parquet", EVENTS_COLUMNS)
     return t.select("ride_id", "taxi_id", "start_ms", "tip", "total_fare", "src_row")
+
+
+# --- text in and out -------------------------------------------------------------
+# Trip text lines are built from ``orders`` (so the input grows with the data):
+# quoted ids on every third row, quoted times on every fourth, an empty tip on
+# every fifth, and only five fields on every seventh (dropped by the parser).
+
+def _orders_lines(spark, sf_dir) -> DataFrame:
+    o = table(spark, sf_dir, "orders")
+    k = F.col("o_orderkey")
+    cents = F.round(F.col("o_totalprice") * 100).cast("long")
+    money = F.concat((cents / 100).cast("long").cast("string"), F.lit("."),
+                     F.lpad(F.pmod(cents, F.lit(100)).cast("string"), 2, "0"))
+    when_txt = F.date_format(F.col("o_orderdate"), "MM/dd/yyyy hh:mm:ss a")
+    taxi = F.when(F.pmod(k, F.lit(3)) == 0, F.concat(F.lit('"'), F.col("o_orderpriority"), F.lit('"'))) \
+        .otherwise(F.col("o_orderpriority"))
+    start = F.when(F.pmod(k, F.lit(4)) == 0, F.concat(F.lit('"'), when_txt, F.lit('"'))).otherwise(when_txt)
+    tip = F.when(F.pmod(k, F.lit(5)) == 0, F.lit("")).otherwise(F.concat(F.lit('"$'), money, F.lit('"')))
+    full = F.concat_ws(",", k.cast("string"), taxi, start, F.lit(""), tip, money)
+    short = F.concat_ws(",", k.cast("string"), taxi, start, F.lit(""), tip)
+    return o.select(F.when(F.pmod(k, F.lit(7)) == 0, short).otherwise(full).alias("value"))
+
+
+ORDERS_LINES_SQL = """SELECT CASE WHEN o_orderkey % 7 = 0 THEN concat_ws(',', CAST(o_orderkey AS VARCHAR), tx, st, '', tp)
+            ELSE concat_ws(',', CAST(o_orderkey AS VARCHAR), tx, st, '', tp, money) END AS value
+FROM (SELECT *,
+        CASE WHEN o_orderkey % 3 = 0 THEN '"' || o_orderpriority || '"' ELSE o_orderpriority END AS tx,
+        CASE WHEN o_orderkey % 4 = 0 THEN '"' || strftime(o_orderdate, '%m/%d/%Y %I:%M:%S %p') || '"'
+             ELSE strftime(o_orderdate, '%m/%d/%Y %I:%M:%S %p') END AS st,
+        CASE WHEN o_orderkey % 5 = 0 THEN '' ELSE '"$' || money || '"' END AS tp
+      FROM (SELECT *, CAST(cents // 100 AS VARCHAR) || '.' || lpad(CAST(cents % 100 AS VARCHAR), 2, '0') AS money
+            FROM (SELECT *, CAST(round(o_totalprice * 100) AS BIGINT) AS cents FROM orders) c) m) z"""
+
+
+def _money_sql(c: str) -> str:
+    return f"coalesce(CAST(nullif(trim(regexp_replace({c}, '[\"$]', '', 'g')), '') AS DOUBLE), 0.0)"
+
+
+@register("scan_trips_csv", f"""WITH l AS ({ORDERS_LINES_SQL}), p AS (SELECT string_split(value, ',') AS f FROM l)
+SELECT f[1] AS ride_id, f[2] AS taxi_id,
+       epoch_us(strptime(replace(f[3], '"', ''), '%m/%d/%Y %I:%M:%S %p')) // 1000 AS start_ms,
+       {_money_sql('f[5]')} AS tip, {_money_sql('f[6]')} AS total_fare
+FROM p WHERE len(f) >= 6""")
+def q_scan_trips_csv(spark, sf_dir):
+    from tardy.sources.trips import parse_trip_lines
+    return parse_trip_lines(_orders_lines(spark, sf_dir))
+
+
+@register("parse_trip_text", f"""SELECT o_orderkey,
+  epoch_us(strptime(replace(tt, '"', ''), '%m/%d/%Y %I:%M:%S %p')) // 1000 AS start_ms,
+  {_money_sql('mt')} AS amount
+FROM (SELECT o_orderkey, '"' || strftime(o_orderdate, '%m/%d/%Y %I:%M:%S %p') || '"' AS tt,
+        CASE o_orderkey % 4 WHEN 0 THEN ' $' || m || ' ' WHEN 1 THEN '"' || m || '"' WHEN 2 THEN '' ELSE '-' || m END AS mt
+      FROM (SELECT o_orderkey, o_orderdate,
+              CAST(CAST(round(o_totalprice * 100) AS BIGINT) // 100 AS VARCHAR) || '.' ||
+              lpad(CAST(CAST(round(o_totalprice * 100) AS BIGINT) % 100 AS VARCHAR), 2, '0') AS m FROM orders) a) b""")
+def q_parse_trip_text(spark, sf_dir):
+    """Time and money text forms: quoted pattern time; ' $x ', '"x"', '' (= 0), '-x'."""
+    from tardy.functions.columns import parse_money, parse_time_text
+    o = table(spark, sf_dir, "orders")
+    k = F.col("o_orderkey")
+    cents = F.round(F.col("o_totalprice") * 100).cast("long")
+    m = F.concat((cents / 100).cast("long").cast("string"), F.lit("."),
+                 F.lpad(F.pmod(cents, F.lit(100)).cast("string"), 2, "0"))
+    tt = F.concat(F.lit('"'), F.date_format("o_orderdate", "MM/dd/yyyy hh:mm:ss a"), F.lit('"'))
+    r = F.pmod(k, F.lit(4))
+    mt = (F.when(r == 0, F.concat(F.lit(" $"), m, F.lit(" "))).when(r == 1, F.concat(F.lit('"'), m, F.lit('"')))
+          .when(r == 2, F.lit("")).otherwise(F.concat(F.lit("-"), m)))
+    return o.select("o_orderkey", F.unix_millis(parse_time_text(tt)).alias("start_ms"),
+                    parse_money(mt).alias("amount"))
+
+
+def _result_lines_sql(bound: int, spaced: bool) -> str:
+    sep = ", " if spaced else ","
+    return (f"SELECT '(' || window_start_ms || '{sep}' || taxi_id || '{sep}' || CAST(sum_tip AS VARCHAR) || '{sep}' "
+            f"|| delay_ms || ')' AS line FROM ({O.result_sql(EV, HOUR_MS, None, bound)}) q")
+
+
+@register("format_results", _result_lines_sql(B60, False))
+def q_format_results(spark, sf_dir):
+    from tardy.sinks.text import format_results
+    return format_results(tips_result(event_trips(spark, sf_dir), B60, TUMBLE))
+
+
+def _lines(spark, sf_dir) -> DataFrame:
+    """Two runs' result lines (B = 0 spaced, then B = 60 compact) plus junk lines."""
+    from tardy.sinks.text import format_results
+    trips = event_trips(spark, sf_dir)
+    r0 = format_results(tips_result(trips, 0, TUMBLE), spaced=True).select(F.col("line").alias("value"), F.lit(0).alias("run"))
+    r60 = format_results(tips_result(trips, B60, TUMBLE)).select(F.col("line").alias("value"), F.lit(1).alias("run"))
+    junk = table(spark, sf_dir, "region").select(
+        F.explode(F.array(F.lit(""), F.col("r_name"), F.concat(F.lit("("), F.col("r_name"), F.lit(")")))).alias("value"),
+        F.lit(2).alias("run"))
+    return r0.unionByName(r60).unionByName(junk)
+
+
+LINES_SQL = f"""SELECT line AS value, 0 AS run FROM ({_result_lines_sql(0, True)}) a
+UNION ALL SELECT line AS value, 1 AS run FROM ({_result_lines_sql(B60, False)}) b
+UNION ALL SELECT unnest(['', r_name, '(' || r_name || ')']) AS value, 2 AS run FROM region"""
+
+PARSED_SQL = f"""SELECT run, CAST(trim(p[1]) AS BIGINT) AS window_start_ms, trim(p[2]) AS taxi_id,
+  CAST(trim(p[3]) AS DOUBLE) AS sum_tip, CAST(trim(p[4]) AS BIGINT) AS delay_ms
+FROM (SELECT run, trim(value) AS l, string_split(substr(trim(value), 2, length(trim(value)) - 2), ',') AS p
+      FROM ({LINES_SQL}) x) y
+WHERE starts_with(l, '(') AND ends_with(l, ')') AND len(p) = 4"""
+
+
+@register("parse_results", f"SELECT window_start_ms, taxi_id, sum_tip, delay_ms FROM ({PARSED_SQL}) z")
+def q_parse_results(spark, sf_dir):
+    from tardy.sources.results_text import parse_results
+    return parse_results(_lines(spark, sf_dir)).select("window_start_ms", "taxi_id", "sum_tip", "delay_ms")
+
+
+@register("dedup_results", f"""SELECT window_start_ms, taxi_id, arg_max(sum_tip, run) AS sum_tip,
+  arg_max(delay_ms, run) AS delay_ms FROM ({PARSED_SQL}) z GROUP BY window_start_ms, taxi_id""")
+def q_dedup_results(spark, sf_dir):
+    from tardy.sources.results_text import last_per_key, parse_results
+    parsed = parse_results(_lines(spark, sf_dir), keep=("run",))
+    return last_per_key(parsed, ["window_start_ms", "taxi_id"], ["run"])
+
+
+@register("adjust_delay", f"""SELECT window_start_ms, taxi_id,
+  CASE WHEN delay_ms >= 0 THEN delay_ms + {5 * MINUTE_MS} ELSE delay_ms END AS delay_ms
+FROM ({PARSED_SQL}) z WHERE run = 1""")
+def q_adjust_delay(spark, sf_dir):
+    from tardy.sinks.text import adjust_delay
+    from tardy.sources.results_text import parse_results
+    parsed = parse_results(_lines(spark, sf_dir), keep=("run",)).where(F.col("run") == 1)
+    return adjust_delay(parsed, 5 * MINUTE_MS).select("window_start_ms", "taxi_id", "delay_ms")
