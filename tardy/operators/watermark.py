@@ -30,12 +30,23 @@ from tardy.operators.order import BLK, _carry, prefix_max, range_blocks
 
 def annotate_watermark(df: DataFrame, ts_ms: str, order_by: list[str],
                        bound_ms: int | None = None, emit_every: int = 1, lanes: int = 1,
-                       n_blocks: int | None = None) -> DataFrame:
+                       n_blocks: int | None = None, carry_max: int | None = None,
+                       carry_rows: int = 0) -> DataFrame:
+    """``carry_max``/``carry_rows``: max event time and row count of everything
+    that arrived before ``df`` (live micro-batches); default: nothing."""
     if emit_every < 1 or lanes < 1:
         raise ValueError("emit_every and lanes must be >= 1")
+    if (carry_max is not None or carry_rows) and (emit_every != 1 or lanes != 1):
+        raise ValueError("carry-in is supported for emit_every=1, lanes=1")
     if emit_every == 1 and lanes == 1:
         out = prefix_max(df, ts_ms, order_by, n_blocks=n_blocks, seq="seq",
                          exclusive="m_vis", inclusive="max_seen_ms")
+        if carry_max is not None:
+            c = F.lit(int(carry_max)).cast("long")
+            out = (out.withColumn("m_vis", F.greatest(c, F.col("m_vis")))
+                   .withColumn("max_seen_ms", F.greatest(c, F.col("max_seen_ms"))))
+        if carry_rows:
+            out = out.withColumn("seq", F.col("seq") + F.lit(int(carry_rows)))
         out = out.withColumn("m_after", F.col("max_seen_ms"))
     else:
         out = _annotate_general(df, ts_ms, order_by, emit_every, lanes, n_blocks)
