@@ -87,7 +87,7 @@ def fire_table(ann: DataFrame, ts_ms: str, bound_ms: int, size_ms: int,
     size = int(size_ms)
     slide = int(slide_ms or size_ms)
     b = F.col(bound_col) if bound_col else F.lit(int(bound_ms))
-    t_min = ann.select(F.min(ts_ms)).scalar()
+    t_min = F.col("t_min_ms") if "t_min_ms" in ann.columns else ann.select(F.min(ts_ms)).scalar()
     steps = ann.where(F.col("m_after").isNotNull()
                       & (F.col("m_vis").isNull() | (F.col("m_after") > F.col("m_vis"))))
     w0 = F.col("m_vis") - b
@@ -148,7 +148,7 @@ def one_pass_result(ann: DataFrame, ts_ms: str, keys: list[str], aggs: list[Colu
         ws = base - F.lit(j * slide)
         ok = t.isNotNull() & keys_ok & (t < ws + F.lit(size)) & ~closed_expr(ws + F.lit(size), w, lat)
         pair_ws.append(F.when(ok, ws))
-    t_min = ann.select(F.min(ts_ms)).scalar()
+    t_min = F.col("t_min_ms") if "t_min_ms" in ann.columns else ann.select(F.min(ts_ms)).scalar()
     w0 = F.col("m_vis") - b
     w1 = F.col("m_after") - b
     is_step = F.col("m_after").isNotNull() & (F.col("m_vis").isNull() | (F.col("m_after") > F.col("m_vis")))

@@ -150,19 +150,26 @@ def _carry(summary: DataFrame, by: list[str], max_cols: list[str], count_col: st
 def prefix_max(df: DataFrame, value: str, order_by: list[str], by: tuple | list = (),
                n_blocks: int | None = None, seq: str | None = "seq",
                exclusive: str | None = "mp", inclusive: str | None = "mx",
-               blocked: Blocked | None = None, keep_block: bool = False) -> DataFrame:
+               blocked: Blocked | None = None, keep_block: bool = False,
+               global_min: str | None = None) -> DataFrame:
     """Running max of ``value`` in the order of ``order_by`` (per ``by`` group).
 
     ``exclusive``: max over earlier rows only (null for the first row);
     ``inclusive``: max over earlier rows and the row itself;
     ``seq``: dense 0-based position in the order (per ``by`` group).
+    ``global_min``: also add the smallest ``value`` of the whole group (taken
+    from the same per-block summary, no extra scan).
     Null ``value`` rows occupy a position but do not change the max.
     """
     by = list(by)
     b = blocked or range_blocks(df, order_by, n_blocks)
     data = b.df
-    summary = data.groupBy(BLK, *by).agg(F.max(value).alias("_bmax"), F.count(F.lit(1)).alias("_bcnt"))
+    summary = data.groupBy(BLK, *by).agg(F.max(value).alias("_bmax"), F.count(F.lit(1)).alias("_bcnt"),
+                                         F.min(value).alias("_bmin"))
     carry = _carry(summary, by, ["_bmax"], "_bcnt")
+    if global_min:
+        gm = summary.select(BLK, *by, F.min("_bmin").over(Window.partitionBy(*by)).alias(global_min))
+        carry = carry.join(gm, [BLK, *by])
     if not by:
         # one row per block: bounded by MAX_BLOCKS, safe to broadcast
         carry = F.broadcast(carry)

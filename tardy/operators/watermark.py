@@ -14,7 +14,8 @@ Output columns added to the input:
 
 ``seq`` dense arrival position, ``max_seen_ms`` max event time including the
 row, ``m_vis`` the max behind the visible watermark, ``m_after`` the max behind
-the watermark right after the row (what a window can fire on), ``wm_ms``.
+the watermark right after the row (what a window can fire on), ``t_min_ms``
+the smallest event time of the table, ``wm_ms``.
 
 The prefix max does not depend on ``B``: annotate once with ``bound_ms=None``
 and derive watermarks for many bounds with :func:`with_bound`.
@@ -40,7 +41,7 @@ def annotate_watermark(df: DataFrame, ts_ms: str, order_by: list[str],
         raise ValueError("carry-in is supported for emit_every=1, lanes=1")
     if emit_every == 1 and lanes == 1:
         out = prefix_max(df, ts_ms, order_by, n_blocks=n_blocks, seq="seq",
-                         exclusive="m_vis", inclusive="max_seen_ms")
+                         exclusive="m_vis", inclusive="max_seen_ms", global_min="t_min_ms")
         if carry_max is not None:
             c = F.lit(int(carry_max)).cast("long")
             out = (out.withColumn("m_vis", F.greatest(c, F.col("m_vis")))
@@ -62,8 +63,10 @@ def _annotate_general(df: DataFrame, t: str, order_by: list[str], n: int, p: int
     """Lanes and/or emission every n rows: two chained block-prefix passes."""
     b = range_blocks(df, order_by, n_blocks)
     data = b.df
-    counts = data.groupBy(BLK).agg(F.count(F.lit(1)).alias("_bcnt"))
-    offsets = F.broadcast(_carry(counts, [], [], "_bcnt"))     # one row per block
+    counts = data.groupBy(BLK).agg(F.count(F.lit(1)).alias("_bcnt"), F.min(t).alias("_bmin"))
+    offsets = _carry(counts, [], [], "_bcnt").join(
+        counts.select(BLK, F.min("_bmin").over(Window.partitionBy()).alias("t_min_ms")), BLK)
+    offsets = F.broadcast(offsets)                              # one row per block
     w = Window.partitionBy(BLK).orderBy(*order_by)
     run_incl = w.rowsBetween(Window.unboundedPreceding, 0)
     run_excl = w.rowsBetween(Window.unboundedPreceding, -1)
