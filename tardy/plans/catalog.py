@@ -214,7 +214,7 @@ SWEEP_BOUNDS_MS = [b * MINUTE_MS for b in RECORDED_BOUNDS_MIN]
 
 
 def _sweep_sql(size, slide) -> str:
-    parts = [f"SELECT {b} AS bound_ms, * FROM ({O.result_sql(EV, size, slide, b)}) q{i}"
+    parts = [f"SELECT CAST({b} AS BIGINT) AS bound_ms, * FROM ({O.result_sql(EV, size, slide, b)}) q{i}"
              for i, b in enumerate(SWEEP_BOUNDS_MS)]
     return "\nUNION ALL\n".join(parts)
 
@@ -234,13 +234,13 @@ def q_bound_sweep_sliding(spark, sf_dir):
 def _tradeoff_sql(size, slide) -> str:
     parts = []
     for i, b in enumerate(SWEEP_BOUNDS_MS):
-        parts.append(f"""SELECT {b // MINUTE_MS} AS bound_min, mt.*, dl.*, lt.* FROM
-  (SELECT {METRICS_SQL} FROM ({_aligned_sql(size, slide, b)}) a) mt,
+        parts.append(f"""SELECT CAST({b // MINUTE_MS} AS BIGINT) AS bound_min, mt.*,
   (SELECT coalesce(CAST(sum(CASE WHEN NOT flushed THEN delay_ms END) AS DOUBLE)
-      / count(CASE WHEN NOT flushed THEN delay_ms END) / 60000.0, 0.0) AS avg_delay_min,
-      count(CASE WHEN NOT flushed THEN delay_ms END) AS n_delay
-   FROM ({O.result_sql(EV, size, slide, b)}) r) dl,
-  (SELECT count(*) AS late_rows FROM ({O.late_rows_sql(EV, size, slide, b)}) l) lt""")
+      / count(CASE WHEN NOT flushed THEN delay_ms END) / 60000.0, 0.0)
+   FROM ({O.result_sql(EV, size, slide, b)}) r) AS avg_delay_min,
+  (SELECT count(CASE WHEN NOT flushed THEN delay_ms END) FROM ({O.result_sql(EV, size, slide, b)}) r) AS n_delay,
+  (SELECT count(*) FROM ({O.late_rows_sql(EV, size, slide, b)}) l) AS late_rows
+FROM (SELECT {METRICS_SQL} FROM ({_aligned_sql(size, slide, b)}) a) mt""")
     return "\nUNION ALL\n".join(parts)
 
 
@@ -262,7 +262,8 @@ d AS (SELECT *, CASE WHEN (t // 3600000) % 24 = (ms // 3600000) % 24 THEN 0.0 EL
 l AS (SELECT * FROM d WHERE delay_minutes > 0.1),
 q AS (SELECT quantile_cont(delay_minutes, 0.99) AS q99 FROM l),
 p AS (SELECT id AS event_id, k AS taxi_id, t AS start_ms, ms AS max_seen_ms, delay_minutes,
-             CAST((ms // 60000) % 60 AS INTEGER) AS max_seen_minute FROM l, q WHERE delay_minutes <= q99)"""
+             CAST((ms // 60000) % 60 AS INTEGER) AS max_seen_minute FROM l
+      WHERE delay_minutes <= (SELECT q99 FROM q))"""
 
 
 def _profile(spark, sf_dir) -> DataFrame:
@@ -281,8 +282,9 @@ def q_lateness_profile(spark, sf_dir):
 
 @register("lateness_histogram", PROFILE_SQL + """,
 mm AS (SELECT min(max_seen_minute) AS mn, max(max_seen_minute) AS mx FROM p),
-h AS (SELECT CAST(CASE WHEN (mx - mn) / 100.0 > 0 THEN least(floor((max_seen_minute - mn) / ((mx - mn) / 100.0)), 99)
-                  ELSE 0 END AS INTEGER) AS bin, mn, (mx - mn) / 100.0 AS w FROM p, mm)
+h AS (SELECT CAST(CASE WHEN w > 0 THEN least(floor((max_seen_minute - mn) / w), 99) ELSE 0 END AS INTEGER) AS bin, mn, w
+      FROM (SELECT max_seen_minute, (SELECT mn FROM mm) AS mn, ((SELECT mx FROM mm) - (SELECT mn FROM mm)) / 100.0 AS w
+            FROM p) pw)
 SELECT bin, count(*) AS n, min(mn) + bin * min(w) AS lo FROM h GROUP BY bin""")
 def q_lateness_histogram(spark, sf_dir):
     from tardy.operators.profile import histogram
@@ -305,8 +307,8 @@ def q_proctime(spark, sf_dir):
             .agg(F.sum("one").alias("total")))
 
 
-@register("gen_keyed", """SELECT (event_id * 20 + r.j) % 10000 AS key, CAST(count(*) AS BIGINT) AS total
-FROM events, range(20) r(j) GROUP BY 1""")
+@register("gen_keyed", """SELECT (event_id * 20 + j) % 10000 AS key, CAST(count(*) AS BIGINT) AS total
+FROM (SELECT event_id, unnest(range(20)) AS j FROM events) g GROUP BY 1""")
 def q_gen_keyed(spark, sf_dir):
     """Generated keyed load (20 ids per event row, 10,000 keys), reduced per key."""
     from tardy.sources.generate import keyed_from

@@ -18,7 +18,7 @@ RECORDED_BOUNDS_MIN = [0, 5, 10, 15, 23, 25, 30, 60]
 
 
 def with_bounds(ann: DataFrame, bounds_ms: list[int], col: str = "bound_ms") -> DataFrame:
-    return ann.withColumn(col, F.explode(F.array(*[F.lit(int(b)) for b in bounds_ms])))
+    return ann.withColumn(col, F.explode(F.array(*[F.lit(int(b)).cast("long") for b in bounds_ms])))
 
 
 def sweep_bounds(ann: DataFrame, bounds_ms: list[int], size_ms: int, slide_ms: int | None = None,

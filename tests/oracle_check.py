@@ -38,6 +38,19 @@ def rows_of(columns, rows):
     return sorted(out, key=lambda r: tuple((x is None, str(type(x)), x if x is not None else 0) for x in r))
 
 
+SPARK_TYPES = {"bigint": "i64", "int": "i32", "smallint": "i16", "double": "f64", "float": "f32",
+               "string": "str", "boolean": "bool"}
+DUCK_TYPES = {"BIGINT": "i64", "INTEGER": "i32", "SMALLINT": "i16", "DOUBLE": "f64", "FLOAT": "f32",
+              "VARCHAR": "str", "BOOLEAN": "bool"}
+
+
+def types_match(sdf, cur):
+    s = {n: SPARK_TYPES.get(t, t) for n, t in sdf.dtypes}
+    d = {c[0]: DUCK_TYPES.get(str(c[1]), str(c[1])) for c in cur.description}
+    bad = {n: (s.get(n), d.get(n)) for n in s if s.get(n) != d.get(n)}
+    return not bad, bad
+
+
 def compare(spark, con, name, fn, sql, sf_dir):
     t0 = time.time()
     sdf = fn(spark, sf_dir)
@@ -48,14 +61,16 @@ def compare(spark, con, name, fn, sql, sf_dir):
     d_cols = [d[0] for d in cur.description]
     d_rows = cur.fetchall()
     t2 = time.time()
-    ok_cols = sorted(s_cols) == sorted(d_cols)
+    ok_types, bad_types = types_match(sdf, cur)
+    ok_cols = sorted(s_cols) == sorted(d_cols) and ok_types
     ok_n = len(s_rows) == len(d_rows)
     ok_v = ok_cols and ok_n and rows_of(s_cols, s_rows) == rows_of(d_cols, d_rows)
     detail = ""
     if not ok_v:
         a, b = rows_of(s_cols, s_rows), rows_of(d_cols, d_rows)
         diff = [(x, y) for x, y in zip(a, b) if x != y][:3]
-        detail = f"cols spark={sorted(s_cols)} duck={sorted(d_cols)} n={len(s_rows)}/{len(d_rows)} diff={diff}"
+        detail = (f"cols spark={sorted(s_cols)} duck={sorted(d_cols)} types={bad_types} "
+                  f"n={len(s_rows)}/{len(d_rows)} diff={diff}")
     return ok_cols and ok_n and ok_v, round(t1 - t0, 2), round(t2 - t1, 2), detail
 
 
