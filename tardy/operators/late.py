@@ -117,11 +117,17 @@ def n_windows_per_row(size_ms: int, slide_ms: int | None = None) -> int:
     return math.ceil(int(size_ms) / int(slide_ms or size_ms))
 
 
+# Above this many aligned window ends in the data's event-time span, firing
+# values are found by lookup instead of listing the ends a watermark step
+# passes (a far-future outlier with a small slide would list billions).
+MAX_LISTED_ENDS = 20_000_000
+
+
 def one_pass_result(ann: DataFrame, ts_ms: str, keys: list[str], aggs: list[Column],
                     size_ms: int, slide_ms: int | None = None, bound_ms: int | None = None,
                     bound_col: str | None = None, wm: str | None = "wm_ms",
                     allowed_lateness_ms: int = 0, value_cols: list[str] = (),
-                    fire_salts: int = 16) -> DataFrame:
+                    fire_salts: int = 16, fire_mode: str = "auto") -> DataFrame:
     """Windowed aggregate plus firing delay from a single pass over ``ann``.
 
     Every row emits, through one ``posexplode``, its open window starts
@@ -136,6 +142,11 @@ def one_pass_result(ann: DataFrame, ts_ms: str, keys: list[str], aggs: list[Colu
     slide = int(slide_ms or size_ms)
     k = math.ceil(size / slide)
     lat = int(allowed_lateness_ms)
+    if fire_mode == "auto":
+        span = ann.agg((F.max(ts_ms) - F.min(ts_ms)).alias("s")).first()["s"] or 0
+        fire_mode = "list" if span // slide + k <= MAX_LISTED_ENDS else "lookup"
+    if fire_mode == "lookup":
+        return _lookup_result(ann, ts_ms, keys, aggs, size, slide, bound_ms, bound_col, wm, lat)
     b = F.col(bound_col) if bound_col else F.lit(int(bound_ms))
     w = F.col(wm) if (wm and not bound_col) else F.col("m_vis") - b
     t = F.col(ts_ms)
@@ -184,3 +195,32 @@ def one_pass_result(ann: DataFrame, ts_ms: str, keys: list[str], aggs: list[Colu
            .withColumn("flushed", F.col("_fire_all").isNull())
            .withColumn("delay_ms", F.coalesce(F.col("_fire_all") - F.col("window_end_ms"), F.lit(-1)).cast("long")))
     return out.drop("_fire", "_npairs", "_salt", "_fire_all")
+
+
+def _lookup_result(ann: DataFrame, ts_ms: str, keys: list[str], aggs: list[Column], size: int, slide: int,
+                   bound_ms, bound_col, wm, lat) -> DataFrame:
+    """Exact firing without listing ends: ``fire(e)`` is the smallest step max
+    ``M`` with ``M - B >= e - 1``, a successor lookup done as a block-wise
+    running min over steps and window ends ordered by key descending."""
+    from tardy.operators.order import prefix_max
+    from tardy.session import materialize
+
+    keep = [bound_col] if bound_col else []
+    b = F.col(bound_col) if bound_col else F.lit(int(bound_ms))
+    wcol = wm if (wm and not bound_col) else None
+    src = ann if wcol else ann.withColumn("_wm", F.col("m_vis") - b)
+    res = materialize(window_aggregate(src, ts_ms, keys, aggs, size, slide, wcol or "_wm", lat,
+                                       extra_group=keep))
+    is_step = F.col("m_after").isNotNull() & (F.col("m_vis").isNull() | (F.col("m_after") > F.col("m_vis")))
+    steps = ann.where(is_step).select(*keep, (F.col("m_after") - b).alias("_key"),
+                                      F.col("m_after").alias("_m"), F.lit(1).alias("_kind"),
+                                      F.lit(None).cast("long").alias("window_end_ms"))
+    ends = res.select(*keep, "window_end_ms").distinct().select(
+        *keep, (F.col("window_end_ms") - 1).alias("_key"), F.lit(None).cast("long").alias("_m"),
+        F.lit(0).alias("_kind"), "window_end_ms")
+    u = (steps.unionByName(ends)
+         .withColumn("_nk", -F.col("_key")).withColumn("_nkind", -F.col("_kind"))
+         .withColumn("_negm", -F.col("_m")))
+    pm = prefix_max(u, "_negm", ["_nk", "_nkind"], by=keep, seq=None, exclusive=None, inclusive="_best")
+    fires = pm.where(F.col("_kind") == 0).select(*keep, "window_end_ms", (-F.col("_best")).alias("fire_max_ms"))
+    return attach_delay(res, fires, on=[*keep, "window_end_ms"]).drop("window_end_ms")

@@ -92,3 +92,25 @@ def test_invariants(spark):
     assert {key: s for key, (s, _) in got.items()} == total
     for _, (s, d) in spark_replay(spark, rows, 5_000, 10_000)[0].items():
         assert d == -1 or d >= 5_000 - 1                 # no window fires before the bound
+
+
+@pytest.mark.parametrize("slide", [None, 4_000])
+def test_lookup_firing_equals_brute_force(spark, slide):
+    from tardy.operators.late import one_pass_result
+
+    def run(rows, mode):
+        df = spark.createDataFrame(rows, SCHEMA)
+        ann = annotate_watermark(df, "start_ms", ["seq"], 5_000, n_blocks=4)
+        r = one_pass_result(ann, "start_ms", ["taxi_id"], [F.sum("tip").alias("sum_tip")], 10_000, slide,
+                            bound_ms=5_000, value_cols=["tip"], fire_mode=mode)
+        return sorted(tuple(x) for x in r.select("window_start_ms", "taxi_id", "sum_tip", "delay_ms").collect())
+
+    def brute(rows):
+        want, _ = replay([(t, k, v) for _, t, k, v in rows], 5_000, 10_000, slide)
+        return sorted((ws, key, s, d) for (ws, key), (s, d) in want.items())
+
+    rows = make_rows(31, n=300)
+    assert run(rows, "lookup") == run(rows, "list") == brute(rows)
+    # a far-future outlier makes a watermark jump too long to list: auto picks lookup
+    rows += [(300, 10**13, "a", 1.0), (301, 1_200_000, "b", 2.0)]
+    assert run(rows, "auto") == brute(rows)
