@@ -143,7 +143,11 @@ def one_pass_result(ann: DataFrame, ts_ms: str, keys: list[str], aggs: list[Colu
     k = math.ceil(size / slide)
     lat = int(allowed_lateness_ms)
     if fire_mode == "auto":
-        span = ann.agg((F.max(ts_ms) - F.min(ts_ms)).alias("s")).first()["s"] or 0
+        meta = ann.schema["t_min_ms"].metadata if "t_min_ms" in ann.columns else {}
+        if "span" in meta:       # measured while the arrival order was blocked
+            span = meta["span"]
+        else:
+            span = ann.agg((F.max(ts_ms) - F.min(ts_ms)).alias("s")).first()["s"] or 0
         fire_mode = "list" if span // slide + k <= MAX_LISTED_ENDS else "lookup"
     if fire_mode == "lookup":
         return _lookup_result(ann, ts_ms, keys, aggs, size, slide, bound_ms, bound_col, wm, lat)

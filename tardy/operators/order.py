@@ -42,6 +42,7 @@ DEFAULT_ROWS_PER_BLOCK = 2_000_000
 class Blocked:
     df: DataFrame          # input plus BLK
     n_blocks: int          # number of block ids in use (0..n_blocks-1)
+    stats: dict | None = None   # rows, and min/max of ``stat_col`` when asked
 
 
 def _default_blocks(spark, total: int, rows_per_block: int) -> int:
@@ -52,7 +53,8 @@ def _default_blocks(spark, total: int, rows_per_block: int) -> int:
 
 def range_blocks(df: DataFrame, order_by: list[str], n_blocks: int | None = None,
                  rows_per_block: int = DEFAULT_ROWS_PER_BLOCK,
-                 sample_per_block: int = 64, seed: int = 20240131) -> Blocked:
+                 sample_per_block: int = 64, seed: int = 20240131,
+                 stat_col: str | None = None) -> Blocked:
     """Add ``_blk``: contiguous, monotone ranges of ``order_by``.
 
     ``order_by`` is one or two numeric columns (leading key below 2**53 in
@@ -65,12 +67,17 @@ def range_blocks(df: DataFrame, order_by: list[str], n_blocks: int | None = None
     p_col = order_by[0]
     s_col = order_by[1] if len(order_by) == 2 else None
 
-    total = df.count()
+    if stat_col:
+        r = df.agg(F.count(F.lit(1)).alias("n"), F.min(stat_col).alias("lo"), F.max(stat_col).alias("hi")).first()
+        total, stats = r["n"], {"rows": r["n"], "min": r["lo"], "max": r["hi"]}
+    else:
+        total = df.count()
+        stats = {"rows": total}
     if n_blocks is None:
         n_blocks = _default_blocks(spark, total, rows_per_block)
     n_blocks = max(1, min(int(n_blocks), MAX_BLOCKS, max(1, total)))
     if n_blocks == 1 or total == 0:
-        return Blocked(df.withColumn(BLK, F.lit(0)), 1)
+        return Blocked(df.withColumn(BLK, F.lit(0)), 1, stats)
 
     # Sample the order keys (bounded size), pick n_blocks-1 bounds on the driver.
     want = min(MAX_SAMPLE, n_blocks * sample_per_block)
@@ -83,7 +90,7 @@ def range_blocks(df: DataFrame, order_by: list[str], n_blocks: int | None = None
         smp = smp.sample(False, frac, seed)
     pdf = smp.limit(2 * MAX_SAMPLE).toPandas()
     if len(pdf) == 0:
-        return Blocked(df.withColumn(BLK, F.lit(0)), 1)
+        return Blocked(df.withColumn(BLK, F.lit(0)), 1, stats)
     sort_cols = ["p", "s"] if s_col else ["p"]
     pdf = pdf.sort_values(sort_cols, kind="mergesort").reset_index(drop=True)
     m = len(pdf)
@@ -94,7 +101,7 @@ def range_blocks(df: DataFrame, order_by: list[str], n_blocks: int | None = None
         if not bounds or b != bounds[-1]:
             bounds.append(b)
     if not bounds:
-        return Blocked(df.withColumn(BLK, F.lit(0)), 1)
+        return Blocked(df.withColumn(BLK, F.lit(0)), 1, stats)
 
     # Group bounds by leading value: u_1 < ... < u_k, each with its tie list.
     leads: list[int] = []
@@ -133,7 +140,7 @@ def range_blocks(df: DataFrame, order_by: list[str], n_blocks: int | None = None
     else:
         blk = F.col("_ble")
     out = joined.withColumn(BLK, blk.cast("int")).drop("_bk", "_bu", "_bprev", "_ble", "_bties")
-    return Blocked(out, seen + 1)
+    return Blocked(out, seen + 1, stats)
 
 
 def _carry(summary: DataFrame, by: list[str], max_cols: list[str], count_col: str | None,
@@ -162,7 +169,7 @@ def prefix_max(df: DataFrame, value: str, order_by: list[str], by: tuple | list
     Null ``value`` rows occupy a position but do not change the max.
     """
     by = list(by)
-    b = blocked or range_blocks(df, order_by, n_blocks)
+    b = blocked or range_blocks(df, order_by, n_blocks, stat_col=value if global_min and not by else None)
     data = b.df
     summary = data.groupBy(BLK, *by).agg(F.max(value).alias("_bmax"), F.count(F.lit(1)).alias("_bcnt"),
                                          F.min(value).alias("_bmin"))
@@ -190,9 +197,16 @@ def prefix_max(df: DataFrame, value: str, order_by: list[str], by: tuple | list
     if seq:
         out = out.withColumn(seq, (F.coalesce(F.col("_coff"), F.lit(0)) + F.col("_rn") - 1).cast("long"))
     out = out.drop("_lmp", "_lmx", "_rn", "_c_bmax", "_coff")
+    if global_min and b.stats and "min" in b.stats:
+        out = out.withColumn(global_min, F.col(global_min).alias(global_min, metadata=_span_meta(b.stats)))
     return out if keep_block else out.drop(BLK)
 
 
+def _span_meta(stats: dict) -> dict:
+    lo, hi = stats.get("min"), stats.get("max")
+    return {"min": lo, "max": hi, "span": (hi - lo) if lo is not None and hi is not None else 0}
+
+
 def dense_seq(df: DataFrame, order_by: list[str], seq: str = "seq",
               n_blocks: int | None = None, keep_block: bool = False) -> DataFrame:
     """Dense 0-based row number in the order of ``order_by``, computed per block."""

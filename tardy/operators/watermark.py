@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tardy.operators.order import BLK, _carry, prefix_max, range_blocks
+from tardy.operators.order import BLK, _carry, _span_meta, prefix_max, range_blocks
 
 
 def annotate_watermark(df: DataFrame, ts_ms: str, order_by: list[str],
@@ -61,7 +61,7 @@ def with_bound(ann: DataFrame, bound_ms: int, col: str = "wm_ms") -> DataFrame:
 def _annotate_general(df: DataFrame, t: str, order_by: list[str], n: int, p: int,
                       n_blocks: int | None) -> DataFrame:
     """Lanes and/or emission every n rows: two chained block-prefix passes."""
-    b = range_blocks(df, order_by, n_blocks)
+    b = range_blocks(df, order_by, n_blocks, stat_col=t)
     data = b.df
     counts = data.groupBy(BLK).agg(F.count(F.lit(1)).alias("_bcnt"), F.min(t).alias("_bmin"))
     offsets = _carry(counts, [], [], "_bcnt").join(
@@ -100,4 +100,5 @@ def _annotate_general(df: DataFrame, t: str, order_by: list[str], n: int, p: int
          .withColumn("m_vis", F.greatest(F.col("_c_bem"), F.col("_lem")))
          .withColumn("m_after", F.coalesce(F.col("_em"), F.col("m_vis")))
          .drop("_em", "_lem", "_c_bem"))
+    z = z.withColumn("t_min_ms", F.col("t_min_ms").alias("t_min_ms", metadata=_span_meta(b.stats)))
     return z.drop(BLK)

@@ -74,7 +74,10 @@ class LiveReplay:
 
     def annotated(self, spark: SparkSession) -> DataFrame:
         """All annotated rows so far (``batch_id`` column from the folder name)."""
-        return with_bound(spark.read.parquet(f"{self.out_dir}/annotated"), self.bound_ms)
+        ann = spark.read.parquet(f"{self.out_dir}/annotated")
+        # the stored span metadata describes one batch only: drop it
+        ann = ann.withColumn("t_min_ms", F.col("t_min_ms").alias("t_min_ms", metadata={}))
+        return with_bound(ann, self.bound_ms)
 
 
 def write_arrival_files(df: DataFrame, order_by: list, out_dir: str, files: int) -> list[str]:
