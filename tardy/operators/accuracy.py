@@ -101,3 +101,112 @@ def average_delay(result: DataFrame, include_flushed: bool = False, group: list[
     return result.groupBy(*group).agg(
         F.coalesce(F.sum(d).cast("double") / cnt / F.lit(60000.0), F.lit(0.0)).alias("avg_delay_min"),
         cnt.alias("n_delay"))
+
+
+def scored_windows(ann: DataFrame, ts_ms: str, keys: list[str], size_ms: int, slide_ms: int | None = None,
+                   bound_ms: int | None = None, bound_col: str | None = None, est_col: str = "tip",
+                   truth_col: str = "tip_raw", allowed_lateness_ms: int = 0, late_counts: bool = False,
+                   fire_salts: int = 16) -> DataFrame:
+    """Exact answer, replayed estimate and firing delay from one pass.
+
+    Every (row, window) pair adds its ``truth_col`` to the exact sum; pairs
+    still open on arrival add ``est_col`` to the estimate.  Rows:
+    ``[bound,] window_start_ms, keys, true_tip, est_tip, in_truth, in_result,
+    delay_ms, flushed`` -- the aligned table, without a join.  With
+    ``late_counts`` one extra row per bound has null window/keys and
+    ``late_rows`` set.  Firing is listed per watermark step (see
+    ``late.one_pass_result``); for spans too long to list use the two-pass
+    ``align_results`` path.
+    """
+    from pyspark.sql import Window
+
+    from tardy.operators.late import closed_expr, latest_start
+
+    size = int(size_ms)
+    slide = int(slide_ms or size_ms)
+    k = -(-size // slide)
+    keep = [bound_col] if bound_col else []
+    b = F.col(bound_col) if bound_col else F.lit(int(bound_ms))
+    w = F.col("m_vis") - b
+    t = F.col(ts_ms)
+    keys_ok = F.lit(True)
+    for c in keys:
+        keys_ok = keys_ok & F.col(c).isNotNull()
+    base = latest_start(t, slide)
+    wins = [F.when(t.isNotNull() & keys_ok & (t < base - F.lit(j * slide) + F.lit(size)), base - F.lit(j * slide))
+            for j in range(k)]
+    late_row = t.isNotNull() & closed_expr(base + F.lit(size), w, allowed_lateness_ms)
+    marker = [F.when(late_row, F.lit(0).cast("long"))] if late_counts else []
+    t_min = F.col("t_min_ms") if "t_min_ms" in ann.columns else ann.select(F.min(ts_ms)).scalar()
+    is_step = F.col("m_after").isNotNull() & (F.col("m_vis").isNull() | (F.col("m_after") > F.col("m_vis")))
+    lo = F.coalesce(w + F.lit(1), t_min)
+    hi = F.col("m_after") - b + F.lit(1)
+    e1 = lo + F.lit(1) + F.pmod(F.lit(size) - (lo + F.lit(1)), F.lit(slide))
+    ends = F.when(is_step & (e1 <= hi), F.sequence(e1, hi, F.lit(slide).cast("long")))
+    arr = F.concat(F.array(*wins, *marker).cast("array<bigint>"), F.coalesce(ends, F.array().cast("array<bigint>")))
+    x = (ann.select(*keep, *keys, est_col, truth_col, "m_vis", "m_after",
+                    F.posexplode(arr).alias("_pos", "_v"))
+         .where(F.col("_v").isNotNull()))
+    wm_x = F.col("m_vis") - (F.col(bound_col) if bound_col else F.lit(int(bound_ms)))
+    is_pair = F.col("_pos") < F.lit(k)
+    is_marker = F.col("_pos") == F.lit(k) if late_counts else F.lit(False)
+    is_fire = F.col("_pos") >= F.lit(k + (1 if late_counts else 0))
+    open_ = is_pair & ~closed_expr(F.col("_v") + F.lit(size), wm_x, allowed_lateness_ms)
+    x = x.select(
+        *keep,
+        F.when(is_pair, F.col("_v")).when(is_fire, F.col("_v") - F.lit(size)).alias("window_start_ms"),
+        F.when(is_pair, F.col("_v") + F.lit(size)).when(is_fire, F.col("_v")).alias("window_end_ms"),
+        *[F.when(is_pair, F.col(c)).alias(c) for c in keys],
+        F.when(is_pair, _dec(truth_col)).alias("_truth"),
+        F.when(open_, F.col(est_col)).alias("_est"),
+        F.when(is_pair, F.lit(1)).alias("_tp"),
+        F.when(open_, F.lit(1)).alias("_op"),
+        F.when(is_fire, F.col("m_after")).alias("_fire"),
+        F.when(is_marker, F.lit(1)).alias("_late"))
+    g = x.groupBy(*keep, "window_start_ms", "window_end_ms", *keys).agg(
+        F.sum("_truth").alias("_truth"), F.sum("_est").alias("_est"), F.count("_tp").alias("_ntruth"),
+        F.count("_op").alias("_nopen"), F.min("_fire").alias("_fire"), F.count("_late").alias("_nlate"))
+    salt = F.pmod(F.xxhash64(*[F.col(c) for c in keys]), F.lit(fire_salts)) if keys else F.lit(0)
+    g = g.withColumn("_salt", F.explode(F.when(F.col("_fire").isNull(), F.array(salt))
+                                        .otherwise(F.sequence(F.lit(0), F.lit(fire_salts - 1)))))
+    spread = Window.partitionBy(*keep, "window_end_ms", "_salt")
+    g = g.withColumn("_fire_all", F.max("_fire").over(spread))
+    keep_rows = (F.col("_ntruth") > 0) | (F.col("_nlate") > 0)
+    in_result = F.col("_nopen") > 0
+    out = g.where(keep_rows).select(
+        *keep, "window_start_ms", *keys,
+        F.coalesce(F.col("_truth"), F.lit(0).cast(DEC)).cast("double").alias("true_tip"),
+        F.coalesce(F.col("_est"), F.lit(0.0)).alias("est_tip"),
+        (F.col("_ntruth") > 0).alias("in_truth"),
+        in_result.alias("in_result"),
+        F.when(in_result, F.coalesce(F.col("_fire_all") - F.col("window_end_ms"), F.lit(-1))).cast("long").alias("delay_ms"),
+        F.when(in_result, F.col("_fire_all").isNull()).alias("flushed"),
+        *([F.col("_nlate").alias("late_rows")] if late_counts else []))
+    return out
+
+
+def scored_summary(scored: DataFrame, group: list[str] = (), tolerance: float = 0.01) -> DataFrame:
+    """Per group: accuracy metrics, key verdicts, average delay and late rows
+    from a ``scored_windows(..., late_counts=True)`` table, in one aggregation."""
+    keyrow = F.col("window_start_ms").isNotNull()
+    g, e = _dec("true_tip"), _dec("est_tip")
+    n = F.count(F.when(keyrow, 1))
+    t_sum = F.sum(F.when(keyrow, g)).cast("double")
+    e_sum = F.sum(F.when(keyrow, e)).cast("double")
+    nz = keyrow & (F.col("true_tip") > F.lit(1e-9))
+    ape = F.when(nz, (F.abs((F.col("est_tip") - F.col("true_tip")) / F.col("true_tip")) * 100)
+                 .cast("decimal(24,12)"))
+    ss_res = F.sum(F.when(keyrow, (e - g) * (e - g))).cast("double")
+    ss_tot = F.sum(F.when(keyrow, g * g)).cast("double") - t_sum * t_sum / n
+    d = F.when(keyrow & F.col("in_result") & ~F.col("flushed"), F.col("delay_ms"))
+    return scored.groupBy(*group).agg(
+        n.alias("n_keys"),
+        t_sum.alias("true_sum"),
+        e_sum.alias("est_sum"),
+        F.when(t_sum != 0, F.abs(t_sum - e_sum) / t_sum * 100).alias("global_error_pct"),
+        (F.sum(F.when(keyrow, F.abs(e - g))).cast("double") / n).alias("mae"),
+        (F.sum(ape).cast("double") / F.count(ape)).alias("mape_pct"),
+        F.when(ss_tot > 0, F.lit(1.0) - ss_res / ss_tot).otherwise(F.lit(0.0)).alias("r2"),
+        F.coalesce(F.sum(d).cast("double") / F.count(d) / F.lit(60000.0), F.lit(0.0)).alias("avg_delay_min"),
+        F.count(d).alias("n_delay"),
+        F.coalesce(F.sum("late_rows"), F.lit(0)).alias("late_rows"))

@@ -144,11 +144,14 @@ def range_blocks(df: DataFrame, order_by: list[str], n_blocks: int | None = None
 
 
 def _carry(summary: DataFrame, by: list[str], max_cols: list[str], count_col: str | None,
-           min_cols: list[str] = ()) -> DataFrame:
-    """Exclusive running max (and row offset) over blocks of a small table."""
+           min_cols: list[str] = (), whole_min: dict | None = None) -> DataFrame:
+    """Exclusive running max (and row offset) over blocks of a small table;
+    ``whole_min`` {col: out}: min over all blocks of the group."""
     w = Window.partitionBy(*by).orderBy(BLK).rowsBetween(Window.unboundedPreceding, -1)
     cols = [F.max(c).over(w).alias("_c" + c) for c in max_cols]
     cols += [F.min(c).over(w).alias("_c" + c) for c in min_cols]
+    whole = Window.partitionBy(*by).orderBy(BLK).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    cols += [F.min(c).over(whole).alias(o) for c, o in (whole_min or {}).items()]
     if count_col:
         cols.append(F.coalesce(F.sum(count_col).over(w), F.lit(0)).alias("_coff"))
     return summary.select(BLK, *by, *cols)
@@ -173,10 +176,7 @@ def prefix_max(df: DataFrame, value: str, order_by: list[str], by: tuple | list
     data = b.df
     summary = data.groupBy(BLK, *by).agg(F.max(value).alias("_bmax"), F.count(F.lit(1)).alias("_bcnt"),
                                          F.min(value).alias("_bmin"))
-    carry = _carry(summary, by, ["_bmax"], "_bcnt")
-    if global_min:
-        gm = summary.select(BLK, *by, F.min("_bmin").over(Window.partitionBy(*by)).alias(global_min))
-        carry = carry.join(gm, [BLK, *by])
+    carry = _carry(summary, by, ["_bmax"], "_bcnt", whole_min={"_bmin": global_min} if global_min else None)
     if not by:
         # one row per block: bounded by MAX_BLOCKS, safe to broadcast
         carry = F.broadcast(carry)

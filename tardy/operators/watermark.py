@@ -64,9 +64,7 @@ def _annotate_general(df: DataFrame, t: str, order_by: list[str], n: int, p: int
     b = range_blocks(df, order_by, n_blocks, stat_col=t)
     data = b.df
     counts = data.groupBy(BLK).agg(F.count(F.lit(1)).alias("_bcnt"), F.min(t).alias("_bmin"))
-    offsets = _carry(counts, [], [], "_bcnt").join(
-        counts.select(BLK, F.min("_bmin").over(Window.partitionBy()).alias("t_min_ms")), BLK)
-    offsets = F.broadcast(offsets)                              # one row per block
+    offsets = F.broadcast(_carry(counts, [], [], "_bcnt", whole_min={"_bmin": "t_min_ms"}))  # one row per block
     w = Window.partitionBy(BLK).orderBy(*order_by)
     run_incl = w.rowsBetween(Window.unboundedPreceding, 0)
     run_excl = w.rowsBetween(Window.unboundedPreceding, -1)

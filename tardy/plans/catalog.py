@@ -164,9 +164,21 @@ METRICS_SQL = """count(*) AS n_keys,
        ELSE 0.0 END AS r2"""
 
 
+def _scored_trips(spark, sf_dir) -> DataFrame:
+    """Replay input carrying both the truncated tip (estimate) and the raw one (truth)."""
+    ev = table(spark, sf_dir, "events")
+    from tardy.sources.disorder import with_arrival_disorder
+    from tardy.sources.trips import EVENTS_COLUMNS
+    trips = trips_from(ev, EVENTS_COLUMNS, truncate_values=True, order_cols=("event_id", "value"))
+    trips = trips.withColumnRenamed("value", "tip_raw")
+    return with_arrival_disorder(trips, "start_ms", "event_id")
+
+
 def _aligned(spark, sf_dir, spec=TUMBLE, bound=B60) -> DataFrame:
-    res = tips_result(event_trips(spark, sf_dir), bound, spec)
-    return acc.align_results(_truth(spark, sf_dir, spec), res, ["taxi_id"])
+    """Truth and estimate per (window, key) from one replay pass (no join)."""
+    ann = annotate(_scored_trips(spark, sf_dir), bound)
+    sc = acc.scored_windows(ann, "start_ms", ["taxi_id"], spec.size_ms, spec.slide_ms, bound_ms=bound)
+    return sc.select("window_start_ms", "taxi_id", "true_tip", "est_tip", "in_truth", "in_result")
 
 
 @register("align_results", _aligned_sql(HOUR_MS, None, B60))
@@ -246,8 +258,12 @@ FROM (SELECT {METRICS_SQL} FROM ({_aligned_sql(size, slide, b)}) a) mt""")
 
 @register("tradeoff_table", _tradeoff_sql(HOUR_MS, None))
 def q_tradeoff(spark, sf_dir):
-    ann = annotate(event_trips(spark, sf_dir), None)
-    return tradeoff_table(ann, _truth(spark, sf_dir, TUMBLE), SWEEP_BOUNDS_MS, HOUR_MS)
+    """All bounds, truth, estimate, delay and late rows from one replay pass."""
+    from tardy.plans.sweep import with_bounds
+    ann = with_bounds(annotate(_scored_trips(spark, sf_dir), None), SWEEP_BOUNDS_MS)
+    sc = acc.scored_windows(ann, "start_ms", ["taxi_id"], HOUR_MS, bound_col="bound_ms", late_counts=True)
+    summ = acc.scored_summary(sc, ["bound_ms"])
+    return summ.withColumn("bound_min", (F.col("bound_ms") / 60000).cast("long")).drop("bound_ms")
 
 
 # --- disorder profile ----------------------------------------------------------
