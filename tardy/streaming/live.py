@@ -105,7 +105,20 @@ def write_arrival_files(df: DataFrame, order_by: list, out_dir: str, files: int)
 def native_window_stream(stream: DataFrame, ts_col: str, bound: str, size: str, slide: str | None,
                          keys: list[str], value: str) -> DataFrame:
     """Spark's own event-time windows (convenience, not the exact contract)."""
-    ts = F.col(ts_col).cast("timestamp")
-    w = F.window(ts, size, slide) if slide else F.window(ts, size)
-    return (stream.withColumn(ts_col, ts).withWatermark(ts_col, bound)
-            .groupBy(w.alias("window"), *keys).agg(F.sum(value).alias("sum_value")))
+    # event time must be a zoned timestamp for withWatermark (NTZ is rejected)
+    marked = stream.withColumn(ts_col, F.col(ts_col).cast("timestamp")).withWatermark(ts_col, bound)
+    w = F.window(F.col(ts_col), size, slide) if slide else F.window(F.col(ts_col), size)
+    return marked.groupBy(w.alias("window"), *keys).agg(F.sum(value).alias("sum_value"))
+
+
+def proctime_window_stream(stream: DataFrame, keys: list[str], value: str, size: str = "2500 milliseconds",
+                           slide: str = "500 milliseconds") -> DataFrame:
+    """Keyed sum over sliding processing-time windows (the throughput job).
+
+    The clock is stamped on arrival with ``current_timestamp()``; run it with
+    ``outputMode('update')``.  For replayable tests use the batch operators
+    with the arrival column as the clock.
+    """
+    return (stream.withColumn("_pt", F.current_timestamp())
+            .groupBy(F.window("_pt", size, slide).alias("window"), *keys)
+            .agg(F.sum(value).alias("total")))
