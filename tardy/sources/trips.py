@@ -53,11 +53,11 @@ def trips_from(df: DataFrame, columns: dict, truncate_values: bool = False,
     )
 
 
-def read_trips(spark: SparkSession, path: str, columns: dict | None = None,
+def read_trips(spark: SparkSession, path: str | list[str], columns: dict | None = None,
                truncate_values: bool = False) -> DataFrame:
-    """Parquet trips; file order kept as ``(src_file, src_row)`` for replay."""
+    """Parquet trips (one path or several); file order kept as ``(src_file, src_row)``."""
     cols = columns or NYC_COLUMNS
-    raw = spark.read.parquet(path)
+    raw = spark.read.parquet(*([path] if isinstance(path, str) else list(path)))
     raw = raw.select("*", F.col("_metadata.file_path").alias("src_file"),
                      F.col("_metadata.row_index").alias("src_row"))
     out = trips_from(raw, cols, truncate_values, order_cols=("src_file", "src_row"))
@@ -97,3 +97,19 @@ def read_trips_csv(spark: SparkSession, path: str, min_fields: int = 6) -> DataF
            .option("quote", "\u0000").option("escape", "\u0000")
            .schema("value string").csv(path))
     return parse_trip_lines(raw, "value", min_fields)
+
+
+def with_file_order(df: DataFrame, file_col: str = "src_file", row_col: str = "src_row",
+                    out: str = "arrival_key") -> DataFrame:
+    """One numeric arrival key for multi-file input: ``file_rank * 2**32 + row``.
+
+    Files are ranked by path over the small distinct-file table (one row per
+    file); the join back is left to AQE (broadcast when that table is small).
+    Assumes fewer than 2**20 files and 2**32 rows per file (key below 2**53).
+    """
+    from pyspark.sql import Window
+    files = df.select(file_col).distinct()
+    ranked = files.select(file_col, (F.dense_rank().over(Window.orderBy(file_col)) - 1).alias("_frank"))
+    return (df.join(ranked, file_col, "left")
+            .withColumn(out, F.col("_frank").cast("long") * F.lit(1 << 32) + F.col(row_col).cast("long"))
+            .drop("_frank"))
