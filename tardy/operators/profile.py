@@ -52,14 +52,18 @@ def lateness(df: DataFrame, ts_ms: str, max_seen_ms: str, same_window: str = "ho
     return df.withColumn(out, F.when(same, F.lit(0.0)).otherwise(minutes_between(max_seen_ms, ts_ms)))
 
 
-def exact_quantile(df: DataFrame, rank_key: str, value: str, q: float, tie: str | None = None) -> Column:
+def exact_quantile(df: DataFrame, rank_key: str, value: str, q: float, tie: str | None = None,
+                   materialized: bool = False) -> Column:
     """Scalar column: linear-interpolated ``q`` quantile of ``value``.
 
     ``rank_key`` is an integral column ordered like ``value`` (``value`` may be
     a scaled double of it); ``tie`` an optional unique tie-breaker.
+    ``materialized``: ``df`` is already a checkpoint, read it directly.
     """
     order = [rank_key] + ([tie] if tie else [])
-    base = materialize(df.where(F.col(value).isNotNull()).select(*order, value))
+    base = df.where(F.col(value).isNotNull()).select(*order, value)
+    if not materialized:
+        base = materialize(base)
     ranked = dense_seq(base, order, seq="_qr")
     n = base.select(F.count(F.lit(1))).scalar()
     pos = (n - F.lit(1)).cast("double") * F.lit(float(q))
@@ -70,9 +74,10 @@ def exact_quantile(df: DataFrame, rank_key: str, value: str, q: float, tie: str
     return picks.select(v_lo + (v_hi - v_lo) * (pos - lo)).scalar()
 
 
-def trim_tail(df: DataFrame, rank_key: str, value: str, q: float = 0.99, tie: str | None = None) -> DataFrame:
+def trim_tail(df: DataFrame, rank_key: str, value: str, q: float = 0.99, tie: str | None = None,
+              materialized: bool = False) -> DataFrame:
     """Keep rows with ``value <= quantile(q)`` (exact, distributed)."""
-    return df.where(F.col(value) <= exact_quantile(df, rank_key, value, q, tie))
+    return df.where(F.col(value) <= exact_quantile(df, rank_key, value, q, tie, materialized))
 
 
 def histogram(df: DataFrame, value: str, bins: int = 100) -> DataFrame:
@@ -95,5 +100,5 @@ def lateness_profile(df: DataFrame, ts_ms: str, order_by: list[str], keys: list[
     x = lateness(x, ts_ms, "max_seen_ms", same_window)
     late = materialize(x.where(F.col("delay_minutes") > F.lit(min_delay_min))
                        .withColumn("_dms", F.col("max_seen_ms") - F.col(ts_ms)))
-    kept = trim_tail(late, "_dms", "delay_minutes", q, tie)
+    kept = trim_tail(late, "_dms", "delay_minutes", q, tie, materialized=True)
     return kept.withColumn("max_seen_minute", minute_of_hour("max_seen_ms").cast("int")).drop("_dms")

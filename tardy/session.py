@@ -47,10 +47,21 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def materialize(df):
-    """Cut lineage: reliable checkpoint into the cluster's checkpoint folder.
+    """Cut lineage: write the table into the cluster's checkpoint folder and
+    read it back.
 
     Used where a derived table is read by several jobs (counting, sampling
-    block bounds, ranking), so the upstream plan runs once.
+    block bounds, ranking), so the upstream plan runs once.  A Parquet write
+    is one job (``checkpoint()`` computes the plan twice, once to count and
+    once to write) and the re-reads keep column pruning.  The files survive
+    executor loss (shared storage) and are removed when the session ends.
     """
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    import uuid
+
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    jvm = spark.sparkContext._jvm
+    hpath = jvm.org.apache.hadoop.fs.Path(path)
+    hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hpath)
+    return spark.read.parquet(path)
