@@ -75,9 +75,17 @@ def exact_quantile(df: DataFrame, rank_key: str, value: str, q: float, tie: str
 
 
 def trim_tail(df: DataFrame, rank_key: str, value: str, q: float = 0.99, tie: str | None = None,
-              materialized: bool = False) -> DataFrame:
-    """Keep rows with ``value <= quantile(q)`` (exact, distributed)."""
-    return df.where(F.col(value) <= exact_quantile(df, rank_key, value, q, tie, materialized))
+              materialized: bool = False, exact: bool = True, accuracy: int = 100_000) -> DataFrame:
+    """Keep rows with ``value <= quantile(q)``.
+
+    ``exact``: rank-based, distributed (see :func:`exact_quantile`);
+    otherwise one ``percentile_approx`` sketch pass (rank error ~1/accuracy).
+    """
+    if exact:
+        cut = exact_quantile(df, rank_key, value, q, tie, materialized)
+    else:
+        cut = df.select(F.percentile_approx(value, float(q), accuracy)).scalar()
+    return df.where(F.col(value) <= cut)
 
 
 def histogram(df: DataFrame, value: str, bins: int = 100) -> DataFrame:
