@@ -494,6 +494,8 @@ def q_adjust_delay(spark, sf_dir):
 
 # --- live (Structured Streaming) -------------------------------------------------
 
+LIVE_TIMEOUT_S = 1800
+
 @register("live_tumbling_sum", O.result_sql(EV, HOUR_MS, None, B60))
 def q_live_tumbling_sum(spark, sf_dir):
     """The tumbling job fed as 4 micro-batches through ``foreachBatch``.
@@ -501,15 +503,16 @@ def q_live_tumbling_sum(spark, sf_dir):
     The feed files and outputs live under the session's checkpoint folder; the
     answer must equal the batch replay (same oracle as ``tumbling_sum``).
     """
-    import uuid
-
-    from tardy.session import checkpoint_dir
+    from tardy.session import scratch_path
     from tardy.streaming.live import LiveReplay, write_arrival_files
-    base = f"{checkpoint_dir(spark).rstrip('/')}/live-{uuid.uuid4().hex}"
+    base = scratch_path(spark, "live")
     trips = event_trips(spark, sf_dir)
     write_arrival_files(trips, EVENT_ORDER, f"{base}/feed", 4)
     live = LiveReplay(f"{base}/out", "start_ms", EVENT_ORDER, B60, size_ms=HOUR_MS)
     stream = spark.readStream.schema(trips.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/feed")
-    live.start(stream, f"{base}/ckpt").awaitTermination()
+    q = live.start(stream, f"{base}/ckpt")
+    if not q.awaitTermination(LIVE_TIMEOUT_S):
+        q.stop()
+        raise TimeoutError(f"live replay did not finish within {LIVE_TIMEOUT_S} s")
     res = windowed_result(live.annotated(spark), B60, TUMBLE, ["taxi_id"], [F.sum("tip").alias("sum_tip")])
     return res.select("window_start_ms", "taxi_id", "sum_tip", "delay_ms", "flushed")

@@ -56,12 +56,18 @@ def materialize(df):
     once to write) and the re-reads keep column pruning.  The files survive
     executor loss (shared storage) and are removed when the session ends.
     """
-    import uuid
-
     spark = df.sparkSession
-    path = f"{checkpoint_dir(spark).rstrip('/')}/tables/{uuid.uuid4().hex}"
+    path = scratch_path(spark, "tables")
     df.write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def scratch_path(spark, kind: str) -> str:
+    """A fresh folder under the checkpoint folder, removed when the session ends."""
+    import uuid
+
+    path = f"{checkpoint_dir(spark).rstrip('/')}/{kind}/{uuid.uuid4().hex}"
     jvm = spark.sparkContext._jvm
     hpath = jvm.org.apache.hadoop.fs.Path(path)
     hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hpath)
-    return spark.read.parquet(path)
+    return path

@@ -4,6 +4,7 @@ row count, column names, and order-insensitive values."""
 from __future__ import annotations
 
 import math
+import os
 import sys
 import time
 
@@ -78,7 +79,7 @@ def main(argv):
     sys.path.insert(0, "/root/repo")
     import __spark_entry__ as E
     from tardy.session import get_session
-    sf_dir = "/root/testdata/sf0.01"
+    sf_dir = os.environ.get("ORACLE_SF_DIR", "/root/testdata/sf0.01")
     names = argv[1:] or list(E.queries())
     spark = get_session()
     con = duck(sf_dir)
