@@ -2,6 +2,11 @@
 
 Declared trip schema (``tardy.schema.TRIP``): ``ride_id, taxi_id, start_ms,
 tip, total_fare`` plus the arrival-order columns the caller picks.
+
+Null policy for the columns a replay uses (start, taxi, tip): the replayed
+job failed on a null number; here ``split_rejects`` keeps such rows out and
+returns them as a counted reject table, and ``fail_on_null`` reproduces the
+failure.
 """
 
 from __future__ import annotations
@@ -113,3 +118,40 @@ def with_file_order(df: DataFrame, file_col: str = "src_file", row_col: str = "s
     return (df.join(ranked, file_col, "left")
             .withColumn(out, F.col("_frank").cast("long") * F.lit(1 << 32) + F.col(row_col).cast("long"))
             .drop("_frank"))
+
+
+USED = ("start_ms", "taxi_id", "tip")
+
+
+def _bad(cols=USED):
+    bad = None
+    for c in cols:
+        e = F.col(c).isNull()
+        bad = e if bad is None else bad | e
+    return bad
+
+
+def split_rejects(trips: DataFrame, cols=USED) -> tuple[DataFrame, DataFrame]:
+    """(rows with every used column set, rejected rows)."""
+    bad = _bad(cols)
+    return trips.where(~bad), trips.where(bad)
+
+
+def fail_on_null(trips: DataFrame, cols=USED) -> DataFrame:
+    """Fail the job on the first row with a null used column (parity mode)."""
+    # a predicate, not a projected column: pruning cannot drop the check
+    return trips.where(F.when(_bad(cols), F.raise_error(F.lit("null in a trip column the replay uses")))
+                       .otherwise(F.lit(True)))
+
+
+def read_trips_csv_standard(spark: SparkSession, path: str, columns: dict | None = None) -> DataFrame:
+    """Idiomatic CSV read: Spark's CSV parser (quotes protect commas), header,
+    malformed lines dropped.  Column names as in the header."""
+    cols = columns or {"ride": 0, "taxi": 1, "start": 2, "tip": 4, "fare": 5}
+    raw = (spark.read.option("header", "true").option("mode", "DROPMALFORMED")
+           .option("inferSchema", "false").csv(path))
+    names = raw.columns
+    return raw.select(F.col(names[cols["ride"]]).alias("ride_id"), F.col(names[cols["taxi"]]).alias("taxi_id"),
+                      F.unix_millis(parse_time_text(F.col(names[cols["start"]]))).alias("start_ms"),
+                      parse_money(F.col(names[cols["tip"]])).alias("tip"),
+                      parse_money(F.col(names[cols["fare"]])).alias("total_fare"))

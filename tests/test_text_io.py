@@ -74,3 +74,25 @@ def test_split_and_discard_sinks(spark):
     write_results(res, os.path.join(d, "res"))
     assert spark.read.text(os.path.join(d, "res")).collect()[0].value == "(1000,a,3.0,5)"
     discard(df)
+
+
+def test_reject_table_fail_mode_and_standard_csv(spark):
+    import pytest
+    from tardy.schema import TRIP, conform, missing_columns
+    from tardy.sources.trips import fail_on_null, read_trips_csv_standard, split_rejects
+    rows = [("r1", "a", 1000, 1.0, 2.0), ("r2", None, 2000, 1.0, 2.0), ("r3", "b", None, 1.0, 2.0),
+            ("r4", "b", 3000, None, 2.0)]
+    t = spark.createDataFrame(rows, TRIP)
+    good, bad = split_rejects(t)
+    assert [r.ride_id for r in good.collect()] == ["r1"] and bad.count() == 3
+    with pytest.raises(Exception):
+        fail_on_null(t).collect()
+    assert fail_on_null(good).count() == 1
+    assert missing_columns(t, TRIP) == [] and conform(t, TRIP).schema == TRIP
+    d = tempfile.mkdtemp(prefix="tardy-test-")
+    path = os.path.join(d, "trips.csv")
+    with open(path, "w") as f:
+        f.write("ride,taxi,start,end,tip,fare\n")
+        f.write('r1,"t,1",11/01/2025 12:00:00 AM,,"$2.50",10\n')
+    got = [tuple(r) for r in read_trips_csv_standard(spark, path).collect()]
+    assert got == [("r1", "t,1", 1761955200000, 2.5, 10.0)]
