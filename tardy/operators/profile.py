@@ -54,24 +54,30 @@ def lateness(df: DataFrame, ts_ms: str, max_seen_ms: str, same_window: str = "ho
 
 def exact_quantile(df: DataFrame, rank_key: str, value: str, q: float, tie: str | None = None,
                    materialized: bool = False) -> Column:
-    """Scalar column: linear-interpolated ``q`` quantile of ``value``.
+    """Linear-interpolated ``q`` quantile of ``value``, as a literal column.
 
     ``rank_key`` is an integral column ordered like ``value`` (``value`` may be
-    a scaled double of it); ``tie`` an optional unique tie-breaker.
-    ``materialized``: ``df`` is already a checkpoint, read it directly.
+    a scaled double of it); ``tie`` an optional unique tie-breaker.  Rows are
+    ranked with the block-wise dense sequence; only the two rows around rank
+    ``(n-1)*q`` reach the driver.  ``materialized``: ``df`` is already a
+    written table, read it directly.
     """
+    import math
+
     order = [rank_key] + ([tie] if tie else [])
     base = df.where(F.col(value).isNotNull()).select(*order, value)
     if not materialized:
         base = materialize(base)
+    n = base.count()
+    if n == 0:
+        return F.lit(None).cast("double")
+    pos = (n - 1) * float(q)
+    lo = math.floor(pos)
     ranked = dense_seq(base, order, seq="_qr")
-    n = base.select(F.count(F.lit(1))).scalar()
-    pos = (n - F.lit(1)).cast("double") * F.lit(float(q))
-    lo = F.floor(pos)
-    picks = ranked.where((F.col("_qr") == lo) | (F.col("_qr") == lo + 1))
-    v_lo = F.max(F.when(F.col("_qr") == lo, F.col(value)))
-    v_hi = F.coalesce(F.max(F.when(F.col("_qr") == lo + 1, F.col(value))), v_lo)
-    return picks.select(v_lo + (v_hi - v_lo) * (pos - lo)).scalar()
+    got = {r["_qr"]: r[value] for r in ranked.where(F.col("_qr").isin(lo, lo + 1)).select("_qr", value).collect()}
+    v_lo = float(got[lo])
+    v_hi = float(got.get(lo + 1, v_lo))
+    return F.lit(v_lo + (v_hi - v_lo) * (pos - lo))
 
 
 def trim_tail(df: DataFrame, rank_key: str, value: str, q: float = 0.99, tie: str | None = None,
@@ -84,15 +90,16 @@ def trim_tail(df: DataFrame, rank_key: str, value: str, q: float = 0.99, tie: st
     if exact:
         cut = exact_quantile(df, rank_key, value, q, tie, materialized)
     else:
-        cut = df.select(F.percentile_approx(value, float(q), accuracy)).scalar()
+        cut = F.lit(df.select(F.percentile_approx(value, float(q), accuracy)).first()[0])
     return df.where(F.col(value) <= cut)
 
 
 def histogram(df: DataFrame, value: str, bins: int = 100) -> DataFrame:
     """Equal-width bins over [min, max]; the last bin is closed.  Rows: bin, lo, n."""
-    mm = df.agg(F.min(value).alias("mn"), F.max(value).alias("mx"))
-    mn = mm.select("mn").scalar()
-    mx = mm.select("mx").scalar()
+    r = df.agg(F.min(value).alias("mn"), F.max(value).alias("mx")).first()
+    if r["mn"] is None:
+        return df.sparkSession.createDataFrame([], "bin int, n long, lo double")
+    mn, mx = F.lit(r["mn"]), F.lit(r["mx"])
     width = (mx - mn).cast("double") / F.lit(float(bins))
     b = F.when(width > 0, F.least(F.floor((F.col(value) - mn) / width), F.lit(bins - 1))).otherwise(F.lit(0))
     return (df.where(F.col(value).isNotNull())

@@ -60,7 +60,18 @@ def with_bound(ann: DataFrame, bound_ms: int, col: str = "wm_ms") -> DataFrame:
 
 def _annotate_general(df: DataFrame, t: str, order_by: list[str], n: int, p: int,
                       n_blocks: int | None) -> DataFrame:
-    """Lanes and/or emission every n rows: two chained block-prefix passes."""
+    """Lanes and/or emission every n rows, with one sort of the data.
+
+    Pass 1 (one shuffle by block, one sort): dense ``seq``; per lane the
+    running max inside the block (``_l{j}``) and its value at the last
+    emission row before the row (``_p{j}``).  The result is written once to
+    the checkpoint folder.  Per-block summaries (lane maxima, lane maxima at
+    the block's last emission row) give, on the small block table, each
+    block's lane carries and the last emitted value before it.  Pass 2 is a
+    broadcast join plus column expressions: no second shuffle or sort.
+    """
+    from tardy.session import materialize
+
     b = range_blocks(df, order_by, n_blocks, stat_col=t)
     data = b.df
     counts = data.groupBy(BLK).agg(F.count(F.lit(1)).alias("_bcnt"), F.min(t).alias("_bmin"))
@@ -68,35 +79,47 @@ def _annotate_general(df: DataFrame, t: str, order_by: list[str], n: int, p: int
     w = Window.partitionBy(BLK).orderBy(*order_by)
     run_incl = w.rowsBetween(Window.unboundedPreceding, 0)
     run_excl = w.rowsBetween(Window.unboundedPreceding, -1)
+    lanes = list(range(p))
 
     x = (data.join(offsets, BLK, "left")
          .withColumn("seq", (F.col("_coff") + F.row_number().over(w) - 1).cast("long"))
-         .drop("_coff"))
-    lane_cols = []
-    for lane in range(p):
-        c = f"_l{lane}"
-        lane_cols.append(c)
-        val = F.when(F.pmod(F.col("seq"), F.lit(p)) == lane, F.col(t)) if p > 1 else F.col(t)
-        x = x.withColumn(c, F.max(val).over(run_incl))
-    # pass 1: carry of each lane's max from earlier blocks (post-window summary)
-    s1 = x.groupBy(BLK).agg(*[F.max(c).alias("_m" + c) for c in lane_cols])
-    c1 = F.broadcast(_carry(s1, [], ["_m" + c for c in lane_cols], None))
-    y = x.join(c1, BLK, "left")
-    g = [F.greatest(F.col("_c_m" + c), F.col(c)) for c in lane_cols]
-    any_null = F.lit(False)
-    for e in g:
-        any_null = any_null | e.isNull()
-    f_after = F.when(any_null, F.lit(None).cast("long")).otherwise(F.least(*g) if p > 1 else g[0])
-    y = (y.withColumn("max_seen_ms", F.greatest(*g) if p > 1 else g[0])
-         .withColumn("_em", F.when(F.pmod(F.col("seq") + 1, F.lit(n)) == 0, f_after))
-         .drop(*lane_cols, *["_c_m" + c for c in lane_cols]))
-    # pass 2: visible value = max of emitted values strictly before the row
-    y = y.withColumn("_lem", F.max("_em").over(run_excl))
-    s2 = y.groupBy(BLK).agg(F.max("_em").alias("_bem"))
-    c2 = F.broadcast(_carry(s2, [], ["_bem"], None))
-    z = (y.join(c2, BLK, "left")
-         .withColumn("m_vis", F.greatest(F.col("_c_bem"), F.col("_lem")))
-         .withColumn("m_after", F.coalesce(F.col("_em"), F.col("m_vis")))
-         .drop("_em", "_lem", "_c_bem"))
+         .drop("_coff")
+         .withColumn("_emit", F.pmod(F.col("seq") + 1, F.lit(n)) == 0))
+    for j in lanes:
+        val = F.when(F.pmod(F.col("seq"), F.lit(p)) == j, F.col(t)) if p > 1 else F.col(t)
+        x = x.withColumn(f"_l{j}", F.max(val).over(run_incl))
+    # lane maxima are non-decreasing, so "value at the last emission row" is a max
+    for j in lanes:
+        x = x.withColumn(f"_p{j}", F.max(F.when(F.col("_emit"), F.col(f"_l{j}"))).over(run_excl))
+    x = x.withColumn("_pany", F.max(F.when(F.col("_emit"), F.lit(1))).over(run_excl))
+    x = materialize(x)
+
+    summ = x.groupBy(BLK).agg(*[F.max(f"_l{j}").alias(f"_bm{j}") for j in lanes],
+                              *[F.max(F.when(F.col("_emit"), F.col(f"_l{j}"))).alias(f"_le{j}") for j in lanes],
+                              F.max(F.when(F.col("_emit"), F.lit(1))).alias("_hase"))
+    before = Window.orderBy(BLK).rowsBetween(Window.unboundedPreceding, -1)
+    carry = summ.select(BLK, "_hase", *[f"_le{j}" for j in lanes],
+                        *[F.max(f"_bm{j}").over(before).alias(f"_c{j}") for j in lanes])
+
+    def combined(parts):
+        """Smallest lane value; null while any lane has none."""
+        any_null = F.lit(False)
+        for e in parts:
+            any_null = any_null | e.isNull()
+        return F.when(any_null, F.lit(None).cast("long")).otherwise(F.least(*parts) if p > 1 else parts[0])
+
+    last_emit = F.when(F.col("_hase") == 1, combined([F.greatest(F.col(f"_c{j}"), F.col(f"_le{j}")) for j in lanes]))
+    carry = (carry.withColumn("_eb", last_emit)
+             .withColumn("_cem", F.max("_eb").over(before))
+             .select(BLK, "_cem", *[f"_c{j}" for j in lanes]))
+
+    g = [F.greatest(F.col(f"_c{j}"), F.col(f"_l{j}")) for j in lanes]
+    prev = combined([F.greatest(F.col(f"_c{j}"), F.col(f"_p{j}")) for j in lanes])
+    z = (x.join(F.broadcast(carry), BLK, "left")
+         .withColumn("max_seen_ms", F.greatest(*g) if p > 1 else g[0])
+         .withColumn("_em", F.when(F.col("_emit"), combined(g)))
+         .withColumn("m_vis", F.greatest(F.col("_cem"), F.when(F.col("_pany") == 1, prev)))
+         .withColumn("m_after", F.coalesce(F.col("_em"), F.col("m_vis"))))
+    z = z.drop("_em", "_emit", "_pany", "_cem", *[f"_{k}{j}" for k in ("l", "p", "c") for j in lanes])
     z = z.withColumn("t_min_ms", F.col("t_min_ms").alias("t_min_ms", metadata=_span_meta(b.stats)))
     return z.drop(BLK)
