@@ -106,7 +106,7 @@ def average_delay(result: DataFrame, include_flushed: bool = False, group: list[
 def scored_windows(ann: DataFrame, ts_ms: str, keys: list[str], size_ms: int, slide_ms: int | None = None,
                    bound_ms: int | None = None, bound_col: str | None = None, est_col: str = "tip",
                    truth_col: str = "tip_raw", allowed_lateness_ms: int = 0, late_counts: bool = False,
-                   fire_salts: int = 16) -> DataFrame:
+                   fire_salts: int = 16, fire_mode: str = "auto") -> DataFrame:
     """Exact answer, replayed estimate and firing delay from one pass.
 
     Every (row, window) pair adds its ``truth_col`` to the exact sum; pairs
@@ -115,16 +115,25 @@ def scored_windows(ann: DataFrame, ts_ms: str, keys: list[str], size_ms: int, sl
     delay_ms, flushed`` -- the aligned table, without a join.  With
     ``late_counts`` one extra row per bound has null window/keys and
     ``late_rows`` set.  Firing is listed per watermark step (see
-    ``late.one_pass_result``); for spans too long to list use the two-pass
-    ``align_results`` path.
+    ``late.one_pass_result``); when the event-time span is too long to list
+    (``fire_mode='auto'``), the same table is built from the exact two-pass
+    pieces instead (lookup firing, ground truth, outer join).
     """
     from pyspark.sql import Window
 
-    from tardy.operators.late import closed_expr, latest_start
+    from tardy.operators.late import MAX_LISTED_ENDS, closed_expr, latest_start
 
     size = int(size_ms)
     slide = int(slide_ms or size_ms)
     k = -(-size // slide)
+    if fire_mode == "auto":
+        meta = ann.schema["t_min_ms"].metadata if "t_min_ms" in ann.columns else {}
+        span = meta["span"] if "span" in meta else (
+            ann.agg((F.max(ts_ms) - F.min(ts_ms)).alias("s")).first()["s"] or 0)
+        fire_mode = "list" if span // slide + k <= MAX_LISTED_ENDS else "lookup"
+    if fire_mode == "lookup":
+        return _scored_two_pass(ann, ts_ms, keys, size, slide, bound_ms, bound_col, est_col, truth_col,
+                                allowed_lateness_ms, late_counts)
     keep = [bound_col] if bound_col else []
     b = F.col(bound_col) if bound_col else F.lit(int(bound_ms))
     w = F.col("m_vis") - b
@@ -210,3 +219,35 @@ def scored_summary(scored: DataFrame, group: list[str] = (), tolerance: float =
         F.coalesce(F.sum(d).cast("double") / F.count(d) / F.lit(60000.0), F.lit(0.0)).alias("avg_delay_min"),
         F.count(d).alias("n_delay"),
         F.coalesce(F.sum("late_rows"), F.lit(0)).alias("late_rows"))
+
+
+def _scored_two_pass(ann, ts_ms, keys, size, slide, bound_ms, bound_col, est_col, truth_col, lat,
+                     late_counts) -> DataFrame:
+    """``scored_windows`` output from exact building blocks (no listing of ends)."""
+    from tardy.operators.late import late_flag, one_pass_result
+
+    keep = [bound_col] if bound_col else []
+    res = one_pass_result(ann, ts_ms, keys, [F.sum(est_col).alias("_est")], size, slide, bound_ms=bound_ms,
+                          bound_col=bound_col, wm=None, allowed_lateness_ms=lat, value_cols=[est_col],
+                          fire_mode="lookup")
+    ok = F.col(ts_ms).isNotNull()
+    for c in keys:
+        ok = ok & F.col(c).isNotNull()
+    truth = (assign_windows(ann.where(ok), ts_ms, size, slide)
+             .groupBy(*keep, "window_start_ms", *keys).agg(F.sum(_dec(truth_col)).alias("_truth")))
+    on = [*keep, "window_start_ms", *keys]
+    j = truth.join(res.select(*on, "_est", "delay_ms", "flushed", F.lit(True).alias("_r")), on, "full_outer")
+    out = j.select(*on,
+                   F.coalesce(F.col("_truth"), F.lit(0).cast(DEC)).cast("double").alias("true_tip"),
+                   F.coalesce(F.col("_est"), F.lit(0.0)).alias("est_tip"),
+                   F.col("_truth").isNotNull().alias("in_truth"),
+                   F.coalesce(F.col("_r"), F.lit(False)).alias("in_result"),
+                   "delay_ms", "flushed")
+    if not late_counts:
+        return out
+    b = F.col(bound_col) if bound_col else F.lit(int(bound_ms))
+    x = ann.withColumn("_wm", F.col("m_vis") - b)
+    late = x.groupBy(*keep).agg(F.count(F.when(late_flag(ts_ms, size, slide, "_wm", lat), 1)).alias("late_rows"))
+    nulls = [F.lit(None).cast(t).alias(c) for c, t in out.dtypes if c not in keep]
+    late = late.select(*keep, *nulls, "late_rows")
+    return out.withColumn("late_rows", F.lit(0).cast("long")).unionByName(late)

@@ -114,3 +114,21 @@ def test_lookup_firing_equals_brute_force(spark, slide):
     # a far-future outlier makes a watermark jump too long to list: auto picks lookup
     rows += [(300, 10**13, "a", 1.0), (301, 1_200_000, "b", 2.0)]
     assert run(rows, "auto") == brute(rows)
+
+
+def test_scored_windows_lookup_equals_listing(spark):
+    from tardy.operators.accuracy import scored_summary, scored_windows
+    from tardy.plans.sweep import with_bounds
+    rows = make_rows(41, n=300)
+    df = spark.createDataFrame(rows, SCHEMA).withColumn("tip_raw", F.col("tip") + F.lit(0.25))
+    ann = with_bounds(annotate_watermark(df, "start_ms", ["seq"], None, n_blocks=4), [0, 5_000, 20_000])
+    out = {}
+    for mode in ("list", "lookup"):
+        sc = scored_windows(ann, "start_ms", ["taxi_id"], 10_000, 4_000, bound_col="bound_ms",
+                            late_counts=True, fire_mode=mode)
+        rows_ = sorted(tuple(r) for r in sc.select("bound_ms", "window_start_ms", "taxi_id", "true_tip", "est_tip",
+                                                   "in_truth", "in_result", "delay_ms", "flushed")
+                       .where("window_start_ms IS NOT NULL").collect())
+        summ = sorted(tuple(r) for r in scored_summary(sc, ["bound_ms"]).collect())
+        out[mode] = (rows_, summ)
+    assert out["list"] == out["lookup"]
