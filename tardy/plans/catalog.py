@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 
 from tardy.operators import accuracy as acc
 from tardy.operators.late import split_late
-from tardy.operators.watermark import annotate_watermark, with_bound
 from tardy.plans import oracle as O
 from tardy.plans.replay import (DAY_MS, HOUR_MS, MINUTE_MS, EVENT_ORDER, WindowSpec, annotate,
                                 event_trips, table, tips_result, windowed_result)
@@ -259,11 +258,7 @@ FROM (SELECT {METRICS_SQL} FROM ({_aligned_sql(size, slide, b)}) a) mt""")
 @register("tradeoff_table", _tradeoff_sql(HOUR_MS, None))
 def q_tradeoff(spark, sf_dir):
     """All bounds, truth, estimate, delay and late rows from one replay pass."""
-    from tardy.plans.sweep import with_bounds
-    ann = with_bounds(annotate(_scored_trips(spark, sf_dir), None), SWEEP_BOUNDS_MS)
-    sc = acc.scored_windows(ann, "start_ms", ["taxi_id"], HOUR_MS, bound_col="bound_ms", late_counts=True)
-    summ = acc.scored_summary(sc, ["bound_ms"])
-    return summ.withColumn("bound_min", (F.col("bound_ms") / 60000).cast("long")).drop("bound_ms")
+    return tradeoff_table(annotate(_scored_trips(spark, sf_dir), None), SWEEP_BOUNDS_MS, HOUR_MS)
 
 
 # --- disorder profile ----------------------------------------------------------
