@@ -32,13 +32,13 @@ from tardy.operators.order import BLK, _carry, _span_meta, prefix_max, range_blo
 def annotate_watermark(df: DataFrame, ts_ms: str, order_by: list[str],
                        bound_ms: int | None = None, emit_every: int = 1, lanes: int = 1,
                        n_blocks: int | None = None, carry_max: int | None = None,
-                       carry_rows: int = 0) -> DataFrame:
-    """``carry_max``/``carry_rows``: max event time and row count of everything
-    that arrived before ``df`` (live micro-batches); default: nothing."""
+                       carry_rows: int = 0, carry_lanes: list | None = None) -> DataFrame:
+    """Carry-in for live micro-batches (state of everything that arrived
+    before ``df``): ``carry_rows`` rows, ``carry_max`` the last emitted max
+    (the max event time when ``emit_every=lanes=1``), ``carry_lanes`` each
+    lane's max.  Default: nothing arrived before."""
     if emit_every < 1 or lanes < 1:
         raise ValueError("emit_every and lanes must be >= 1")
-    if (carry_max is not None or carry_rows) and (emit_every != 1 or lanes != 1):
-        raise ValueError("carry-in is supported for emit_every=1, lanes=1")
     if emit_every == 1 and lanes == 1:
         out = prefix_max(df, ts_ms, order_by, n_blocks=n_blocks, seq="seq",
                          exclusive="m_vis", inclusive="max_seen_ms", global_min="t_min_ms")
@@ -50,7 +50,8 @@ def annotate_watermark(df: DataFrame, ts_ms: str, order_by: list[str],
             out = out.withColumn("seq", F.col("seq") + F.lit(int(carry_rows)))
         out = out.withColumn("m_after", F.col("max_seen_ms"))
     else:
-        out = _annotate_general(df, ts_ms, order_by, emit_every, lanes, n_blocks)
+        out = _annotate_general(df, ts_ms, order_by, emit_every, lanes, n_blocks,
+                                carry_rows, carry_lanes, carry_max)
     return with_bound(out, bound_ms) if bound_ms is not None else out
 
 
@@ -59,7 +60,8 @@ def with_bound(ann: DataFrame, bound_ms: int, col: str = "wm_ms") -> DataFrame:
 
 
 def _annotate_general(df: DataFrame, t: str, order_by: list[str], n: int, p: int,
-                      n_blocks: int | None) -> DataFrame:
+                      n_blocks: int | None, carry_rows: int = 0, carry_lanes: list | None = None,
+                      carry_emitted: int | None = None) -> DataFrame:
     """Lanes and/or emission every n rows, with one sort of the data.
 
     Pass 1 (one shuffle by block, one sort): dense ``seq``; per lane the
@@ -82,7 +84,7 @@ def _annotate_general(df: DataFrame, t: str, order_by: list[str], n: int, p: int
     lanes = list(range(p))
 
     x = (data.join(offsets, BLK, "left")
-         .withColumn("seq", (F.col("_coff") + F.row_number().over(w) - 1).cast("long"))
+         .withColumn("seq", (F.col("_coff") + F.lit(int(carry_rows)) + F.row_number().over(w) - 1).cast("long"))
          .drop("_coff")
          .withColumn("_emit", F.pmod(F.col("seq") + 1, F.lit(n)) == 0))
     for j in lanes:
@@ -98,8 +100,10 @@ def _annotate_general(df: DataFrame, t: str, order_by: list[str], n: int, p: int
                               *[F.max(F.when(F.col("_emit"), F.col(f"_l{j}"))).alias(f"_le{j}") for j in lanes],
                               F.max(F.when(F.col("_emit"), F.lit(1))).alias("_hase"))
     before = Window.orderBy(BLK).rowsBetween(Window.unboundedPreceding, -1)
+    init = list(carry_lanes or []) + [None] * p
     carry = summ.select(BLK, "_hase", *[f"_le{j}" for j in lanes],
-                        *[F.max(f"_bm{j}").over(before).alias(f"_c{j}") for j in lanes])
+                        *[F.greatest(F.lit(init[j]).cast("long"), F.max(f"_bm{j}").over(before)).alias(f"_c{j}")
+                          for j in lanes])
 
     def combined(parts):
         """Smallest lane value; null while any lane has none."""
@@ -110,7 +114,7 @@ def _annotate_general(df: DataFrame, t: str, order_by: list[str], n: int, p: int
 
     last_emit = F.when(F.col("_hase") == 1, combined([F.greatest(F.col(f"_c{j}"), F.col(f"_le{j}")) for j in lanes]))
     carry = (carry.withColumn("_eb", last_emit)
-             .withColumn("_cem", F.max("_eb").over(before))
+             .withColumn("_cem", F.greatest(F.lit(carry_emitted).cast("long"), F.max("_eb").over(before)))
              .select(BLK, "_cem", *[f"_c{j}" for j in lanes]))
 
     g = [F.greatest(F.col(f"_c{j}"), F.col(f"_l{j}")) for j in lanes]
@@ -120,6 +124,9 @@ def _annotate_general(df: DataFrame, t: str, order_by: list[str], n: int, p: int
          .withColumn("_em", F.when(F.col("_emit"), combined(g)))
          .withColumn("m_vis", F.greatest(F.col("_cem"), F.when(F.col("_pany") == 1, prev)))
          .withColumn("m_after", F.coalesce(F.col("_em"), F.col("m_vis"))))
+    if carry_lanes:   # the overall max also covers earlier batches
+        z = z.withColumn("max_seen_ms", F.greatest(F.col("max_seen_ms"),
+                                                   *[F.lit(v).cast("long") for v in carry_lanes]))
     z = z.drop("_em", "_emit", "_pany", "_cem", *[f"_{k}{j}" for k in ("l", "p", "c") for j in lanes])
     z = z.withColumn("t_min_ms", F.col("t_min_ms").alias("t_min_ms", metadata=_span_meta(b.stats)))
     return z.drop(BLK)

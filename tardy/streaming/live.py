@@ -5,8 +5,9 @@ previous micro-batch's watermark, late rows are dropped rather than split
 out, the last windows are never emitted and no firing delay is exposed), so
 the exact live path is a ``foreachBatch`` sink:
 
-* each micro-batch is annotated with the block-wise prefix max, plus the max
-  event time and row count carried from the batch before;
+* each micro-batch is annotated with the block-wise prefix max, plus the
+  state carried from the batch before: rows so far, the last emitted max and
+  each extractor lane's max (``emit_every`` and ``lanes`` work live too);
 * annotated rows go to ``<out>/annotated/batch_id=N`` (overwrite), late and
   on-time rows optionally to two more outputs;
 * the new carry is written to ``<out>/carry/batch_id=N``.  A retried batch
@@ -39,21 +40,26 @@ class LiveReplay:
     size_ms: int | None = None          # set to also split late rows per batch
     slide_ms: int | None = None
     n_blocks: int | None = None
+    emit_every: int = 1
+    lanes: int = 1
 
     def _carry_path(self, batch_id: int) -> str:
         return f"{self.out_dir}/carry/batch_id={batch_id}"
 
     def _read_carry(self, spark: SparkSession, batch_id: int):
+        """(last emitted max, rows so far, each lane's max) after batch N-1."""
         if batch_id == 0:
-            return None, 0
+            return None, 0, [None] * self.lanes
         row = spark.read.parquet(self._carry_path(batch_id - 1)).first()
-        return row["max_seen_ms"], row["rows"]
+        return row["emitted"], row["rows"], list(row["lane_max"])
 
     def process_batch(self, batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        carry_max, carry_rows = self._read_carry(spark, batch_id)
+        emitted, carry_rows, lane_max = self._read_carry(spark, batch_id)
         ann = annotate_watermark(batch, self.ts_ms, list(self.order_by), self.bound_ms,
-                                 n_blocks=self.n_blocks, carry_max=carry_max, carry_rows=carry_rows)
+                                 emit_every=self.emit_every, lanes=self.lanes, n_blocks=self.n_blocks,
+                                 carry_max=emitted, carry_rows=carry_rows,
+                                 carry_lanes=lane_max if (self.lanes > 1 or self.emit_every > 1) else None)
         ann.write.mode("overwrite").parquet(f"{self.out_dir}/annotated/batch_id={batch_id}")
         written = spark.read.parquet(f"{self.out_dir}/annotated/batch_id={batch_id}")
         if self.size_ms:
@@ -62,9 +68,15 @@ class LiveReplay:
                 .parquet(f"{self.out_dir}/on_time/batch_id={batch_id}")
             flagged.where(F.col("is_late")).drop("is_late").write.mode("overwrite") \
                 .parquet(f"{self.out_dir}/late/batch_id={batch_id}")
-        new = written.agg(F.max("max_seen_ms").alias("m"), F.count(F.lit(1)).alias("n")).first()
-        m = new["m"] if new["m"] is not None else carry_max
-        spark.createDataFrame([(m, carry_rows + new["n"])], "max_seen_ms long, rows long") \
+        p = self.lanes
+        new = written.agg(F.max("m_after").alias("e"), F.count(F.lit(1)).alias("n"),
+                          *[F.max(F.when(F.pmod(F.col("seq"), F.lit(p)) == j, F.col(self.ts_ms))).alias(f"l{j}")
+                            for j in range(p)]).first()
+        lanes_now = [v for v in (max((x for x in (old, new[f"l{j}"]) if x is not None), default=None)
+                                 for j, old in enumerate(lane_max))]
+        e = max((x for x in (emitted, new["e"]) if x is not None), default=None)
+        spark.createDataFrame([(e, carry_rows + new["n"], lanes_now)],
+                              "emitted long, rows long, lane_max array<long>") \
             .coalesce(1).write.mode("overwrite").parquet(self._carry_path(batch_id))
 
     def start(self, stream: DataFrame, checkpoint: str, available_now: bool = True) -> StreamingQuery:

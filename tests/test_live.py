@@ -73,3 +73,17 @@ def test_native_and_proctime_streams_run(spark):
         .option("checkpointLocation", f"{d}/c2").trigger(availableNow=True).start()
     q.awaitTermination(300)
     assert got["total"] == 5 * 3 * ev.count()     # every row lands in 2.5 s / 0.5 s = 5 windows
+
+
+@pytest.mark.parametrize("emit,lanes", [(10, 1), (1, 4), (7, 3)])
+def test_live_equals_replay_with_emission_and_lanes(spark, emit, lanes):
+    d = tempfile.mkdtemp(prefix="tardy-live-")
+    trips = event_trips(spark, SF)
+    write_arrival_files(trips, ["arrival_ms", "event_id"], f"{d}/feed", 7)
+    live = LiveReplay(f"{d}/out", "start_ms", ["arrival_ms", "event_id"], B, emit_every=emit, lanes=lanes)
+    stream = spark.readStream.schema(trips.schema).option("maxFilesPerTrigger", 1).parquet(f"{d}/feed")
+    live.start(stream, f"{d}/ckpt").awaitTermination(600)
+    res = windowed_result(live.annotated(spark), B, WindowSpec(HOUR_MS), ["taxi_id"], [F.sum("tip").alias("sum_tip")])
+    got = sorted(tuple(x) for x in res.select("window_start_ms", "taxi_id", "sum_tip", "delay_ms", "flushed").collect())
+    want = tips_result(trips, B, WindowSpec(HOUR_MS), emit_every=emit, lanes=lanes)
+    assert got == sorted(tuple(x) for x in want.collect())
