@@ -133,10 +133,15 @@ def one_pass_result(ann: DataFrame, ts_ms: str, keys: list[str], aggs: list[Colu
     Every row emits, through one ``posexplode``, its open window starts
     (positions ``< k``) and the window ends its watermark step closes
     (positions ``>= k``).  One group-by then yields both the per (window, key)
-    aggregates and the firing value per end; the two are split by aggregate
-    firing values reach the aggregates through a window over the aggregated
-    rows, so the annotated table is computed once.  ``aggs`` may only
-    reference ``value_cols`` and ``keys``.
+    aggregates and the firing value per end; the firing values reach the
+    aggregates through a window over the aggregated rows (partitioned by end
+    and a key salt), so the annotated table is computed once.  ``aggs`` may
+    only reference ``value_cols`` and ``keys``.
+
+    ``fire_mode``: ``list`` enumerates ends per watermark step (bounded by the
+    event-time span / slide); ``lookup`` finds each end's firing step without
+    enumerating (two passes); ``auto`` picks ``list`` up to
+    ``MAX_LISTED_ENDS`` ends in the span.
     """
     size = int(size_ms)
     slide = int(slide_ms or size_ms)
