@@ -144,7 +144,7 @@ def scored_windows(ann: DataFrame, ts_ms: str, keys: list[str], size_ms: int, sl
     base = latest_start(t, slide)
     wins = [F.when(t.isNotNull() & keys_ok & (t < base - F.lit(j * slide) + F.lit(size)), base - F.lit(j * slide))
             for j in range(k)]
-    late_row = t.isNotNull() & closed_expr(base + F.lit(size), w, allowed_lateness_ms)
+    late_row = t.isNotNull() & (t < base + F.lit(size)) & closed_expr(base + F.lit(size), w, allowed_lateness_ms)
     marker = [F.when(late_row, F.lit(0).cast("long"))] if late_counts else []
     t_min = F.col("t_min_ms") if "t_min_ms" in ann.columns else ann.select(F.min(ts_ms)).scalar()
     is_step = F.col("m_after").isNotNull() & (F.col("m_vis").isNull() | (F.col("m_after") > F.col("m_vis")))

@@ -31,10 +31,12 @@ def closed_expr(window_end: Column, wm: Column, allowed_lateness_ms: int = 0) ->
 
 def late_flag(ts_ms: str, size_ms: int, slide_ms: int | None = None, wm: str = "wm_ms",
               allowed_lateness_ms: int = 0) -> Column:
-    """True when every window of the row is already closed on arrival."""
+    """True when the row has windows and every one is already closed on arrival
+    (a row in a gap between hopping windows, size < slide, has none)."""
     slide = int(slide_ms or size_ms)
-    last_end = latest_start(col_of(ts_ms), slide) + F.lit(int(size_ms))
-    return col_of(ts_ms).isNotNull() & closed_expr(last_end, F.col(wm), allowed_lateness_ms)
+    t = col_of(ts_ms)
+    last_end = latest_start(t, slide) + F.lit(int(size_ms))
+    return t.isNotNull() & (t < last_end) & closed_expr(last_end, F.col(wm), allowed_lateness_ms)
 
 
 def mark_late(ann: DataFrame, ts_ms: str, size_ms: int, slide_ms: int | None = None,

@@ -40,6 +40,8 @@ def replay(rows, bound, size, slide=None, emit_every=1, lanes=1):
         wm = None if vis[i] is None else vis[i] - bound
         base = t - t % slide
         wins = [base - j * slide for j in range(k) if t < base - j * slide + size]
+        if not wins:            # in a gap between hopping windows: nothing to be late for
+            continue
         open_ = [ws for ws in wins if not (wm is not None and ws + size - 1 <= wm)]
         if not open_:
             late.append(i)

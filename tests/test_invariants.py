@@ -132,3 +132,11 @@ def test_scored_windows_lookup_equals_listing(spark):
         summ = sorted(tuple(r) for r in scored_summary(sc, ["bound_ms"]).collect())
         out[mode] = (rows_, summ)
     assert out["list"] == out["lookup"]
+
+
+def test_hopping_windows_with_gaps(spark):
+    # size < slide: rows between windows belong to none and are never late
+    rows = make_rows(51, n=200)
+    want, want_late = replay([(t, k, v) for _, t, k, v in rows], 3_000, 4_000, 10_000)
+    got, late = spark_replay(spark, rows, 3_000, 4_000, 10_000, n_blocks=3)
+    assert got == want and late == want_late
