@@ -2,7 +2,9 @@
 
 Sums that are compared across runs or engines are taken in DECIMAL, so
 they do not depend on the order rows are added in; ratios are then formed
-in DOUBLE from those exact totals.
+in DOUBLE from those exact totals.  Per-key percentage terms (MAPE) are
+summed at 6 decimals so the unscaled total stays below 2**53 and converts
+to DOUBLE exactly.
 """
 
 from __future__ import annotations
@@ -55,7 +57,7 @@ def metric_columns(tolerance: float = 0.01) -> list[Column]:
     e_sum = F.sum(e).cast("double")
     nz = F.col("true_tip") > F.lit(1e-9)
     ape = F.when(nz, (F.abs((F.col("est_tip") - F.col("true_tip")) / F.col("true_tip")) * 100)
-                 .cast("decimal(24,12)"))
+                 .cast("decimal(24,6)"))
     ss_res = F.sum((e - g) * (e - g)).cast("double")
     ss_tot = F.sum(g * g).cast("double") - t_sum * t_sum / n
     correct = F.col("in_truth") & F.col("in_result") & (F.abs(e - g) <= F.lit(tolerance).cast(DEC))
@@ -204,7 +206,7 @@ def scored_summary(scored: DataFrame, group: list[str] = (), tolerance: float =
     e_sum = F.sum(F.when(keyrow, e)).cast("double")
     nz = keyrow & (F.col("true_tip") > F.lit(1e-9))
     ape = F.when(nz, (F.abs((F.col("est_tip") - F.col("true_tip")) / F.col("true_tip")) * 100)
-                 .cast("decimal(24,12)"))
+                 .cast("decimal(24,6)"))
     ss_res = F.sum(F.when(keyrow, (e - g) * (e - g))).cast("double")
     ss_tot = F.sum(F.when(keyrow, g * g)).cast("double") - t_sum * t_sum / n
     d = F.when(keyrow & F.col("in_result") & ~F.col("flushed"), F.col("delay_ms"))

@@ -153,7 +153,7 @@ METRICS_SQL = """count(*) AS n_keys,
     abs(CAST(sum(CAST(true_tip AS DECIMAL(18,2))) AS DOUBLE) - CAST(sum(CAST(est_tip AS DECIMAL(18,2))) AS DOUBLE))
     / CAST(sum(CAST(true_tip AS DECIMAL(18,2))) AS DOUBLE) * 100 END AS global_error_pct,
   CAST(sum(abs(CAST(est_tip AS DECIMAL(18,2)) - CAST(true_tip AS DECIMAL(18,2)))) AS DOUBLE) / count(*) AS mae,
-  CAST(sum(CASE WHEN true_tip > 1e-9 THEN CAST(abs((est_tip - true_tip) / true_tip) * 100 AS DECIMAL(24,12)) END) AS DOUBLE)
+  CAST(sum(CASE WHEN true_tip > 1e-9 THEN CAST(abs((est_tip - true_tip) / true_tip) * 100 AS DECIMAL(24,6)) END) AS DOUBLE)
     / count(CASE WHEN true_tip > 1e-9 THEN 1 END) AS mape_pct,
   CASE WHEN CAST(sum(CAST(true_tip AS DECIMAL(18,2)) * CAST(true_tip AS DECIMAL(18,2))) AS DOUBLE)
             - CAST(sum(CAST(true_tip AS DECIMAL(18,2))) AS DOUBLE) * CAST(sum(CAST(true_tip AS DECIMAL(18,2))) AS DOUBLE) / count(*) > 0
