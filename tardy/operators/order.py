@@ -58,8 +58,9 @@ def range_blocks(df: DataFrame, order_by: list[str], n_blocks: int | None = None
     """Add ``_blk``: contiguous, monotone ranges of ``order_by``.
 
     ``order_by`` is one or two numeric columns (leading key below 2**53 in
-    magnitude, e.g. epoch ms or a row counter; optional tie-breaker).  Rows with
-    a null leading key go to block 0.
+    magnitude, e.g. epoch ms or a row counter; optional tie-breaker) that
+    together identify a row: a replay over a non-unique order is not
+    deterministic.  Nulls sort first (a null leading key goes to block 0).
     """
     if not 1 <= len(order_by) <= 2:
         raise ValueError("order_by takes one numeric key and an optional tie-breaker")

@@ -140,3 +140,14 @@ def test_hopping_windows_with_gaps(spark):
     want, want_late = replay([(t, k, v) for _, t, k, v in rows], 3_000, 4_000, 10_000)
     got, late = spark_replay(spark, rows, 3_000, 4_000, 10_000, n_blocks=3)
     assert got == want and late == want_late
+
+
+def test_null_arrival_keys_sort_first(spark):
+    rnd = random.Random(61)
+    rows = [(None if rnd.random() < 0.1 else rnd.randint(0, 500), i, rnd.randint(0, 10_000)) for i in range(400)]
+    df = spark.createDataFrame(rows, "arr long, id long, t long")
+    a = annotate_watermark(df, "t", ["arr", "id"], 0, n_blocks=6)
+    got = sorted((r.seq, r.m_vis) for r in a.collect())
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    vis, _ = watermark_series([r[2] for r in order], 0)
+    assert [g[1] for g in got] == vis
