@@ -5,8 +5,7 @@
 The bound is in minutes, default 30; an unparsable value falls back to 30.
 Writes the result lines (``(start,taxi,sum,delay)``) as text under
 ``out_dir/results`` and prints the final late-row count.  The order of replay
-is the Parquet file order (``src_file``, ``src_row``); the block bounds use the
-row position, so give one file per run or a numeric order column.
+is the Parquet file order: files by path, then row position within a file.
 """
 
 from __future__ import annotations
@@ -32,12 +31,12 @@ def run(spark, kind: str, path: str, out_dir: str, bound_min: int, truncate_valu
     from tardy.operators.late import split_late
     from tardy.plans.replay import HOUR_MS, MINUTE_MS, WindowSpec, annotate, windowed_result
     from tardy.sinks.text import write_results
-    from tardy.sources.trips import read_trips
+    from tardy.sources.trips import read_trips, with_file_order
 
     spec = WindowSpec(HOUR_MS, 30 * MINUTE_MS if kind == "sliding" else None)
     bound = int(bound_min) * MINUTE_MS
-    trips = read_trips(spark, path, truncate_values=truncate_values).drop("src_file")
-    ann = annotate(trips, bound, order_by=["src_row"])
+    trips = with_file_order(read_trips(spark, path, truncate_values=truncate_values)).drop("src_file")
+    ann = annotate(trips, bound, order_by=["arrival_key"])
     res = windowed_result(ann, bound, spec, ["taxi_id"], [F.sum("tip").alias("sum_tip")])
     write_results(res, f"{out_dir}/results")
     _, late = split_late(ann, "start_ms", spec.size_ms, spec.slide_ms)
