@@ -41,7 +41,7 @@ def run(spark, kind: str, path: str, out_dir: str, bound_min: int, truncate_valu
     write_results(res, f"{out_dir}/results")
     _, late = split_late(ann, "start_ms", spec.size_ms, spec.slide_ms)
     n = late.count()
-    print(f"Total Late Data> {n}")
+    print(f"late rows: {n}")
     return n
 
 
