@@ -36,6 +36,7 @@ MAX_BLOCKS = 100_000
 # Cap on the sampled order keys that reach the driver while picking bounds.
 MAX_SAMPLE = 1_000_000
 DEFAULT_ROWS_PER_BLOCK = 2_000_000
+INTEGRAL = ("bigint", "int", "smallint", "tinyint")
 
 
 @dataclass
@@ -67,6 +68,11 @@ def range_blocks(df: DataFrame, order_by: list[str], n_blocks: int | None = None
     spark = df.sparkSession
     p_col = order_by[0]
     s_col = order_by[1] if len(order_by) == 2 else None
+    types = dict(df.dtypes)
+    for c in order_by:
+        if types.get(c) not in INTEGRAL:
+            raise ValueError(f"order column {c!r} must be integral (got {types.get(c)}): "
+                             "use epoch ms, a row position or an integer rank")
 
     if stat_col:
         r = df.agg(F.count(F.lit(1)).alias("n"), F.min(stat_col).alias("lo"), F.max(stat_col).alias("hi")).first()
@@ -128,6 +134,8 @@ def range_blocks(df: DataFrame, order_by: list[str], n_blocks: int | None = None
     ])
     lookup = spark.createDataFrame(rows, schema)
 
+    if leads and max(abs(leads[0]), abs(leads[-1])) >= 2 ** 53:
+        raise ValueError(f"order column {p_col!r} holds values beyond 2**53; rebase it first")
     splits = [float("-inf")] + [float(u) for u in leads] + [float("inf")]
     tmp = "_bkd"
     with_p = df.withColumn(tmp, F.coalesce(F.col(p_col).cast("double"), F.lit(float("-inf"))))

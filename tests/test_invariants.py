@@ -151,3 +151,10 @@ def test_null_arrival_keys_sort_first(spark):
     order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
     vis, _ = watermark_series([r[2] for r in order], 0)
     assert [g[1] for g in got] == vis
+
+
+def test_order_columns_must_be_integral(spark):
+    from tardy.operators.order import range_blocks
+    df = spark.createDataFrame([(1.5, 1), (2.5, 2)], "arr double, id long")
+    with pytest.raises(ValueError):
+        range_blocks(df, ["arr", "id"], n_blocks=2)
