@@ -39,3 +39,18 @@ def test_regression_figures(spark, key):
                 F.min(F.when(~F.col("flushed"), F.col("delay_ms"))).alias("d")).first()
     _, late = split_late(ann, "start_ms", spec.size_ms, spec.slide_ms)
     assert (r["n"], late.count(), int(r["s"]), r["fl"], r["d"]) == FIGURES[key]
+
+
+def test_accuracy_and_profile_figures(spark):
+    if not os.path.exists(f"{SF}/events.parquet"):
+        pytest.skip("no test data")
+    import __spark_entry__ as E
+    q = E.queries()
+    assert q["watermark_emit10"](spark, SF).count() == 3363
+    m = q["accuracy_metrics"](spark, SF).first()
+    assert (m.n_keys, m.true_sum, m.est_sum) == (3385, 496306.57, 449252.0)
+    assert (round(m.global_error_pct, 4), round(m.mae, 6), round(m.mape_pct, 4), round(m.r2, 5)) == \
+        (9.4809, 13.900907, 10.5557, 0.89183)
+    v = q["accuracy_verdicts"](spark, SF).first()
+    assert (v.total_keys, v.missing, v.extra) == (3385, 56, 0)
+    assert q["lateness_histogram"](spark, SF).count() == 60
