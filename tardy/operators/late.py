@@ -159,7 +159,7 @@ def one_pass_result(ann: DataFrame, ts_ms: str, keys: list[str], aggs: list[Colu
     if fire_mode == "lookup":
         return _lookup_result(ann, ts_ms, keys, aggs, size, slide, bound_ms, bound_col, wm, lat)
     b = F.col(bound_col) if bound_col else F.lit(int(bound_ms))
-    w = F.col(wm) if (wm and not bound_col) else F.col("m_vis") - b
+    w = F.col(wm) if (wm and not bound_col and wm in ann.columns) else F.col("m_vis") - b
     t = F.col(ts_ms)
     base = latest_start(t, slide)
     keys_ok = F.lit(True)
@@ -218,7 +218,7 @@ def _lookup_result(ann: DataFrame, ts_ms: str, keys: list[str], aggs: list[Colum
 
     keep = [bound_col] if bound_col else []
     b = F.col(bound_col) if bound_col else F.lit(int(bound_ms))
-    wcol = wm if (wm and not bound_col) else None
+    wcol = wm if (wm and not bound_col and wm in ann.columns) else None
     src = ann if wcol else ann.withColumn("_wm", F.col("m_vis") - b)
     res = materialize(window_aggregate(src, ts_ms, keys, aggs, size, slide, wcol or "_wm", lat,
                                        extra_group=keep))
