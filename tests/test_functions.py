@@ -50,3 +50,14 @@ def test_quantile_and_histogram(spark):
     h = {r.bin: r.n for r in histogram(df, "v", 100).collect()}
     counts, _ = np.histogram(vals, bins=100)
     assert [h.get(i, 0) for i in range(100)] == list(counts)
+
+
+def test_trips_from_microsecond_longs_and_truncation(spark):
+    from tardy.sources.trips import NYC_COLUMNS, trips_from
+    df = spark.createDataFrame([(1706742000123999, 1706742600000000, 2, 2.99, -7.5)],
+                               "tpep_pickup_datetime long, tpep_dropoff_datetime long, VendorID long, "
+                               "tip_amount double, total_amount double")
+    r = trips_from(df, NYC_COLUMNS, truncate_values=True).first()
+    assert (r.taxi_id, r.start_ms, r.tip, r.total_fare) == ("2", 1706742000123, 2.0, -7.0)
+    r = trips_from(df, NYC_COLUMNS).first()
+    assert (r.tip, r.total_fare, r.ride_id) == (2.99, -7.5, None)
