@@ -119,6 +119,10 @@ def n_windows_per_row(size_ms: int, slide_ms: int | None = None) -> int:
     return math.ceil(int(size_ms) / int(slide_ms or size_ms))
 
 
+def _quote(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
 # Above this many aligned window ends in the data's event-time span, firing
 # values are found by lookup instead of listing the ends a watermark step
 # passes (a far-future outlier with a small slide would list billions).
@@ -158,40 +162,41 @@ def one_pass_result(ann: DataFrame, ts_ms: str, keys: list[str], aggs: list[Colu
         fire_mode = "list" if span // slide + k <= MAX_LISTED_ENDS else "lookup"
     if fire_mode == "lookup":
         return _lookup_result(ann, ts_ms, keys, aggs, size, slide, bound_ms, bound_col, wm, lat)
-    b = F.col(bound_col) if bound_col else F.lit(int(bound_ms))
-    w = F.col(wm) if (wm and not bound_col and wm in ann.columns) else F.col("m_vis") - b
-    t = F.col(ts_ms)
-    base = latest_start(t, slide)
-    keys_ok = F.lit(True)
-    for c in keys:
-        keys_ok = keys_ok & F.col(c).isNotNull()
+    # The per-row expressions are SQL text: one parse each instead of hundreds
+    # of Column round trips while the plan is built (same expressions).
+    q = _quote
+    bnd = q(bound_col) if bound_col else str(int(bound_ms))
+    w = q(wm) if (wm and not bound_col and wm in ann.columns) else f"({q('m_vis')} - {bnd})"
+    t = q(ts_ms)
+    keys_ok = " AND ".join([f"{q(c)} IS NOT NULL" for c in keys] or ["true"])
     pair_ws = []
     for j in range(k):
-        ws = base - F.lit(j * slide)
-        ok = t.isNotNull() & keys_ok & (t < ws + F.lit(size)) & ~closed_expr(ws + F.lit(size), w, lat)
-        pair_ws.append(F.when(ok, ws))
-    t_min = F.col("t_min_ms") if "t_min_ms" in ann.columns else ann.select(F.min(ts_ms)).scalar()
-    w0 = F.col("m_vis") - b
-    w1 = F.col("m_after") - b
-    is_step = F.col("m_after").isNotNull() & (F.col("m_vis").isNull() | (F.col("m_after") > F.col("m_vis")))
-    lo = F.coalesce(w0 + F.lit(1), t_min)
-    hi = w1 + F.lit(1)
-    e1 = lo + F.lit(1) + F.pmod(F.lit(size) - (lo + F.lit(1)), F.lit(slide))
-    ends = F.when(is_step & (e1 <= hi), F.sequence(e1, hi, F.lit(slide).cast("long")))
-    arr = F.concat(F.array(*pair_ws).cast("array<bigint>"),
-                   F.coalesce(ends, F.array().cast("array<bigint>")))
+        ws = f"(({t} - pmod({t}, {slide})) - {j * slide})"
+        closed = f"coalesce({ws} + {size} - 1 + {lat} <= {w}, false)"
+        pair_ws.append(f"CASE WHEN {t} IS NOT NULL AND {keys_ok} AND {t} < {ws} + {size} AND NOT {closed} "
+                       f"THEN {ws} END")
+    if "t_min_ms" in ann.columns:
+        t_min = q("t_min_ms")
+    else:
+        t_min = str(ann.agg(F.min(ts_ms)).first()[0] or 0)
+    is_step = f"({q('m_after')} IS NOT NULL AND ({q('m_vis')} IS NULL OR {q('m_after')} > {q('m_vis')}))"
+    lo = f"coalesce({q('m_vis')} - {bnd} + 1, {t_min})"
+    hi = f"({q('m_after')} - {bnd} + 1)"
+    e1 = f"({lo} + 1 + pmod({size} - ({lo} + 1), {slide}))"
+    ends = f"CASE WHEN {is_step} AND {e1} <= {hi} THEN sequence({e1}, {hi}, CAST({slide} AS BIGINT)) END"
+    arr = (f"concat(CAST(array({', '.join(pair_ws)}) AS array<bigint>), "
+           f"coalesce({ends}, CAST(array() AS array<bigint>)))")
     keep = [bound_col] if bound_col else []
-    x = (ann.select(*keep, *keys, *value_cols, F.col("m_after"), F.posexplode(arr).alias("_pos", "_v"))
+    x = (ann.select(*keep, *keys, *value_cols, F.col("m_after"), F.posexplode(F.expr(arr)).alias("_pos", "_v"))
          .where(F.col("_v").isNotNull()))
-    is_pair = F.col("_pos") < F.lit(k)
-    x = x.select(
-        *keep,
-        F.when(is_pair, F.col("_v")).otherwise(F.col("_v") - F.lit(size)).alias("window_start_ms"),
-        F.when(is_pair, F.col("_v") + F.lit(size)).otherwise(F.col("_v")).alias("window_end_ms"),
-        *[F.when(is_pair, F.col(c)).alias(c) for c in keys],
-        *[F.when(is_pair, F.col(c)).alias(c) for c in value_cols],
-        F.when(~is_pair, F.col("m_after")).alias("_fire"),
-        F.when(is_pair, F.lit(1)).alias("_pair"))
+    pair = f"_pos < {k}"
+    x = x.selectExpr(
+        *[q(c) for c in keep],
+        f"CASE WHEN {pair} THEN _v ELSE _v - {size} END AS window_start_ms",
+        f"CASE WHEN {pair} THEN _v + {size} ELSE _v END AS window_end_ms",
+        *[f"CASE WHEN {pair} THEN {q(c)} END AS {q(c)}" for c in [*keys, *value_cols]],
+        f"CASE WHEN NOT ({pair}) THEN m_after END AS _fire",
+        f"CASE WHEN {pair} THEN 1 END AS _pair")
     g = x.groupBy(*keep, "window_start_ms", "window_end_ms", *keys).agg(
         *aggs, F.min("_fire").alias("_fire"), F.count("_pair").alias("_npairs"))
     # Hand each end's firing value to its (window, key) rows.  Partitioning by
