@@ -123,7 +123,7 @@ def scored_windows(ann: DataFrame, ts_ms: str, keys: list[str], size_ms: int, sl
     """
     from pyspark.sql import Window
 
-    from tardy.operators.late import MAX_LISTED_ENDS, closed_expr, latest_start
+    from tardy.operators.late import MAX_LISTED_ENDS, _quote
 
     size = int(size_ms)
     slide = int(slide_ms or size_ms)
@@ -136,44 +136,46 @@ def scored_windows(ann: DataFrame, ts_ms: str, keys: list[str], size_ms: int, sl
     if fire_mode == "lookup":
         return _scored_two_pass(ann, ts_ms, keys, size, slide, bound_ms, bound_col, est_col, truth_col,
                                 allowed_lateness_ms, late_counts)
+    # per-row expressions as SQL text (see late.one_pass_result)
+    q = _quote
+    lat = int(allowed_lateness_ms)
     keep = [bound_col] if bound_col else []
-    b = F.col(bound_col) if bound_col else F.lit(int(bound_ms))
-    w = F.col("m_vis") - b
-    t = F.col(ts_ms)
-    keys_ok = F.lit(True)
-    for c in keys:
-        keys_ok = keys_ok & F.col(c).isNotNull()
-    base = latest_start(t, slide)
-    wins = [F.when(t.isNotNull() & keys_ok & (t < base - F.lit(j * slide) + F.lit(size)), base - F.lit(j * slide))
-            for j in range(k)]
-    late_row = t.isNotNull() & (t < base + F.lit(size)) & closed_expr(base + F.lit(size), w, allowed_lateness_ms)
-    marker = [F.when(late_row, F.lit(0).cast("long"))] if late_counts else []
-    t_min = F.col("t_min_ms") if "t_min_ms" in ann.columns else ann.select(F.min(ts_ms)).scalar()
-    is_step = F.col("m_after").isNotNull() & (F.col("m_vis").isNull() | (F.col("m_after") > F.col("m_vis")))
-    lo = F.coalesce(w + F.lit(1), t_min)
-    hi = F.col("m_after") - b + F.lit(1)
-    e1 = lo + F.lit(1) + F.pmod(F.lit(size) - (lo + F.lit(1)), F.lit(slide))
-    ends = F.when(is_step & (e1 <= hi), F.sequence(e1, hi, F.lit(slide).cast("long")))
-    arr = F.concat(F.array(*wins, *marker).cast("array<bigint>"), F.coalesce(ends, F.array().cast("array<bigint>")))
+    bnd = q(bound_col) if bound_col else str(int(bound_ms))
+    w = f"({q('m_vis')} - {bnd})"
+    t = q(ts_ms)
+    keys_ok = " AND ".join([f"{q(c)} IS NOT NULL" for c in keys] or ["true"])
+    base = f"({t} - pmod({t}, {slide}))"
+    wins = [f"CASE WHEN {t} IS NOT NULL AND {keys_ok} AND {t} < {base} - {j * slide} + {size} "
+            f"THEN {base} - {j * slide} END" for j in range(k)]
+    late_row = (f"{t} IS NOT NULL AND {t} < {base} + {size} "
+                f"AND coalesce({base} + {size} - 1 + {lat} <= {w}, false)")
+    marker = [f"CASE WHEN {late_row} THEN CAST(0 AS BIGINT) END"] if late_counts else []
+    t_min = q("t_min_ms") if "t_min_ms" in ann.columns else str(ann.agg(F.min(ts_ms)).first()[0] or 0)
+    is_step = f"({q('m_after')} IS NOT NULL AND ({q('m_vis')} IS NULL OR {q('m_after')} > {q('m_vis')}))"
+    lo = f"coalesce({w} + 1, {t_min})"
+    hi = f"({q('m_after')} - {bnd} + 1)"
+    e1 = f"({lo} + 1 + pmod({size} - ({lo} + 1), {slide}))"
+    ends = f"CASE WHEN {is_step} AND {e1} <= {hi} THEN sequence({e1}, {hi}, CAST({slide} AS BIGINT)) END"
+    arr = (f"concat(CAST(array({', '.join(wins + marker)}) AS array<bigint>), "
+           f"coalesce({ends}, CAST(array() AS array<bigint>)))")
     x = (ann.select(*keep, *keys, est_col, truth_col, "m_vis", "m_after",
-                    F.posexplode(arr).alias("_pos", "_v"))
+                    F.posexplode(F.expr(arr)).alias("_pos", "_v"))
          .where(F.col("_v").isNotNull()))
-    wm_x = F.col("m_vis") - (F.col(bound_col) if bound_col else F.lit(int(bound_ms)))
-    is_pair = F.col("_pos") < F.lit(k)
-    is_marker = F.col("_pos") == F.lit(k) if late_counts else F.lit(False)
-    is_fire = F.col("_pos") >= F.lit(k + (1 if late_counts else 0))
-    open_ = is_pair & ~closed_expr(F.col("_v") + F.lit(size), wm_x, allowed_lateness_ms)
-    x = x.select(
-        *keep,
-        F.when(is_pair, F.col("_v")).when(is_fire, F.col("_v") - F.lit(size)).alias("window_start_ms"),
-        F.when(is_pair, F.col("_v") + F.lit(size)).when(is_fire, F.col("_v")).alias("window_end_ms"),
-        *[F.when(is_pair, F.col(c)).alias(c) for c in keys],
-        F.when(is_pair, _dec(truth_col)).alias("_truth"),
-        F.when(open_, F.col(est_col)).alias("_est"),
-        F.when(is_pair, F.lit(1)).alias("_tp"),
-        F.when(open_, F.lit(1)).alias("_op"),
-        F.when(is_fire, F.col("m_after")).alias("_fire"),
-        F.when(is_marker, F.lit(1)).alias("_late"))
+    pair = f"_pos < {k}"
+    fire = f"_pos >= {k + (1 if late_counts else 0)}"
+    marker_pos = f"_pos = {k}" if late_counts else "false"
+    open_ = f"({pair} AND NOT coalesce(_v + {size} - 1 + {lat} <= {w}, false))"
+    x = x.selectExpr(
+        *[q(c) for c in keep],
+        f"CASE WHEN {pair} THEN _v WHEN {fire} THEN _v - {size} END AS window_start_ms",
+        f"CASE WHEN {pair} THEN _v + {size} WHEN {fire} THEN _v END AS window_end_ms",
+        *[f"CASE WHEN {pair} THEN {q(c)} END AS {q(c)}" for c in keys],
+        f"CASE WHEN {pair} THEN CAST({q(truth_col)} AS {DEC}) END AS _truth",
+        f"CASE WHEN {open_} THEN {q(est_col)} END AS _est",
+        f"CASE WHEN {pair} THEN 1 END AS _tp",
+        f"CASE WHEN {open_} THEN 1 END AS _op",
+        f"CASE WHEN {fire} THEN m_after END AS _fire",
+        f"CASE WHEN {marker_pos} THEN 1 END AS _late")
     g = x.groupBy(*keep, "window_start_ms", "window_end_ms", *keys).agg(
         F.sum("_truth").alias("_truth"), F.sum("_est").alias("_est"), F.count("_tp").alias("_ntruth"),
         F.count("_op").alias("_nopen"), F.min("_fire").alias("_fire"), F.count("_late").alias("_nlate"))
