@@ -39,6 +39,9 @@ def annotate_watermark(df: DataFrame, ts_ms: str, order_by: list[str],
     lane's max.  Default: nothing arrived before."""
     if emit_every < 1 or lanes < 1:
         raise ValueError("emit_every and lanes must be >= 1")
+    if dict(df.dtypes).get(ts_ms) not in ("bigint", "int"):
+        raise ValueError(f"event time {ts_ms!r} must be integral epoch ms (functions.to_epoch_ms converts "
+                         "timestamps)")
     if emit_every == 1 and lanes == 1:
         out = prefix_max(df, ts_ms, order_by, n_blocks=n_blocks, seq="seq",
                          exclusive="m_vis", inclusive="max_seen_ms", global_min="t_min_ms")

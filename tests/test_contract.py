@@ -90,3 +90,9 @@ def test_allowed_lateness_keeps_row_open(spark):
     assert late == [2]
     got, late = result(spark, rows, spec=WindowSpec(HOUR_MS, None, allowed_lateness_ms=10 * MINUTE_MS))
     assert late == [] and got[(hm(0, 0), "a")][0] == 2.0
+
+
+def test_event_time_must_be_epoch_ms(spark):
+    df = spark.createDataFrame([(0, 1.5)], "seq long, start_ms double")
+    with pytest.raises(ValueError):
+        annotate_watermark(df, "start_ms", ["seq"], 0)
