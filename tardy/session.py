@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -35,13 +36,21 @@ def get_session(master: str = "local[8]", shuffle_partitions: int = 8,
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Shared checkpoint folder named by the cluster; a temp one only if unset."""
+    """Shared checkpoint folder named by the cluster.
+
+    Only a local session (one machine) without the setting gets a folder of
+    its own; on a cluster the folder must be named, since executors would not
+    see each other's files in a machine's temporary folder.
+    """
     d = spark.sparkContext.getCheckpointDir()
     if d:
         return d
     conf = spark.conf.get("spark.checkpoint.dir", None)
     if not conf:
-        conf = tempfile.mkdtemp(prefix="tardy-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        conf = tempfile.mkdtemp(prefix="tardy-ckpt-")
     spark.sparkContext.setCheckpointDir(conf)
     return spark.sparkContext.getCheckpointDir() or conf
 
@@ -71,3 +80,24 @@ def scratch_path(spark, kind: str) -> str:
     hpath = jvm.org.apache.hadoop.fs.Path(path)
     hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hpath)
     return path
+
+
+_SHIPPED = "TARDY_SHIPPED"
+
+
+def ship_package(spark) -> None:
+    """Send this package's modules to the executors, once per application, so
+    that Python tasks can import them wherever the driver was started."""
+    sc = spark.sparkContext
+    if sc.environment.get(_SHIPPED):
+        return
+    here = os.path.dirname(os.path.abspath(__file__))
+    path = os.path.join(tempfile.mkdtemp(prefix="tardy-code-"), "tardy_modules.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for folder, _, names in os.walk(here):
+            for n in sorted(names):
+                if n.endswith(".py"):
+                    full = os.path.join(folder, n)
+                    z.write(full, os.path.join("tardy", os.path.relpath(full, here)))
+    sc.addPyFile(path)
+    sc.environment[_SHIPPED] = "1"
