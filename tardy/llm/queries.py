@@ -6,8 +6,17 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tardy.llm import chat, licenses
+from tardy.llm.decontaminate import contamination
+from tardy.llm.html_text import extract_text
+from tardy.llm.langid import held_out, predict_language, train_language
+from tardy.llm.licenses import scan_licenses
 from tardy.llm.near_dedup import near_duplicates
+from tardy.llm.quality import fit_quality, score_quality
+from tardy.llm.urls import filter_urls
+from tardy.llm.weighted_sampling import fingerprint_edits
 from tardy.session import ship_package
 
 #: rows that a Python task holds at once
@@ -30,8 +39,72 @@ def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
 
+def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    both = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-7, 0, "user", both), (-7, 1, "assistant", both)], "conv_id long, turn long, role string, text string")
+    made = chat.format_chats(rows.unionByName(extra).select("conv_id", "turn", "role", chat.text_part(F.col("text")).alias("parts")))
+    read = made.select("conv_id", "formatted", chat.read_turns(F.col("formatted")).alias("turns"), chat.read_loss(F.col("formatted"), F.col("loss")).alias("learnt"))
+    turns = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return read.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(turns.cast("binary"), 256).alias("turns_sha256"),
+                       F.length("learnt").cast("long").alias("loss_chars"), F.sha2(F.col("learnt").cast("binary"), 256).alias("loss_sha256"),
+                       F.length("formatted").cast("long").alias("formatted_chars"))
+
+
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    out = extract_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return out.withColumn("n_chars", F.length("text").cast("long"))
+
+
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint_edits(table(spark, sf_dir, "documents"))
+
+
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+                        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan_licenses(table(spark, sf_dir, "documents"))
+    return found.withColumn("licenses", F.array_join("licenses", ","))
+
+
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return filter_urls(table(spark, sf_dir, "pages").select("page_id", "url")).select("page_id", "host", "path", "rule", "verdict", "score")
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    return predict_language(docs, train_language(docs)).select("doc_id", held_out("doc_id", 4, 2).alias("held_out"), "lang_pred", "score")
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").where(~held_out("doc_id", 5, 0))
+    return (score_quality(docs, fit_quality(docs, labels)).select("doc_id", held_out("doc_id", 5, 0).alias("held_out"), "score")
+            .withColumn("predicted", (F.col("score") >= 0.3).cast("int")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_dedup": op1_near_dedup,
+    "op3_chat_format": op3_chat_format,
+    "op4_html_text": op4_html_text,
+    "op5_fingerprints": op5_fingerprints,
+    "op6_decontamination": op6_decontamination,
+    "op7_license_scan": op7_license_scan,
+    "op8_url_filter": op8_url_filter,
+    "op9_language_id": op9_language_id,
+    "op10_quality": op10_quality,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op3_chat_format": chat.oracle_sql(),
+    "op7_license_scan": licenses.oracle(),
+}
