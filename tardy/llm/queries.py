@@ -14,6 +14,7 @@ from tardy.llm.html_text import extract_text
 from tardy.llm.langid import held_out, predict_language, train_language
 from tardy.llm.licenses import scan_licenses
 from tardy.llm.near_dedup import near_duplicates
+from tardy.llm.piece_sampling import decode_pieces, sample_pieces
 from tardy.llm.quality import fit_quality, score_quality
 from tardy.llm.urls import filter_urls
 from tardy.llm.weighted_sampling import fingerprint_edits
@@ -39,6 +40,14 @@ def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
 
+def op2_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    back = decode_pieces(sample_pieces(docs.withColumn("_sha", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256))), text_out="_back")
+    return back.select("doc_id", "sample", "n_ids", F.sha2(F.array_join("ids", " ").cast("binary"), 256).alias("ids_sha256"), "log_prob", "log_inclusion",
+                       (F.sha2(F.col("_back").cast("binary"), 256) == F.col("_sha")).alias("round_trip"))
+
+
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     both = "</s>[INST] ok [/INST]"
@@ -94,6 +103,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_dedup": op1_near_dedup,
+    "op2_piece_sampling": op2_piece_sampling,
     "op3_chat_format": op3_chat_format,
     "op4_html_text": op4_html_text,
     "op5_fingerprints": op5_fingerprints,

@@ -1,12 +1,16 @@
 """Document fingerprints by consistent weighted sampling, in DataFrame functions.
 
 A text is the weighted set of its word pairs (weight: how often each occurs).
-For sample j every pair k has, by hash alone, gamma variates r and c (shape 2)
-and a uniform b; with t = floor(ln(weight) / r + b) and ln y = r (t - b) it
-offers ln a = ln c - ln y - r.  The pair with the least offer is the sample,
-and two texts agree on a sample with probability sum(min) / sum(max) of their
-weights, the generalised Jaccard similarity.  The least offer itself stands
-for (pair, t): equal offers come from equal pairs and levels.
+Pairs are dealt by hash into ``BINS`` bins, and every bin is sampled ``DRAWS``
+times.  For a draw every pair k has, by hash alone, gamma variates r and c
+(shape 2) and a uniform b; with t = floor(ln(weight) / r + b) and
+ln y = r (t - b) it offers ln a = ln c - ln y - r.  The pair of the bin with the
+least offer is the sample, and two texts agree on it with probability
+sum(min) / sum(max) of their weights in the bin, the generalised Jaccard
+similarity.  The least offer itself stands for (pair, t): equal offers come
+from equal pairs and levels.  The likeness of two texts is the share of agreeing
+samples among those that either text has; the bins make one evaluation of a
+pair serve its own bin only, so its cost does not follow the signature's size.
 
 Gamma variates are looked up by hash bits in tables of quantiles, so an offer
 costs one hash, two look-ups and a little arithmetic inside generated code.
@@ -22,7 +26,8 @@ from pyspark.sql import functions as F
 
 from tardy.session import materialize
 
-SAMPLES = 24
+BIN_BITS = 4
+BINS, DRAWS = 1 << BIN_BITS, 2
 #: characters of text in one bucket of neighbouring documents
 BUCKET_CHARS = 4_000_000
 _R_BITS, _C_BITS, _B_BITS = 10, 12, 30
@@ -49,35 +54,39 @@ def word_pairs(text: Column) -> Column:
     return F.arrays_zip(F.concat(F.array(F.lit("")), w).alias("l"), F.concat(w, F.array(F.lit(""))).alias("r"))
 
 
-def samples(texts: DataFrame, keys: list[str], text: str, m: int) -> DataFrame:
-    """(keys, sig): the m least offers of each text.  Needs no shuffle if
-    ``texts`` is partitioned by one of the keys."""
+def samples(texts: DataFrame, keys: list[str], text: str) -> DataFrame:
+    """(keys, sig): the least offer of each bin and draw, null in empty bins.
+    Needs no shuffle if ``texts`` is partitioned by one of the keys."""
     pair = texts.select(*keys, F.explode(word_pairs(F.col(text))).alias("p"))
     weight = pair.select(*keys, F.xxhash64("p").alias("k")).groupBy(*keys, "k").agg(F.count(F.lit(1)).alias("n"))
     r_table = F.lit(np.array(gamma2_quantiles(1 << _R_BITS)))
     c_table = F.lit(np.log(gamma2_quantiles(1 << _C_BITS)))
-    hashed = weight.select(*keys, F.log(F.col("n").cast("double")).alias("w"), *[F.xxhash64("k", F.lit(j)).alias(f"h{j}") for j in range(m)])
 
     def bits(h, shift, n):
         return F.shiftrightunsigned(h, shift).bitwiseAND(F.lit((1 << n) - 1))
 
-    drawn = hashed.select(*keys, "w", *[c for j in range(m) for c in (
+    draws = range(DRAWS)
+    hashed = weight.select(*keys, F.shiftrightunsigned("k", 64 - BIN_BITS).cast("int").alias("bin"), F.log(F.col("n").cast("double")).alias("w"),
+                           *[F.xxhash64("k", F.lit(j)).alias(f"h{j}") for j in draws])
+    drawn = hashed.select(*keys, "bin", "w", *[c for j in draws for c in (
         F.get(r_table, bits(F.col(f"h{j}"), 0, _R_BITS).cast("int")).alias(f"r{j}"),
         F.get(c_table, bits(F.col(f"h{j}"), _R_BITS, _C_BITS).cast("int")).alias(f"c{j}"),
-        (bits(F.col(f"h{j}"), _R_BITS + _C_BITS, _B_BITS) / F.lit(float(1 << _B_BITS))).alias(f"b{j}"))])
-    offers = drawn.select(*keys, *[
-        (F.col(f"c{j}") - F.col(f"r{j}") * (F.floor(F.col("w") / F.col(f"r{j}") + F.col(f"b{j}")) - F.col(f"b{j}") + 1)).alias(f"a{j}")
-        for j in range(m)])
-    least = offers.groupBy(*keys).agg(*[F.min(f"a{j}").alias(f"a{j}") for j in range(m)])
-    return least.select(*keys, F.array(*[f"a{j}" for j in range(m)]).alias("sig"))
+        (bits(F.col(f"h{j}"), _R_BITS + _C_BITS, _B_BITS) * F.lit(2.0 ** -_B_BITS)).alias(f"b{j}"))])
+    offers = drawn.select(*keys, "bin", *[
+        (F.col(f"c{j}") - F.col(f"r{j}") * (F.floor(F.col("w") / F.col(f"r{j}") + F.col(f"b{j}")) - F.col(f"b{j}") + 1)).alias(f"a{j}") for j in draws])
+    least = offers.groupBy(*keys, "bin").agg(*[F.min(f"a{j}").alias(f"a{j}") for j in draws])
+    wide = least.groupBy(*keys).agg(*[F.max(F.when(F.col("bin") == b, F.col(f"a{j}"))).alias(f"s{b}_{j}") for b in range(BINS) for j in draws])
+    return wide.select(*keys, F.array(*[f"s{b}_{j}" for b in range(BINS) for j in draws]).alias("sig"))
 
 
-def likeness(a: str, b: str, m: int) -> Column:
-    """Share of samples on which two signatures agree."""
-    same = F.lit(0)
-    for j in range(m):
-        same = same + (F.get(a, F.lit(j)) == F.get(b, F.lit(j))).cast("int")
-    return same / F.lit(float(m))
+def likeness(a: str, b: str) -> Column:
+    """Share of samples on which two signatures agree, of those either has."""
+    same = either = F.lit(0)
+    for j in range(BINS * DRAWS):
+        x, y = F.get(a, F.lit(j)), F.get(b, F.lit(j))
+        same = same + F.coalesce((x == y).cast("int"), F.lit(0))
+        either = either + (x.isNotNull() | y.isNotNull()).cast("int")
+    return same / F.greatest(either, F.lit(1)).cast("double")
 
 
 def digest(sig: str) -> Column:
@@ -113,7 +122,7 @@ def _neighbour_buckets(rows: DataFrame) -> DataFrame:
     return out
 
 
-def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", m: int = SAMPLES) -> DataFrame:
+def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Fingerprints of every text and of its edited text.
 
     Returns ``id_col, n_chars, edited_sha256, fingerprint, edited_fingerprint,
@@ -138,7 +147,7 @@ def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     every = Window.orderBy("_bucket")                         # one row for each bucket, numbers only
     chain = heads.select(F.col("_bucket").alias("_from"), F.coalesce(
         F.lag("_bucket").over(every), F.max("_bucket").over(every.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("_to"))
-    head_sig = samples(heads, ["_bucket"], "_head", m).withColumnRenamed("sig", "_head_sig")
+    head_sig = samples(heads, ["_bucket"], "_head").withColumnRenamed("sig", "_head_sig")
     ends = materialize(heads.join(head_sig, "_bucket").join(chain, F.col("_bucket") == F.col("_from"))
                        .select(F.col("_to").alias("_bucket"), "_head", "_head_sig"))
     lead = (placed.repartition("_bucket").withColumn("_rn", F.row_number().over(order)).withColumn("_next", F.lead("_text").over(order)))
@@ -150,7 +159,7 @@ def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
                          n.cast("long").alias("n_chars"), edited.alias("_edited"))
     both = base.select("_bucket", "_rn", F.explode(F.array(
         F.struct(F.lit(0).alias("v"), F.col("_text").alias("t")), F.struct(F.lit(1).alias("v"), F.col("_edited").alias("t")))).alias("x"))
-    sig = samples(both.select("_bucket", "_rn", F.col("x.v").alias("_v"), F.col("x.t").alias("_t")), ["_bucket", "_rn", "_v"], "_t", m)
+    sig = samples(both.select("_bucket", "_rn", F.col("x.v").alias("_v"), F.col("x.t").alias("_t")), ["_bucket", "_rn", "_v"], "_t")
     sigs = sig.groupBy("_bucket", "_rn").agg(F.max(F.when(F.col("_v") == 0, F.col("sig"))).alias("s0"), F.max(F.when(F.col("_v") == 1, F.col("sig"))).alias("s1"))
     sigs = sigs.withColumn("s2", F.lead("s0").over(Window.partitionBy("_bucket").orderBy("_rn")))
     facts = base.select("_bucket", "_rn", "_id", "n_chars", F.sha2(F.col("_edited").cast("binary"), 256).alias("edited_sha256"))
@@ -158,4 +167,4 @@ def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
            .join(ends.select(F.col("_bucket").alias("_b"), "_head_sig"), (F.col("_bucket") == F.col("_b")) & F.col("s2").isNull(), "left")
            .withColumn("s2", F.coalesce("s2", "_head_sig")))
     return out.select(F.col("_id").alias(id_col), "n_chars", "edited_sha256", digest("s0").alias("fingerprint"), digest("s1").alias("edited_fingerprint"),
-                      likeness("s0", "s1", m).alias("near_edited"), likeness("s0", "s2", m).alias("near_next"))
+                      likeness("s0", "s1").alias("near_edited"), likeness("s0", "s2").alias("near_next"))
