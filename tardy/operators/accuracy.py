@@ -107,8 +107,7 @@ def average_delay(result: DataFrame, include_flushed: bool = False, group: list[
 
 def scored_windows(ann: DataFrame, ts_ms: str, keys: list[str], size_ms: int, slide_ms: int | None = None,
                    bound_ms: int | None = None, bound_col: str | None = None, est_col: str = "tip",
-                   truth_col: str = "tip_raw", allowed_lateness_ms: int = 0, late_counts: bool = False,
-                   fire_salts: int = 16, fire_mode: str = "auto") -> DataFrame:
+                   truth_col: str = "tip_raw", allowed_lateness_ms: int = 0, late_counts: bool = False) -> DataFrame:
     """Exact answer, replayed estimate and firing delay from one pass.
 
     Every (row, window) pair adds its ``truth_col`` to the exact sum; pairs
@@ -116,26 +115,14 @@ def scored_windows(ann: DataFrame, ts_ms: str, keys: list[str], size_ms: int, sl
     ``[bound,] window_start_ms, keys, true_tip, est_tip, in_truth, in_result,
     delay_ms, flushed`` -- the aligned table, without a join.  With
     ``late_counts`` one extra row per bound has null window/keys and
-    ``late_rows`` set.  Firing is listed per watermark step (see
-    ``late.one_pass_result``); when the event-time span is too long to list
-    (``fire_mode='auto'``), the same table is built from the exact two-pass
-    pieces instead (lookup firing, ground truth, outer join).
+    ``late_rows`` set.  Firing as in ``late.one_pass_result``.
     """
-    from pyspark.sql import Window
-
-    from tardy.operators.late import MAX_LISTED_ENDS, _quote
+    from tardy.operators.late import _quote, firing, step_end_sql
+    from tardy.session import materialize
 
     size = int(size_ms)
     slide = int(slide_ms or size_ms)
     k = -(-size // slide)
-    if fire_mode == "auto":
-        meta = ann.schema["t_min_ms"].metadata if "t_min_ms" in ann.columns else {}
-        span = meta["span"] if "span" in meta else (
-            ann.agg((F.max(ts_ms) - F.min(ts_ms)).alias("s")).first()["s"] or 0)
-        fire_mode = "list" if span // slide + k <= MAX_LISTED_ENDS else "lookup"
-    if fire_mode == "lookup":
-        return _scored_two_pass(ann, ts_ms, keys, size, slide, bound_ms, bound_col, est_col, truth_col,
-                                allowed_lateness_ms, late_counts)
     # per-row expressions as SQL text (see late.one_pass_result)
     q = _quote
     lat = int(allowed_lateness_ms)
@@ -149,53 +136,39 @@ def scored_windows(ann: DataFrame, ts_ms: str, keys: list[str], size_ms: int, sl
             f"THEN {base} - {j * slide} END" for j in range(k)]
     late_row = (f"{t} IS NOT NULL AND {t} < {base} + {size} "
                 f"AND coalesce({base} + {size} - 1 + {lat} <= {w}, false)")
-    marker = [f"CASE WHEN {late_row} THEN CAST(0 AS BIGINT) END"] if late_counts else []
-    t_min = q("t_min_ms") if "t_min_ms" in ann.columns else str(ann.agg(F.min(ts_ms)).first()[0] or 0)
-    is_step = f"({q('m_after')} IS NOT NULL AND ({q('m_vis')} IS NULL OR {q('m_after')} > {q('m_vis')}))"
-    lo = f"coalesce({w} + 1, {t_min})"
-    hi = f"({q('m_after')} - {bnd} + 1)"
-    e1 = f"({lo} + 1 + pmod({size} - ({lo} + 1), {slide}))"
-    ends = f"CASE WHEN {is_step} AND {e1} <= {hi} THEN sequence({e1}, {hi}, CAST({slide} AS BIGINT)) END"
-    arr = (f"concat(CAST(array({', '.join(wins + marker)}) AS array<bigint>), "
-           f"coalesce({ends}, CAST(array() AS array<bigint>)))")
+    marker = f"CASE WHEN {late_row} THEN CAST(0 AS BIGINT) END" if late_counts else "CAST(NULL AS BIGINT)"
+    arr = f"CAST(array({', '.join([*wins, marker, step_end_sql(bnd, size, slide)])}) AS array<bigint>)"
     x = (ann.select(*keep, *keys, est_col, truth_col, "m_vis", "m_after",
                     F.posexplode(F.expr(arr)).alias("_pos", "_v"))
          .where(F.col("_v").isNotNull()))
-    pair = f"_pos < {k}"
-    fire = f"_pos >= {k + (1 if late_counts else 0)}"
-    marker_pos = f"_pos = {k}" if late_counts else "false"
+    pair, late, step = f"_pos < {k}", f"_pos = {k}", f"_pos = {k + 1}"
     open_ = f"({pair} AND NOT coalesce(_v + {size} - 1 + {lat} <= {w}, false))"
     x = x.selectExpr(
         *[q(c) for c in keep],
-        f"CASE WHEN {pair} THEN _v WHEN {fire} THEN _v - {size} END AS window_start_ms",
-        f"CASE WHEN {pair} THEN _v + {size} WHEN {fire} THEN _v END AS window_end_ms",
+        f"CASE WHEN {pair} THEN 0 WHEN {late} THEN 1 ELSE 2 END AS _kind",
+        f"CASE WHEN {pair} THEN _v END AS window_start_ms",
+        f"CASE WHEN {pair} THEN _v + {size} WHEN {step} THEN _v END AS window_end_ms",
         *[f"CASE WHEN {pair} THEN {q(c)} END AS {q(c)}" for c in keys],
         f"CASE WHEN {pair} THEN CAST({q(truth_col)} AS {DEC}) END AS _truth",
         f"CASE WHEN {open_} THEN {q(est_col)} END AS _est",
-        f"CASE WHEN {pair} THEN 1 END AS _tp",
         f"CASE WHEN {open_} THEN 1 END AS _op",
-        f"CASE WHEN {fire} THEN m_after END AS _fire",
-        f"CASE WHEN {marker_pos} THEN 1 END AS _late")
-    g = x.groupBy(*keep, "window_start_ms", "window_end_ms", *keys).agg(
-        F.sum("_truth").alias("_truth"), F.sum("_est").alias("_est"), F.count("_tp").alias("_ntruth"),
-        F.count("_op").alias("_nopen"), F.min("_fire").alias("_fire"), F.count("_late").alias("_nlate"))
-    salt = F.pmod(F.xxhash64(*[F.col(c) for c in keys]), F.lit(fire_salts)) if keys else F.lit(0)
-    g = g.withColumn("_salt", F.explode(F.when(F.col("_fire").isNull(), F.array(salt))
-                                        .otherwise(F.sequence(F.lit(0), F.lit(fire_salts - 1)))))
-    spread = Window.partitionBy(*keep, "window_end_ms", "_salt")
-    g = g.withColumn("_fire_all", F.max("_fire").over(spread))
-    keep_rows = (F.col("_ntruth") > 0) | (F.col("_nlate") > 0)
+        f"CASE WHEN {step} THEN m_after END AS _fire",
+        f"CASE WHEN {late} THEN 1 END AS _late")
+    g = materialize(x.groupBy(*keep, "_kind", "window_start_ms", "window_end_ms", *keys).agg(
+        F.sum("_truth").alias("_truth"), F.sum("_est").alias("_est"), F.count("_op").alias("_nopen"),
+        F.min("_fire").alias("_fire"), F.count("_late").alias("_nlate")))
+    fires = firing(g.where("_kind <> 1"), "window_end_ms", "_fire", keep).withColumnRenamed("_fire", "_fire_all")
+    j = g.where("_kind < 2").drop("_fire").join(fires, [*keep, "window_end_ms"], "left")
     in_result = F.col("_nopen") > 0
-    out = g.where(keep_rows).select(
+    return j.select(
         *keep, "window_start_ms", *keys,
         F.coalesce(F.col("_truth"), F.lit(0).cast(DEC)).cast("double").alias("true_tip"),
         F.coalesce(F.col("_est"), F.lit(0.0)).alias("est_tip"),
-        (F.col("_ntruth") > 0).alias("in_truth"),
+        (F.col("_kind") == 0).alias("in_truth"),
         in_result.alias("in_result"),
         F.when(in_result, F.coalesce(F.col("_fire_all") - F.col("window_end_ms"), F.lit(-1))).cast("long").alias("delay_ms"),
         F.when(in_result, F.col("_fire_all").isNull()).alias("flushed"),
         *([F.col("_nlate").alias("late_rows")] if late_counts else []))
-    return out
 
 
 def scored_summary(scored: DataFrame, group: list[str] = (), tolerance: float = 0.01) -> DataFrame:
@@ -223,35 +196,3 @@ def scored_summary(scored: DataFrame, group: list[str] = (), tolerance: float =
         F.coalesce(F.sum(d).cast("double") / F.count(d) / F.lit(60000.0), F.lit(0.0)).alias("avg_delay_min"),
         F.count(d).alias("n_delay"),
         F.coalesce(F.sum("late_rows"), F.lit(0)).alias("late_rows"))
-
-
-def _scored_two_pass(ann, ts_ms, keys, size, slide, bound_ms, bound_col, est_col, truth_col, lat,
-                     late_counts) -> DataFrame:
-    """``scored_windows`` output from exact building blocks (no listing of ends)."""
-    from tardy.operators.late import late_flag, one_pass_result
-
-    keep = [bound_col] if bound_col else []
-    res = one_pass_result(ann, ts_ms, keys, [F.sum(est_col).alias("_est")], size, slide, bound_ms=bound_ms,
-                          bound_col=bound_col, wm=None, allowed_lateness_ms=lat, value_cols=[est_col],
-                          fire_mode="lookup")
-    ok = F.col(ts_ms).isNotNull()
-    for c in keys:
-        ok = ok & F.col(c).isNotNull()
-    truth = (assign_windows(ann.where(ok), ts_ms, size, slide)
-             .groupBy(*keep, "window_start_ms", *keys).agg(F.sum(_dec(truth_col)).alias("_truth")))
-    on = [*keep, "window_start_ms", *keys]
-    j = truth.join(res.select(*on, "_est", "delay_ms", "flushed", F.lit(True).alias("_r")), on, "full_outer")
-    out = j.select(*on,
-                   F.coalesce(F.col("_truth"), F.lit(0).cast(DEC)).cast("double").alias("true_tip"),
-                   F.coalesce(F.col("_est"), F.lit(0.0)).alias("est_tip"),
-                   F.col("_truth").isNotNull().alias("in_truth"),
-                   F.coalesce(F.col("_r"), F.lit(False)).alias("in_result"),
-                   "delay_ms", "flushed")
-    if not late_counts:
-        return out
-    b = F.col(bound_col) if bound_col else F.lit(int(bound_ms))
-    x = ann.withColumn("_wm", F.col("m_vis") - b)
-    late = x.groupBy(*keep).agg(F.count(F.when(late_flag(ts_ms, size, slide, "_wm", lat), 1)).alias("late_rows"))
-    nulls = [F.lit(None).cast(t).alias(c) for c, t in out.dtypes if c not in keep]
-    late = late.select(*keep, *nulls, "late_rows")
-    return out.withColumn("late_rows", F.lit(0).cast("long")).unionByName(late)

@@ -18,11 +18,12 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tardy.functions.columns import col_of
 from tardy.operators.windows import assign_windows, latest_start
+from tardy.session import materialize
 
 
 def closed_expr(window_end: Column, wm: Column, allowed_lateness_ms: int = 0) -> Column:
@@ -75,37 +76,6 @@ def window_aggregate(ann: DataFrame, ts_ms: str, keys: list[str], aggs: list[Col
     return pairs.groupBy(*extra_group, "window_start_ms", "window_end_ms", *keys).agg(*aggs)
 
 
-def fire_table(ann: DataFrame, ts_ms: str, bound_ms: int, size_ms: int,
-               slide_ms: int | None = None, bound_col: str | None = None) -> DataFrame:
-    """(window_end_ms, fire_max_ms[, bound]): when each window end fires.
-
-    Only rows where the watermark rises are kept.  A step from ``W0`` to
-    ``W1`` closes the aligned ends ``e`` with ``W0 < e - 1 <= W1``;
-    they are listed with ``sequence`` (each end appears once over all
-    steps, so the total is the number of window ends in the data's span).
-    Before the first watermark, the lower limit is the smallest event time.
-    With ``bound_col`` the table is built for many bounds at once.
-    """
-    size = int(size_ms)
-    slide = int(slide_ms or size_ms)
-    b = F.col(bound_col) if bound_col else F.lit(int(bound_ms))
-    t_min = F.col("t_min_ms") if "t_min_ms" in ann.columns else ann.select(F.min(ts_ms)).scalar()
-    steps = ann.where(F.col("m_after").isNotNull()
-                      & (F.col("m_vis").isNull() | (F.col("m_after") > F.col("m_vis"))))
-    w0 = F.col("m_vis") - b
-    w1 = F.col("m_after") - b
-    # ends e (e = S + k*L) with lo < e <= hi; allowed lateness delays the
-    # purge of a window, not its first firing, so it does not enter here
-    lo = F.coalesce(w0 + F.lit(1), t_min)
-    hi = w1 + F.lit(1)
-    first = lo + F.lit(1) + F.pmod(F.lit(size) - (lo + F.lit(1)), F.lit(slide))
-    keep = [bound_col] if bound_col else []
-    return (steps.select(*keep, F.col("m_after").alias("fire_max_ms"), first.alias("_e1"), hi.alias("_hi"))
-            .where(F.col("_e1") <= F.col("_hi"))
-            .select(*keep, "fire_max_ms",
-                    F.explode(F.sequence("_e1", "_hi", F.lit(slide).cast("long"))).alias("window_end_ms")))
-
-
 def attach_delay(result: DataFrame, fires: DataFrame, on: list[str] = ("window_end_ms",)) -> DataFrame:
     """Add ``delay_ms`` (``fire_max - end`` or -1) and ``flushed``."""
     on = list(on)
@@ -123,45 +93,52 @@ def _quote(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
-# Above this many aligned window ends in the data's event-time span, firing
-# values are found by lookup instead of listing the ends a watermark step
-# passes (a far-future outlier with a small slide would list billions).
-MAX_LISTED_ENDS = 20_000_000
+def step_end_sql(bound: str, size: int, slide: int) -> str:
+    """SQL text: the last aligned window end that a row's watermark step closes
+    (null if the watermark does not rise past an end)."""
+    hi = f"({_quote('m_after')} - {bound} + 1)"
+    end = f"({hi} - pmod({hi} - {size}, {slide}))"
+    rises = f"{_quote('m_after')} IS NOT NULL AND ({_quote('m_vis')} IS NULL OR {end} > {_quote('m_vis')} - {bound} + 1)"
+    return f"CASE WHEN {rises} THEN {end} END"
+
+
+def firing(table: DataFrame, end: str, fire: str, keep: list[str] = ()) -> DataFrame:
+    """(keep, end, fire): when each window end fires.
+
+    ``table`` holds window ends and, in rows with ``fire`` set, the last end
+    each watermark step closes.  Steps rise with the watermark, so an end fires
+    on the step with the smallest closed end that is not before it: a running
+    minimum over ends and steps in descending order, computed block by block.
+    Ends that no step reaches are left out.
+    """
+    from tardy.operators.order import prefix_max
+
+    keep = list(keep)
+    rows = table.groupBy(*keep, end, F.col(fire).isNotNull().alias("_step")).agg(F.min(fire).alias("_m"))
+    rows = rows.select(*keep, end, "_step", (-F.col("_m")).alias("_negm"), (-F.col(end)).alias("_down"),
+                       F.when(F.col("_step"), 0).otherwise(1).cast("long").alias("_after"))
+    best = prefix_max(rows, "_negm", ["_down", "_after"], by=keep, seq=None, exclusive=None, inclusive="_best")
+    return best.where(~F.col("_step") & F.col("_best").isNotNull()).select(*keep, end, (-F.col("_best")).alias(fire))
 
 
 def one_pass_result(ann: DataFrame, ts_ms: str, keys: list[str], aggs: list[Column],
                     size_ms: int, slide_ms: int | None = None, bound_ms: int | None = None,
                     bound_col: str | None = None, wm: str | None = "wm_ms",
-                    allowed_lateness_ms: int = 0, value_cols: list[str] = (),
-                    fire_salts: int = 16, fire_mode: str = "auto") -> DataFrame:
+                    allowed_lateness_ms: int = 0, value_cols: list[str] = ()) -> DataFrame:
     """Windowed aggregate plus firing delay from a single pass over ``ann``.
 
-    Every row emits, through one ``posexplode``, its open window starts
-    (positions ``< k``) and the window ends its watermark step closes
-    (positions ``>= k``).  One group-by then yields both the per (window, key)
-    aggregates and the firing value per end; the firing values reach the
-    aggregates through a window over the aggregated rows (partitioned by end
-    and a key salt), so the annotated table is computed once.  ``aggs`` may
-    only reference ``value_cols`` and ``keys``.
-
-    ``fire_mode``: ``list`` enumerates ends per watermark step (bounded by the
-    event-time span / slide); ``lookup`` finds each end's firing step without
-    enumerating (two passes); ``auto`` picks ``list`` up to
-    ``MAX_LISTED_ENDS`` ends in the span.
+    Every row emits its open window starts and, if its watermark step closes
+    window ends, the last of them; one group-by yields the per (window, key)
+    aggregates and the steps.  That small table is written once, and each
+    window end takes its firing value from the steps (:func:`firing`), so the
+    work does not depend on how far apart event times lie.  ``aggs`` may only
+    reference ``value_cols`` and ``keys``.  Rows with a null time or key are
+    left out; without keys there is one row for each window.
     """
     size = int(size_ms)
     slide = int(slide_ms or size_ms)
     k = math.ceil(size / slide)
     lat = int(allowed_lateness_ms)
-    if fire_mode == "auto":
-        meta = ann.schema["t_min_ms"].metadata if "t_min_ms" in ann.columns else {}
-        if "span" in meta:       # measured while the arrival order was blocked
-            span = meta["span"]
-        else:
-            span = ann.agg((F.max(ts_ms) - F.min(ts_ms)).alias("s")).first()["s"] or 0
-        fire_mode = "list" if span // slide + k <= MAX_LISTED_ENDS else "lookup"
-    if fire_mode == "lookup":
-        return _lookup_result(ann, ts_ms, keys, aggs, size, slide, bound_ms, bound_col, wm, lat)
     # The per-row expressions are SQL text: one parse each instead of hundreds
     # of Column round trips while the plan is built (same expressions).
     q = _quote
@@ -175,68 +152,19 @@ def one_pass_result(ann: DataFrame, ts_ms: str, keys: list[str], aggs: list[Colu
         closed = f"coalesce({ws} + {size} - 1 + {lat} <= {w}, false)"
         pair_ws.append(f"CASE WHEN {t} IS NOT NULL AND {keys_ok} AND {t} < {ws} + {size} AND NOT {closed} "
                        f"THEN {ws} END")
-    if "t_min_ms" in ann.columns:
-        t_min = q("t_min_ms")
-    else:
-        t_min = str(ann.agg(F.min(ts_ms)).first()[0] or 0)
-    is_step = f"({q('m_after')} IS NOT NULL AND ({q('m_vis')} IS NULL OR {q('m_after')} > {q('m_vis')}))"
-    lo = f"coalesce({q('m_vis')} - {bnd} + 1, {t_min})"
-    hi = f"({q('m_after')} - {bnd} + 1)"
-    e1 = f"({lo} + 1 + pmod({size} - ({lo} + 1), {slide}))"
-    ends = f"CASE WHEN {is_step} AND {e1} <= {hi} THEN sequence({e1}, {hi}, CAST({slide} AS BIGINT)) END"
-    arr = (f"concat(CAST(array({', '.join(pair_ws)}) AS array<bigint>), "
-           f"coalesce({ends}, CAST(array() AS array<bigint>)))")
+    arr = f"CAST(array({', '.join([*pair_ws, step_end_sql(bnd, size, slide)])}) AS array<bigint>)"
     keep = [bound_col] if bound_col else []
     x = (ann.select(*keep, *keys, *value_cols, F.col("m_after"), F.posexplode(F.expr(arr)).alias("_pos", "_v"))
          .where(F.col("_v").isNotNull()))
     pair = f"_pos < {k}"
     x = x.selectExpr(
         *[q(c) for c in keep],
+        f"{pair} AS _pair",
         f"CASE WHEN {pair} THEN _v ELSE _v - {size} END AS window_start_ms",
         f"CASE WHEN {pair} THEN _v + {size} ELSE _v END AS window_end_ms",
         *[f"CASE WHEN {pair} THEN {q(c)} END AS {q(c)}" for c in [*keys, *value_cols]],
-        f"CASE WHEN NOT ({pair}) THEN m_after END AS _fire",
-        f"CASE WHEN {pair} THEN 1 END AS _pair")
-    g = x.groupBy(*keep, "window_start_ms", "window_end_ms", *keys).agg(
-        *aggs, F.min("_fire").alias("_fire"), F.count("_pair").alias("_npairs"))
-    # Hand each end's firing value to its (window, key) rows.  Partitioning by
-    # (end, salt) with the single fire row copied to every salt keeps a window
-    # with very many keys from landing in one task.
-    salt = F.pmod(F.xxhash64(*[F.col(c) for c in keys]), F.lit(fire_salts)) if keys else F.lit(0)
-    g = g.withColumn("_salt", F.explode(F.when(F.col("_npairs") > 0, F.array(salt))
-                                        .otherwise(F.sequence(F.lit(0), F.lit(fire_salts - 1)))))
-    spread = Window.partitionBy(*keep, "window_end_ms", "_salt")
-    out = (g.withColumn("_fire_all", F.max("_fire").over(spread))
-           .where(F.col("_npairs") > 0)
-           .withColumn("flushed", F.col("_fire_all").isNull())
-           .withColumn("delay_ms", F.coalesce(F.col("_fire_all") - F.col("window_end_ms"), F.lit(-1)).cast("long")))
-    return out.drop("_fire", "_npairs", "_salt", "_fire_all")
-
-
-def _lookup_result(ann: DataFrame, ts_ms: str, keys: list[str], aggs: list[Column], size: int, slide: int,
-                   bound_ms, bound_col, wm, lat) -> DataFrame:
-    """Exact firing without listing ends: ``fire(e)`` is the smallest step max
-    ``M`` with ``M - B >= e - 1``, a successor lookup done as a block-wise
-    running min over steps and window ends ordered by key descending."""
-    from tardy.operators.order import prefix_max
-    from tardy.session import materialize
-
-    keep = [bound_col] if bound_col else []
-    b = F.col(bound_col) if bound_col else F.lit(int(bound_ms))
-    wcol = wm if (wm and not bound_col and wm in ann.columns) else None
-    src = ann if wcol else ann.withColumn("_wm", F.col("m_vis") - b)
-    res = materialize(window_aggregate(src, ts_ms, keys, aggs, size, slide, wcol or "_wm", lat,
-                                       extra_group=keep))
-    is_step = F.col("m_after").isNotNull() & (F.col("m_vis").isNull() | (F.col("m_after") > F.col("m_vis")))
-    steps = ann.where(is_step).select(*keep, (F.col("m_after") - b).alias("_key"),
-                                      F.col("m_after").alias("_m"), F.lit(1).alias("_kind"),
-                                      F.lit(None).cast("long").alias("window_end_ms"))
-    ends = res.select(*keep, "window_end_ms").distinct().select(
-        *keep, (F.col("window_end_ms") - 1).alias("_key"), F.lit(None).cast("long").alias("_m"),
-        F.lit(0).alias("_kind"), "window_end_ms")
-    u = (steps.unionByName(ends)
-         .withColumn("_nk", -F.col("_key")).withColumn("_nkind", -F.col("_kind"))
-         .withColumn("_negm", -F.col("_m")))
-    pm = prefix_max(u, "_negm", ["_nk", "_nkind"], by=keep, seq=None, exclusive=None, inclusive="_best")
-    fires = pm.where(F.col("_kind") == 0).select(*keep, "window_end_ms", (-F.col("_best")).alias("fire_max_ms"))
-    return attach_delay(res, fires, on=[*keep, "window_end_ms"]).drop("window_end_ms")
+        f"CASE WHEN NOT ({pair}) THEN m_after END AS _fire")
+    g = materialize(x.groupBy(*keep, "_pair", "window_start_ms", "window_end_ms", *keys)
+                    .agg(*aggs, F.min("_fire").alias("_fire")))
+    fires = firing(g, "window_end_ms", "_fire", keep).withColumnRenamed("_fire", "fire_max_ms")
+    return attach_delay(g.where("_pair").drop("_pair", "_fire"), fires, on=[*keep, "window_end_ms"])

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tardy.operators.late import attach_delay, fire_table, one_pass_result, split_late, window_aggregate
+from tardy.operators.late import one_pass_result, split_late
 from tardy.operators.watermark import annotate_watermark, with_bound
 from tardy.sources.disorder import with_arrival_disorder
 from tardy.sources.trips import EVENTS_COLUMNS, trips_from
@@ -59,15 +59,6 @@ def windowed_result(ann: DataFrame, bound_ms: int, spec: WindowSpec, keys: list[
                            allowed_lateness_ms=spec.allowed_lateness_ms, value_cols=list(value_cols))
 
 
-def windowed_result_two_pass(ann: DataFrame, bound_ms: int, spec: WindowSpec, keys: list[str],
-                             aggs: list[Column], ts: str = "start_ms") -> DataFrame:
-    """Same as :func:`windowed_result` from two separate scans of ``ann``."""
-    res = window_aggregate(ann, ts, keys, aggs, spec.size_ms, spec.slide_ms,
-                           allowed_lateness_ms=spec.allowed_lateness_ms)
-    fires = fire_table(ann, ts, bound_ms, spec.size_ms, spec.slide_ms)
-    return attach_delay(res, fires)
-
-
 def tips_result(trips: DataFrame, bound_ms: int, spec: WindowSpec, order_by: list[str] = EVENT_ORDER,
                 emit_every: int = 1, lanes: int = 1, n_blocks: int | None = None) -> DataFrame:
     """Window start, taxi, tip sum and delay: the replayed tips job."""

@@ -95,43 +95,54 @@ def test_invariants(spark):
 
 
 @pytest.mark.parametrize("slide", [None, 4_000])
-def test_lookup_firing_equals_brute_force(spark, slide):
+def test_firing_equals_brute_force_over_any_gap(spark, slide):
     from tardy.operators.late import one_pass_result
 
-    def run(rows, mode):
+    def run(rows, keys=("taxi_id",)):
         df = spark.createDataFrame(rows, SCHEMA)
         ann = annotate_watermark(df, "start_ms", ["seq"], 5_000, n_blocks=4)
-        r = one_pass_result(ann, "start_ms", ["taxi_id"], [F.sum("tip").alias("sum_tip")], 10_000, slide,
-                            bound_ms=5_000, value_cols=["tip"], fire_mode=mode)
-        return sorted(tuple(x) for x in r.select("window_start_ms", "taxi_id", "sum_tip", "delay_ms").collect())
+        r = one_pass_result(ann, "start_ms", list(keys), [F.sum("tip").alias("sum_tip"), F.count(F.lit(1)).alias("n")], 10_000, slide,
+                            bound_ms=5_000, value_cols=["tip"])
+        return sorted(tuple(x) for x in r.select("window_start_ms", *keys, "sum_tip", "delay_ms").collect())
 
     def brute(rows):
         want, _ = replay([(t, k, v) for _, t, k, v in rows], 5_000, 10_000, slide)
         return sorted((ws, key, s, d) for (ws, key), (s, d) in want.items())
 
     rows = make_rows(31, n=300)
-    assert run(rows, "lookup") == run(rows, "list") == brute(rows)
-    # a far-future outlier makes a watermark jump too long to list: auto picks lookup
-    rows += [(300, 10**13, "a", 1.0), (301, 1_200_000, "b", 2.0)]
-    assert run(rows, "auto") == brute(rows)
-
-
-def test_scored_windows_lookup_equals_listing(spark):
-    from tardy.operators.accuracy import scored_summary, scored_windows
+    assert run(rows) == brute(rows)
+    # a jump of 5,000,000 s and one far in the future: no window in between is listed
+    rows += [(300, 5 * 10**9, "a", 1.0), (301, 1_200_000, "b", 2.0), (302, 10**15, "a", 1.0)]
+    assert run(rows) == brute(rows)
+    # rows with a null key advance the watermark but are in no result
+    nulls = [(s, t, None if s % 5 == 0 else k, v) for s, t, k, v in rows]
+    assert run(nulls) == [r for r in brute([(s, t, k or "null", v) for s, t, k, v in nulls]) if r[1] != "null"]
+    # without keys there is one row for each window, and it counts data rows only
+    alone = brute([(s, t, "all", v) for s, t, _, v in rows])
+    assert run(rows, ()) == [(ws, s, d) for ws, _, s, d in alone]
+
+
+def test_scored_windows_equal_truth_and_replay(spark):
+    from tardy.operators.accuracy import ground_truth, scored_summary, scored_windows
     from tardy.plans.sweep import with_bounds
-    rows = make_rows(41, n=300)
+    rows = [(s, t, None if s % 9 == 0 else k, v) for s, t, k, v in make_rows(41, n=300)] + [(300, 5 * 10**9, "a", 1.0)]
     df = spark.createDataFrame(rows, SCHEMA).withColumn("tip_raw", F.col("tip") + F.lit(0.25))
     ann = with_bounds(annotate_watermark(df, "start_ms", ["seq"], None, n_blocks=4), [0, 5_000, 20_000])
-    out = {}
-    for mode in ("list", "lookup"):
-        sc = scored_windows(ann, "start_ms", ["taxi_id"], 10_000, 4_000, bound_col="bound_ms",
-                            late_counts=True, fire_mode=mode)
-        rows_ = sorted(tuple(r) for r in sc.select("bound_ms", "window_start_ms", "taxi_id", "true_tip", "est_tip",
-                                                   "in_truth", "in_result", "delay_ms", "flushed")
-                       .where("window_start_ms IS NOT NULL").collect())
-        summ = sorted(tuple(r) for r in scored_summary(sc, ["bound_ms"]).collect())
-        out[mode] = (rows_, summ)
-    assert out["list"] == out["lookup"]
+    truth = {(r["window_start_ms"], r["taxi_id"]): r["true_tip"] for r in ground_truth(df, "start_ms", ["taxi_id"], "tip_raw", 10_000, 4_000).collect()}
+    for keys in (["taxi_id"], []):
+        sc = scored_windows(ann, "start_ms", keys, 10_000, 4_000, bound_col="bound_ms", late_counts=True)
+        got = sc.where("window_start_ms IS NOT NULL").collect()
+        if not keys:
+            assert len({(r["bound_ms"], r["window_start_ms"]) for r in got}) == len(got)
+            continue
+        for b in (0, 5_000, 20_000):
+            want, late = replay([(t, k or "null", v) for _, t, k, v in rows], b, 10_000, 4_000)
+            mine = [r for r in got if r["bound_ms"] == b]
+            assert {(r["window_start_ms"], r["taxi_id"]): r["true_tip"] for r in mine} == truth
+            assert {(r["window_start_ms"], r["taxi_id"]): (r["est_tip"], r["delay_ms"]) for r in mine if r["in_result"]} == {
+                k: v for k, v in want.items() if k[1] != "null"}
+            summary = scored_summary(sc, ["bound_ms"]).where(F.col("bound_ms") == b).first()
+            assert summary["n_keys"] == len(truth)
 
 
 def test_hopping_windows_with_gaps(spark):
