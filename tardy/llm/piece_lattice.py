@@ -32,7 +32,7 @@ class Pieces:
     """Pieces of a SentencePiece model with byte fallback.
 
     A BPE model ranks its pieces; the lattice takes log p = -log(rank + 10)
-    up to a constant.  Pieces whose score rules them out are left out.
+    up to a constant.  Longer pieces whose score rules them out are left out.
     """
 
     def __init__(self, path: str):
@@ -54,8 +54,8 @@ class Pieces:
             else:
                 raw = piece.replace("▁", " ").encode()
                 self.bytes.append(raw)
-                if sp.get_score(i) > -1e8:
-                    words[raw] = (i, -float(np.log(10 - sp.get_score(i))))
+                if sp.get_score(i) > -1e8 or len(piece) == 1:    # a lone space is ranked last
+                    words[raw] = (i, -float(np.log(10 - max(sp.get_score(i), -sp.get_piece_size()))))
         # trie over bytes; row 0: nowhere, row 1: root
         rows, at = [[0] * 256, [0] * 256], {b"": 1}
         final, logp = [-1, -1], [0.0, 0.0]
@@ -73,6 +73,19 @@ class Pieces:
         self.longest = max(map(len, words))
         self.single = {raw for raw in words if len(raw.decode()) == 1}
 
+        self.size = np.array([len(b) for b in self.bytes], np.int64)
+        self.offset = np.cumsum(self.size) - self.size
+        self.flat = np.frombuffer(b"".join(self.bytes), np.uint8)
+
+    def decode_many(self, ids: np.ndarray, cut: np.ndarray) -> list[str]:
+        """Texts of the sequences ids[cut[i]:cut[i + 1]]."""
+        size = self.size[ids]
+        end = np.concatenate((np.zeros(1, np.int64), np.cumsum(size)))
+        raw = self.flat[np.repeat(self.offset[ids] - end[:-1], size) + np.arange(int(end[-1]))].tobytes()
+        bound = end[cut].tolist()
+        parts = [raw[a:b] for a, b in zip(bound, bound[1:])]
+        return [(b[1:] if b[:1] == b" " else b).decode("utf-8", "surrogatepass") for b in parts]
+
     def decode(self, ids) -> str:
         """Text of a sequence of ids; the space set before the text goes."""
         raw = b"".join(map(self.bytes.__getitem__, ids))

@@ -75,7 +75,10 @@ def decode_pieces(samples: DataFrame, ids_col: str = "ids", text_out: str = "tex
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = load(path)
         for batch in it:
-            texts = [None if x is None else pieces.decode(x) for x in batch.column(batch.num_columns - 1).to_pylist()]
+            lists = batch.column(batch.num_columns - 1)
+            cut = np.concatenate((np.zeros(1, np.int64), np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))))
+            texts = pieces.decode_many(lists.flatten().to_numpy(zero_copy_only=False), cut)
+            texts = [t if v else None for t, v in zip(texts, lists.is_valid().to_pylist())]
             yield pa.RecordBatch.from_arrays(batch.columns[:-1] + [pa.array(texts, pa.string())], names=[f"c{i}" for i in range(len(keep))] + ["_out"])
 
     schema = ", ".join([f"c{i} {t}" for i, (_, t) in enumerate(samples.select(*[F.col(f"`{c}`") for c in keep]).dtypes)] + ["_out string"])

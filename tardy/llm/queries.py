@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tardy.llm import chat, licenses
+from tardy.llm import chat, licenses, oracles
 from tardy.llm.decontaminate import contamination
 from tardy.llm.html_text import extract_text
 from tardy.llm.langid import held_out, predict_language, train_language
@@ -44,7 +44,7 @@ def op2_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     back = decode_pieces(sample_pieces(docs.withColumn("_sha", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256))), text_out="_back")
-    return back.select("doc_id", "sample", "n_ids", F.sha2(F.array_join("ids", " ").cast("binary"), 256).alias("ids_sha256"), "log_prob", "log_inclusion",
+    return back.select("doc_id", "sample", "n_ids", F.xxhash64("ids").alias("ids_hash"), "log_prob", "log_inclusion",
                        (F.sha2(F.col("_back").cast("binary"), 256) == F.col("_sha")).alias("round_trip"))
 
 
@@ -115,6 +115,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op1_near_dedup": oracles.near_duplicates_sql(),
     "op3_chat_format": chat.oracle_sql(),
+    "op6_decontamination": oracles.contamination_sql(),
     "op7_license_scan": licenses.oracle(),
 }
