@@ -57,17 +57,19 @@ def connected_components(edges: DataFrame, left: str, right: str) -> DataFrame:
     pairs = (edges.select(F.col(left).cast("long").alias("u"), F.col(right).cast("long").alias("v"))
              .where("u is not null and v is not null and u <> v"))
     cur = materialize(pairs.mapInArrow(_local_forest, _EDGE))
-    size = F.struct(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v") % (1 << 40)).alias("s"))
-    seen = None
-    while True:
+    while not _is_star_forest(cur):
         both = cur.union(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = materialize(both.where("v > u").join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
-        low = materialize(large.groupBy("u").agg(F.min("v").alias("m")))
-        small = (large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-                 .union(low.select("u", F.col("m").alias("v"))).distinct())
-        cur = materialize(small)
-        now = cur.agg(size.alias("x")).first()["x"]
-        if now == seen:
-            return cur.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))
-        seen = now
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        cur = materialize(large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+                          .union(low.select("u", F.col("m").alias("v"))).distinct())
+    return cur.select(F.col("u").alias("node"), F.col("v").alias("component")).distinct()
+
+
+def _is_star_forest(edges: DataFrame) -> bool:
+    """Whether every child has one parent and no parent is a child."""
+    ends = edges.select(F.col("u").alias("x"), F.col("v").alias("p")).union(edges.select(F.col("v").alias("x"), F.lit(None).cast("long").alias("p")))
+    odd = (ends.groupBy("x").agg(F.min("p").alias("lo"), F.max("p").alias("hi"), F.max(F.col("p").isNull()).alias("parent"))
+           .where("lo <> hi or (lo is not null and parent)"))
+    return odd.isEmpty()

@@ -6,9 +6,11 @@
    class goes on, so copies never meet in a bucket.
 3. Classes that share a band are candidates.  Each class is first compared
    with one pivot (the smallest id of its buckets); the links found give
-   components, and then only those pairs of a bucket are compared that still
-   lie in different components.  So no bucket of near copies is expanded into
-   all its pairs, yet no candidate link between components is left out.
+   components.  Buckets whose members then still lie in different components
+   are merged by pivot into clusters, and what is outside a cluster's largest
+   component is compared, in blocks, with the rest of the cluster.  So a group
+   of linked copies costs one comparison each, pairs are never rows of a
+   table, and no candidate link between components is left out.
 4. A candidate counts only if the exact Jaccard similarity of the full shingle
    sets reaches the threshold.
 5. Links are merged by distributed union-find.
@@ -25,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tardy.llm.components import connected_components
+from tardy.llm.components import connected_components, union_find
 from tardy.llm.text import NON_SPACE, batches, join_bytes, mix, sequence_keys, shingles, words
 from tardy.session import materialize
 
@@ -33,6 +35,8 @@ _U = np.uint64
 _NONE = np.iinfo(np.uint64).max
 _CHUNK = 1 << 17                     # elements whose permutation state is held at once
 _MEMBERS = 512                       # texts compared with one copy of a pivot
+_BLOCK = 1024                        # texts on either side of a block comparison
+_COLUMNS = 4096                      # shingles counted at once in a block comparison
 
 
 @dataclass(frozen=True)
@@ -163,8 +167,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataF
     A center with many members gets a copy for every ``_MEMBERS`` of them, so
     the comparison is spread however often one text is a center.
     """
-    copies = (pairs.groupBy("center").agg(F.ceil(F.count(F.lit(1)) / _MEMBERS).cast("int").alias("copies")))
-    copies = materialize(copies)
+    copies = pairs.groupBy("center").agg(F.ceil(F.count(F.lit(1)) / _MEMBERS).cast("int").alias("copies"))
     members = pairs.join(copies, "center").select(
         F.col("member").alias("_id"), "center", F.pmod(F.xxhash64("member"), F.col("copies")).cast("int").alias("salt"), "member")
     centers = copies.select(F.col("center").alias("_id"), "center",
@@ -175,6 +178,102 @@ def _verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataF
             .mapInArrow(_compare(k, percent), "center long, member long"))
 
 
+def block_links(a: list[np.ndarray], b: list[np.ndarray], percent: int) -> np.ndarray:
+    """Which sets of ``a`` and ``b`` are similar enough (len(a) x len(b)), by
+    exact intersection sizes: products of membership matrices, a slice of the
+    shared shingles at a time."""
+    na, nb = np.array([len(x) for x in a]), np.array([len(x) for x in b])
+    va, vb = np.concatenate(a), np.concatenate(b)
+    ids = np.intersect1d(va, vb)
+    both = np.zeros((len(a), len(b)), np.float64)
+    ra, rb = np.repeat(np.arange(len(a)), na), np.repeat(np.arange(len(b)), nb)
+    ca, cb = np.searchsorted(ids, va), np.searchsorted(ids, vb)
+    if len(ids):
+        ka, kb = ids[np.minimum(ca, len(ids) - 1)] == va, ids[np.minimum(cb, len(ids) - 1)] == vb
+        ra, ca, rb, cb = ra[ka], ca[ka], rb[kb], cb[kb]
+    for lo in range(0, len(ids), _COLUMNS):
+        width = min(_COLUMNS, len(ids) - lo)
+        parts = []
+        for r, c, n in ((ra, ca, len(a)), (rb, cb, len(b))):
+            m = np.zeros((n, width), np.float32)
+            on = (c >= lo) & (c < lo + width)
+            m[r[on], c[on] - lo] = 1
+            parts.append(m)
+        both += parts[0] @ parts[1].T                    # counts below 2**24 are exact
+    return (both > 0) & (100 * both >= percent * (na[:, None] + nb[None, :] - both))
+
+
+def _compare_blocks(k: int, percent: int):
+    """Rows come sorted by (cluster, i, j); those with ``side`` 0 are compared
+    with those of side 1 (block i with itself where there is no side 1).  Of
+    the links found in a block, a spanning forest goes on."""
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, sets, ids, group, sides = None, [], [], [], []
+
+        def links():
+            side, comp, rep = np.array(sides), np.array(group, np.int64), np.array(ids, np.int64)
+            left = np.flatnonzero(side == 0)
+            right = np.flatnonzero(side == 1)
+            right = right if len(right) else left
+            if not len(left):
+                return np.zeros(0, np.int64), np.zeros(0, np.int64)
+            ok = block_links([sets[i] for i in left], [sets[i] for i in right], percent)
+            x, y = np.nonzero(ok & (comp[left][:, None] != comp[right][None, :]))
+            return union_find(rep[left[x]], rep[right[y]])
+
+        for batch in it:
+            rows = batch.select(["_cluster", "_i", "_j", "_side", "_id", "_component"]).to_pylist()
+            texts = batch.column(batch.schema.get_field_index("_text")).to_pylist()
+            for lo, hi in batches(texts):
+                (v, d), _ = text_shingles(texts[lo:hi], k)
+                cut = np.searchsorted(d, np.arange(hi - lo + 1))
+                for n, r in enumerate(rows[lo:hi]):
+                    key = (r["_cluster"], r["_i"], r["_j"])
+                    if key != at:
+                        if sets:
+                            u, w = links()
+                            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(w)], ["center", "member"])
+                        at, sets, ids, group, sides = key, [], [], [], []
+                    sets.append(v[cut[n]:cut[n + 1]].copy())
+                    ids.append(r["_id"])
+                    group.append(r["_component"])
+                    sides.append(r["_side"])
+        if sets:
+            u, w = links()
+            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(w)], ["center", "member"])
+    return run
+
+
+def _between_components(members: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links between members (pivot, rep, component) of a cluster that lie in
+    different components.  What is outside a cluster's largest component is
+    dealt into blocks, and each is compared with itself, with the later ones,
+    and with every block of the largest component."""
+    parts = members.groupBy("pivot", "component").agg(F.count(F.lit(1)).alias("n"))
+    sizes = materialize(parts.groupBy("pivot").agg(F.max_by("component", F.struct("n", "component")).alias("home"), F.max("n").alias("inside"), F.sum("n").alias("n"))
+                        .where("n > inside").select("pivot", "home", F.ceil((F.col("n") - F.col("inside")) / _BLOCK).cast("int").alias("outer"),
+                                                    F.ceil(F.col("inside") / _BLOCK).cast("int").alias("inner")))
+    rows = members.join(sizes, "pivot")
+    is_home = F.col("component") == F.col("home")
+    block = F.pmod(F.xxhash64("rep"), F.when(is_home, F.col("inner")).otherwise(F.col("outer"))).cast("int")
+    every = F.sequence(F.lit(0), F.col("outer") - 1)
+
+    def pair(i, j, side):
+        return F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"), side.cast("int").alias("side"))
+
+    home = F.transform(every, lambda i: pair(i, F.col("outer") + F.col("_b"), F.lit(1)))
+    outer = F.concat(
+        F.transform(every, lambda x: F.when(x < F.col("_b"), pair(x, F.col("_b"), F.lit(1))).otherwise(pair(F.col("_b"), x, F.lit(0)))),
+        F.transform(F.sequence(F.lit(0), F.col("inner") - 1), lambda j: pair(F.col("_b"), F.col("outer") + j, F.lit(0))))
+    dealt = rows.withColumn("_b", block).select(
+        F.col("rep").alias("_id"), F.col("pivot").alias("_cluster"), F.col("component").alias("_component"),
+        F.explode(F.when(is_home, home).otherwise(outer)).alias("x"))
+    dealt = dealt.select("_id", "_cluster", "_component", F.col("x.i").alias("_i"), F.col("x.j").alias("_j"), F.col("x.side").alias("_side"))
+    full = dealt.join(texts, "_id")
+    return (full.repartition("_cluster", "_i", "_j").sortWithinPartitions("_cluster", "_i", "_j")
+            .select("_cluster", "_i", "_j", "_side", "_id", "_component", "_text").mapInArrow(_compare_blocks(k, percent), "center long, member long"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80,
                     k: int = 5, plan: Bands | None = None) -> DataFrame:
     """One row per document: ``id_col, n_shingles, component_id, kept``.
@@ -198,32 +297,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     signed = materialize(src.mapInArrow(_sign(k, plan), _SIGNED))
     # one document of each word sequence goes on
     classes = materialize(signed.where("n_shingles > 0").groupBy("k1", "k2")
-                          .agg(F.min("_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"),
+                          .agg(F.min("_id").alias("rep"), F.first("bands").alias("bands"),
                                F.count(F.lit(1)).alias("copies")))
-    banded = classes.where("rep is not null").select("rep", "n", F.explode("bands").alias("band"))
-    shared = materialize(banded.groupBy("band").agg(F.min("rep").alias("pivot"), F.max("rep").alias("top")).where("pivot <> top")
-                         .select("band", "pivot"))
-    members = materialize(banded.join(shared, "band"))
+    banded = classes.where("rep is not null").select("rep", F.explode("bands").alias("band"))
+    shared = banded.groupBy("band").agg(F.min("rep").alias("pivot"), F.max("rep").alias("top")).where("pivot <> top").select("band", "pivot")
+    members = materialize(banded.join(shared, "band").select("pivot", "rep").distinct())
     texts = materialize(src.where("_id is not null").join(members.select(F.col("rep").alias("_id")).distinct(), "_id", "left_semi"))
     # each class against the smallest id it shares a band with
-    first = materialize(members.groupBy(F.col("rep").alias("member")).agg(F.min("pivot").alias("center")).where("member <> center"))
-    links = materialize(_verified(first, texts, k, percent))
-    found = materialize(connected_components(links, "center", "member"))
+    first = members.groupBy(F.col("rep").alias("member")).agg(F.min("pivot").alias("center")).where("member <> center")
+    links = materialize(_verified(materialize(first), texts, k, percent))
     # what shares a band and still lies in different components
-    placed = members.join(found.withColumnRenamed("node", "rep"), "rep", "left").select(
-        "band", "rep", "n", F.coalesce("component", "rep").alias("component"))
-    placed = materialize(placed)
-    mixed = placed.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("band")
-    left = materialize(placed.join(mixed, "band", "left_semi"))
-    a = left.select("band", F.col("rep").alias("center"), F.col("n").alias("n1"), F.col("component").alias("c1"))
-    b = left.select("band", F.col("rep").alias("member"), F.col("n").alias("n2"), F.col("component").alias("c2"))
-    rest = (a.join(b, "band").where((F.col("c1") < F.col("c2"))
-                                    & (100 * F.least("n1", "n2") >= percent * F.greatest("n1", "n2")))
-            .select("center", "member").distinct())
-    rest = rest.join(first.select("center", "member"), ["center", "member"], "left_anti")
-    rest = rest.join(first.select(F.col("member").alias("center"), F.col("center").alias("member")), ["center", "member"], "left_anti")
-    more = materialize(_verified(materialize(rest), texts, k, percent))
-    label = materialize(connected_components(links.union(more), "center", "member"))
+    found = connected_components(links, "center", "member").withColumnRenamed("node", "rep")
+    placed = materialize(members.join(found, "rep", "left").select("pivot", "rep", F.coalesce("component", "rep").alias("component")))
+    more = materialize(_between_components(placed, texts, k, percent))
+    label = connected_components(links.union(more), "center", "member")
     grouped = materialize(classes.select("k1", "k2", "rep", "copies").join(label.withColumnRenamed("node", "rep"), "rep", "left")
                           .select("k1", "k2", F.coalesce("component", "rep").alias("_component"), (F.col("copies") > 1).alias("more"), "component")
                           .where("more or component is not null").select("k1", "k2", "_component"))
