@@ -34,8 +34,9 @@ def ms_to_timestamp(c) -> Column:
 
 
 def parse_time_text(c, fmt: str = TRIP_TIME_FORMAT) -> Column:
-    """Quoted or bare pattern text to a UTC timestamp (session zone must be UTC)."""
-    return F.to_timestamp(F.regexp_replace(col_of(c), '"', ""), fmt)
+    """Quoted or bare pattern text, blanks around it ignored, to a UTC timestamp
+    (session zone must be UTC)."""
+    return F.to_timestamp(F.trim(F.regexp_replace(col_of(c), '"', "")), fmt)
 
 
 def parse_money(c) -> Column:

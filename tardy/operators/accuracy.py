@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from tardy.operators.windows import assign_windows
 
-DEC = "decimal(18,2)"
+# six decimals: finer than any money column; exact sums at any row order
+DEC = "decimal(18,6)"
 
 
 def _dec(c) -> Column:
@@ -49,18 +50,22 @@ def align_results(truth: DataFrame, result: DataFrame, keys: list[str], truth_co
                     F.coalesce("_in_result", F.lit(False)).alias("in_result"))
 
 
-def metric_columns(tolerance: float = 0.01) -> list[Column]:
-    """Aggregates over an aligned table (columns true_tip, est_tip, in_truth, in_result)."""
+def metric_columns(tolerance: float = 0.01, where: Column | None = None) -> list[Column]:
+    """Aggregates over an aligned table (columns true_tip, est_tip, in_truth,
+    in_result), over the rows with ``where`` only if given."""
     g, e = _dec("true_tip"), _dec("est_tip")
     n = F.count(F.lit(1))
+    if where is not None:
+        g, e, n = F.when(where, g), F.when(where, e), F.count(F.when(where, 1))
     t_sum = F.sum(g).cast("double")
     e_sum = F.sum(e).cast("double")
-    nz = F.col("true_tip") > F.lit(1e-9)
+    nz = (F.col("true_tip") > F.lit(1e-9)) if where is None else where & (F.col("true_tip") > F.lit(1e-9))
     ape = F.when(nz, (F.abs((F.col("est_tip") - F.col("true_tip")) / F.col("true_tip")) * 100)
                  .cast("decimal(24,6)"))
-    ss_res = F.sum((e - g) * (e - g)).cast("double")
+    diff = (e - g).cast(DEC)
+    ss_res = F.sum(diff * diff).cast("double")
     ss_tot = F.sum(g * g).cast("double") - t_sum * t_sum / n
-    correct = F.col("in_truth") & F.col("in_result") & (F.abs(e - g) <= F.lit(tolerance).cast(DEC))
+    correct = F.col("in_truth") & F.col("in_result") & (F.abs(e - g).cast("double") <= F.lit(float(tolerance)))
     return [
         n.alias("n_keys"),
         t_sum.alias("true_sum"),
@@ -175,24 +180,9 @@ def scored_summary(scored: DataFrame, group: list[str] = (), tolerance: float =
     """Per group: accuracy metrics, key verdicts, average delay and late rows
     from a ``scored_windows(..., late_counts=True)`` table, in one aggregation."""
     keyrow = F.col("window_start_ms").isNotNull()
-    g, e = _dec("true_tip"), _dec("est_tip")
-    n = F.count(F.when(keyrow, 1))
-    t_sum = F.sum(F.when(keyrow, g)).cast("double")
-    e_sum = F.sum(F.when(keyrow, e)).cast("double")
-    nz = keyrow & (F.col("true_tip") > F.lit(1e-9))
-    ape = F.when(nz, (F.abs((F.col("est_tip") - F.col("true_tip")) / F.col("true_tip")) * 100)
-                 .cast("decimal(24,6)"))
-    ss_res = F.sum(F.when(keyrow, (e - g) * (e - g))).cast("double")
-    ss_tot = F.sum(F.when(keyrow, g * g)).cast("double") - t_sum * t_sum / n
     d = F.when(keyrow & F.col("in_result") & ~F.col("flushed"), F.col("delay_ms"))
     return scored.groupBy(*group).agg(
-        n.alias("n_keys"),
-        t_sum.alias("true_sum"),
-        e_sum.alias("est_sum"),
-        F.when(t_sum != 0, F.abs(t_sum - e_sum) / t_sum * 100).alias("global_error_pct"),
-        (F.sum(F.when(keyrow, F.abs(e - g))).cast("double") / n).alias("mae"),
-        (F.sum(ape).cast("double") / F.count(ape)).alias("mape_pct"),
-        F.when(ss_tot > 0, F.lit(1.0) - ss_res / ss_tot).otherwise(F.lit(0.0)).alias("r2"),
+        *metric_columns(tolerance, keyrow)[:7],
         F.coalesce(F.sum(d).cast("double") / F.count(d) / F.lit(60000.0), F.lit(0.0)).alias("avg_delay_min"),
         F.count(d).alias("n_delay"),
         F.coalesce(F.sum("late_rows"), F.lit(0)).alias("late_rows"))

@@ -20,7 +20,8 @@ from tardy.plans import oracle as O
 from tardy.plans.replay import (DAY_MS, HOUR_MS, MINUTE_MS, EVENT_ORDER, WindowSpec, annotate,
                                 event_trips, table, tips_result, windowed_result)
 from tardy.plans.sweep import RECORDED_BOUNDS_MIN, sweep_bounds, tradeoff_table
-from tardy.sources.trips import trips_from
+from tardy.sources.disorder import with_arrival_disorder
+from tardy.sources.trips import EVENTS_COLUMNS, trips_from
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -147,19 +148,19 @@ FULL OUTER JOIN ({O.result_sql(EV, size, slide, bound)}) rs
 
 
 METRICS_SQL = """count(*) AS n_keys,
-  CAST(sum(CAST(true_tip AS DECIMAL(18,2))) AS DOUBLE) AS true_sum,
-  CAST(sum(CAST(est_tip AS DECIMAL(18,2))) AS DOUBLE) AS est_sum,
-  CASE WHEN CAST(sum(CAST(true_tip AS DECIMAL(18,2))) AS DOUBLE) <> 0 THEN
-    abs(CAST(sum(CAST(true_tip AS DECIMAL(18,2))) AS DOUBLE) - CAST(sum(CAST(est_tip AS DECIMAL(18,2))) AS DOUBLE))
-    / CAST(sum(CAST(true_tip AS DECIMAL(18,2))) AS DOUBLE) * 100 END AS global_error_pct,
-  CAST(sum(abs(CAST(est_tip AS DECIMAL(18,2)) - CAST(true_tip AS DECIMAL(18,2)))) AS DOUBLE) / count(*) AS mae,
+  CAST(sum(CAST(true_tip AS DECIMAL(18,6))) AS DOUBLE) AS true_sum,
+  CAST(sum(CAST(est_tip AS DECIMAL(18,6))) AS DOUBLE) AS est_sum,
+  CASE WHEN CAST(sum(CAST(true_tip AS DECIMAL(18,6))) AS DOUBLE) <> 0 THEN
+    abs(CAST(sum(CAST(true_tip AS DECIMAL(18,6))) AS DOUBLE) - CAST(sum(CAST(est_tip AS DECIMAL(18,6))) AS DOUBLE))
+    / CAST(sum(CAST(true_tip AS DECIMAL(18,6))) AS DOUBLE) * 100 END AS global_error_pct,
+  CAST(sum(abs(CAST(est_tip AS DECIMAL(18,6)) - CAST(true_tip AS DECIMAL(18,6)))) AS DOUBLE) / count(*) AS mae,
   CAST(sum(CASE WHEN true_tip > 1e-9 THEN CAST(abs((est_tip - true_tip) / true_tip) * 100 AS DECIMAL(24,6)) END) AS DOUBLE)
     / count(CASE WHEN true_tip > 1e-9 THEN 1 END) AS mape_pct,
-  CASE WHEN CAST(sum(CAST(true_tip AS DECIMAL(18,2)) * CAST(true_tip AS DECIMAL(18,2))) AS DOUBLE)
-            - CAST(sum(CAST(true_tip AS DECIMAL(18,2))) AS DOUBLE) * CAST(sum(CAST(true_tip AS DECIMAL(18,2))) AS DOUBLE) / count(*) > 0
-       THEN 1.0 - CAST(sum((CAST(est_tip AS DECIMAL(18,2)) - CAST(true_tip AS DECIMAL(18,2))) * (CAST(est_tip AS DECIMAL(18,2)) - CAST(true_tip AS DECIMAL(18,2)))) AS DOUBLE)
-            / (CAST(sum(CAST(true_tip AS DECIMAL(18,2)) * CAST(true_tip AS DECIMAL(18,2))) AS DOUBLE)
-               - CAST(sum(CAST(true_tip AS DECIMAL(18,2))) AS DOUBLE) * CAST(sum(CAST(true_tip AS DECIMAL(18,2))) AS DOUBLE) / count(*))
+  CASE WHEN CAST(sum(CAST(true_tip AS DECIMAL(18,6)) * CAST(true_tip AS DECIMAL(18,6))) AS DOUBLE)
+            - CAST(sum(CAST(true_tip AS DECIMAL(18,6))) AS DOUBLE) * CAST(sum(CAST(true_tip AS DECIMAL(18,6))) AS DOUBLE) / count(*) > 0
+       THEN 1.0 - CAST(sum((CAST(est_tip AS DECIMAL(18,6)) - CAST(true_tip AS DECIMAL(18,6))) * (CAST(est_tip AS DECIMAL(18,6)) - CAST(true_tip AS DECIMAL(18,6)))) AS DOUBLE)
+            / (CAST(sum(CAST(true_tip AS DECIMAL(18,6)) * CAST(true_tip AS DECIMAL(18,6))) AS DOUBLE)
+               - CAST(sum(CAST(true_tip AS DECIMAL(18,6))) AS DOUBLE) * CAST(sum(CAST(true_tip AS DECIMAL(18,6))) AS DOUBLE) / count(*))
        ELSE 0.0 END AS r2"""
 
 
@@ -192,11 +193,11 @@ def q_accuracy_metrics(spark, sf_dir):
 
 @register("accuracy_verdicts", f"""SELECT count(*) AS total_keys,
   count(CASE WHEN in_truth THEN 1 END) AS n_truth, count(CASE WHEN in_result THEN 1 END) AS n_result,
-  count(CASE WHEN in_truth AND in_result AND abs(CAST(est_tip AS DECIMAL(18,2)) - CAST(true_tip AS DECIMAL(18,2))) <= 0.01 THEN 1 END) AS correct,
-  count(*) - count(CASE WHEN in_truth AND in_result AND abs(CAST(est_tip AS DECIMAL(18,2)) - CAST(true_tip AS DECIMAL(18,2))) <= 0.01 THEN 1 END) AS incorrect,
+  count(CASE WHEN in_truth AND in_result AND abs(CAST(est_tip AS DECIMAL(18,6)) - CAST(true_tip AS DECIMAL(18,6))) <= 0.01 THEN 1 END) AS correct,
+  count(*) - count(CASE WHEN in_truth AND in_result AND abs(CAST(est_tip AS DECIMAL(18,6)) - CAST(true_tip AS DECIMAL(18,6))) <= 0.01 THEN 1 END) AS incorrect,
   count(CASE WHEN in_truth AND NOT in_result THEN 1 END) AS missing,
   count(CASE WHEN in_result AND NOT in_truth THEN 1 END) AS extra,
-  count(CASE WHEN in_truth AND in_result AND abs(CAST(est_tip AS DECIMAL(18,2)) - CAST(true_tip AS DECIMAL(18,2))) <= 0.01 THEN 1 END) / count(*) * 100 AS accuracy_pct
+  count(CASE WHEN in_truth AND in_result AND abs(CAST(est_tip AS DECIMAL(18,6)) - CAST(true_tip AS DECIMAL(18,6))) <= 0.01 THEN 1 END) / count(*) * 100 AS accuracy_pct
 FROM ({_aligned_sql(HOUR_MS, None, B60)}) q""")
 def q_accuracy_verdicts(spark, sf_dir):
     return acc.accuracy_verdicts(_aligned(spark, sf_dir), tolerance=0.01)
@@ -263,6 +264,7 @@ def q_tradeoff(spark, sf_dir):
 
 # --- disorder profile ----------------------------------------------------------
 
+# fixed values: the date range of the recorded profile
 PROFILE_FROM = "2024-01-01 00:00:00"
 PROFILE_TO = "2024-04-10 00:00:00"
 
@@ -279,9 +281,9 @@ p AS (SELECT id AS event_id, k AS taxi_id, t AS start_ms, ms AS max_seen_ms, del
 
 def _profile(spark, sf_dir) -> DataFrame:
     from tardy.operators.profile import lateness_profile
-    from tardy.operators.filters import filter_range
-    trips = event_trips(spark, sf_dir, truncate_values=False)
-    trips = filter_range(trips, "start_ms", PROFILE_FROM, PROFILE_TO)
+    # the date range is on the stored column, so it reaches the Parquet scan
+    ev = table(spark, sf_dir, "events").where(F.col("ts").between(F.lit(PROFILE_FROM).cast("timestamp_ntz"), F.lit(PROFILE_TO).cast("timestamp_ntz")))
+    trips = with_arrival_disorder(trips_from(ev, EVENTS_COLUMNS, truncate_values=False, order_cols=("event_id",)), "start_ms", "event_id")
     prof = lateness_profile(trips, "start_ms", EVENT_ORDER, ["taxi_id"], tie="event_id")
     return prof.select("event_id", "taxi_id", "start_ms", "max_seen_ms", "delay_minutes", "max_seen_minute")
 
@@ -477,6 +479,33 @@ def q_dedup_results(spark, sf_dir):
     return last_per_key(parsed, ["window_start_ms", "taxi_id"], ["run"])
 
 
+EXTRA_SQL = "SELECT '(0, ' || r_name || ', 1.5, -1)' AS value, 3 AS run FROM region"
+_VERDICT = "in_truth AND in_result AND abs(CAST(est_tip AS DECIMAL(18,6)) - CAST(true_tip AS DECIMAL(18,6))) <= 0.01"
+
+
+@register("compare_results", f"""WITH parsed AS ({PARSED_SQL.replace(LINES_SQL, LINES_SQL + " UNION ALL " + EXTRA_SQL)}),
+rs AS (SELECT window_start_ms, taxi_id, arg_max(sum_tip, run) AS sum_tip FROM parsed GROUP BY 1, 2),
+q AS (SELECT coalesce(tr.true_tip, 0.0) AS true_tip, coalesce(rs.sum_tip, 0.0) AS est_tip,
+        tr.window_start_ms IS NOT NULL AS in_truth, rs.window_start_ms IS NOT NULL AS in_result
+      FROM ({O.truth_sql(EV_RAW, HOUR_MS, HOUR_MS)}) tr
+      FULL OUTER JOIN rs ON tr.window_start_ms = rs.window_start_ms AND tr.taxi_id = rs.taxi_id)
+SELECT {METRICS_SQL},
+  count(CASE WHEN in_truth THEN 1 END) AS n_truth, count(CASE WHEN in_result THEN 1 END) AS n_result,
+  count(CASE WHEN {_VERDICT} THEN 1 END) AS correct,
+  count(CASE WHEN in_truth AND NOT in_result THEN 1 END) AS missing,
+  count(CASE WHEN in_result AND NOT in_truth THEN 1 END) AS extra FROM q""")
+def q_compare_results(spark, sf_dir):
+    """Result lines against the exact answer: parsed, the last line of each key
+    kept, outer-joined with the truth.  The lines hold a few keys that the
+    truth lacks, and the truth holds keys that no line has."""
+    from tardy.sources.results_text import last_per_key, parse_results
+    extra = table(spark, sf_dir, "region").select(F.concat(F.lit("(0, "), "r_name", F.lit(", 1.5, -1)")).alias("value"), F.lit(3).alias("run"))
+    parsed = parse_results(_lines(spark, sf_dir).unionByName(extra), keep=("run",))
+    result = last_per_key(parsed, ["window_start_ms", "taxi_id"], ["run"])
+    truth = acc.ground_truth(event_trips(spark, sf_dir, truncate_values=False), "start_ms", ["taxi_id"], "tip", HOUR_MS)
+    return acc.align_results(truth, result, ["taxi_id"]).agg(*acc.metric_columns(0.01))
+
+
 @register("adjust_delay", f"""SELECT window_start_ms, taxi_id,
   CASE WHEN delay_ms >= 0 THEN delay_ms + {5 * MINUTE_MS} ELSE delay_ms END AS delay_ms
 FROM ({PARSED_SQL}) z WHERE run = 1""")
