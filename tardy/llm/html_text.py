@@ -19,6 +19,7 @@ meet by host and prefix.
 from __future__ import annotations
 
 import html
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -231,7 +232,10 @@ def _texts(depth: int):
 
 
 def _without(bs: list[tuple[int, str]], starts: list[int], depth: int) -> list[tuple[int, str]]:
-    """Blocks with the tokens of the runs at ``starts`` removed from open blocks."""
+    """Blocks with the tokens of the runs at ``starts`` removed from open blocks.
+
+    A run may begin in one block and end in the next; of a block that it does
+    not cover whole, only stretches of ``depth`` tokens or more go."""
     gone = {i for s in starts for i in range(s, s + depth)}
     out, at = [], 0
     for kind, text in bs:
@@ -240,7 +244,12 @@ def _without(bs: list[tuple[int, str]], starts: list[int], depth: int) -> list[t
             continue
         tokens = re.findall(r"[^\x20\x09-\x0D]+", text)
         if kind == OPEN:
-            text = " ".join(t for i, t in enumerate(tokens, at) if i not in gone)
+            kept: list[str] = []
+            for cut, group in itertools.groupby(enumerate(tokens, at), key=lambda x: x[0] in gone):
+                run = [t for _, t in group]
+                if not cut or len(run) < min(depth, len(tokens)):
+                    kept += run
+            text = " ".join(kept)
             if text:
                 out.append((kind, text))
         at += len(tokens)

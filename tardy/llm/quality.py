@@ -74,7 +74,7 @@ def passages(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     k = BUCKETS
     for col, value in enumerate((share(_SYMBOL[b], bp, size), share(_UPPER[b], bp, size), share(_DIGIT[b], bp, size),
                                  share(b >= 128, bp, size), share(same, wp, n), share(new, wp[ordered], n),
-                                 share(tail, wp, n), share(alone, wp, n), np.log1p(n) / 5)):
+                                 share(tail, wp, n), share(alone, wp, n), np.log1p(np.bincount(wp, minlength=total)) / 5)):
         out[:, k + col] = value
     return out, owner
 

@@ -94,8 +94,10 @@ class UrlModel:
         return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def fit_urls(labelled=LABELLED_URLS, epochs: int = 400, rate: float = 4.0, decay: float = 1e-4) -> UrlModel:
-    """Logistic regression by gradient descent on (url, label) rows; the table is small by contract."""
+def fit_urls(labelled=LABELLED_URLS, epochs: int = 400, rate: float = 4.0, decay: float = 1e-4, blocked: float = 0.1) -> UrlModel:
+    """Logistic regression by gradient descent on (url, label) rows; the table
+    is small by contract.  The intercept is the log odds of ``blocked``, the
+    share of URLs expected to be blocked: what says nothing is allowed."""
     hosts, paths = [], []
     for url, _ in labelled:
         rest = url.split("://", 1)[1] if "://" in url else ""
@@ -105,21 +107,20 @@ def fit_urls(labelled=LABELLED_URLS, epochs: int = 400, rate: float = 4.0, decay
     y = np.array([label for _, label in labelled], float)
     at, row = features(hosts, paths)
     n = np.sqrt(np.maximum(np.bincount(row, minlength=len(y)), 1))
-    w, b = np.zeros(1 << DIM_BITS), 0.0
+    w, b = np.zeros(1 << DIM_BITS), float(np.log(blocked / (1 - blocked)))
     for _ in range(epochs):
         p = 1 / (1 + np.exp(-(np.bincount(row, weights=w[at], minlength=len(y)) / n + b)))
         d = (p - y) / max(len(y), 1)
         w -= rate * (np.bincount(at, weights=(d / n)[row], minlength=len(w)) + decay * w)
-        b -= rate * d.sum()
     return UrlModel(w, b)
 
 
 def filter_urls(pages: DataFrame, url_col: str = "url", rules: dict[str, str] | None = None, model: UrlModel | None = None,
-                threshold: float = 0.5) -> DataFrame:
+                threshold: float = 0.1) -> DataFrame:
     """``pages`` with ``host, path, rule, score, verdict``.
 
-    The longest fitting rule decides; without one, a block score of
-    ``threshold`` or more blocks.  A null URL or one without ``://`` has empty
+    The longest fitting rule decides; without one, a block score over
+    ``threshold`` blocks (the expected share: n-grams that speak for blocking).  A null URL or one without ``://`` has empty
     host and path, fits no rule and is judged on those.  Columns with the
     names of the outputs are replaced.
     """
@@ -141,7 +142,7 @@ def filter_urls(pages: DataFrame, url_col: str = "url", rules: dict[str, str] |
                        + ["_host string", "_path string", "_score double"])
     scored = inner.mapInArrow(run, schema)
     rule = rule_of(F.col("_host"), F.col("_path"), rules)
-    verdict = F.when(F.col("_score") >= threshold, "block").otherwise("allow")
+    verdict = F.when(F.col("_score") > threshold + 1e-9, "block").otherwise("allow")
     for r, v in sorted(rules.items()):
         verdict = F.when(F.col("_rule") == r, F.lit(v)).otherwise(verdict)
     out = scored.withColumn("_rule", rule)
