@@ -30,11 +30,9 @@ from pyspark.sql import types as T
 
 BLK = "_blk"
 
-# Upper bound on blocks: keeps every per-block table (and the bound lookup)
-# a few MB at most, so broadcasting them is always safe.
+# Most blocks chosen by default (an explicit ``n_blocks`` is taken as given):
+# per-block tables and the bound lookup stay a few MB.
 MAX_BLOCKS = 100_000
-# Cap on the sampled order keys that reach the driver while picking bounds.
-MAX_SAMPLE = 1_000_000
 DEFAULT_ROWS_PER_BLOCK = 2_000_000
 INTEGRAL = ("bigint", "int", "smallint", "tinyint")
 
@@ -82,20 +80,20 @@ def range_blocks(df: DataFrame, order_by: list[str], n_blocks: int | None = None
         stats = {"rows": total}
     if n_blocks is None:
         n_blocks = _default_blocks(spark, total, rows_per_block)
-    n_blocks = max(1, min(int(n_blocks), MAX_BLOCKS, max(1, total)))
+    n_blocks = max(1, min(int(n_blocks), max(1, total)))
     if n_blocks == 1 or total == 0:
         return Blocked(df.withColumn(BLK, F.lit(0)), 1, stats)
 
     # Sample the order keys (bounded size), pick n_blocks-1 bounds on the driver.
-    want = min(MAX_SAMPLE, n_blocks * sample_per_block)
-    frac = min(1.0, want / total)
+    # the sample follows the number of blocks, so blocks stay even at any size
+    frac = min(1.0, n_blocks * sample_per_block / total)
     keys = [F.col(p_col).cast("long").alias("p")]
     if s_col:
         keys.append(F.col(s_col).cast("long").alias("s"))
     smp = df.select(*keys).where(F.col("p").isNotNull())
     if frac < 1.0:
         smp = smp.sample(False, frac, seed)
-    pdf = smp.limit(2 * MAX_SAMPLE).toPandas()
+    pdf = smp.toPandas()
     if len(pdf) == 0:
         return Blocked(df.withColumn(BLK, F.lit(0)), 1, stats)
     sort_cols = ["p", "s"] if s_col else ["p"]

@@ -31,6 +31,7 @@ TUMBLE = WindowSpec(HOUR_MS)
 SLIDE = WindowSpec(HOUR_MS, 30 * MINUTE_MS)
 EV = O.src_events()
 EV_RAW = O.src_events(truncate=False)
+EV_ARR = O.arrival_sql()
 
 
 def register(name: str, sql: str | None = None):
@@ -59,6 +60,29 @@ def q_sliding_sum(spark, sf_dir):
     return tips_result(event_trips(spark, sf_dir), B60, SLIDE)
 
 
+@register("allowed_lateness_sum", O.result_sql(EV, HOUR_MS, 30 * MINUTE_MS, 10 * MINUTE_MS, lateness=15 * MINUTE_MS))
+def q_allowed_lateness(spark, sf_dir):
+    """Windows stay open for 15 minutes after they fire."""
+    return tips_result(event_trips(spark, sf_dir), 10 * MINUTE_MS, WindowSpec(HOUR_MS, 30 * MINUTE_MS, 15 * MINUTE_MS))
+
+
+EV_FILE = O.src_events().replace(EV_ARR, "row_number() OVER ()")
+
+
+@register("tips_job_files", f"""SELECT *, CAST(0 AS BIGINT) AS late_rows FROM ({O.result_sql(EV_FILE, HOUR_MS, None, 5 * MINUTE_MS)}) q
+UNION ALL SELECT -1, '', 0.0, -1, false, count(*) FROM ({O.late_rows_sql(EV_FILE, HOUR_MS, None, 5 * MINUTE_MS)}) l""")
+def q_tips_job_files(spark, sf_dir):
+    """The tips job from Parquet in file order: results and, in one row of
+    window -1, the number of late rows, from one annotated table."""
+    from tardy.plans.jobs import replay_files
+    res, late = replay_files(spark, f"{sf_dir}/events.parquet", WindowSpec(HOUR_MS), 5 * MINUTE_MS, columns=EVENTS_COLUMNS)
+    rows = res.select("window_start_ms", "taxi_id", "sum_tip", "delay_ms", "flushed", F.lit(0).cast("long").alias("late_rows"))
+    count = late.agg(F.count(F.lit(1)).alias("late_rows")).select(
+        F.lit(-1).cast("long").alias("window_start_ms"), F.lit("").alias("taxi_id"), F.lit(0.0).alias("sum_tip"),
+        F.lit(-1).cast("long").alias("delay_ms"), F.lit(False).alias("flushed"), "late_rows")
+    return rows.unionByName(count)
+
+
 @register("watermark_emit10", O.result_sql(EV, HOUR_MS, None, B60, n=10))
 def q_emit10(spark, sf_dir):
     return tips_result(event_trips(spark, sf_dir), B60, TUMBLE, emit_every=10)

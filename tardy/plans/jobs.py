@@ -27,19 +27,29 @@ def parse_bound_minutes(args: list[str]) -> int:
         return DEFAULT_BOUND_MIN
 
 
-def run(spark, kind: str, path: str, out_dir: str, bound_min: int, truncate_values: bool = True) -> int:
+def replay_files(spark, path: str, spec, bound_ms: int, truncate_values: bool = True, columns: dict | None = None):
+    """(result rows, late rows) of the tips job over Parquet files in file
+    order.  The annotated rows are written once and serve both."""
     from tardy.operators.late import split_late
-    from tardy.plans.replay import HOUR_MS, MINUTE_MS, WindowSpec, annotate, windowed_result
-    from tardy.sinks.text import write_results
+    from tardy.plans.replay import annotate, windowed_result
+    from tardy.session import materialize
     from tardy.sources.trips import read_trips, with_file_order
 
+    named = {"columns": columns} if columns else {}
+    trips = with_file_order(read_trips(spark, path, truncate_values=truncate_values, **named)).drop("src_file")
+    ann = materialize(annotate(trips, bound_ms, order_by=["arrival_key"]))
+    res = windowed_result(ann, bound_ms, spec, ["taxi_id"], [F.sum("tip").alias("sum_tip")])
+    _, late = split_late(ann, "start_ms", spec.size_ms, spec.slide_ms, allowed_lateness_ms=spec.allowed_lateness_ms)
+    return res, late
+
+
+def run(spark, kind: str, path: str, out_dir: str, bound_min: int, truncate_values: bool = True) -> int:
+    from tardy.plans.replay import HOUR_MS, MINUTE_MS, WindowSpec
+    from tardy.sinks.text import write_results
+
     spec = WindowSpec(HOUR_MS, 30 * MINUTE_MS if kind == "sliding" else None)
-    bound = int(bound_min) * MINUTE_MS
-    trips = with_file_order(read_trips(spark, path, truncate_values=truncate_values)).drop("src_file")
-    ann = annotate(trips, bound, order_by=["arrival_key"])
-    res = windowed_result(ann, bound, spec, ["taxi_id"], [F.sum("tip").alias("sum_tip")])
+    res, late = replay_files(spark, path, spec, int(bound_min) * MINUTE_MS, truncate_values)
     write_results(res, f"{out_dir}/results")
-    _, late = split_late(ann, "start_ms", spec.size_ms, spec.slide_ms)
     n = late.count()
     print(f"late rows: {n}")
     return n

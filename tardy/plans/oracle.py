@@ -19,9 +19,13 @@ from tardy.sources.disorder import DISORDER_MULTIPLIER, DISORDER_STEP_MS, DISORD
 MS = "(epoch_us(ts) // 1000)"
 
 
+def arrival_sql() -> str:
+    return f"{MS} + ((event_id * {DISORDER_MULTIPLIER}) % {DISORDER_STEPS}) * {DISORDER_STEP_MS}"
+
+
 def src_events(truncate: bool = True) -> str:
     v = "CAST(trunc(value) AS DOUBLE)" if truncate else "value"
-    arr = f"{MS} + ((event_id * {DISORDER_MULTIPLIER}) % {DISORDER_STEPS}) * {DISORDER_STEP_MS}"
+    arr = arrival_sql()
     return (f"SELECT {MS} AS t, event_id AS id, event_type AS k, {v} AS v, {arr} AS arr, "
             f"value AS raw_v FROM events")
 
@@ -54,19 +58,19 @@ def annotated(src: str, n: int = 1, p: int = 1) -> str:
         "m AS (SELECT *, coalesce(em, mvis) AS mafter FROM m0)")
 
 
-def pairs(size: int, slide: int, bound: int) -> str:
+def pairs(size: int, slide: int, bound: int, lateness: int = 0) -> str:
     """CTEs ``x``, ``y``: (row, window) pairs with a ``closed`` flag; needs ``m``."""
     k = math.ceil(size / slide)
     return (f"x AS (SELECT m.*, (t - t % {slide}) - unnest(range({k})) * {slide} AS ws FROM m WHERE t IS NOT NULL),\n"
-            f"y AS (SELECT *, ws + {size} AS we, coalesce(ws + {size} - 1 <= mvis - {bound}, false) AS closed "
+            f"y AS (SELECT *, ws + {size} AS we, coalesce(ws + {size} - 1 + {lateness} <= mvis - {bound}, false) AS closed "
             f"FROM x WHERE ws <= t AND t < ws + {size})")
 
 
 def result_sql(src: str, size: int, slide: int | None, bound: int, n: int = 1, p: int = 1,
-               agg: str = "sum(v)", agg_alias: str = "sum_tip", key_alias: str = "taxi_id") -> str:
+               agg: str = "sum(v)", agg_alias: str = "sum_tip", key_alias: str = "taxi_id", lateness: int = 0) -> str:
     slide = slide or size
     return f"""WITH {annotated(src, n, p)},
-{pairs(size, slide, bound)},
+{pairs(size, slide, bound, lateness)},
 r AS (SELECT ws, we, k, {agg} AS agg FROM y WHERE NOT closed AND k IS NOT NULL GROUP BY ws, we, k),
 f AS (SELECT e.we, min(m.mafter) AS fire FROM (SELECT DISTINCT we FROM r) e JOIN m ON m.mafter - {bound} >= e.we - 1 GROUP BY e.we)
 SELECT r.ws AS window_start_ms, r.k AS {key_alias}, r.agg AS {agg_alias},
