@@ -96,18 +96,16 @@ def accuracy_verdicts(aligned: DataFrame, tolerance: float = 0.01, group: list[s
                     (F.col("correct") / F.col("n_keys") * 100).alias("accuracy_pct"))
 
 
-def average_delay(result: DataFrame, include_flushed: bool = False, group: list[str] = ()) -> DataFrame:
-    """Average firing delay in minutes over result lines (0 when none).
+def delay_columns(include_flushed: bool = False, suffix: str = "") -> list[Column]:
+    """Average firing delay in minutes over result lines (0 when none) and the
+    number of lines in it.
 
     Default leaves flushed windows out (sliding rule); ``include_flushed``
     counts their -1 as the tumbling comparison script did.
     """
-    ok = F.lit(True) if include_flushed else ~F.col("flushed")
-    d = F.when(ok, F.col("delay_ms"))
-    cnt = F.count(d)
-    return result.groupBy(*group).agg(
-        F.coalesce(F.sum(d).cast("double") / cnt / F.lit(60000.0), F.lit(0.0)).alias("avg_delay_min"),
-        cnt.alias("n_delay"))
+    d = F.col("delay_ms") if include_flushed else F.when(~F.col("flushed"), F.col("delay_ms"))
+    return [F.coalesce(F.sum(d).cast("double") / F.count(d) / F.lit(60000.0), F.lit(0.0)).alias("avg_delay_min" + suffix),
+            F.count(d).alias("n_delay" if not suffix else "n" + suffix)]
 
 
 def scored_windows(ann: DataFrame, ts_ms: str, keys: list[str], size_ms: int, slide_ms: int | None = None,

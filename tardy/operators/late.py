@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tardy.functions.columns import col_of
-from tardy.operators.windows import assign_windows, latest_start
+from tardy.operators.windows import latest_start
 from tardy.session import materialize
 
 
@@ -57,25 +57,6 @@ def late_count(late_df: DataFrame) -> DataFrame:
     return late_df.agg(F.count(F.lit(1)).alias("late_rows"))
 
 
-def open_pairs(on_time: DataFrame, ts_ms: str, size_ms: int, slide_ms: int | None = None,
-               wm: str = "wm_ms", allowed_lateness_ms: int = 0) -> DataFrame:
-    pairs = assign_windows(on_time, ts_ms, size_ms, slide_ms)
-    return pairs.where(~closed_expr(F.col("window_end_ms"), F.col(wm), allowed_lateness_ms))
-
-
-def window_aggregate(ann: DataFrame, ts_ms: str, keys: list[str], aggs: list[Column],
-                     size_ms: int, slide_ms: int | None = None, wm: str = "wm_ms",
-                     allowed_lateness_ms: int = 0, extra_group: list[str] = ()) -> DataFrame:
-    """Aggregate open (row, window) pairs per (window, keys).
-
-    Late rows are dropped before the explode; the group-by runs as partial +
-    final hash aggregation, so hot keys are combined map-side.
-    """
-    on_time, _ = split_late(ann, ts_ms, size_ms, slide_ms, wm, allowed_lateness_ms)
-    pairs = open_pairs(on_time, ts_ms, size_ms, slide_ms, wm, allowed_lateness_ms)
-    return pairs.groupBy(*extra_group, "window_start_ms", "window_end_ms", *keys).agg(*aggs)
-
-
 def attach_delay(result: DataFrame, fires: DataFrame, on: list[str] = ("window_end_ms",)) -> DataFrame:
     """Add ``delay_ms`` (``fire_max - end`` or -1) and ``flushed``."""
     on = list(on)

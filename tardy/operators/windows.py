@@ -38,7 +38,3 @@ def assign_windows(df: DataFrame, ts_ms: str, size_ms: int, slide_ms: int | None
                .where(t < F.col(ws) + F.lit(size))
                .drop("_wj"))
     return out.withColumn(we, F.col(ws) + F.lit(size))
-
-
-def tumbling_floor(ts_ms, size_ms: int) -> Column:
-    return floor_ms(ts_ms, size_ms)

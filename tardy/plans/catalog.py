@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tardy.operators import accuracy as acc
-from tardy.operators.late import split_late
+from tardy.operators.late import late_count, split_late
 from tardy.plans import oracle as O
 from tardy.plans.replay import (DAY_MS, HOUR_MS, MINUTE_MS, EVENT_ORDER, WindowSpec, annotate,
                                 event_trips, table, tips_result, windowed_result)
@@ -77,7 +77,7 @@ def q_tips_job_files(spark, sf_dir):
     from tardy.plans.jobs import replay_files
     res, late = replay_files(spark, f"{sf_dir}/events.parquet", WindowSpec(HOUR_MS), 5 * MINUTE_MS, columns=EVENTS_COLUMNS)
     rows = res.select("window_start_ms", "taxi_id", "sum_tip", "delay_ms", "flushed", F.lit(0).cast("long").alias("late_rows"))
-    count = late.agg(F.count(F.lit(1)).alias("late_rows")).select(
+    count = late_count(late).select(
         F.lit(-1).cast("long").alias("window_start_ms"), F.lit("").alias("taxi_id"), F.lit(0.0).alias("sum_tip"),
         F.lit(-1).cast("long").alias("delay_ms"), F.lit(False).alias("flushed"), "late_rows")
     return rows.unionByName(count)
@@ -123,7 +123,7 @@ def q_late_rows(spark, sf_dir):
 
 @register("late_count", f"""SELECT count(*) AS late_rows FROM ({O.late_rows_sql(EV, HOUR_MS, None, B60)}) q""")
 def q_late_count(spark, sf_dir):
-    return q_late_rows(spark, sf_dir).agg(F.count(F.lit(1)).alias("late_rows"))
+    return late_count(q_late_rows(spark, sf_dir))
 
 
 @register("window_delay", f"""SELECT DISTINCT window_start_ms, window_start_ms + {HOUR_MS} AS window_end_ms,
@@ -235,13 +235,7 @@ def q_accuracy_verdicts(spark, sf_dir):
 FROM ({O.result_sql(EV, HOUR_MS, None, B60)}) q""")
 def q_avg_delay(spark, sf_dir):
     res = tips_result(event_trips(spark, sf_dir), B60, TUMBLE)
-    d = F.when(~F.col("flushed"), F.col("delay_ms"))
-    return res.agg(
-        F.coalesce(F.sum(d).cast("double") / F.count(d) / F.lit(60000.0), F.lit(0.0)).alias("avg_delay_min"),
-        F.count(d).alias("n_delay"),
-        F.coalesce(F.sum("delay_ms").cast("double") / F.count("delay_ms") / F.lit(60000.0),
-                   F.lit(0.0)).alias("avg_delay_min_all"),
-        F.count("delay_ms").alias("n_all"))
+    return res.agg(*acc.delay_columns(), *acc.delay_columns(include_flushed=True, suffix="_all"))
 
 
 # --- sweep -------------------------------------------------------------------
@@ -542,11 +536,10 @@ def q_adjust_delay(spark, sf_dir):
 
 # --- live (Structured Streaming) -------------------------------------------------
 
-LIVE_TIMEOUT_S = 1800
-
 @register("live_tumbling_sum", O.result_sql(EV, HOUR_MS, None, B60))
 def q_live_tumbling_sum(spark, sf_dir):
-    """The tumbling job fed as 4 micro-batches through ``foreachBatch``.
+    """The tumbling job fed as micro-batches through ``foreachBatch``, one for
+    each two million rows of the arrival order (four at least).
 
     The feed files and outputs live under the session's checkpoint folder; the
     answer must equal the batch replay (same oracle as ``tumbling_sum``).
@@ -555,12 +548,10 @@ def q_live_tumbling_sum(spark, sf_dir):
     from tardy.streaming.live import LiveReplay, write_arrival_files
     base = scratch_path(spark, "live")
     trips = event_trips(spark, sf_dir)
-    write_arrival_files(trips, EVENT_ORDER, f"{base}/feed", 4)
+    write_arrival_files(trips, EVENT_ORDER, f"{base}/feed", max(4, -(-trips.count() // 2_000_000)))
     live = LiveReplay(f"{base}/out", "start_ms", EVENT_ORDER, B60, size_ms=HOUR_MS)
     stream = spark.readStream.schema(trips.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/feed")
     q = live.start(stream, f"{base}/ckpt")
-    if not q.awaitTermination(LIVE_TIMEOUT_S):
-        q.stop()
-        raise TimeoutError(f"live replay did not finish within {LIVE_TIMEOUT_S} s")
+    q.awaitTermination()
     res = windowed_result(live.annotated(spark), B60, TUMBLE, ["taxi_id"], [F.sum("tip").alias("sum_tip")])
     return res.select("window_start_ms", "taxi_id", "sum_tip", "delay_ms", "flushed")
