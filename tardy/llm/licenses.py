@@ -15,7 +15,6 @@ of ``WINDOW`` words equals a template window and is never missed.
 from __future__ import annotations
 
 import math
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -69,10 +68,11 @@ def _windows(rows: DataFrame, keys: list[str], words: str) -> DataFrame:
 
 
 def _bands(windows: DataFrame, keys: list[str], bands: int) -> DataFrame:
-    """(keys, m0..): the least hash of the window's pairs for each band."""
-    pairs = range(WINDOW - 1)
-    return windows.select(*keys, *[
-        F.least(*[F.when(F.col(f"g{i}").isNotNull(), F.xxhash64(f"g{i}", F.lit(b))) for i in pairs]).alias(f"m{b}") for b in range(bands)])
+    """(keys, value): the least hash of a window's pairs for each band, a row
+    each; the band is part of the hash, so a value belongs to one band.  (All
+    bands of a window in one row make generated code too long to compile.)"""
+    each = windows.select(*keys, *[f"g{i}" for i in range(WINDOW - 1)], F.explode(F.sequence(F.lit(0), F.lit(bands - 1))).alias("band"))
+    return each.select(*keys, F.least(*[F.when(F.col(f"g{i}").isNotNull(), F.xxhash64(f"g{i}", "band")) for i in range(WINDOW - 1)]).alias("value"))
 
 
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, str] | None = None,
@@ -90,20 +90,13 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     templates = TEMPLATES if templates is None else templates
     bands = band_count(miss=miss)
     known = spark.createDataFrame(sorted(templates.items()), "license string, t string").select("license", license_words(F.col("t")).alias("w")).where(F.size("w") > 1)
-    # the template set is a parameter: its windows and pairs are a few rows for each notice
-    probe = _bands(_windows(known, ["license"], "w"), ["license"], bands)
-    values = probe.select("license", F.explode(F.array(*[F.struct(F.lit(b).alias("band"), F.col(f"m{b}").alias("value")) for b in range(bands)])).alias("x"))
-    values = values.select("license", "x.band", "x.value").distinct().collect()
-    by_band = [sorted({r["value"] for r in values if r["band"] == b}) for b in range(bands)]
+    # the template set is a parameter: a few rows for each of its words
+    table = materialize(_bands(_windows(known, ["license"], "w"), ["license"], bands).where("value is not null").distinct())
     pairs = known.select("license", _pairs(F.col("w")).alias("pairs"))
 
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text")).withColumn("_key", F.xxhash64("_id", "_text"))
-    hashed = _bands(_windows(rows.select("_key", license_words(F.col("_text")).alias("w")), ["_key"], "w"), ["_key"], bands)
-    hit = hashed.where(reduce(lambda a, b: a | b, [F.col(f"m{b}").isin(by_band[b]) for b in range(bands)]))
-    found = hit.select("_key", F.explode(F.array(*[F.struct(F.lit(b).alias("band"), F.col(f"m{b}").alias("value")) for b in range(bands)])).alias("x"))
-    table = spark.createDataFrame([(r["license"], r["band"], r["value"]) for r in values], "license string, band int, value long")
-    candidates = materialize(found.select("_key", "x.band", "x.value").join(F.broadcast(table), ["band", "value"])
-                             .select("_key", "license").distinct())
+    values = _bands(_windows(rows.select("_key", license_words(F.col("_text")).alias("w")), ["_key"], "w"), ["_key"], bands)
+    candidates = materialize(values.join(F.broadcast(table), "value").select("_key", "license").distinct())
     texts = rows.select("_key", "_text").join(candidates.select("_key").distinct(), "_key", "left_semi").dropDuplicates(["_key"])
     checked = (texts.select("_key", _pairs(license_words(F.col("_text"))).alias("own")).join(candidates, "_key").join(F.broadcast(pairs), "license")
                .where(F.size(F.array_intersect("own", "pairs")) >= F.lit(containment) * F.size("pairs")))
