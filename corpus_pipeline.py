@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tardy.llm.decontaminate import decontaminate
 from tardy.llm.langid import UNKNOWN, held_out, predict_language, train_language
 from tardy.llm.near_dedup import drop_near_duplicates
-from tardy.llm.piece_sampling import decode_pieces, sample_pieces
+from tardy.llm.piece_sampling import sample_pieces
 from tardy.llm.quality import fit_quality, score_quality
 from tardy.llm.queries import prepare, table
 from tardy.session import materialize
@@ -58,10 +58,7 @@ def piece_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Sampled segmentations of every document: ids, scores and whether they
     decode to the document's text again."""
     prepare(spark)
-    made = sample_pieces(docs.withColumn("_sha", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)))
-    back = decode_pieces(made, text_out="_back")
-    return back.select("doc_id", "lang", "source", "sample", "n_ids", "ids", "log_prob", "log_inclusion",
-                       (F.sha2(F.col("_back").cast("binary"), 256) == F.col("_sha")).alias("round_trip"))
+    return sample_pieces(docs).select("doc_id", "lang", "source", "sample", "n_ids", "ids", "log_prob", "log_inclusion", "round_trip")
 
 
 STAGES = [

@@ -57,18 +57,19 @@ class Pieces:
                 if sp.get_score(i) > -1e8 or len(piece) == 1:    # a lone space is ranked last
                     words[raw] = (i, -float(np.log(10 - max(sp.get_score(i), -sp.get_piece_size()))))
         # trie over bytes; row 0: nowhere, row 1: root
-        rows, at = [[0] * 256, [0] * 256], {b"": 1}
+        steps, at = [], {b"": 1}
         final, logp = [-1, -1], [0.0, 0.0]
         for raw, (i, lp) in sorted(words.items()):
             for n in range(1, len(raw) + 1):
                 if raw[:n] not in at:
-                    at[raw[:n]] = len(rows)
-                    rows[at[raw[:n - 1]]][raw[n - 1]] = len(rows)
-                    rows.append([0] * 256)
+                    at[raw[:n]] = len(final)
+                    steps.append((at[raw[:n - 1]], raw[n - 1], len(final)))
                     final.append(-1)
                     logp.append(0.0)
             final[at[raw]], logp[at[raw]] = i, lp
-        self.next = np.array(rows, np.int32)
+        self.next = np.zeros((len(final), 256), np.int32)
+        frm, byte, to = np.array(steps).T
+        self.next[frm, byte] = to
         self.final, self.logp = np.array(final, np.int32), np.array(logp)
         self.longest = max(map(len, words))
         self.single = {raw for raw in words if len(raw.decode()) == 1}
@@ -289,10 +290,10 @@ def sample_segmentations(pieces: Pieces, texts: list[str], keys: np.ndarray, k:
     cut = np.searchsorted(doc[unit], np.arange(len(texts) + 1))
     paths: list[list[_Path]] = []
     agenda: list[list] = []
+    tops = -np.log(-np.log(_uniform(base, np.zeros(len(texts), np.int64))))
     for d in range(len(texts)):
         a, b = cut[d], cut[d + 1]
-        top = -np.log(exponential(d, 0, 1)[0])
-        paths.append([_Path(edge[a:b], unit[a:b], log_edge[edge[a:b]], top)])
+        paths.append([_Path(edge[a:b], unit[a:b], log_edge[edge[a:b]], float(tops[d]))])
         agenda.append([])
         _open(lat, agenda[d], paths[d][0], 0, 0.0, (), lambda n, d=d: exponential(d, 1, n), k)
     for round_ in range(1, k):

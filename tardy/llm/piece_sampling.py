@@ -13,6 +13,8 @@ from tardy.llm.piece_lattice import default_model, load, sample_segmentations
 from tardy.llm.text import batches
 
 SAMPLES = 2
+#: characters whose lattices are held at once (a hundred bytes of arrays each)
+LATTICE_CHARS = 1 << 20
 
 
 def _keys(column: pa.Array) -> np.ndarray:
@@ -22,7 +24,8 @@ def _keys(column: pa.Array) -> np.ndarray:
 def sample_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SAMPLES, seed: int = 0,
                   model: str | None = None) -> DataFrame:
     """``docs`` without ``text_col`` and with up to ``k`` segmentations a row:
-    ``sample, n_ids, ids, log_prob, log_inclusion``.
+    ``sample, n_ids, ids, log_prob, log_inclusion, round_trip`` (whether the
+    ids, decoded again, spell the text).
 
     Each row's text is cut into pieces of the model in ``k`` distinct ways,
     drawn without replacement from the piece lattice's distribution (see
@@ -33,11 +36,11 @@ def sample_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Every sample decodes to the text exactly.  A null text reads as empty; an
     empty text has the one segmentation of its leading space.  A null id draws
     as id 0; repeated rows draw alike.  Whole texts are read; lattices are
-    built for about eight million characters at a time.  Columns named like an
+    built for about a million characters at a time.  Columns named like an
     output are replaced.
     """
     path = model or default_model()
-    outs = ("sample", "n_ids", "ids", "log_prob", "log_inclusion")
+    outs = ("sample", "n_ids", "ids", "log_prob", "log_inclusion", "round_trip")
     keep = [c for c in docs.columns if c != text_col and c not in outs]
     inner = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)],
                         F.col(f"`{id_col}`").cast("long").alias("_id"), F.col(f"`{text_col}`").cast("string").alias("_text"))
@@ -46,22 +49,25 @@ def sample_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         pieces = load(path)
         for batch in it:
             texts, keys = [t or "" for t in batch.column(batch.num_columns - 1).to_pylist()], _keys(batch.column(batch.num_columns - 2))
-            for lo, hi in batches(texts):
+            for lo, hi in batches(texts, LATTICE_CHARS):
                 found = sample_segmentations(pieces, texts[lo:hi], keys[lo:hi], k, seed)
                 row = np.repeat(np.arange(lo, hi), [len(x) for x in found])
                 flat = [y for x in found for y in x]
                 sizes = np.array([len(y[0]) for y in flat], np.int64)
-                ids = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)),
-                                               pa.array(np.concatenate([y[0] for y in flat]) if flat else np.zeros(0, np.int32), pa.int32()))
+                cut = np.concatenate((np.zeros(1, np.int64), np.cumsum(sizes)))
+                every = np.concatenate([y[0] for y in flat]) if flat else np.zeros(0, np.int32)
+                spelt = pieces.decode_many(every, cut)
+                ids = pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array(every, pa.int32()))
                 take = pa.array(row)
                 yield pa.RecordBatch.from_arrays(
                     [c.take(take) for c in batch.columns[:-2]]
                     + [pa.array([i for x in found for i in range(len(x))], pa.int32()), pa.array(sizes), ids,
-                       pa.array([y[1] for y in flat], pa.float64()), pa.array([y[2] for y in flat], pa.float64())],
+                       pa.array([y[1] for y in flat], pa.float64()), pa.array([y[2] for y in flat], pa.float64()),
+                       pa.array([t == texts[i] for t, i in zip(spelt, row.tolist())], pa.bool_())],
                     names=[f"c{i}" for i in range(len(keep))] + list(outs))
 
     schema = ", ".join([f"c{i} {t}" for i, (_, t) in enumerate(docs.select(*[F.col(f"`{c}`") for c in keep]).dtypes)]
-                       + ["sample int, n_ids long, ids array<int>, log_prob double, log_inclusion double"])
+                       + ["sample int, n_ids long, ids array<int>, log_prob double, log_inclusion double, round_trip boolean"])
     return inner.mapInArrow(run, schema).toDF(*keep, *outs)
 
 

@@ -145,7 +145,7 @@ class GatedAttention:
 def _features(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in it:
         texts = batch.column(1).to_pylist()
-        for lo, hi in batches(texts, 2 << 20):
+        for lo, hi in batches(texts):
             x, owner = passages(texts[lo:hi])
             cut = np.searchsorted(owner, np.arange(hi - lo + 1))
             yield pa.RecordBatch.from_arrays(
@@ -191,7 +191,7 @@ def score_quality(docs: DataFrame, model: GatedAttention | None, text_col: str =
         m = sent.value
         for batch in it:
             texts = batch.column(batch.num_columns - 1).to_pylist()
-            parts = [m.scores(texts[lo:hi]) if m else np.full(hi - lo, 0.5) for lo, hi in batches(texts, 2 << 20)]
+            parts = [m.scores(texts[lo:hi]) if m else np.full(hi - lo, 0.5) for lo, hi in batches(texts)]
             yield pa.RecordBatch.from_arrays(batch.columns[:-1] + [pa.array(np.concatenate(parts) if parts else [], pa.float64())],
                                              names=[f"c{i}" for i in range(len(keep))] + ["_score"])
 

@@ -14,7 +14,7 @@ from tardy.llm.html_text import extract_text
 from tardy.llm.langid import held_out, predict_language, train_language
 from tardy.llm.licenses import scan_licenses
 from tardy.llm.near_dedup import near_duplicates
-from tardy.llm.piece_sampling import decode_pieces, sample_pieces
+from tardy.llm.piece_sampling import sample_pieces
 from tardy.llm.quality import fit_quality, score_quality
 from tardy.llm.urls import filter_urls
 from tardy.llm.weighted_sampling import fingerprint_edits
@@ -42,10 +42,8 @@ def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    back = decode_pieces(sample_pieces(docs.withColumn("_sha", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256))), text_out="_back")
-    return back.select("doc_id", "sample", "n_ids", F.xxhash64("ids").alias("ids_hash"), "log_prob", "log_inclusion",
-                       (F.sha2(F.col("_back").cast("binary"), 256) == F.col("_sha")).alias("round_trip"))
+    made = sample_pieces(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return made.select("doc_id", "sample", "n_ids", F.xxhash64("ids").alias("ids_hash"), "log_prob", "log_inclusion", "round_trip")
 
 
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:

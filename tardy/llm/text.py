@@ -51,7 +51,7 @@ ALNUM = np.zeros(256, bool)
 ALNUM[48:58] = ALNUM[65:91] = ALNUM[97:123] = ALNUM[128:] = True
 
 
-def batches(texts: list[str | None], budget: int = 8 << 20) -> Iterator[tuple[int, int]]:
+def batches(texts: list[str | None], budget: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Index ranges of texts with about ``budget`` characters each."""
     start = size = 0
     for i, t in enumerate(texts):

@@ -88,8 +88,9 @@ def test_dataframe_form(spark):
     rows = [(1, "some text here", 7), (1, "some text here", 8), (2, None, 9), (None, "null id", 1), (3, "", 2)]
     df = spark.createDataFrame(rows, "doc_id long, text string, sample int")
     out = sample_pieces(df.withColumnRenamed("sample", "extra").withColumn("ids", F.lit(5)), k=3)
-    assert out.columns == ["doc_id", "extra", "sample", "n_ids", "ids", "log_prob", "log_inclusion"]
+    assert out.columns == ["doc_id", "extra", "sample", "n_ids", "ids", "log_prob", "log_inclusion", "round_trip"]
     back = decode_pieces(out).collect()
+    assert all(r["round_trip"] for r in back)
     assert {(r["extra"], r["text"]) for r in back} == {(7, "some text here"), (8, "some text here"), (9, ""), (1, "null id"), (2, "")}
     assert [r["ids"] for r in back if r["extra"] == 7] == [r["ids"] for r in back if r["extra"] == 8]
     assert all(r["n_ids"] == len(r["ids"]) for r in back) and sum(r["extra"] == 7 for r in back) == 3
