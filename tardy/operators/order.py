@@ -185,7 +185,7 @@ def prefix_max(df: DataFrame, value: str, order_by: list[str], by: tuple | list
                                          F.min(value).alias("_bmin"))
     carry = _carry(summary, by, ["_bmax"], "_bcnt", whole_min={"_bmin": global_min} if global_min else None)
     if not by:
-        # one row per block: bounded by MAX_BLOCKS, safe to broadcast
+        # one row per block
         carry = F.broadcast(carry)
 
     w = Window.partitionBy(BLK, *by).orderBy(*order_by)
