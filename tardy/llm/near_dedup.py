@@ -172,7 +172,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataF
         F.col("member").alias("_id"), "center", F.pmod(F.xxhash64("member"), F.col("copies")).cast("int").alias("salt"), "member")
     centers = copies.select(F.col("center").alias("_id"), "center",
                             F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("salt"), F.lit(None).cast("long").alias("member"))
-    rows = members.unionByName(centers).join(texts, "_id")
+    rows = members.unionByName(centers).join(texts.hint("merge"), "_id")
     return (rows.repartition("center", "salt").sortWithinPartitions("center", "salt", F.col("member").asc_nulls_first())
             .select("center", "salt", "member", "_text")
             .mapInArrow(_compare(k, percent), "center long, member long"))
@@ -269,7 +269,7 @@ def _between_components(members: DataFrame, texts: DataFrame, k: int, percent: i
         F.col("rep").alias("_id"), F.col("pivot").alias("_cluster"), F.col("component").alias("_component"),
         F.explode(F.when(is_home, home).otherwise(outer)).alias("x"))
     dealt = dealt.select("_id", "_cluster", "_component", F.col("x.i").alias("_i"), F.col("x.j").alias("_j"), F.col("x.side").alias("_side"))
-    full = dealt.join(texts, "_id")
+    full = dealt.join(texts.hint("merge"), "_id")
     return (full.repartition("_cluster", "_i", "_j").sortWithinPartitions("_cluster", "_i", "_j")
             .select("_cluster", "_i", "_j", "_side", "_id", "_component", "_text").mapInArrow(_compare_blocks(k, percent), "center long, member long"))
 
@@ -302,7 +302,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     banded = classes.where("rep is not null").select("rep", F.explode("bands").alias("band"))
     shared = banded.groupBy("band").agg(F.min("rep").alias("pivot"), F.max("rep").alias("top")).where("pivot <> top").select("band", "pivot")
     members = materialize(banded.join(shared, "band").select("pivot", "rep").distinct())
-    texts = materialize(src.where("_id is not null").join(members.select(F.col("rep").alias("_id")).distinct(), "_id", "left_semi"))
+    # a merge join at every size: what is wanted follows the input and is no broadcast
+    texts = materialize(src.where("_id is not null").join(members.select(F.col("rep").alias("_id")).distinct().hint("merge"), "_id", "left_semi"))
     # each class against the smallest id it shares a band with
     first = members.groupBy(F.col("rep").alias("member")).agg(F.min("pivot").alias("center")).where("member <> center")
     links = materialize(_verified(materialize(first), texts, k, percent))
