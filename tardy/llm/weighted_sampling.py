@@ -1,19 +1,22 @@
 """Document fingerprints by consistent weighted sampling, in DataFrame functions.
 
 A text is the weighted set of its word pairs (weight: how often each occurs).
-Pairs are dealt by hash into ``BINS`` bins, and every bin is sampled ``DRAWS``
-times.  For a draw every pair k has, by hash alone, gamma variates r and c
-(shape 2) and a uniform b; with t = floor(ln(weight) / r + b) and
-ln y = r (t - b) it offers ln a = ln c - ln y - r.  The pair of the bin with the
-least offer is the sample, and two texts agree on it with probability
-sum(min) / sum(max) of their weights in the bin, the generalised Jaccard
-similarity.  The least offer itself stands for (pair, t): equal offers come
-from equal pairs and levels.  The likeness of two texts is the share of agreeing
-samples among those that either text has; the bins make one evaluation of a
-pair serve its own bin only, so its cost does not follow the signature's size.
-
-Gamma variates are looked up by hash bits in tables of quantiles, so an offer
+Every one of ``ROUNDS * DRAWS`` samples is drawn over all pairs of the text.
+For a sample every pair k has, by hash alone, gamma variates r and c (shape 2)
+and a uniform b; with t = floor(ln(weight) / r + b) and ln y = r (t - b) it
+offers ln a = ln c - ln y - r.  The pair with the least offer is the sample,
+and two texts agree on it with probability sum(min) / sum(max) of their
+weights, the generalised Jaccard similarity.  The least offer itself stands for
+(pair, t): equal offers come from equal pairs and levels.  The likeness of two
+texts is the share of samples on which they agree.
+
+Gamma variates are looked up by hash bits in a table of quantiles, so an offer
 costs one hash, two look-ups and a little arithmetic inside generated code.
+The least of n offers comes from a small c and a large r, about 1 / n deep in
+their tails, so the table is graded: ``GRADES`` times over, the outermost 1/64
+of a grade is divided into 64 times finer steps (2 ** -24 in the last).
+A row makes ``DRAWS`` offers; more of them would make a generated method too
+long to be compiled.
 """
 
 from __future__ import annotations
@@ -26,24 +29,38 @@ from pyspark.sql import functions as F
 
 from tardy.session import materialize
 
-BIN_BITS = 4
-BINS, DRAWS = 1 << BIN_BITS, 2
+ROUNDS, DRAWS = 8, 4
 #: characters of text in one bucket of neighbouring documents
 BUCKET_CHARS = 4_000_000
-_R_BITS, _C_BITS, _B_BITS = 10, 12, 30
+#: tasks that the buckets are dealt to at most
+MAX_TASKS = 50_000
+_GRADE_BITS, _STEP_BITS, GRADES = 12, 6, 3
+_TAIL_BITS = _GRADE_BITS + (GRADES - 1) * _STEP_BITS
+_B_BITS = 64 - 2 * _TAIL_BITS
 _LEAST_ID = -(1 << 63)
 
 
-def gamma2_quantiles(n: int) -> list[float]:
-    """Quantiles of the gamma distribution of shape 2 at (i + 1/2) / n, by
-    bisection of its distribution function 1 - (1 + x) exp(-x)."""
-    out = []
-    for i in range(n):
-        lo, hi, p = 0.0, 60.0, (i + 0.5) / n
-        for _ in range(60):
-            mid = (lo + hi) / 2
-            lo, hi = (mid, hi) if 1 - (1 + mid) * math.exp(-mid) < p else (lo, mid)
-        out.append((lo + hi) / 2)
+def gamma2_tail(upper: bool) -> np.ndarray:
+    """Quantiles of the gamma distribution of shape 2, graded towards its lower
+    or upper end: entry g * 2^12 + i is at the mass (i + 1/2) / 2^(12 + 6 g)
+    from that end, by bisection."""
+    mass = np.concatenate([(np.arange(1 << _GRADE_BITS) + 0.5) / (1 << (_GRADE_BITS + _STEP_BITS * g)) for g in range(GRADES)])
+    lo, hi = np.zeros(len(mass)), np.full(len(mass), 60.0)
+    for _ in range(60):
+        mid = (lo + hi) / 2
+        over = (1 + mid) * np.exp(-mid)                    # mass above mid
+        right = over > mass if upper else 1 - over < mass
+        lo, hi = np.where(right, mid, lo), np.where(right, hi, mid)
+    return (lo + hi) / 2
+
+
+def _place(v: Column) -> Column:
+    """Place of a hash value of 24 bits in the graded table: the coarsest grade
+    in which it lies at 64 steps or more from the end."""
+    out = (v + F.lit((GRADES - 1) << _GRADE_BITS))
+    for g in range(GRADES - 2, -1, -1):
+        shift = (GRADES - 1 - g) * _STEP_BITS
+        out = F.when(v >= 1 << (shift + _STEP_BITS), F.shiftright(v, shift) + F.lit(g << _GRADE_BITS)).otherwise(out)
     return out
 
 
@@ -55,38 +72,36 @@ def word_pairs(text: Column) -> Column:
 
 
 def samples(texts: DataFrame, keys: list[str], text: str) -> DataFrame:
-    """(keys, sig): the least offer of each bin and draw, null in empty bins.
+    """(keys, sig): the least offer of each sample over all pairs of a text.
     Needs no shuffle if ``texts`` is partitioned by one of the keys."""
     pair = texts.select(*keys, F.explode(word_pairs(F.col(text))).alias("p"))
     weight = pair.select(*keys, F.xxhash64("p").alias("k")).groupBy(*keys, "k").agg(F.count(F.lit(1)).alias("n"))
-    r_table = F.lit(np.array(gamma2_quantiles(1 << _R_BITS)))
-    c_table = F.lit(np.log(gamma2_quantiles(1 << _C_BITS)))
+    r_table, c_table = F.lit(gamma2_tail(upper=True)), F.lit(np.log(gamma2_tail(upper=False)))
 
     def bits(h, shift, n):
-        return F.shiftrightunsigned(h, shift).bitwiseAND(F.lit((1 << n) - 1))
+        return F.shiftrightunsigned(h, shift).bitwiseAND(F.lit((1 << n) - 1)).cast("int")
 
     draws = range(DRAWS)
-    hashed = weight.select(*keys, F.shiftrightunsigned("k", 64 - BIN_BITS).cast("int").alias("bin"), F.log(F.col("n").cast("double")).alias("w"),
-                           *[F.xxhash64("k", F.lit(j)).alias(f"h{j}") for j in draws])
-    drawn = hashed.select(*keys, "bin", "w", *[c for j in draws for c in (
-        F.get(r_table, bits(F.col(f"h{j}"), 0, _R_BITS).cast("int")).alias(f"r{j}"),
-        F.get(c_table, bits(F.col(f"h{j}"), _R_BITS, _C_BITS).cast("int")).alias(f"c{j}"),
-        (bits(F.col(f"h{j}"), _R_BITS + _C_BITS, _B_BITS) * F.lit(2.0 ** -_B_BITS)).alias(f"b{j}"))])
-    offers = drawn.select(*keys, "bin", *[
+    turns = weight.select(*keys, "k", F.log(F.col("n").cast("double")).alias("w"), F.explode(F.sequence(F.lit(0), F.lit(ROUNDS - 1))).alias("round"))
+    hashed = turns.select(*keys, "round", "w", *[F.xxhash64("k", "round", F.lit(j)).alias(f"h{j}") for j in draws])
+    cut = hashed.select(*keys, "round", "w", *[c for j in draws for c in (
+        bits(F.col(f"h{j}"), 0, _TAIL_BITS).alias(f"r{j}"), bits(F.col(f"h{j}"), _TAIL_BITS, _TAIL_BITS).alias(f"c{j}"),
+        ((bits(F.col(f"h{j}"), 2 * _TAIL_BITS, _B_BITS) + F.lit(0.5)) * F.lit(2.0 ** -_B_BITS)).alias(f"b{j}"))])
+    drawn = cut.select(*keys, "round", "w", *[c for j in draws for c in (
+        F.get(r_table, _place(F.col(f"r{j}"))).alias(f"r{j}"), F.get(c_table, _place(F.col(f"c{j}"))).alias(f"c{j}"), F.col(f"b{j}"))])
+    offers = drawn.select(*keys, "round", *[
         (F.col(f"c{j}") - F.col(f"r{j}") * (F.floor(F.col("w") / F.col(f"r{j}") + F.col(f"b{j}")) - F.col(f"b{j}") + 1)).alias(f"a{j}") for j in draws])
-    least = offers.groupBy(*keys, "bin").agg(*[F.min(f"a{j}").alias(f"a{j}") for j in draws])
-    wide = least.groupBy(*keys).agg(*[F.max(F.when(F.col("bin") == b, F.col(f"a{j}"))).alias(f"s{b}_{j}") for b in range(BINS) for j in draws])
-    return wide.select(*keys, F.array(*[f"s{b}_{j}" for b in range(BINS) for j in draws]).alias("sig"))
+    least = offers.groupBy(*keys, "round").agg(*[F.min(f"a{j}").alias(f"a{j}") for j in draws])
+    wide = least.groupBy(*keys).agg(*[F.max(F.when(F.col("round") == i, F.col(f"a{j}"))).alias(f"s{i}_{j}") for i in range(ROUNDS) for j in draws])
+    return wide.select(*keys, F.array(*[f"s{i}_{j}" for i in range(ROUNDS) for j in draws]).alias("sig"))
 
 
 def likeness(a: str, b: str) -> Column:
-    """Share of samples on which two signatures agree, of those either has."""
-    same = either = F.lit(0)
-    for j in range(BINS * DRAWS):
-        x, y = F.get(a, F.lit(j)), F.get(b, F.lit(j))
-        same = same + F.coalesce((x == y).cast("int"), F.lit(0))
-        either = either + (x.isNotNull() | y.isNotNull()).cast("int")
-    return same / F.greatest(either, F.lit(1)).cast("double")
+    """Share of samples on which two signatures agree."""
+    same = F.lit(0)
+    for j in range(ROUNDS * DRAWS):
+        same = same + (F.get(a, F.lit(j)) == F.get(b, F.lit(j))).cast("int")
+    return same / F.lit(float(ROUNDS * DRAWS))
 
 
 def digest(sig: str) -> Column:
@@ -94,8 +109,9 @@ def digest(sig: str) -> Column:
     return F.array_join(F.transform(sig, lambda x: F.lpad(F.lower(F.hex(F.shiftrightunsigned(F.xxhash64(x), 32))), 8, "0")), "")
 
 
-def _neighbour_buckets(rows: DataFrame) -> DataFrame:
-    """``rows`` (_id, _tie, _text) with a bucket number; buckets follow the
+def _neighbour_buckets(rows: DataFrame) -> tuple[DataFrame, int]:
+    """``rows`` (_id, _tie, _text) with a bucket number, and the number of
+    buckets; buckets follow the
     order (_id, _tie) descending and hold about ``BUCKET_CHARS`` characters.
 
     The bounds come from a hash sample of the order columns whose size follows
@@ -106,12 +122,12 @@ def _neighbour_buckets(rows: DataFrame) -> DataFrame:
     levels = (wanted - 1).bit_length()
     size = 1 << levels
     if size == 1:
-        return rows.withColumn("_bucket", F.lit(0))
+        return rows.withColumn("_bucket", F.lit(0)), 1
     share = min(1.0, 40 * size / max(1, stat["n"]))
     sample = sorted((r["_id"], r["_tie"]) for r in rows.where(
         F.pmod(F.xxhash64("_tie", "_id", F.lit(1)), F.lit(1 << 30)) < int(share * (1 << 30))).select("_id", "_tie").collect())
     if not sample:
-        return rows.withColumn("_bucket", F.lit(0))
+        return rows.withColumn("_bucket", F.lit(0)), 1
     bounds = [sample[-1 - (i + 1) * len(sample) // size] if i + 1 < size else sample[0] for i in range(size)]
     ids, ties = F.lit(np.array([b[0] for b in bounds], np.int64)), F.lit(np.array([b[1] for b in bounds], np.int64))
     out = rows.withColumn("_bucket", F.lit(0))
@@ -119,7 +135,7 @@ def _neighbour_buckets(rows: DataFrame) -> DataFrame:
         probe = F.col("_bucket") + F.lit((1 << level) - 1)
         below = (F.col("_id") < F.get(ids, probe)) | ((F.col("_id") == F.get(ids, probe)) & (F.col("_tie") < F.get(ties, probe)))
         out = out.select("_id", "_tie", "_text", (F.col("_bucket") + F.when(below, F.lit(1 << level)).otherwise(F.lit(0))).alias("_bucket"))
-    return out
+    return out, size
 
 
 def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -140,7 +156,7 @@ def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
                        F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"))
     null_ids = F.col("_id") == _LEAST_ID
     rows = rows.select("_id", F.xxhash64("_text", "_null").alias("_tie"), "_text")
-    placed = _neighbour_buckets(rows)
+    placed, buckets = _neighbour_buckets(rows)
     order = Window.partitionBy("_bucket").orderBy(F.desc("_id"), F.desc("_tie"))
     # the first document of every bucket follows the last one of the bucket before
     heads = materialize(placed.groupBy("_bucket").agg(F.max_by("_text", F.struct("_id", "_tie")).alias("_head")))
@@ -150,7 +166,8 @@ def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     head_sig = samples(heads, ["_bucket"], "_head").withColumnRenamed("sig", "_head_sig")
     ends = materialize(heads.join(head_sig, "_bucket").join(chain, F.col("_bucket") == F.col("_from"))
                        .select(F.col("_to").alias("_bucket"), "_head", "_head_sig"))
-    lead = (placed.repartition("_bucket").withColumn("_rn", F.row_number().over(order)).withColumn("_next", F.lead("_text").over(order)))
+    # a task counts the pairs of few buckets, so the counts fit its memory; a given number is not coalesced
+    lead = (placed.repartition(min(2 * buckets, MAX_TASKS), "_bucket").withColumn("_rn", F.row_number().over(order)).withColumn("_next", F.lead("_text").over(order)))
     joined = lead.join(ends.select(F.col("_bucket").alias("_b"), "_head"), (F.col("_bucket") == F.col("_b")) & F.col("_next").isNull(), "left")
     n = F.length("_text")
     half = F.floor(n / 2).cast("int")

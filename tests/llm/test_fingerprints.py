@@ -64,3 +64,21 @@ def test_edge_cases(spark):
     assert sorted((str(r["doc_id"]), r["n_chars"]) for r in got) == [("1", 4), ("1", 4), ("1", 5), ("None", 0), ("None", 7)]
     long = "word " * 60_000
     assert ws.fingerprint_edits(spark.createDataFrame([(1, long), (2, "x")], "doc_id long, text string")).where("n_chars = 300000").count() == 1
+
+
+def test_repeated_pairs_keep_their_weight(spark):
+    """The mean error over many texts with a few very frequent pairs is that of
+    the generalised Jaccard similarity, at both ends of the scale."""
+    rng = random.Random(4)
+
+    def own(i, n):
+        return " ".join(f"d{i}x{rng.randrange(10 ** 6)}" for _ in range(n))
+    a = [(f"ha{i} " * 3000 + own(i, 400), f"ha{i} " * 3000 + own(-i, 400)) for i in range(1, 25)]                # about 0.79
+    a += [(f"buy{i} now " * 300 + own(i, 1200), f"buy{i} now " * 900 + own(-i, 1200)) for i in range(25, 49)]    # about 0.14
+    a += [(own(i, 3000), own(-i, 30)) for i in range(49, 52)]
+    df = spark.createDataFrame([(i, *x) for i, x in enumerate(a)], "i long, a string, b string")
+    sa, sb = (ws.samples(df, ["i"], c).withColumnRenamed("sig", f"s{c}") for c in "ab")
+    got = dict(sa.join(sb, "i").select("i", ws.likeness("sa", "sb")).collect())
+    error = [got[i] - jaccard(*x) for i, x in enumerate(a)]
+    assert abs(sum(error[:24]) / 24) < 0.06 and abs(sum(error[24:48]) / 24) < 0.06
+    assert max(map(abs, error)) < 0.35
