@@ -3,6 +3,9 @@
 Markup tells three kinds of blocks apart: *main* (inside an article or main
 element), *marked* (menus, headers, footers, sidebars, notices, adverts,
 forms, reader comments, by element, role or class) and *open* (the rest).
+An article or main element inside a form or an element marked by class or role
+is main again, unless its own class marks it.  Inside main, a class name that
+only contains a listed word ("related-work") leaves the block open.
 Marked blocks go.  Whether an open block is boilerplate is decided by
 repetition on its host: the token streams of a host's pages (all blocks but
 the main ones) are concatenated, their suffixes are sorted, and runs of
@@ -34,6 +37,7 @@ from tardy.session import materialize
 
 _U = np.uint64
 MAIN, OPEN, MARKED = 0, 1, 2
+_WRAPPED = 3                                  # marked, but an article inside is main again
 MIN_RUN = 8
 
 _TAG = re.compile(r"""<(?:!--.*?(?:-->|\Z)|!\[CDATA\[.*?(?:\]\]>|\Z)|[!?][^>]*(?:>|\Z)|(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)(?:>|\Z))""", re.S)
@@ -53,13 +57,14 @@ _WORDS = frozenset((
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 
 
-def _is_marked(attrs: str) -> bool:
+def _is_marked(attrs: str, whole: bool = False) -> bool:
+    """By role or class; ``whole``: only by class names that are a listed word."""
     for name, a, b, c in _ATTR.findall(attrs):
         value = (a or b or c).lower()
         if name.lower() == "role":
             if value.strip() in _ROLES:
                 return True
-        elif not _WORDS.isdisjoint(_SPLIT.split(value)):
+        elif not _WORDS.isdisjoint(value.split() if whole else _SPLIT.split(value)):
             return True
     return False
 
@@ -78,7 +83,7 @@ def blocks(page: str | None) -> list[tuple[int, str]]:
             text = " ".join(html.unescape("".join(parts)).split())
             parts.clear()
             if text:
-                out.append((kind, text))
+                out.append((min(kind, MARKED), text))
 
     def close(depth: int) -> None:
         nonlocal kind
@@ -112,6 +117,8 @@ def blocks(page: str | None) -> list[tuple[int, str]]:
             continue
         if name in _VOID:
             continue
+        if name in ("svg", "math") and (m[3] or "").rstrip().endswith("/"):
+            continue
         if name in _RAW:                          # no text of the page inside
             end = re.compile(rf"</{re.escape(name)}\s*(?:>|\Z)", re.I).search(page, at)
             at = end.end() if end else len(page)
@@ -123,14 +130,20 @@ def blocks(page: str | None) -> list[tuple[int, str]]:
                     break
                 if stack[i][0] not in _INLINE:
                     break
-        inside = kind
-        if kind != MARKED:
-            if name in _ASIDE or name == "header" and kind == OPEN or _is_marked(m[3] or ""):
-                inside = MARKED if name not in ("html", "body", "article", "main") else inside
-            if inside != MARKED and name in _MAIN:
+        inside, attrs = kind, m[3] or ""
+        if name in _MAIN:
+            if kind != MARKED and (kind != _WRAPPED or not _is_marked(attrs)):
                 inside = MAIN
-        if not (m[3] or "").rstrip().endswith("/") or name not in ("svg", "math"):
-            stack.append((name, inside))
+        elif kind in (MAIN, OPEN) and name not in ("html", "body"):
+            if name == "form":
+                inside = _WRAPPED
+            elif name in _ASIDE or name == "header" and kind == OPEN:
+                inside = MARKED
+            elif _is_marked(attrs, whole=kind == MAIN):
+                inside = _WRAPPED
+            elif kind == MAIN and _is_marked(attrs):   # repetition on the host decides
+                inside = OPEN
+        stack.append((name, inside))
         if inside != kind:
             flush()
             kind = inside

@@ -13,6 +13,15 @@ def test_blocks():
     assert blocks("1 < 2 & 3 > 2") == [(OPEN, "1 < 2 & 3 > 2")]
 
 
+def test_articles_in_marked_wrappers_are_kept():
+    for wrap in ("<div class='content sidebar-right'>{}</div>", "<div class='elementor-widget-container'>{}</div>", "<form>{}</form>", "<div role='search'><div>{}</div></div>"):
+        assert blocks(wrap.format("x<article>story</article>y")) == [(MARKED, "x"), (MAIN, "story"), (MARKED, "y")]
+    assert blocks("<nav><article>t</article></nav><div class='comments'><article class='comment'>c</article></div>") == [(MARKED, "t"), (MARKED, "c")]
+    assert blocks("<main>a<div class='related-work'>b</div><div class='share-price'>c</div><div class='share'>d</div></main>") == [
+        (MAIN, "a"), (OPEN, "b"), (OPEN, "c"), (MARKED, "d")]
+    assert blocks("<main>a<svg class='i' /> b<math/> c<svg><text>no</text></svg> d</main>e") == [(MAIN, "a"), (MAIN, "b"), (MAIN, "c"), (MAIN, "d"), (OPEN, "e")]
+
+
 def test_repeated_prefixes_against_brute_force():
     rng = np.random.default_rng(2)
     tokens, unit = rng.integers(0, 3, 300).astype(np.uint64), np.sort(rng.integers(0, 6, 300))
