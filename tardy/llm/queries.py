@@ -3,21 +3,25 @@ production parameters, to its whole table and derives the contract's columns."""
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tardy.llm import chat, licenses, oracles
+from tardy.llm import chat, lexical_search, licenses, oracles
 from tardy.llm.decontaminate import contamination
 from tardy.llm.html_text import extract_text
 from tardy.llm.langid import held_out, predict_language, train_language
 from tardy.llm.licenses import scan_licenses
+from tardy.llm.lexical_search import search
 from tardy.llm.near_dedup import near_duplicates
+from tardy.llm.periodic_runs import periodic_runs
 from tardy.llm.piece_sampling import sample_pieces
 from tardy.llm.quality import fit_quality, score_quality
 from tardy.llm.urls import filter_urls
 from tardy.llm.weighted_sampling import fingerprint_edits
+from tardy.llm.word_bpe import decode_ids, encode_texts
 from tardy.session import ship_package
 
 #: rows that a Python task holds at once
@@ -99,6 +103,48 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
             .withColumn("predicted", (F.col("score") >= 0.3).cast("int")))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
+
+
+def op12_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    made = decode_ids(encode_texts(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text"))
+    return made.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
+                       F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"),
+                       F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+def repeat_tails(ids: list[int | None], texts: list[str | None]) -> list[str | None]:
+    """Texts of the run query: with h = crc32 of the decimal id and g = h div 10,
+    where h mod 10 is 0 the words from a = g mod n on repeat the p =
+    1 + (n - a) div (3 + g mod 8) words at a."""
+    out = list(texts)
+    for i, (key, text) in enumerate(zip(ids, texts)):
+        h = zlib.crc32(str(key).encode()) if key is not None else 1
+        w = (text or "").encode("utf-8", "surrogatepass").split() if h % 10 == 0 else []
+        if w:
+            n, g = len(w), h // 10
+            a = g % n
+            p = 1 + (n - a) // (3 + g % 8)
+            w[a:] = (w[a:a + p] * -(-(n - a) // p))[:n - a]
+            out[i] = b" ".join(w).decode("utf-8", "surrogatepass")
+    return out
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    made = periodic_runs(table(spark, sf_dir, "documents").select("doc_id", "text"), edit=repeat_tails)
+    none = F.lit(None).cast("struct<start:bigint,length:bigint,period:bigint>")
+    # runs come by start, then period, so an equal exponent keeps the earlier one
+    best = F.aggregate("runs", none, lambda b, r: F.when(b.isNull() | (r["length"] * b["period"] > b["length"] * r["period"]), r).otherwise(b))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    found = made.select("doc_id", F.size("runs").cast("long").alias("n_runs"), best.alias("b"), F.array_join(lines, "").alias("lines"), "collapsed")
+    return found.select("doc_id", "n_runs", "b.start", "b.length", "b.period", F.expr("(1000 * b.length) div b.period").alias("exponent_milli"),
+                        F.sha2(F.col("lines").cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_dedup": op1_near_dedup,
     "op2_piece_sampling": op2_piece_sampling,
@@ -110,6 +156,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_url_filter": op8_url_filter,
     "op9_language_id": op9_language_id,
     "op10_quality": op10_quality,
+    "op11_lexical_search": op11_lexical_search,
+    "op12_word_bpe": op12_word_bpe,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 ORACLES: dict[str, str] = {
@@ -117,4 +166,5 @@ ORACLES: dict[str, str] = {
     "op3_chat_format": chat.oracle_sql(),
     "op6_decontamination": oracles.contamination_sql(),
     "op7_license_scan": licenses.oracle(),
+    "op11_lexical_search": lexical_search.oracle_sql(),
 }
