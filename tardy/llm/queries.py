@@ -21,7 +21,7 @@ from tardy.llm.piece_sampling import sample_pieces
 from tardy.llm.quality import fit_quality, score_quality
 from tardy.llm.urls import filter_urls
 from tardy.llm.weighted_sampling import fingerprint_edits
-from tardy.llm.word_bpe import decode_ids, encode_texts
+from tardy.llm.word_bpe import encode_texts
 from tardy.session import ship_package
 
 #: rows that a Python task holds at once
@@ -110,7 +110,7 @@ def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op12_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
-    made = decode_ids(encode_texts(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text"))
+    made = encode_texts(table(spark, sf_dir, "documents").select("doc_id", "text"), decoded="decoded")
     return made.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
                        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"),
                        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))

@@ -26,9 +26,9 @@ from pyspark.sql import functions as F
 from tardy.llm.text import batches
 
 #: characters of text that are encoded at once
-BATCH_CHARS = 2 << 20
+BATCH_CHARS = 1 << 20
 #: bytes that a Python worker spends about on remembered encodings
-MEMORY = 160 << 20
+MEMORY = 256 << 20
 _END = 256                      # symbols: bytes, and bytes that end a word
 
 
@@ -46,6 +46,15 @@ def _byte_signs() -> list[str]:
     return [chr(b) if b in own else chr(next(rest)) for b in range(256)]
 
 
+def token_names(kind: dict) -> list[str]:
+    """Each id's token, empty for ids that are none."""
+    named = [*kind["model"]["vocab"].items(), *((t["content"], t["id"]) for t in kind["added_tokens"])]
+    out = [""] * (max((i for _, i in named), default=-1) + 1)
+    for name, i in named:
+        out[i] = name
+    return out
+
+
 class WordTrie:
     """Trie of strings; an edge holds a string, a node a word number or -1."""
 
@@ -84,8 +93,6 @@ class WordBPE:
         model = kind["model"]
         if model["type"] != "BPE" or model.get("continuing_subword_prefix") or model.get("byte_fallback") or model.get("dropout") or model.get("ignore_merges"):
             raise ValueError("a plain BPE model with a word-end suffix is needed")
-        if kind.get("decoder"):
-            raise ValueError("tokens are decoded by joining them with a space; the tokenizer asks for another decoder")
         for t in kind["added_tokens"]:
             if t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"]:
                 raise ValueError("added tokens must match as they stand")
@@ -93,10 +100,7 @@ class WordBPE:
         self.added = {t["content"]: t["id"] for t in kind["added_tokens"]}
         vocab: dict[str, int] = model["vocab"]
         suffix = model["end_of_word_suffix"]
-        n = max([*vocab.values(), *self.added.values()], default=-1) + 1
-        self.names = [""] * n
-        for name, i in [*vocab.items(), *self.added.items()]:
-            self.names[i] = name
+        n = len(token_names(kind))
         signs = _byte_signs()
         self.byte_of = {ord(s): chr(b) for b, s in enumerate(signs)}
         # every token's symbols, the rank of the merge that makes it, and its halves
@@ -136,7 +140,6 @@ class WordBPE:
                     state = self.back[key] = len(self.token)
                     self.token.append(-1)
             self.token[state] = i
-        self.fits: dict[int, bool] = {}
         self.plain = _plain_rule(kind)
         self.forget()
 
@@ -208,7 +211,8 @@ class WordBPE:
         return out
 
     def forget(self) -> None:
-        """Drop remembered encodings (memory only)."""
+        """Drop what is remembered (memory only)."""
+        self.fits: dict[int, bool] = {}              # neighbours -> whether they stay apart
         self.known: dict[str, int] = {"": 0}         # stretch -> number
         self.ids, self.first = array("i"), array("q", [0, 0])
         self.spelt: dict[str, list[int]] = {}        # word -> ids
@@ -217,7 +221,7 @@ class WordBPE:
     def learn(self, stretches: set[str]) -> None:
         """Encode stretches without spaces: normalised and cut into words by
         the tokenizer's own rules, the distinct words in one trie."""
-        if self.kept > MEMORY:
+        if self.kept + 150 * len(self.fits) > MEMORY:
             self.forget()
         known, spelt = self.known, self.spelt
         new = [s for s in stretches if s not in known]
@@ -229,8 +233,8 @@ class WordBPE:
             for w in plan:
                 self.ids.extend(spelt[w] if w in spelt else (self.added[w],))
             self.first.append(len(self.ids))
-            self.kept += len(s) + 200
-        self.kept += 300 * len(fresh)
+            self.kept += len(s) + 250
+        self.kept += 400 * len(fresh)
 
     def _words(self, stretch: str) -> list[str]:
         """Words of a stretch, a byte a character, and added tokens as they stand."""
@@ -306,62 +310,82 @@ def _tokenizer(docs: DataFrame, path: str | None):
         return docs.sparkSession.sparkContext.broadcast(f.read())
 
 
-def _columns(df: DataFrame, out: str, last: str) -> tuple[list[str], DataFrame]:
-    keep = [c for c in df.columns if c != out]
+def _columns(df: DataFrame, outs: list[str], last: str) -> tuple[list[str], DataFrame]:
+    keep = [c for c in df.columns if c not in outs]
     return keep, df.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)], F.col(f"`{last}`").alias("_in"))
 
 
-def encode_texts(docs: DataFrame, text_col: str = "text", out: str = "ids", tokenizer: str | None = None) -> DataFrame:
+class Decoder:
+    """Strings of token ids: the tokens joined by one space, as the library
+    does for a tokenizer without a decoder."""
+
+    def __init__(self, kind: dict):
+        if kind.get("decoder"):
+            raise ValueError("tokens are decoded by joining them with a space; the tokenizer asks for another decoder")
+        names = token_names(kind)
+        self.table = pa.array(names, pa.string())
+        self.known = np.array([n != "" for n in names], bool)
+
+    def decode(self, flat: np.ndarray, cut: np.ndarray) -> pa.Array:
+        """One string for each range of ``flat`` between neighbours in ``cut``;
+        ids that are no token are left out."""
+        ok = (flat >= 0) & (flat < len(self.known))
+        ok[ok] = self.known[flat[ok]]
+        kept = np.concatenate(([0], np.cumsum(ok)))[cut]
+        return pc.binary_join(pa.ListArray.from_arrays(pa.array(kept.astype(np.int32)), self.table.take(pa.array(flat[ok]))), " ")
+
+
+def encode_texts(docs: DataFrame, text_col: str = "text", out: str = "ids", tokenizer: str | None = None, decoded: str | None = None) -> DataFrame:
     """``docs`` with the token ids of every whole text in ``out`` (array of
     ints), as the ``tokenizers`` library encodes it without special tokens
-    added; special tokens' strings inside a text are those tokens.
+    added; special tokens' strings inside a text are those tokens.  With
+    ``decoded``, a column of that name holds what the ids decode to
+    (:func:`decode_ids`), made in the same pass.
 
     A null or empty text has no ids.  A very long word takes time in proportion
-    to its length.  Texts are encoded about two million characters at a time;
-    repeated rows give equal ids; an empty table gives an empty result; a
-    column named ``out`` is replaced, all others stay.
+    to its length.  Texts are encoded about a million characters at a time;
+    repeated rows give equal ids; an empty table gives an empty result; columns
+    named ``out`` or ``decoded`` are replaced, all others stay.
     """
     spec = _tokenizer(docs, tokenizer)
-    keep, inner = _columns(docs.withColumn(text_col, F.col(f"`{text_col}`").cast("string")), out, text_col)
+    outs = [out] + ([decoded] if decoded else [])
+    keep, inner = _columns(docs.withColumn(text_col, F.col(f"`{text_col}`").cast("string")), outs, text_col)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _load(spec.value)
+        back = Decoder(json.loads(spec.value)) if decoded else None
         for batch in it:
             texts = batch.column(batch.num_columns - 1).to_pylist()
             for lo, hi in batches(texts, BATCH_CHARS):
                 ids, cut = bpe.encode(texts[lo:hi])
-                made = pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array(ids, pa.int32()))
-                yield pa.RecordBatch.from_arrays([*(c.slice(lo, hi - lo) for c in batch.columns[:-1]), made],
-                                                 names=[*batch.schema.names[:-1], "_out"])
+                made = [pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array(ids, pa.int32()))]
+                if back:
+                    made.append(back.decode(ids, cut))
+                yield pa.RecordBatch.from_arrays([*(c.slice(lo, hi - lo) for c in batch.columns[:-1]), *made],
+                                                 names=[*batch.schema.names[:-1], *(f"_out{i}" for i in range(len(made)))])
 
-    schema = ", ".join([f"c{i} {t}" for i, (_, t) in enumerate(inner.dtypes[:-1])] + ["_out array<int>"])
-    return inner.mapInArrow(run, schema).toDF(*keep, out)
+    schema = ", ".join([f"c{i} {t}" for i, (_, t) in enumerate(inner.dtypes[:-1])] + ["_out0 array<int>", "_out1 string"][:len(outs)])
+    return inner.mapInArrow(run, schema).toDF(*keep, *outs)
 
 
 def decode_ids(rows: DataFrame, ids_col: str = "ids", out: str = "decoded", tokenizer: str | None = None) -> DataFrame:
     """``rows`` with the string that the ids of ``ids_col`` decode to, special
-    tokens included: the tokens joined by one space, as the library does for a
-    tokenizer without a decoder.
+    tokens included: the tokens joined by one space.
 
     Null or no ids give an empty string; a null or unknown id is left out.  A
     column named ``out`` is replaced, all others stay; an empty table gives an
     empty result.
     """
     spec = _tokenizer(rows, tokenizer)
-    keep, inner = _columns(rows, out, ids_col)
+    keep, inner = _columns(rows, [out], ids_col)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = np.array(_load(spec.value).names, object)
-        table = pa.array(names, pa.string())
-        known = names != ""
+        back = Decoder(json.loads(spec.value))
         for batch in it:
             lists = batch.column(batch.num_columns - 1)
             n = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
             flat = pc.fill_null(lists.flatten(), -1).to_numpy(zero_copy_only=False).astype(np.int64)
-            ok = (flat >= 0) & (flat < len(names))
-            ok[ok] = known[flat[ok]]
-            kept = np.concatenate(([0], np.cumsum(ok)))[np.concatenate(([0], np.cumsum(n)))]
-            text = pc.binary_join(pa.ListArray.from_arrays(pa.array(kept.astype(np.int32)), table.take(pa.array(flat[ok]))), " ")
+            text = back.decode(flat, np.concatenate(([0], np.cumsum(n))))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], text], names=[*batch.schema.names[:-1], "_out"])
 
     schema = ", ".join([f"c{i} {t}" for i, (_, t) in enumerate(inner.dtypes[:-1])] + ["_out string"])
