@@ -10,20 +10,16 @@ weights, the generalised Jaccard similarity.  The least offer itself stands for
 (pair, t): equal offers come from equal pairs and levels.  The likeness of two
 texts is the share of samples on which they agree.
 
-Gamma variates are looked up by hash bits in a table of quantiles, so an offer
-costs one hash, two look-ups and a little arithmetic inside generated code.
-The least of n offers comes from a small c and a large r, about 1 / n deep in
-their tails, so the table is graded: ``GRADES`` times over, the outermost 1/64
-of a grade is divided into 64 times finer steps (2 ** -24 in the last).
-A row makes ``DRAWS`` offers; more of them would make a generated method too
-long to be compiled.
+A gamma variate of shape 2 is -ln(u v) with two uniforms cut from hash bits.  A
+text and its edited text share most pairs, and r, c and b belong to the pair:
+they are drawn once for both weights.  A row makes ``DRAWS`` offers for each
+text; many more would make a generated method too long to be compiled.
 """
 
 from __future__ import annotations
 
 import math
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,38 +28,12 @@ from tardy.session import materialize
 ROUNDS, DRAWS = 8, 4
 #: characters of text in one bucket of neighbouring documents
 BUCKET_CHARS = 4_000_000
-#: tasks that the buckets are dealt to at most
-MAX_TASKS = 50_000
-_GRADE_BITS, _STEP_BITS, GRADES = 12, 6, 3
-_TAIL_BITS = _GRADE_BITS + (GRADES - 1) * _STEP_BITS
-_B_BITS = 64 - 2 * _TAIL_BITS
+#: most buckets, and keys of the sample for each of them that finds their
+#: bounds; buckets of more text spill, they do not fail
+MAX_BUCKETS, SAMPLE_KEYS = 1 << 15, 32
 _LEAST_ID = -(1 << 63)
 
 
-def gamma2_tail(upper: bool) -> np.ndarray:
-    """Quantiles of the gamma distribution of shape 2, graded towards its lower
-    or upper end: entry g * 2^12 + i is at the mass (i + 1/2) / 2^(12 + 6 g)
-    from that end, by bisection."""
-    mass = np.concatenate([(np.arange(1 << _GRADE_BITS) + 0.5) / (1 << (_GRADE_BITS + _STEP_BITS * g)) for g in range(GRADES)])
-    lo, hi = np.zeros(len(mass)), np.full(len(mass), 60.0)
-    for _ in range(60):
-        mid = (lo + hi) / 2
-        over = (1 + mid) * np.exp(-mid)                    # mass above mid
-        right = over > mass if upper else 1 - over < mass
-        lo, hi = np.where(right, mid, lo), np.where(right, hi, mid)
-    return (lo + hi) / 2
-
-
-def _place(v: Column) -> Column:
-    """Place of a hash value of 24 bits in the graded table: the coarsest grade
-    in which it lies at 64 steps or more from the end."""
-    out = (v + F.lit((GRADES - 1) << _GRADE_BITS))
-    for g in range(GRADES - 2, -1, -1):
-        shift = (GRADES - 1 - g) * _STEP_BITS
-        out = F.when(v >= 1 << (shift + _STEP_BITS), F.shiftright(v, shift) + F.lit(g << _GRADE_BITS)).otherwise(out)
-    return out
-
-
 def word_pairs(text: Column) -> Column:
     """Neighbouring words of a text with an empty word at either end, as an
     array of structs; a text without words has pairs of empty words."""
@@ -71,29 +41,52 @@ def word_pairs(text: Column) -> Column:
     return F.arrays_zip(F.concat(F.array(F.lit("")), w).alias("l"), F.concat(w, F.array(F.lit(""))).alias("r"))
 
 
+def _uniform(h: Column, shift: int, bits: int) -> Column:
+    """``bits`` bits of a hash from ``shift`` on, as a uniform within (0, 1)."""
+    return (F.shiftrightunsigned(h, shift).bitwiseAND(F.lit((1 << bits) - 1)) + F.lit(0.5)) * F.lit(2.0 ** -bits)
+
+
+def _signatures(weights: DataFrame, keys: list[str], counts: list[str]) -> DataFrame:
+    """(keys, one signature for each of ``counts``) of a table of pair hashes
+    ``k`` with how often each occurs: the least offer of each sample over all
+    pairs; a count of 0 offers nothing."""
+    draws = range(DRAWS)
+    turns = weights.select(*keys, "k", *[F.when(F.col(n) > 0, F.log(F.col(n).cast("double"))).alias(f"w{i}") for i, n in enumerate(counts)],
+                           F.explode(F.sequence(F.lit(0), F.lit(ROUNDS - 1))).alias("round"))
+    logs = [f"w{i}" for i in range(len(counts))]
+    hashed = turns.select(*keys, "round", *logs, *[F.xxhash64("k", "round", F.lit(2 * j + i)).alias(f"{x}{j}") for j in draws for i, x in enumerate("gh")])
+    drawn = hashed.select(*keys, "round", *logs, *[c for j in draws for c in (
+        (-F.log(_uniform(F.col(f"g{j}"), 0, 32) * _uniform(F.col(f"g{j}"), 32, 32))).alias(f"r{j}"),
+        F.log(-F.log(_uniform(F.col(f"h{j}"), 0, 25) * _uniform(F.col(f"h{j}"), 25, 25))).alias(f"c{j}"),
+        _uniform(F.col(f"h{j}"), 50, 14).alias(f"b{j}"))])
+    offers = drawn.select(*keys, "round", *[
+        (F.col(f"c{j}") - F.col(f"r{j}") * (F.floor(F.col(w) / F.col(f"r{j}") + F.col(f"b{j}")) - F.col(f"b{j}") + 1)).alias(f"{w}_{j}")
+        for w in logs for j in draws])
+    least = offers.groupBy(*keys, "round").agg(*[F.min(f"{w}_{j}").alias(f"{w}_{j}") for w in logs for j in draws])
+    whole = least.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("round", *[f"{w}_{j}" for w in logs for j in draws]))).alias("_t"))
+
+    def in_order(w: str) -> Column:
+        return F.flatten(F.transform("_t", lambda t: F.array(*[t[f"{w}_{j}"] for j in draws])))
+    return whole.select(*keys, *[in_order(w).alias(f"sig{i}") for i, w in enumerate(logs)])
+
+
 def samples(texts: DataFrame, keys: list[str], text: str) -> DataFrame:
-    """(keys, sig): the least offer of each sample over all pairs of a text.
-    Needs no shuffle if ``texts`` is partitioned by one of the keys."""
+    """(keys, sig): the signature of one text a row.  Needs no shuffle if
+    ``texts`` is partitioned by one of the keys."""
     pair = texts.select(*keys, F.explode(word_pairs(F.col(text))).alias("p"))
     weight = pair.select(*keys, F.xxhash64("p").alias("k")).groupBy(*keys, "k").agg(F.count(F.lit(1)).alias("n"))
-    r_table, c_table = F.lit(gamma2_tail(upper=True)), F.lit(np.log(gamma2_tail(upper=False)))
+    return _signatures(weight, keys, ["n"]).withColumnRenamed("sig0", "sig")
 
-    def bits(h, shift, n):
-        return F.shiftrightunsigned(h, shift).bitwiseAND(F.lit((1 << n) - 1)).cast("int")
 
-    draws = range(DRAWS)
-    turns = weight.select(*keys, "k", F.log(F.col("n").cast("double")).alias("w"), F.explode(F.sequence(F.lit(0), F.lit(ROUNDS - 1))).alias("round"))
-    hashed = turns.select(*keys, "round", "w", *[F.xxhash64("k", "round", F.lit(j)).alias(f"h{j}") for j in draws])
-    cut = hashed.select(*keys, "round", "w", *[c for j in draws for c in (
-        bits(F.col(f"h{j}"), 0, _TAIL_BITS).alias(f"r{j}"), bits(F.col(f"h{j}"), _TAIL_BITS, _TAIL_BITS).alias(f"c{j}"),
-        ((bits(F.col(f"h{j}"), 2 * _TAIL_BITS, _B_BITS) + F.lit(0.5)) * F.lit(2.0 ** -_B_BITS)).alias(f"b{j}"))])
-    drawn = cut.select(*keys, "round", "w", *[c for j in draws for c in (
-        F.get(r_table, _place(F.col(f"r{j}"))).alias(f"r{j}"), F.get(c_table, _place(F.col(f"c{j}"))).alias(f"c{j}"), F.col(f"b{j}"))])
-    offers = drawn.select(*keys, "round", *[
-        (F.col(f"c{j}") - F.col(f"r{j}") * (F.floor(F.col("w") / F.col(f"r{j}") + F.col(f"b{j}")) - F.col(f"b{j}") + 1)).alias(f"a{j}") for j in draws])
-    least = offers.groupBy(*keys, "round").agg(*[F.min(f"a{j}").alias(f"a{j}") for j in draws])
-    wide = least.groupBy(*keys).agg(*[F.max(F.when(F.col("round") == i, F.col(f"a{j}"))).alias(f"s{i}_{j}") for i in range(ROUNDS) for j in draws])
-    return wide.select(*keys, F.array(*[f"s{i}_{j}" for i in range(ROUNDS) for j in draws]).alias("sig"))
+def sample_both(texts: DataFrame, keys: list[str], first: str, second: str) -> DataFrame:
+    """(keys, sig0, sig1): the signatures of two texts a row, with the variates
+    of a pair drawn once for both."""
+    one = F.array(*[F.struct(F.lit(v).alias("v"), F.col(t).alias("t")) for v, t in ((0, first), (1, second))])
+    both = texts.select(*keys, F.explode(one).alias("x"))
+    pair = both.select(*keys, F.col("x.v").alias("v"), F.explode(word_pairs(F.col("x.t"))).alias("p"))
+    weight = pair.select(*keys, "v", F.xxhash64("p").alias("k")).groupBy(*keys, "k").agg(
+        F.sum(1 - F.col("v")).alias("n"), F.sum("v").alias("m"))
+    return _signatures(weight, keys, ["n", "m"])
 
 
 def likeness(a: str, b: str) -> Column:
@@ -109,27 +102,32 @@ def digest(sig: str) -> Column:
     return F.array_join(F.transform(sig, lambda x: F.lpad(F.lower(F.hex(F.shiftrightunsigned(F.xxhash64(x), 32))), 8, "0")), "")
 
 
+def _long_array(values: list[int]) -> Column:
+    """An array literal from one string, which the optimizer folds."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
+
+
 def _neighbour_buckets(rows: DataFrame) -> tuple[DataFrame, int]:
     """``rows`` (_id, _tie, _text) with a bucket number, and the number of
-    buckets; buckets follow the
-    order (_id, _tie) descending and hold about ``BUCKET_CHARS`` characters.
+    buckets; buckets follow the order (_id, _tie) descending and hold about
+    ``BUCKET_CHARS`` characters, more beyond ``MAX_BUCKETS`` of them.
 
-    The bounds come from a hash sample of the order columns whose size follows
-    the number of buckets; a row finds its bucket by a binary search written
-    as one projection for each halving."""
+    The bounds come from a hash sample of the order columns of at most
+    ``MAX_BUCKETS * SAMPLE_KEYS`` keys; a row finds its bucket by a binary
+    search written as one projection for each halving."""
     stat = rows.agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("_text")).alias("c")).first()
-    wanted = max(1, math.ceil((stat["c"] or 0) / BUCKET_CHARS))
+    wanted = min(MAX_BUCKETS, max(1, math.ceil((stat["c"] or 0) / BUCKET_CHARS)))
     levels = (wanted - 1).bit_length()
     size = 1 << levels
     if size == 1:
         return rows.withColumn("_bucket", F.lit(0)), 1
-    share = min(1.0, 40 * size / max(1, stat["n"]))
+    share = min(1.0, SAMPLE_KEYS * size / max(1, stat["n"]))
     sample = sorted((r["_id"], r["_tie"]) for r in rows.where(
         F.pmod(F.xxhash64("_tie", "_id", F.lit(1)), F.lit(1 << 30)) < int(share * (1 << 30))).select("_id", "_tie").collect())
     if not sample:
         return rows.withColumn("_bucket", F.lit(0)), 1
     bounds = [sample[-1 - (i + 1) * len(sample) // size] if i + 1 < size else sample[0] for i in range(size)]
-    ids, ties = F.lit(np.array([b[0] for b in bounds], np.int64)), F.lit(np.array([b[1] for b in bounds], np.int64))
+    ids, ties = _long_array([b[0] for b in bounds]), _long_array([b[1] for b in bounds])
     out = rows.withColumn("_bucket", F.lit(0))
     for level in range(levels - 1, -1, -1):
         probe = F.col("_bucket") + F.lit((1 << level) - 1)
@@ -167,17 +165,14 @@ def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     ends = materialize(heads.join(head_sig, "_bucket").join(chain, F.col("_bucket") == F.col("_from"))
                        .select(F.col("_to").alias("_bucket"), "_head", "_head_sig"))
     # a task counts the pairs of few buckets, so the counts fit its memory; a given number is not coalesced
-    lead = (placed.repartition(min(2 * buckets, MAX_TASKS), "_bucket").withColumn("_rn", F.row_number().over(order)).withColumn("_next", F.lead("_text").over(order)))
+    lead = (placed.repartition(2 * buckets, "_bucket").withColumn("_rn", F.row_number().over(order)).withColumn("_next", F.lead("_text").over(order)))
     joined = lead.join(ends.select(F.col("_bucket").alias("_b"), "_head"), (F.col("_bucket") == F.col("_b")) & F.col("_next").isNull(), "left")
     n = F.length("_text")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.substring("_text", F.lit(1), n - half), F.substring(F.coalesce("_next", "_head", F.lit("")), F.lit(1), half))
     base = joined.select("_bucket", "_rn", F.when(null_ids, F.lit(None)).otherwise(F.col("_id")).cast("long").alias("_id"), "_text",
                          n.cast("long").alias("n_chars"), edited.alias("_edited"))
-    both = base.select("_bucket", "_rn", F.explode(F.array(
-        F.struct(F.lit(0).alias("v"), F.col("_text").alias("t")), F.struct(F.lit(1).alias("v"), F.col("_edited").alias("t")))).alias("x"))
-    sig = samples(both.select("_bucket", "_rn", F.col("x.v").alias("_v"), F.col("x.t").alias("_t")), ["_bucket", "_rn", "_v"], "_t")
-    sigs = sig.groupBy("_bucket", "_rn").agg(F.max(F.when(F.col("_v") == 0, F.col("sig"))).alias("s0"), F.max(F.when(F.col("_v") == 1, F.col("sig"))).alias("s1"))
+    sigs = sample_both(base, ["_bucket", "_rn"], "_text", "_edited").withColumnRenamed("sig0", "s0").withColumnRenamed("sig1", "s1")
     sigs = sigs.withColumn("s2", F.lead("s0").over(Window.partitionBy("_bucket").orderBy("_rn")))
     facts = base.select("_bucket", "_rn", "_id", "n_chars", F.sha2(F.col("_edited").cast("binary"), 256).alias("edited_sha256"))
     out = (facts.join(sigs, ["_bucket", "_rn"])
