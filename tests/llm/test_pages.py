@@ -81,3 +81,52 @@ def test_url_rules_and_model(spark):
     assert filter_urls(df.limit(0)).count() == 0
     m = fit_urls()
     assert m.scores(["my-casino.test", "adult-zone.test"], ["/en/1", "/x"]).min() > 0.1 > m.scores(["www.garden.test", "blog.thing.test"], ["/en/1", "/de/2"]).max()
+
+
+def test_url_features_and_scores_against_plain_python():
+    import math
+
+    def mixed(x):
+        x = (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 % (1 << 64)
+        x = (x ^ (x >> 27)) * 0x94D049BB133111EB % (1 << 64)
+        return x ^ (x >> 31)
+
+    def buckets(host, path):
+        out = []
+        for field, text in enumerate((host, path)):
+            raw = b"^" + text.encode() + b"$"
+            for n in (3, 4, 5):
+                for i in range(len(raw) - n + 1):
+                    key = int.from_bytes(raw[i:i + n], "little") | n << 48 | field << 56
+                    out.append(mixed(key) >> 50)
+        return out
+    hosts, paths = ["", "a.net", "www.bücher.de", "x" * 70_000], ["", "/x/ä", "/", "/very/long"]
+    m = fit_urls(times=1, epochs=50)
+    got = m.scores(hosts, paths)
+    for h, p, s in zip(hosts, paths, got):
+        b = buckets(h, p)
+        z = sum(m.weights[k] for k in b) / math.sqrt(max(len(b), 1)) + m.bias
+        assert abs(s - 1 / (1 + math.exp(-z))) < 1e-9
+
+
+def test_url_model_on_words_it_has_not_seen():
+    """Clean sites pass; blocked ones whose words the table partly shares are mostly found."""
+    clean = ("arxiv.org/abs/2301.00001 github.com/apache/spark en.wikipedia.org/wiki/Spark gallica.bnf.fr/ark:/12148 nodejs.org/en/1 rust-lang.org/learn "
+             "www.cam.ac.uk/research huggingface.co/datasets orf.at/stories www.heise.de/news/1 jstor.org/stable/1 kernel.org/doc cnn.com/2021/05 usgs.gov/water "
+             "thing.org/x bahn.de/en/view alphabet.com/news adsorption-lab.edu/en/3 essex.ac.uk/courses sussex.gov.uk/council window.com.au/paint").split()
+    bad = ("royalcasino.eu/de/1 cheap-pills.test/de/4 viagraonline.co/buy popadserver.com/a getpills.ru/en/1 xxxcams.com/1 freeprize.win/x "
+           "loanshark-loans.com/en/2 adclick.net/c spamlinks.example.org/es/7 sexchat.me/en/1 slotmachines.vip/en/1").split()
+    m = fit_urls()
+
+    def scores(urls):
+        return m.scores(*map(list, zip(*(u.partition("/")[::2] for u in urls))))
+    assert (scores([u.replace("/", "/", 1) for u in clean]) > 0.1).sum() == 0
+    assert (scores(bad) > 0.1).mean() >= 0.7
+
+
+def test_url_edge_rows(spark):
+    rows = [("http://" + "long." * 50_000 + "org/" + "p" * 100_000, 1), ("http://b.org/x", 2), ("http://b.org/x", 2), (None, None)]
+    df = spark.createDataFrame(rows, "url string, verdict int")
+    got = filter_urls(df).collect()
+    assert len(got) == 4 and len({(r["url"], r["verdict"]) for r in got}) == 3 and filter_urls(df).columns == ["url", "host", "path", "rule", "score", "verdict"]
+    assert {r["verdict"] for r in got if r["url"] == "http://b.org/x"} == {"allow"}
