@@ -1,7 +1,7 @@
 """Chat formatting with typed content parts, in DataFrame functions.
 
 A message's content is an array of parts (text, image, audio, document).  A
-visitor flattens them in order: text is escaped, every attachment becomes a
+visitor flattens them in order: text, joined where it is not interrupted, is escaped, every attachment becomes a
 placeholder, and its reference and expanded token count are recorded.  The
 template marks turns with control strings; control strings inside texts and
 roles are escaped by a backslash after their first character, which reading
@@ -42,14 +42,6 @@ def text_part(text: Column) -> Column:
                             F.lit(None).cast("string").alias("ref"), F.lit(None).cast("double").alias("units")))
 
 
-def _visit(part: Column) -> Column:
-    """Text of one part: a placeholder for attachments, else its escaped text."""
-    out = escape(F.coalesce(part["text"], F.lit("")))
-    for kind, (mark, _) in ATTACHMENTS.items():
-        out = F.when(part["type"] == kind, F.lit(mark)).otherwise(out)
-    return out
-
-
 def _tokens(part: Column) -> Column:
     out = F.lit(0).cast("long")
     for kind, (_, each) in ATTACHMENTS.items():
@@ -58,8 +50,20 @@ def _tokens(part: Column) -> Column:
 
 
 def flatten(parts: Column) -> Column:
-    """A message's content as one string."""
-    return F.array_join(F.transform(F.coalesce(parts, F.array().cast(f"array<{PART}>")), _visit), "")
+    """A message's content as one string: a visitor walks the parts, joins text
+    that stands together and escapes it as one, so that no control string can
+    be put together from pieces; an attachment closes the text before it and
+    leaves its placeholder."""
+    def visit(seen: Column, part: Column) -> Column:
+        mark = F.lit(None).cast("string")
+        for kind, (sign, _) in ATTACHMENTS.items():
+            mark = F.when(part["type"] == kind, F.lit(sign)).otherwise(mark)
+        closed = F.struct(F.concat(seen["done"], escape(seen["text"]), mark).alias("done"), F.lit("").alias("text"))
+        longer = F.struct(seen["done"].alias("done"), F.concat(seen["text"], F.coalesce(part["text"], F.lit(""))).alias("text"))
+        return F.when(mark.isNotNull(), closed).otherwise(longer)
+
+    start = F.struct(F.lit("").alias("done"), F.lit("").alias("text"))
+    return F.aggregate(F.coalesce(parts, F.array().cast(f"array<{PART}>")), start, visit, lambda seen: F.concat(seen["done"], escape(seen["text"])))
 
 
 def attachments(parts: Column) -> Column:
