@@ -10,7 +10,6 @@ The language with the largest corrected count wins.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -22,7 +21,6 @@ from pyspark.sql import functions as F
 from tardy.llm.text import batches, join_bytes, mix
 
 _U = np.uint64
-_LETTER = re.compile(r"[^\W\d_]")
 _IS_LETTER = np.zeros(256, bool)
 _IS_LETTER[97:123] = _IS_LETTER[128:] = True
 
@@ -55,7 +53,7 @@ def ngrams(texts: list[str | None], orders: tuple[int, ...] = ORDERS):
 
 
 def has_letter(text: str | None) -> bool:
-    return bool(text) and _LETTER.search(text) is not None
+    return any(map(str.isalpha, text or ""))
 
 
 @dataclass

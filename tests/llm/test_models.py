@@ -46,6 +46,7 @@ def test_language_edge_cases(spark):
     none = train_language(train.limit(0))
     assert {r["lang_pred"] for r in predict_language(df, none).collect()} == {"und"}
     assert not has_letter("12_ !") and has_letter("1é")
+    assert not any(map(has_letter, ["²", "½", "①", "Ⅷ", "٣ _", "", None])) and has_letter("² x")
 
 
 def test_language_held_out_accuracy(spark):
