@@ -160,7 +160,7 @@ def scored_windows(ann: DataFrame, ts_ms: str, keys: list[str], size_ms: int, sl
     g = materialize(x.groupBy(*keep, "_kind", "window_start_ms", "window_end_ms", *keys).agg(
         F.sum("_truth").alias("_truth"), F.sum("_est").alias("_est"), F.count("_op").alias("_nopen"),
         F.min("_fire").alias("_fire"), F.count("_late").alias("_nlate")))
-    fires = firing(g.where("_kind <> 1"), "window_end_ms", "_fire", keep).withColumnRenamed("_fire", "_fire_all")
+    fires = firing(g.where("_kind <> 1"), "window_end_ms", "_fire", slide, keep).withColumnRenamed("_fire", "_fire_all")
     j = g.where("_kind < 2").drop("_fire").join(fires, [*keep, "window_end_ms"], "left")
     in_result = F.col("_nopen") > 0
     return j.select(

@@ -18,7 +18,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tardy.functions.columns import col_of
@@ -83,23 +83,32 @@ def step_end_sql(bound: str, size: int, slide: int) -> str:
     return f"CASE WHEN {rises} THEN {end} END"
 
 
-def firing(table: DataFrame, end: str, fire: str, keep: list[str] = ()) -> DataFrame:
+#: window ends in one block of the firing table
+FIRING_BLOCK = 100_000
+
+
+def firing(table: DataFrame, end: str, fire: str, slide_ms: int, keep: list[str] = ()) -> DataFrame:
     """(keep, end, fire): when each window end fires.
 
     ``table`` holds window ends and, in rows with ``fire`` set, the last end
     each watermark step closes.  Steps rise with the watermark, so an end fires
     on the step with the smallest closed end that is not before it: a running
     minimum over ends and steps in descending order, computed block by block.
-    Ends that no step reaches are left out.
+    Ends lie ``slide_ms`` apart, so blocks of equal width hold a bounded number
+    of them: nothing is counted or sampled to cut them.  Ends that no step
+    reaches are left out.
     """
-    from tardy.operators.order import prefix_max
-
     keep = list(keep)
-    rows = table.groupBy(*keep, end, F.col(fire).isNotNull().alias("_step")).agg(F.min(fire).alias("_m"))
-    rows = rows.select(*keep, end, "_step", (-F.col("_m")).alias("_negm"), (-F.col(end)).alias("_down"),
-                       F.when(F.col("_step"), 0).otherwise(1).cast("long").alias("_after"))
-    best = prefix_max(rows, "_negm", ["_down", "_after"], by=keep, seq=None, exclusive=None, inclusive="_best")
-    return best.where(~F.col("_step") & F.col("_best").isNotNull()).select(*keep, end, (-F.col("_best")).alias(fire))
+    rows = (table.groupBy(*keep, end, F.col(fire).isNotNull().alias("_step")).agg(F.min(fire).alias("_m"))
+            .withColumn("_fblk", F.floor(F.col(end) / F.lit(FIRING_BLOCK * int(slide_ms)))))
+    down = Window.partitionBy(*keep, "_fblk").orderBy(F.desc(end), F.desc("_step"))
+    # one row for each block: the least step of all later blocks
+    later = Window.partitionBy(*keep).orderBy(F.desc("_fblk")).rowsBetween(Window.unboundedPreceding, -1)
+    after = rows.where("_step").groupBy(*keep, "_fblk").agg(F.min("_m").alias("_least"))
+    blocks = rows.select(*keep, "_fblk").distinct().join(after, [*keep, "_fblk"], "left")
+    blocks = blocks.select(*keep, "_fblk", F.min("_least").over(later).alias("_later"))
+    best = rows.withColumn("_own", F.min("_m").over(down)).where(~F.col("_step")).join(blocks, [*keep, "_fblk"])
+    return best.select(*keep, end, F.coalesce("_own", "_later").alias(fire)).where(F.col(fire).isNotNull())
 
 
 def one_pass_result(ann: DataFrame, ts_ms: str, keys: list[str], aggs: list[Column],
@@ -147,5 +156,5 @@ def one_pass_result(ann: DataFrame, ts_ms: str, keys: list[str], aggs: list[Colu
         f"CASE WHEN NOT ({pair}) THEN m_after END AS _fire")
     g = materialize(x.groupBy(*keep, "_pair", "window_start_ms", "window_end_ms", *keys)
                     .agg(*aggs, F.min("_fire").alias("_fire")))
-    fires = firing(g, "window_end_ms", "_fire", keep).withColumnRenamed("_fire", "fire_max_ms")
+    fires = firing(g, "window_end_ms", "_fire", slide, keep).withColumnRenamed("_fire", "fire_max_ms")
     return attach_delay(g.where("_pair").drop("_pair", "_fire"), fires, on=[*keep, "window_end_ms"])

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from tardy.operators import accuracy as acc
 from tardy.operators.late import late_count, split_late
+from tardy.operators.updates import Agg
 from tardy.plans import oracle as O
 from tardy.plans.replay import (DAY_MS, HOUR_MS, MINUTE_MS, EVENT_ORDER, WindowSpec, annotate,
                                 event_trips, table, tips_result, windowed_result)
@@ -555,3 +556,111 @@ def q_live_tumbling_sum(spark, sf_dir):
     q.awaitTermination()
     res = windowed_result(live.annotated(spark), B60, TUMBLE, ["taxi_id"], [F.sum("tip").alias("sum_tip")])
     return res.select("window_start_ms", "taxi_id", "sum_tip", "delay_ms", "flushed")
+
+
+# Live windows that every micro-batch closes (``streaming/emit.py``).  The feed is
+# the trips in arrival order, two million rows a file and four files at least.
+
+SUM_TIP = [Agg("sum_tip", "sum", "tip")]
+
+
+def _play(spark, rows: DataFrame, order: list[str], ts: str, bound: int, spec: WindowSpec, keys: list[str], aggs: list[Agg], finish: bool = True):
+    """Feed ``rows`` in ``order`` through the live engine to the end of input."""
+    from tardy.session import scratch_path
+    from tardy.streaming.emit import LiveWindows
+    from tardy.streaming.live import write_arrival_files
+    base = scratch_path(spark, "live")
+    write_arrival_files(rows, order, f"{base}/feed", max(4, -(-rows.count() // 2_000_000)))
+    live = LiveWindows(f"{base}/out", rows.schema, ts, order, bound, spec.size_ms, keys, aggs, spec.slide_ms, spec.allowed_lateness_ms)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/feed")
+    live.start(stream, f"{base}/ckpt").awaitTermination()
+    live.finish(spark)
+    return live
+
+
+@register("live_window_emit", O.result_sql(EV, HOUR_MS, None, B60))
+def q_live_window_emit(spark, sf_dir):
+    """The tumbling job live: the rows that the batches emitted as windows closed."""
+    live = _play(spark, event_trips(spark, sf_dir), EVENT_ORDER, "start_ms", B60, TUMBLE, ["taxi_id"], SUM_TIP)
+    return live.emitted(spark).select("window_start_ms", "taxi_id", "sum_tip", "delay_ms", "flushed")
+
+
+@register("live_sliding_sum", O.result_sql(EV, HOUR_MS, 30 * MINUTE_MS, B60))
+def q_live_sliding_sum(spark, sf_dir):
+    """The sliding job live."""
+    live = _play(spark, event_trips(spark, sf_dir), EVENT_ORDER, "start_ms", B60, SLIDE, ["taxi_id"], SUM_TIP)
+    return live.emitted(spark).select("window_start_ms", "taxi_id", "sum_tip", "delay_ms", "flushed")
+
+
+@register("live_tumbling_count", O.result_sql(EV, 10_000, None, 3_000, agg="count(*)", agg_alias="n", key_alias="id"))
+def q_live_tumbling_count(spark, sf_dir):
+    """The sensor job live: 10 s windows, 3 s bound, rows counted per id."""
+    rows = event_trips(spark, sf_dir).select("event_id", "arrival_ms", "start_ms", F.col("taxi_id").alias("id"))
+    live = _play(spark, rows, EVENT_ORDER, "start_ms", 3_000, WindowSpec(10_000), ["id"], [Agg("n", "count")])
+    return live.emitted(spark).select("window_start_ms", "id", "n", "delay_ms", "flushed")
+
+
+@register("live_proctime_sum", ORACLES["proctime_sliding_sum"])
+def q_live_proctime_sum(spark, sf_dir):
+    """The throughput job live on the arrival clock: a clock never falls, so a
+    bound of one millisecond closes a window when the clock reaches its end."""
+    rows = event_trips(spark, sf_dir).select("event_id", F.pmod("event_id", F.lit(10_000)).alias("key"), F.col("arrival_ms").alias("pt"), F.lit(1).cast("long").alias("one"))
+    live = _play(spark, rows, ["pt", "event_id"], "pt", 1, WindowSpec(2_500, 500), ["key"], [Agg("total", "sum", "one")])
+    return live.emitted(spark).select("window_start_ms", "key", "total")
+
+
+LATE60 = O.late_rows_sql(EV, HOUR_MS, None, B60)
+
+
+@register("live_late_count", f"""WITH {O.annotated(EV)}, l AS (SELECT id, seq FROM m WHERE coalesce((t - t % {HOUR_MS}) + {HOUR_MS} - 1 <= mvis - {B60}, false))
+SELECT id AS event_id, row_number() OVER (ORDER BY seq) AS late_count FROM l""")
+def q_live_late_count(spark, sf_dir):
+    """The running count of late rows (1, 2, 3, ...), live: one row for each."""
+    live = _play(spark, event_trips(spark, sf_dir), EVENT_ORDER, "start_ms", B60, TUMBLE, ["taxi_id"], SUM_TIP)
+    return live.late(spark).select("event_id", "late_count")
+
+
+@register("live_split", f"""SELECT a.event_id, l.event_id IS NOT NULL AS is_late FROM events a LEFT JOIN ({LATE60}) l ON l.event_id = a.event_id""")
+def q_live_split(spark, sf_dir):
+    """Rows in windows and late rows as two outputs under one manifest."""
+    live = _play(spark, event_trips(spark, sf_dir), EVENT_ORDER, "start_ms", B60, TUMBLE, ["taxi_id"], SUM_TIP)
+    on_time = live.rows(spark).where("NOT is_late").select("event_id", F.lit(False).alias("is_late"))
+    return on_time.unionByName(live.late(spark).select("event_id", F.lit(True).alias("is_late")))
+
+
+LOG_SPEC = WindowSpec(HOUR_MS, 30 * MINUTE_MS, 15 * MINUTE_MS)
+LOG_SQL = O.updates_sql(EV, HOUR_MS, 30 * MINUTE_MS, 10 * MINUTE_MS, 15 * MINUTE_MS)
+
+
+@register("lateness_updates", LOG_SQL)
+def q_lateness_updates(spark, sf_dir):
+    """First firings and every later change while a window stays 15 minutes."""
+    from tardy.operators.updates import lateness_updates
+    ann = annotate(event_trips(spark, sf_dir), 10 * MINUTE_MS)
+    return lateness_updates(ann, "start_ms", ["taxi_id"], SUM_TIP, HOUR_MS, 30 * MINUTE_MS, 10 * MINUTE_MS, 15 * MINUTE_MS)
+
+
+@register("live_lateness_updates", LOG_SQL)
+def q_live_lateness_updates(spark, sf_dir):
+    """The same log, live."""
+    live = _play(spark, event_trips(spark, sf_dir), EVENT_ORDER, "start_ms", 10 * MINUTE_MS, LOG_SPEC, ["taxi_id"], SUM_TIP)
+    return live.emitted(spark).drop("batch_id")
+
+
+@register("live_tips_files", ORACLES["tips_job_files"])
+def q_live_tips_files(spark, sf_dir):
+    """The tips job as a stream over the trip files themselves, in file order."""
+    from tardy.session import scratch_path
+    from tardy.sources.trips import stream_trips, with_file_order
+    from tardy.streaming.emit import LiveWindows
+    stream = stream_trips(spark, f"{sf_dir}/events.parquet", EVENTS_COLUMNS, truncate_values=True)
+    base = scratch_path(spark, "live")
+    live = LiveWindows(f"{base}/out", with_file_order(stream.sparkSession.createDataFrame([], stream.schema)).schema, "start_ms", ["arrival_key"], 5 * MINUTE_MS,
+                       HOUR_MS, ["taxi_id"], SUM_TIP, prepare=with_file_order)
+    live.start(stream, f"{base}/ckpt").awaitTermination()
+    live.finish(spark)
+    rows = live.emitted(spark).select("window_start_ms", "taxi_id", "sum_tip", "delay_ms", "flushed", F.lit(0).cast("long").alias("late_rows"))
+    count = late_count(live.late(spark)).select(
+        F.lit(-1).cast("long").alias("window_start_ms"), F.lit("").alias("taxi_id"), F.lit(0.0).alias("sum_tip"),
+        F.lit(-1).cast("long").alias("delay_ms"), F.lit(False).alias("flushed"), "late_rows")
+    return rows.unionByName(count)

@@ -94,3 +94,24 @@ x AS (SELECT k, raw_v, t, (t - t % {slide}) - unnest(range({k})) * {slide} AS ws
 SELECT ws AS window_start_ms, k AS {key_alias},
        CAST(coalesce(sum(CAST(raw_v AS DECIMAL(18,6))), 0) AS DOUBLE) AS {value_alias}
 FROM x WHERE ws <= t AND t < ws + {size} GROUP BY ws, k"""
+
+
+def updates_sql(src: str, size: int, slide: int | None, bound: int, lateness: int, key_alias: str = "taxi_id", value_alias: str = "sum_tip") -> str:
+    """The log of windows: first firings, then every row within the allowed
+    lateness with the running sum in arrival order."""
+    slide = slide or size
+    k = math.ceil(size / slide)
+    return f"""WITH {annotated(src)},
+x AS (SELECT m.*, (t - t % {slide}) - unnest(range({k})) * {slide} AS ws FROM m WHERE t IS NOT NULL AND k IS NOT NULL),
+y AS (SELECT *, ws + {size} AS we, coalesce(ws + {size} - 1 <= mvis - {bound}, false) AS fired,
+  coalesce(ws + {size} - 1 + {lateness} <= mvis - {bound}, false) AS gone FROM x WHERE ws <= t AND t < ws + {size}),
+r AS (SELECT ws, we, k, sum(v) AS s FROM y WHERE NOT fired GROUP BY ws, we, k),
+f AS (SELECT e.we, min(m.mafter) AS fire FROM (SELECT DISTINCT we FROM r) e JOIN m ON m.mafter - {bound} >= e.we - 1 GROUP BY e.we)
+SELECT r.ws AS window_start_ms, r.k AS {key_alias}, CAST(0 AS BIGINT) AS update, r.s AS {value_alias},
+  CAST(coalesce(f.fire - r.we, -1) AS BIGINT) AS delay_ms, f.fire IS NULL AS flushed
+FROM r LEFT JOIN f ON f.we = r.we
+UNION ALL
+SELECT y.ws, y.k, CAST(row_number() OVER w - 1 + CASE WHEN r.ws IS NULL THEN 0 ELSE 1 END AS BIGINT),
+  coalesce(r.s, 0) + sum(y.v) OVER w, CAST(y.mvis - y.we AS BIGINT), false
+FROM y LEFT JOIN r ON r.ws = y.ws AND r.k = y.k WHERE y.fired AND NOT y.gone
+WINDOW w AS (PARTITION BY y.ws, y.k ORDER BY y.seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"""

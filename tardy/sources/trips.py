@@ -11,6 +11,8 @@ failure.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -104,20 +106,54 @@ def read_trips_csv(spark: SparkSession, path: str, min_fields: int = 6) -> DataF
     return parse_trip_lines(raw, "value", min_fields)
 
 
+def stream_trips(spark: SparkSession, path: str, columns: dict | None = None, truncate_values: bool = False,
+                 files_per_trigger: int = 1000) -> DataFrame:
+    """Parquet trips as a stream, with the file order kept as in
+    :func:`read_trips`; nothing is rewritten.  Files are taken oldest first;
+    :func:`with_file_order` orders those of one batch by path."""
+    cols = columns or NYC_COLUMNS
+    table = spark.read.parquet(path)
+    reader = spark.readStream.schema(table.schema).option("maxFilesPerTrigger", files_per_trigger)
+    folder, _, name = path.rstrip("/").rpartition("/")
+    if [f.rpartition("/")[2] for f in table.inputFiles()] == [name]:      # one file: a stream takes folders
+        raw = reader.option("pathGlobFilter", name).parquet(folder or "/")
+    else:
+        raw = reader.parquet(path)
+    raw = raw.select("*", F.col("_metadata.file_path").alias("src_file"), F.col("_metadata.row_index").alias("src_row"))
+    out = trips_from(raw, cols, truncate_values, order_cols=("src_file", "src_row"))
+    return out if cols.get("ride") else out.withColumn("ride_id", F.col("src_row").cast("string"))
+
+
+#: rows of one file in the arrival key, and most files that key has room for
+FILE_ROWS, MAX_FILES = 1 << 32, 1 << 20
+#: file names that the lookup table broadcasts at most (a few MB)
+LOOKUP_FILES = 20_000
+
+
 def with_file_order(df: DataFrame, file_col: str = "src_file", row_col: str = "src_row",
                     out: str = "arrival_key") -> DataFrame:
     """One numeric arrival key for multi-file input: ``file_rank * 2**32 + row``.
 
-    Files are ranked by path over the small distinct-file table (one row per
-    file); the join back is left to AQE (broadcast when that table is small).
-    Assumes fewer than 2**20 files and 2**32 rows per file (key below 2**53).
+    The ranks come from the list of input files, which the driver holds for the
+    scan anyway (a micro-batch has no such list: there the distinct names of its
+    rows are read, as many as files a trigger takes).  No row is shuffled to
+    rank them: the names are a lookup table, broadcast up to ``LOOKUP_FILES``.
+    More than 2**20 files or 2**32 rows in one fail the job.
     """
-    from pyspark.sql import Window
-    files = df.select(file_col).distinct()
-    ranked = files.select(file_col, (F.dense_rank().over(Window.orderBy(file_col)) - 1).alias("_frank"))
-    return (df.join(ranked, file_col, "left")
-            .withColumn(out, F.col("_frank").cast("long") * F.lit(1 << 32) + F.col(row_col).cast("long"))
-            .drop("_frank"))
+    # a local path is written file:/x or file:///x
+    name = F.regexp_replace(file_col, "^file:/+", "file:/")
+    names = sorted({re.sub("^file:/+", "file:/", f) for f in df.inputFiles()})
+    if not names:
+        names = sorted(r[0] for r in df.select(name).where(F.col(file_col).isNotNull()).distinct().collect())
+    if len(names) > MAX_FILES:
+        raise ValueError(f"{len(names)} files: the arrival key has room for {MAX_FILES}")
+    ranked = df.sparkSession.createDataFrame(list(zip(names, range(len(names)))), "_fname string, _frank long")
+    if len(names) <= LOOKUP_FILES:
+        ranked = F.broadcast(ranked)
+    row = F.col(row_col).cast("long")
+    known = F.col("_frank").isNotNull() & (row < F.lit(FILE_ROWS))
+    key = F.when(known, F.col("_frank") * F.lit(FILE_ROWS) + row).otherwise(F.raise_error(F.lit("a file is not in the list, or has 2**32 rows")))
+    return df.join(ranked, name == F.col("_fname"), "left").withColumn(out, key.cast("long")).drop("_frank", "_fname")
 
 
 USED = ("start_ms", "taxi_id", "tip")

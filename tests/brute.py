@@ -57,3 +57,35 @@ def replay(rows, bound, size, slide=None, emit_every=1, lanes=1):
         m = next((a for a in fires if a - bound >= e - 1), None)
         out[(ws, key)] = (s, -1 if m is None else m - e)
     return out, late
+
+
+def update_log(rows, bound, size, slide=None, lateness=0):
+    """rows: list of (t, key, value) in arrival order.  Returns (log, late row
+    indexes, open windows after each row): the log holds (ws, key, update, sum,
+    delay, flushed) of first firings and of every row after them."""
+    slide = slide or size
+    vis, after = watermark_series([r[0] for r in rows], bound)
+    k = math.ceil(size / slide)
+    sums, told, log, late, open_after = {}, {}, [], [], []
+    for i, (t, key, v) in enumerate(rows):
+        wm = None if vis[i] is None else vis[i] - bound
+        if t is not None:
+            base = t - t % slide
+            wins = [base - j * slide for j in range(k) if t < base - j * slide + size]
+            here = [ws for ws in wins if wm is None or ws + size - 1 + lateness > wm]
+            if wins and not here:
+                late.append(i)
+            for ws in here if key is not None else []:
+                w = (ws, key)
+                sums[w] = sums.get(w, 0) + v
+                if wm is not None and ws + size - 1 <= wm:
+                    log.append((ws, key, told.get(w, 0), sums[w], vis[i] - ws - size, False))
+                    told[w] = told.get(w, 0) + 1
+        if after[i] is not None:
+            for ws, key in sorted(sums):
+                if (ws, key) not in told and ws + size - 1 <= after[i] - bound:
+                    log.append((ws, key, 0, sums[ws, key], after[i] - ws - size, False))
+                    told[ws, key] = 1
+        open_after.append(sorted(w for w in sums if w not in told or w[0] + size - 1 + lateness > after[i] - bound))
+    log += [(ws, key, 0, s, -1, True) for (ws, key), s in sums.items() if (ws, key) not in told]
+    return log, late, open_after
