@@ -1,10 +1,11 @@
 """Exact batch answer and accuracy of a replayed result.
 
-Sums that are compared across runs or engines are taken in DECIMAL, so
-they do not depend on the order rows are added in; ratios are then formed
-in DOUBLE from those exact totals.  Per-key percentage terms (MAPE) are
-summed at 6 decimals so the unscaled total stays below 2**53 and converts
-to DOUBLE exactly.
+Sums that are compared across runs or engines are taken in DECIMAL of 38
+digits, so they do not depend on the order rows are added in; ratios are then
+formed in DOUBLE from those exact totals.  Decimal columns keep their own scale;
+of doubles six decimals are summed, finer than any money column.  R^2 compares
+sums of squares around the mean, which Spark merges as moments in DOUBLE; it is
+given to nine decimals, the rest being order of addition.
 """
 
 from __future__ import annotations
@@ -14,12 +15,19 @@ from pyspark.sql import functions as F
 
 from tardy.operators.windows import assign_windows
 
-# six decimals: finer than any money column; exact sums at any row order
-DEC = "decimal(18,6)"
+# six decimals of a double: exact sums at any row order and up to 10^31
+DEC = "decimal(38,6)"
+# fixed value: a truth over this counts as nonzero
+NONZERO = 1e-9
 
 
-def _dec(c) -> Column:
-    return (F.col(c) if isinstance(c, str) else c).cast(DEC)
+def sum_type(kind: str) -> str:
+    """Type that a column is summed in: a decimal column keeps its scale."""
+    return f"decimal(38,{kind[8:-1].split(',')[1]})" if kind.startswith("decimal") else DEC
+
+
+def exact(c: Column, kind: str = "double") -> Column:
+    return c.cast(sum_type(kind))
 
 
 def ground_truth(df: DataFrame, ts_ms: str, keys: list[str], value: str, size_ms: int,
@@ -31,9 +39,10 @@ def ground_truth(df: DataFrame, ts_ms: str, keys: list[str], value: str, size_ms
     ok = F.col(ts_ms).isNotNull()
     for k in keys:
         ok = ok & F.col(k).isNotNull()
+    kind = dict(df.dtypes)[value]
     pairs = assign_windows(df.where(ok), ts_ms, size_ms, slide_ms)
     return pairs.groupBy("window_start_ms", *keys).agg(
-        F.coalesce(F.sum(_dec(value)), F.lit(0).cast(DEC)).cast("double").alias(out))
+        F.coalesce(F.sum(exact(F.col(value), kind)).cast("double"), F.lit(0.0)).alias(out))
 
 
 def align_results(truth: DataFrame, result: DataFrame, keys: list[str], truth_col: str = "true_tip",
@@ -53,27 +62,26 @@ def align_results(truth: DataFrame, result: DataFrame, keys: list[str], truth_co
 def metric_columns(tolerance: float = 0.01, where: Column | None = None) -> list[Column]:
     """Aggregates over an aligned table (columns true_tip, est_tip, in_truth,
     in_result), over the rows with ``where`` only if given."""
-    g, e = _dec("true_tip"), _dec("est_tip")
+    g, e = exact(F.col("true_tip")), exact(F.col("est_tip"))
     n = F.count(F.lit(1))
     if where is not None:
         g, e, n = F.when(where, g), F.when(where, e), F.count(F.when(where, 1))
     t_sum = F.sum(g).cast("double")
     e_sum = F.sum(e).cast("double")
-    nz = (F.col("true_tip") > F.lit(1e-9)) if where is None else where & (F.col("true_tip") > F.lit(1e-9))
-    ape = F.when(nz, (F.abs((F.col("est_tip") - F.col("true_tip")) / F.col("true_tip")) * 100)
-                 .cast("decimal(24,6)"))
-    diff = (e - g).cast(DEC)
-    ss_res = F.sum(diff * diff).cast("double")
-    ss_tot = F.sum(g * g).cast("double") - t_sum * t_sum / n
+    nz = (F.col("true_tip") > F.lit(NONZERO)) if where is None else where & (F.col("true_tip") > F.lit(NONZERO))
+    ape = F.when(nz, exact(F.abs((F.col("est_tip") - F.col("true_tip")) / F.col("true_tip")) * 100))
+    diff = (e - g).cast("double")
+    ss_res = F.sum(diff * diff)
+    ss_tot = F.var_pop(g.cast("double")) * n
     correct = F.col("in_truth") & F.col("in_result") & (F.abs(e - g).cast("double") <= F.lit(float(tolerance)))
     return [
         n.alias("n_keys"),
         t_sum.alias("true_sum"),
         e_sum.alias("est_sum"),
         F.when(t_sum != 0, F.abs(t_sum - e_sum) / t_sum * 100).alias("global_error_pct"),
-        (F.sum(F.abs(e - g)).cast("double") / n).alias("mae"),
+        (F.sum(F.abs((e - g).cast(DEC))).cast("double") / n).alias("mae"),
         (F.sum(ape).cast("double") / F.count(ape)).alias("mape_pct"),
-        F.when(ss_tot > 0, F.lit(1.0) - ss_res / ss_tot).otherwise(F.lit(0.0)).alias("r2"),
+        F.when(ss_tot > 0, F.round(F.lit(1.0) - ss_res / ss_tot, 9)).otherwise(F.lit(0.0)).alias("r2"),
         F.count(F.when(F.col("in_truth"), 1)).alias("n_truth"),
         F.count(F.when(F.col("in_result"), 1)).alias("n_result"),
         F.count(F.when(correct, 1)).alias("correct"),
@@ -129,6 +137,7 @@ def scored_windows(ann: DataFrame, ts_ms: str, keys: list[str], size_ms: int, sl
     # per-row expressions as SQL text (see late.one_pass_result)
     q = _quote
     lat = int(allowed_lateness_ms)
+    truth_type = sum_type(dict(ann.dtypes)[truth_col])
     keep = [bound_col] if bound_col else []
     bnd = q(bound_col) if bound_col else str(int(bound_ms))
     w = f"({q('m_vis')} - {bnd})"
@@ -152,7 +161,7 @@ def scored_windows(ann: DataFrame, ts_ms: str, keys: list[str], size_ms: int, sl
         f"CASE WHEN {pair} THEN _v END AS window_start_ms",
         f"CASE WHEN {pair} THEN _v + {size} WHEN {step} THEN _v END AS window_end_ms",
         *[f"CASE WHEN {pair} THEN {q(c)} END AS {q(c)}" for c in keys],
-        f"CASE WHEN {pair} THEN CAST({q(truth_col)} AS {DEC}) END AS _truth",
+        f"CASE WHEN {pair} THEN CAST({q(truth_col)} AS {truth_type}) END AS _truth",
         f"CASE WHEN {open_} THEN {q(est_col)} END AS _est",
         f"CASE WHEN {open_} THEN 1 END AS _op",
         f"CASE WHEN {step} THEN m_after END AS _fire",
@@ -165,7 +174,7 @@ def scored_windows(ann: DataFrame, ts_ms: str, keys: list[str], size_ms: int, sl
     in_result = F.col("_nopen") > 0
     return j.select(
         *keep, "window_start_ms", *keys,
-        F.coalesce(F.col("_truth"), F.lit(0).cast(DEC)).cast("double").alias("true_tip"),
+        F.coalesce(F.col("_truth").cast("double"), F.lit(0.0)).alias("true_tip"),
         F.coalesce(F.col("_est"), F.lit(0.0)).alias("est_tip"),
         (F.col("_kind") == 0).alias("in_truth"),
         in_result.alias("in_result"),

@@ -14,8 +14,10 @@ two passes:
 3. inside a block the prefix is an ordinary window partitioned by block, and
    the global value is ``greatest(carry, local)``.
 
-Ties of the leading order column are split by the second one, so one hot
-arrival instant (even a third of all rows) is spread over many blocks.
+Bounds are pairs (leading key, tie-breaker), null being a value that sorts
+first: ties of the leading column, and rows that have none, are split by the
+second one, so one hot arrival instant (even half of all rows) is spread over
+many blocks.
 """
 
 from __future__ import annotations
@@ -34,6 +36,8 @@ BLK = "_blk"
 # per-block tables and the bound lookup stay a few MB.
 MAX_BLOCKS = 100_000
 DEFAULT_ROWS_PER_BLOCK = 2_000_000
+#: what null keys read as: below every value that a key may have
+NULL_LEAD, NULL_TIE = -(2 ** 53), -(2 ** 63)
 INTEGRAL = ("bigint", "int", "smallint", "tinyint")
 
 
@@ -59,7 +63,8 @@ def range_blocks(df: DataFrame, order_by: list[str], n_blocks: int | None = None
     ``order_by`` is one or two numeric columns (leading key below 2**53 in
     magnitude, e.g. epoch ms or a row counter; optional tie-breaker) that
     together identify a row: a replay over a non-unique order is not
-    deterministic.  Nulls sort first (a null leading key goes to block 0).
+    deterministic.  Nulls sort first; rows with a null leading key are split by
+    the tie-breaker like those of any other value.
     """
     if not 1 <= len(order_by) <= 2:
         raise ValueError("order_by takes one numeric key and an optional tie-breaker")
@@ -87,10 +92,11 @@ def range_blocks(df: DataFrame, order_by: list[str], n_blocks: int | None = None
     # Sample the order keys (bounded size), pick n_blocks-1 bounds on the driver.
     # the sample follows the number of blocks, so blocks stay even at any size
     frac = min(1.0, n_blocks * sample_per_block / total)
-    keys = [F.col(p_col).cast("long").alias("p")]
+    lead = F.coalesce(F.col(p_col).cast("long"), F.lit(NULL_LEAD))
+    keys = [lead.alias("p")]
     if s_col:
-        keys.append(F.col(s_col).cast("long").alias("s"))
-    smp = df.select(*keys).where(F.col("p").isNotNull())
+        keys.append(F.coalesce(F.col(s_col).cast("long"), F.lit(NULL_TIE)).alias("s"))
+    smp = df.select(*keys)
     if frac < 1.0:
         smp = smp.sample(False, frac, seed)
     pdf = smp.toPandas()
@@ -132,21 +138,26 @@ def range_blocks(df: DataFrame, order_by: list[str], n_blocks: int | None = None
     ])
     lookup = spark.createDataFrame(rows, schema)
 
-    if leads and max(abs(leads[0]), abs(leads[-1])) >= 2 ** 53:
+    real = [v for v in leads if v != NULL_LEAD]
+    if real and max(abs(real[0]), abs(real[-1])) >= 2 ** 53:
         raise ValueError(f"order column {p_col!r} holds values beyond 2**53; rebase it first")
     splits = [float("-inf")] + [float(u) for u in leads] + [float("inf")]
     tmp = "_bkd"
-    with_p = df.withColumn(tmp, F.coalesce(F.col(p_col).cast("double"), F.lit(float("-inf"))))
+    with_p = df.withColumn(tmp, lead.cast("double"))
     bucketed = (Bucketizer(splits=splits, inputCol=tmp, outputCol="_bkf").transform(with_p)
                 .withColumn("_bk", F.col("_bkf").cast("int")).drop("_bkf", tmp))
     joined = bucketed.join(F.broadcast(lookup), "_bk", "left")
     if s_col:
-        on_tie = F.col("_bprev") + F.size(
-            F.filter("_bties", lambda v: v <= F.col(s_col).cast("long")))
-        blk = F.when(F.col(p_col).cast("long") == F.col("_bu"), on_tie).otherwise(F.col("_ble"))
+        # how many of a leading value's bounds are not over the row, by halving
+        tie = F.coalesce(F.col(s_col).cast("long"), F.lit(NULL_TIE))
+        joined = joined.withColumn("_bpos", F.lit(0))
+        for k in range(max(map(len, ties), default=0).bit_length() - 1, -1, -1):
+            probe = F.get("_bties", F.col("_bpos") + F.lit((1 << k) - 1))
+            joined = joined.withColumn("_bpos", F.col("_bpos") + F.when(probe <= tie, F.lit(1 << k)).otherwise(F.lit(0)))
+        blk = F.when(lead == F.col("_bu"), F.col("_bprev") + F.col("_bpos")).otherwise(F.col("_ble"))
     else:
         blk = F.col("_ble")
-    out = joined.withColumn(BLK, blk.cast("int")).drop("_bk", "_bu", "_bprev", "_ble", "_bties")
+    out = joined.withColumn(BLK, blk.cast("int")).drop("_bk", "_bu", "_bprev", "_ble", "_bties", "_bpos")
     return Blocked(out, seen + 1, stats)
 
 

@@ -1,17 +1,17 @@
 """Disorder profile: per-key running max, row delay, tail trim, histogram.
 
-``exact_quantile`` ranks rows with the block-wise dense sequence (no global
-sort task) and interpolates linearly between the two neighbouring ranks,
-like numpy/pandas ``quantile`` and SQL ``quantile_cont``.
+``exact_quantile`` finds the blocks of values that hold the two neighbouring
+ranks by counting and sorts those alone; it interpolates linearly, like
+numpy/pandas ``quantile`` and SQL ``quantile_cont``.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tardy.functions.columns import col_of, minutes_between
-from tardy.operators.order import dense_seq, prefix_max
+from tardy.operators.order import BLK, prefix_max, range_blocks
 from tardy.session import materialize
 
 
@@ -53,38 +53,50 @@ def lateness(df: DataFrame, ts_ms: str, max_seen_ms: str, same_window: str = "ho
 
 
 def exact_quantile(df: DataFrame, rank_key: str, value: str, q: float, tie: str | None = None,
-                   materialized: bool = False) -> Column:
+                   materialized: bool = False, n_blocks: int | None = None) -> Column:
     """Linear-interpolated ``q`` quantile of ``value``, as a literal column.
 
     ``rank_key`` is an integral column ordered like ``value`` (``value`` may be
-    a scaled double of it); ``tie`` an optional unique tie-breaker.  Rows are
-    ranked with the block-wise dense sequence; only the two rows around rank
-    ``(n-1)*q`` reach the driver.  ``materialized``: ``df`` is already a
+    a scaled double of it; equal keys have equal values, so ``tie`` decides
+    nothing).  Selection instead of ranking: the rows are counted by contiguous
+    blocks of the key, and only the blocks that hold the two ranks around
+    ``(n-1)*q`` are sorted, by distinct key with its number of rows, so a key
+    that most rows share is no load.  ``materialized``: ``df`` is already a
     written table, read it directly.
     """
     import math
 
-    order = [rank_key] + ([tie] if tie else [])
-    base = df.where(F.col(value).isNotNull()).select(*order, value)
+    base = df.where(F.col(value).isNotNull()).select(rank_key, value)
     if not materialized:
         base = materialize(base)
-    n = base.count()
+    blocked = range_blocks(base, [rank_key], n_blocks)
+    n = blocked.stats["rows"]
     if n == 0:
         return F.lit(None).cast("double")
     pos = (n - 1) * float(q)
-    lo = math.floor(pos)
-    ranked = dense_seq(base, order, seq="_qr")
-    got = {r["_qr"]: r[value] for r in ranked.where(F.col("_qr").isin(lo, lo + 1)).select("_qr", value).collect()}
-    v_lo = float(got[lo])
-    v_hi = float(got.get(lo + 1, v_lo))
-    return F.lit(v_lo + (v_hi - v_lo) * (pos - lo))
+    ranks = [math.floor(pos), min(math.floor(pos) + 1, n - 1)]
+    before, held = 0, {}                         # block -> rows before it
+    for r in sorted(blocked.df.groupBy(BLK).agg(F.count(F.lit(1)).alias("n")).collect()):
+        if any(before <= k < before + r["n"] for k in ranks):
+            held[r[BLK]] = before
+        before += r["n"]
+    start = F.coalesce(*[F.when(F.col(BLK) == b, F.lit(v)) for b, v in held.items()])
+    keys = blocked.df.where(F.col(BLK).isin(*held)).groupBy(BLK, rank_key).agg(F.min(value).alias("_v"), F.count(F.lit(1)).alias("_n"))
+    upto = Window.partitionBy(BLK).orderBy(rank_key).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    keys = keys.select("_v", "_n", (start + F.sum("_n").over(upto)).alias("_end"))
+    hit = F.lit(False)
+    for k in ranks:
+        hit = hit | ((F.col("_end") > k) & (F.col("_end") - F.col("_n") <= k))
+    found = keys.where(hit).collect()
+    lo, hi = (next(float(r["_v"]) for r in found if r["_end"] - r["_n"] <= k < r["_end"]) for k in ranks)
+    return F.lit(lo + (hi - lo) * (pos - ranks[0]))
 
 
 def trim_tail(df: DataFrame, rank_key: str, value: str, q: float = 0.99, tie: str | None = None,
               materialized: bool = False, exact: bool = True, accuracy: int = 100_000) -> DataFrame:
     """Keep rows with ``value <= quantile(q)``.
 
-    ``exact``: rank-based, distributed (see :func:`exact_quantile`);
+    ``exact``: by selection, distributed (see :func:`exact_quantile`);
     otherwise one ``percentile_approx`` sketch pass (rank error ~1/accuracy).
     """
     if exact:

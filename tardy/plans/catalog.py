@@ -172,21 +172,23 @@ FULL OUTER JOIN ({O.result_sql(EV, size, slide, bound)}) rs
   ON tr.window_start_ms = rs.window_start_ms AND tr.taxi_id = rs.taxi_id"""
 
 
+# fixed value: 1e-9, over which a truth counts as nonzero
 METRICS_SQL = """count(*) AS n_keys,
-  CAST(sum(CAST(true_tip AS DECIMAL(18,6))) AS DOUBLE) AS true_sum,
-  CAST(sum(CAST(est_tip AS DECIMAL(18,6))) AS DOUBLE) AS est_sum,
-  CASE WHEN CAST(sum(CAST(true_tip AS DECIMAL(18,6))) AS DOUBLE) <> 0 THEN
-    abs(CAST(sum(CAST(true_tip AS DECIMAL(18,6))) AS DOUBLE) - CAST(sum(CAST(est_tip AS DECIMAL(18,6))) AS DOUBLE))
-    / CAST(sum(CAST(true_tip AS DECIMAL(18,6))) AS DOUBLE) * 100 END AS global_error_pct,
-  CAST(sum(abs(CAST(est_tip AS DECIMAL(18,6)) - CAST(true_tip AS DECIMAL(18,6)))) AS DOUBLE) / count(*) AS mae,
-  CAST(sum(CASE WHEN true_tip > 1e-9 THEN CAST(abs((est_tip - true_tip) / true_tip) * 100 AS DECIMAL(24,6)) END) AS DOUBLE)
+  CAST(sum(CAST(true_tip AS DECIMAL(38,6))) AS DOUBLE) AS true_sum,
+  CAST(sum(CAST(est_tip AS DECIMAL(38,6))) AS DOUBLE) AS est_sum,
+  CASE WHEN CAST(sum(CAST(true_tip AS DECIMAL(38,6))) AS DOUBLE) <> 0 THEN
+    abs(CAST(sum(CAST(true_tip AS DECIMAL(38,6))) AS DOUBLE) - CAST(sum(CAST(est_tip AS DECIMAL(38,6))) AS DOUBLE))
+    / CAST(sum(CAST(true_tip AS DECIMAL(38,6))) AS DOUBLE) * 100 END AS global_error_pct,
+  CAST(sum(abs(CAST(est_tip AS DECIMAL(38,6)) - CAST(true_tip AS DECIMAL(38,6)))) AS DOUBLE) / count(*) AS mae,
+  CAST(sum(CASE WHEN true_tip > 1e-9 THEN CAST(abs((est_tip - true_tip) / true_tip) * 100 AS DECIMAL(38,6)) END) AS DOUBLE)
     / count(CASE WHEN true_tip > 1e-9 THEN 1 END) AS mape_pct,
-  CASE WHEN CAST(sum(CAST(true_tip AS DECIMAL(18,6)) * CAST(true_tip AS DECIMAL(18,6))) AS DOUBLE)
-            - CAST(sum(CAST(true_tip AS DECIMAL(18,6))) AS DOUBLE) * CAST(sum(CAST(true_tip AS DECIMAL(18,6))) AS DOUBLE) / count(*) > 0
-       THEN 1.0 - CAST(sum((CAST(est_tip AS DECIMAL(18,6)) - CAST(true_tip AS DECIMAL(18,6))) * (CAST(est_tip AS DECIMAL(18,6)) - CAST(true_tip AS DECIMAL(18,6)))) AS DOUBLE)
-            / (CAST(sum(CAST(true_tip AS DECIMAL(18,6)) * CAST(true_tip AS DECIMAL(18,6))) AS DOUBLE)
-               - CAST(sum(CAST(true_tip AS DECIMAL(18,6))) AS DOUBLE) * CAST(sum(CAST(true_tip AS DECIMAL(18,6))) AS DOUBLE) / count(*))
-       ELSE 0.0 END AS r2"""
+  CASE WHEN sum((true_tip - mean_tip) ** 2) > 0
+       THEN round(1.0 - sum((est_tip - true_tip) ** 2) / sum((true_tip - mean_tip) ** 2), 9) ELSE 0.0 END AS r2"""
+
+
+def _centred(sql: str) -> str:
+    """An aligned table with the mean of all truths, which R^2 is taken around."""
+    return f"SELECT *, avg(true_tip) OVER () AS mean_tip FROM ({sql}) c"
 
 
 def _scored_trips(spark, sf_dir) -> DataFrame:
@@ -211,18 +213,18 @@ def q_align(spark, sf_dir):
     return _aligned(spark, sf_dir)
 
 
-@register("accuracy_metrics", f"SELECT {METRICS_SQL} FROM ({_aligned_sql(HOUR_MS, None, B60)}) q")
+@register("accuracy_metrics", f"SELECT {METRICS_SQL} FROM ({_centred(_aligned_sql(HOUR_MS, None, B60))}) q")
 def q_accuracy_metrics(spark, sf_dir):
     return acc.accuracy_metrics(_aligned(spark, sf_dir))
 
 
 @register("accuracy_verdicts", f"""SELECT count(*) AS total_keys,
   count(CASE WHEN in_truth THEN 1 END) AS n_truth, count(CASE WHEN in_result THEN 1 END) AS n_result,
-  count(CASE WHEN in_truth AND in_result AND abs(CAST(est_tip AS DECIMAL(18,6)) - CAST(true_tip AS DECIMAL(18,6))) <= 0.01 THEN 1 END) AS correct,
-  count(*) - count(CASE WHEN in_truth AND in_result AND abs(CAST(est_tip AS DECIMAL(18,6)) - CAST(true_tip AS DECIMAL(18,6))) <= 0.01 THEN 1 END) AS incorrect,
+  count(CASE WHEN in_truth AND in_result AND abs(CAST(est_tip AS DECIMAL(38,6)) - CAST(true_tip AS DECIMAL(38,6))) <= 0.01 THEN 1 END) AS correct,
+  count(*) - count(CASE WHEN in_truth AND in_result AND abs(CAST(est_tip AS DECIMAL(38,6)) - CAST(true_tip AS DECIMAL(38,6))) <= 0.01 THEN 1 END) AS incorrect,
   count(CASE WHEN in_truth AND NOT in_result THEN 1 END) AS missing,
   count(CASE WHEN in_result AND NOT in_truth THEN 1 END) AS extra,
-  count(CASE WHEN in_truth AND in_result AND abs(CAST(est_tip AS DECIMAL(18,6)) - CAST(true_tip AS DECIMAL(18,6))) <= 0.01 THEN 1 END) / count(*) * 100 AS accuracy_pct
+  count(CASE WHEN in_truth AND in_result AND abs(CAST(est_tip AS DECIMAL(38,6)) - CAST(true_tip AS DECIMAL(38,6))) <= 0.01 THEN 1 END) / count(*) * 100 AS accuracy_pct
 FROM ({_aligned_sql(HOUR_MS, None, B60)}) q""")
 def q_accuracy_verdicts(spark, sf_dir):
     return acc.accuracy_verdicts(_aligned(spark, sf_dir), tolerance=0.01)
@@ -271,7 +273,7 @@ def _tradeoff_sql(size, slide) -> str:
    FROM ({O.result_sql(EV, size, slide, b)}) r) AS avg_delay_min,
   (SELECT count(CASE WHEN NOT flushed THEN delay_ms END) FROM ({O.result_sql(EV, size, slide, b)}) r) AS n_delay,
   (SELECT count(*) FROM ({O.late_rows_sql(EV, size, slide, b)}) l) AS late_rows
-FROM (SELECT {METRICS_SQL} FROM ({_aligned_sql(size, slide, b)}) a) mt""")
+FROM (SELECT {METRICS_SQL} FROM ({_centred(_aligned_sql(size, slide, b))}) a) mt""")
     return "\nUNION ALL\n".join(parts)
 
 
@@ -499,7 +501,7 @@ def q_dedup_results(spark, sf_dir):
 
 
 EXTRA_SQL = "SELECT '(0, ' || r_name || ', 1.5, -1)' AS value, 3 AS run FROM region"
-_VERDICT = "in_truth AND in_result AND abs(CAST(est_tip AS DECIMAL(18,6)) - CAST(true_tip AS DECIMAL(18,6))) <= 0.01"
+_VERDICT = "in_truth AND in_result AND abs(CAST(est_tip AS DECIMAL(38,6)) - CAST(true_tip AS DECIMAL(38,6))) <= 0.01"
 
 
 @register("compare_results", f"""WITH parsed AS ({PARSED_SQL.replace(LINES_SQL, LINES_SQL + " UNION ALL " + EXTRA_SQL)}),
@@ -512,7 +514,7 @@ SELECT {METRICS_SQL},
   count(CASE WHEN in_truth THEN 1 END) AS n_truth, count(CASE WHEN in_result THEN 1 END) AS n_result,
   count(CASE WHEN {_VERDICT} THEN 1 END) AS correct,
   count(CASE WHEN in_truth AND NOT in_result THEN 1 END) AS missing,
-  count(CASE WHEN in_result AND NOT in_truth THEN 1 END) AS extra FROM q""")
+  count(CASE WHEN in_result AND NOT in_truth THEN 1 END) AS extra FROM ({_centred("SELECT * FROM q")}) z""")
 def q_compare_results(spark, sf_dir):
     """Result lines against the exact answer: parsed, the last line of each key
     kept, outer-joined with the truth.  The lines hold a few keys that the

@@ -92,7 +92,7 @@ def truth_sql(src: str, size: int, slide: int | None = None, key_alias: str = "t
     return f"""WITH a AS ({src}),
 x AS (SELECT k, raw_v, t, (t - t % {slide}) - unnest(range({k})) * {slide} AS ws FROM a WHERE t IS NOT NULL AND k IS NOT NULL)
 SELECT ws AS window_start_ms, k AS {key_alias},
-       CAST(coalesce(sum(CAST(raw_v AS DECIMAL(18,6))), 0) AS DOUBLE) AS {value_alias}
+       CAST(coalesce(sum(CAST(raw_v AS DECIMAL(38,6))), 0) AS DOUBLE) AS {value_alias}
 FROM x WHERE ws <= t AND t < ws + {size} GROUP BY ws, k"""
 
 
