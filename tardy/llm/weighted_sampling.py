@@ -107,33 +107,41 @@ def _long_array(values: list[int]) -> Column:
     return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
 
 
+def _rank(bounds: list[tuple[int, int]], id_col: str, tie_col: str) -> Column:
+    """How many of the descending ``bounds`` lie above a row: among every
+    ``step``-th one first, then among those up to the next of them."""
+    step = math.isqrt(len(bounds)) + 1
+
+    def above(b: Column) -> Column:
+        return (b["i"] > F.col(id_col)) | ((b["i"] == F.col(id_col)) & (b["t"] > F.col(tie_col)))
+
+    def pairs(values: list[tuple[int, int]]) -> Column:
+        return F.arrays_zip(_long_array([v[0] for v in values]).alias("i"), _long_array([v[1] for v in values]).alias("t"))
+    coarse = F.size(F.filter(pairs(bounds[::step]), above))
+    # bounds[step * (coarse - 1)] lies above, bounds[step * coarse] does not
+    first = F.greatest(coarse - 1, F.lit(0)) * F.lit(step)
+    return first + F.size(F.filter(F.slice(pairs(bounds), first + 1, F.lit(step)), above))
+
+
 def _neighbour_buckets(rows: DataFrame) -> tuple[DataFrame, int]:
     """``rows`` (_id, _tie, _text) with a bucket number, and the number of
     buckets; buckets follow the order (_id, _tie) descending and hold about
     ``BUCKET_CHARS`` characters, more beyond ``MAX_BUCKETS`` of them.
 
     The bounds come from a hash sample of the order columns of at most
-    ``MAX_BUCKETS * SAMPLE_KEYS`` keys; a row finds its bucket by a binary
-    search written as one projection for each halving."""
+    ``MAX_BUCKETS * SAMPLE_KEYS`` keys; a row counts the bounds above it in two
+    steps, each over the square root of their number."""
     stat = rows.agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("_text")).alias("c")).first()
     wanted = min(MAX_BUCKETS, max(1, math.ceil((stat["c"] or 0) / BUCKET_CHARS)))
-    levels = (wanted - 1).bit_length()
-    size = 1 << levels
-    if size == 1:
+    if wanted == 1:
         return rows.withColumn("_bucket", F.lit(0)), 1
-    share = min(1.0, SAMPLE_KEYS * size / max(1, stat["n"]))
+    share = min(1.0, SAMPLE_KEYS * wanted / max(1, stat["n"]))
     sample = sorted((r["_id"], r["_tie"]) for r in rows.where(
         F.pmod(F.xxhash64("_tie", "_id", F.lit(1)), F.lit(1 << 30)) < int(share * (1 << 30))).select("_id", "_tie").collect())
     if not sample:
         return rows.withColumn("_bucket", F.lit(0)), 1
-    bounds = [sample[-1 - (i + 1) * len(sample) // size] if i + 1 < size else sample[0] for i in range(size)]
-    ids, ties = _long_array([b[0] for b in bounds]), _long_array([b[1] for b in bounds])
-    out = rows.withColumn("_bucket", F.lit(0))
-    for level in range(levels - 1, -1, -1):
-        probe = F.col("_bucket") + F.lit((1 << level) - 1)
-        below = (F.col("_id") < F.get(ids, probe)) | ((F.col("_id") == F.get(ids, probe)) & (F.col("_tie") < F.get(ties, probe)))
-        out = out.select("_id", "_tie", "_text", (F.col("_bucket") + F.when(below, F.lit(1 << level)).otherwise(F.lit(0))).alias("_bucket"))
-    return out, size
+    bounds = sorted({sample[-1 - (i + 1) * len(sample) // wanted] for i in range(wanted - 1)}, reverse=True)
+    return rows.withColumn("_bucket", _rank(bounds, "_id", "_tie")), len(bounds) + 1
 
 
 def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
