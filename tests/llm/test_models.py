@@ -1,10 +1,11 @@
+import math
 import zlib
 
 import numpy as np
 import pytest
 
 from tardy.llm.langid import NgramFilters, has_letter, ngrams, predict_language, train_language
-from tardy.llm.quality import FEATURES, GatedAttention, fit_quality, passages, score_quality
+from tardy.llm.quality import FEATURES, PASSAGE_WORDS, GatedAttention, fit_quality, passages, score_quality
 from tardy.llm.text import mix
 
 SF = "/root/testdata/sf0.01"
@@ -65,19 +66,94 @@ def test_passages_cover_the_whole_text():
     assert (x[1] == 0).all() and (x[7] == 0).all()
 
 
+def plain_logit(w, bag):
+    """Logit of one bag by the formulas, a passage and a unit at a time."""
+    enc = [[math.tanh(sum(x * w["E"][i, j] for i, x in enumerate(row)) + w["e"][j]) for j in range(w["E"].shape[1])] for row in bag]
+    att = []
+    for e in enc:
+        gated = [math.tanh(sum(x * w["V"][i, k] for i, x in enumerate(e))) / (1 + math.exp(-sum(x * w["U"][i, k] for i, x in enumerate(e)))) for k in range(w["V"].shape[1])]
+        att.append(math.exp(sum(g * w["a"][k] for k, g in enumerate(gated))))
+    z = [sum(a * e[j] for a, e in zip(att, enc)) / sum(att) for j in range(w["E"].shape[1])]
+    return sum(x * w["c"][j] for j, x in enumerate(z)) + w["b"][0]
+
+
 def test_gradient_matches_differences():
-    """One Adam step moves against the numerical gradient of the bag loss."""
+    """The first Adam step of every weight is ``rate`` against the sign of the
+    bag loss's numerical derivative; many steps bring the loss down."""
     rng = np.random.default_rng(0)
     x, cut, y = rng.normal(size=(12, 5)), np.array([0, 3, 4, 9, 12]), np.array([1.0, 0, 1, 0])
-    m = GatedAttention.fit(x, cut, y, hidden=4, gate=3, epochs=300, bags=4, rate=0.02, decay=0.0)
-    z = (x - m.mean) / m.scale
+    size = {"hidden": 4, "gate": 3, "bags": 4, "decay": 0.0}
+    start, one = (GatedAttention.fit(x, cut, y, epochs=n, rate=0.01, **size) for n in (0, 1))
+    z = (x - start.mean) / start.scale
 
     def loss(w):
-        logit = GatedAttention._forward(w, z, cut)[-1]
-        return float(np.mean(np.log1p(np.exp(-logit * (2 * y - 1)))))
+        return float(np.mean([np.log1p(np.exp(-plain_logit(w, z[cut[i]:cut[i + 1]]) * (2 * y[i] - 1))) for i in range(4)]))
+    checked = 0
+    for name, value in start.w.items():
+        for at in np.ndindex(value.shape):
+            high, low = ({k: v.copy() for k, v in start.w.items()} for _ in range(2))
+            high[name][at] += 1e-5
+            low[name][at] -= 1e-5
+            slope = (loss(high) - loss(low)) / 2e-5
+            if abs(slope) > 1e-6:
+                assert abs((one.w[name] - start.w[name])[at] + 0.01 * np.sign(slope)) < 1e-4, (name, at)
+                checked += 1
+    assert checked > 50
+    m = GatedAttention.fit(x, cut, y, epochs=300, rate=0.02, **size)
     assert loss(m.w) < 0.05
-    a = GatedAttention._forward(m.w, z, cut)[3]
-    assert np.allclose(np.add.reduceat(a, cut[:-1]), 1)
+    assert np.allclose(np.add.reduceat(GatedAttention._forward(m.w, z, cut)[3], cut[:-1]), 1)
+
+
+def test_scores_against_plain_python():
+    """Features and scores of whole texts, a word and a byte at a time."""
+    rng = np.random.default_rng(3)
+    texts = ["Good plain words, 12 of them!", "A", None, " ", "x x x $$$ é日 " * 90, "BAD!! ### 7"]
+    m = GatedAttention.fit(rng.normal(size=(9, FEATURES)), np.array([0, 2, 5, 9]), np.array([1.0, 0, 1]), epochs=2)
+    got = m.scores(texts)
+    for text, score in zip(texts, got):
+        w = (text or "").encode().split()
+        bag = []
+        for i in range(0, max(len(w), 1), PASSAGE_WORDS):
+            part, row = w[i:i + PASSAGE_WORDS], np.zeros(FEATURES)
+            data = b"".join(part)
+            if data:
+                for word in part:
+                    for c, after in zip(word, word[1:] + b" "):
+                        row[int(mix(np.array([c << 8 | after], np.uint64))[0]) & (FEATURES - 10)] += 1
+                row = np.sqrt(row / len(data))
+
+                def symbol(c):
+                    return c < 128 and not chr(c).isalnum() and c not in b" \t\n\x0b\x0c\r"
+                low = [word.lower() for word in part]
+                n = len(part)
+                row[-9:] = [sum(map(symbol, data)) / len(data), sum(65 <= c <= 90 for c in data) / len(data), sum(48 <= c <= 57 for c in data) / len(data),
+                            sum(c >= 128 for c in data) / len(data), sum(a == b for a, b in zip(low, low[1:])) / n, len(set(low)) / n,
+                            sum(symbol(word[-1]) for word in part) / n, sum(len(word) == 1 and symbol(word[0]) for word in part) / n, math.log1p(n) / 5]
+            bag.append((row - m.mean) / m.scale)
+        assert abs(score - 1 / (1 + math.exp(-plain_logit(m.w, bag)))) < 1e-4, text
+
+
+def test_language_against_exact_sets(spark):
+    """Prediction with the n-gram sets themselves instead of filters."""
+    docs = [(i, t, lang) for i, (t, lang) in enumerate([("the cat and the dog run home", "en"), ("der hund und die katze gehen heim", "de"), ("le chat et le chien rentrent", "fr")] * 40)]
+    model = train_language(spark.createDataFrame(docs, "doc_id long, text string, lang string"))
+    every = {}
+    for lang in model.languages:
+        texts = [t for i, t, x in docs if x == lang and zlib.crc32(str(i).encode()) % 4 != 2]
+        every[lang] = {int(k) for _, key, _ in ngrams(texts) for k in key}
+    probe = ["the dog", "die katze und", "le chien et", "the katze", "der cat and run", "12", "qwx zzv", "chat home heim " * 50]
+    names, scores = model.predict(probe, np.array([has_letter(t) for t in probe], bool))
+    for t, name, score in zip(probe, names, scores):
+        grams = [int(k) for _, key, _ in ngrams([t]) for k in key]
+        share = {lang: sum(k in own for k in grams) / max(len(grams), 1) for lang, own in every.items()}
+        if not has_letter(t):
+            assert (name, score) == ("und", 0.0)
+            continue
+        ranked = sorted(share.values(), reverse=True)
+        # a filter may hold two n-grams more by chance
+        assert abs(score - ranked[0]) < 0.02 + 2 / len(grams), t
+        if ranked[0] - ranked[1] > 0.1:
+            assert share[name] == ranked[0], t
 
 
 def test_quality_edge_cases(spark):
@@ -114,3 +190,22 @@ def test_license_lines_are_found(spark, template):
     assert [(i, x) for i, x in got if template in x] == [(i, x) for i, x in got if i in (0, 1, 2, 7)] and len(got) == len(rows)
     assert all(x == [] for i, x in got if i in (3, 4, 5, 6))
     assert scan_licenses(df.limit(0)).count() == 0
+
+
+def test_no_other_license_is_named(spark):
+    from tardy.llm.licenses import TEMPLATES, scan_licenses
+
+    filler = " ".join(f"w{i}" for i in range(40))
+    wrapped = "/*\n * " + TEMPLATES["GPL-3.0-text"].replace(" under ", "\n * under ").replace(", either", ",\n * either") + "\n */"
+    cases = [(TEMPLATES[k], [k]) for k in TEMPLATES if not k.startswith("Apache-2.0-text")] + [
+        (TEMPLATES["Apache-2.0-text"], ["Apache-2.0", "Apache-2.0-text"]),
+        (wrapped, ["GPL-3.0-text"]), ("This work is licensed under the GNU General Public License, version 3.", ["GPL-3.0"]),
+        ("This work is licensed under the GNU General Public License, version 1.", []), ("Licensed under CC BY-NC-SA 4.0.", []), ("Licensed under CC BY-NC 3.0.", []),
+        (f"all rights {filler} reserved", []), (f"all {filler} rights reserved", []), ("rights reserved all rights", []),
+        (f"Released under {filler} the MIT License", []), ("Released under the terms of the MIT License.", []),
+        (f"All rights reserved. {filler} Released under the MIT License.", ["MIT", "all-rights-reserved"]),
+        (TEMPLATES["BSD"].replace("modification", "changes"), ["BSD"]), (" ".join(TEMPLATES["MIT-text"].split()[::-1]), [])]
+    texts = [(i, t if i % 2 else f"{filler}\n{t}\n{filler}") for i, (t, _) in enumerate(cases)]
+    got = {r["doc_id"]: r["licenses"] for r in scan_licenses(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    for i, (t, want) in enumerate(cases):
+        assert got[i] == want, t
