@@ -16,8 +16,6 @@ from tardy.llm.text import join_bytes, mix, range_hashes
 
 _U = np.uint64
 _SPACE = b"\xe2\x96\x81"                 # U+2581 stands for a space in pieces
-#: longest unit in bytes; a longer run is cut at a character
-UNIT_BYTES = 48
 #: a draw of an exponential variate is at least exp(-_REACH)
 _REACH = 37.0
 
@@ -137,11 +135,6 @@ def units(pieces: Pieces, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.
     new |= lone
     new[1:] |= lone[:-1]
     begin = np.flatnonzero(new)
-    # cut what is too long, counted from the unit's start
-    first = np.repeat(begin, np.diff(np.concatenate((begin, [len(char)]))))
-    slot = (char - char[first]) // (UNIT_BYTES - 4)
-    new[1:] |= (slot[1:] != slot[:-1]) & (first[1:] == first[:-1])
-    begin = np.flatnonzero(new)
     s = char[begin]
     doc = np.searchsorted(starts, s, "right") - 1
     e = np.minimum(np.concatenate((s[1:], [n])), starts[doc + 1] - 1)
@@ -150,7 +143,7 @@ def units(pieces: Pieces, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.
 
 
 class Lattices:
-    """Lattices of distinct units: nodes are byte positions, edges are pieces.
+    """Lattices of distinct units, however long: nodes are byte positions, edges are pieces.
 
     ``first[node]`` .. ``first[node + 1]`` are the node's edges; ``p`` is the
     probability of an edge among all ways on from its node (weight times
@@ -182,25 +175,38 @@ class Lattices:
             starts, states = starts[more], states[more]
         frm, to, piece, logp = (np.concatenate(x) for x in (frm, to, piece, logp))
         order = np.argsort(frm, kind="stable")
-        frm, self.to, self.piece, w = frm[order], to[order], piece[order], np.exp(logp[order])
+        frm, self.to, self.piece, w = frm[order], to[order], piece[order], logp[order]
         self.first = np.searchsorted(frm, np.arange(total + 1))
-        beta = np.zeros(total)
-        beta[self.root + length] = 1.0
+        beta = np.full(total, -np.inf)                         # log backward mass: a long unit's is far below any double
+        beta[self.root + length] = 0.0
         place = np.arange(total) - np.repeat(self.root, length + 1)
         weight = np.zeros(len(frm))
-        by_place = np.argsort(place[frm].astype(np.uint8), kind="stable")  # edges by where in the unit they start
-        bound = np.searchsorted(place[frm][by_place], np.arange(UNIT_BYTES + 2))
-        for k in range(UNIT_BYTES, -1, -1):                    # from the units' ends backward
+        by_place = np.argsort(place[frm], kind="stable")       # edges by where in the unit they start
+        deepest = int(place[frm].max()) if len(frm) else -1
+        bound = np.searchsorted(place[frm][by_place], np.arange(deepest + 2))
+        for k in range(deepest, -1, -1):                       # from the units' ends backward
             at = by_place[bound[k]:bound[k + 1]]
             if len(at):
-                weight[at] = w[at] * beta[self.to[at]]
+                weight[at] = w[at] + beta[self.to[at]]
                 cut = np.flatnonzero(np.concatenate(([True], frm[at][1:] != frm[at][:-1])))
-                beta[frm[at][cut]] = np.add.reduceat(weight[at], cut)
-        self.p = weight / beta[frm] if len(frm) else weight
+                most = np.maximum.reduceat(weight[at], cut)
+                each = np.repeat(most, np.diff(np.concatenate((cut, [len(at)]))))
+                beta[frm[at][cut]] = most + np.log(np.add.reduceat(np.exp(weight[at] - each), cut))
+        self.logp = weight - beta[frm] if len(frm) else weight
+        self.p = np.exp(self.logp)
         running = np.cumsum(self.p)
         base = running[self.first[frm]] - self.p[self.first[frm]] if len(frm) else running
         self.cum = running - base
         self.end = self.first[frm + 1] - 1 if len(frm) else frm
+        self.rest = 1 - self.p
+        # where little is left, the other edges are added up: no mass is lost to the difference
+        near = np.flatnonzero(self.rest < 1e-4)
+        lo, hi = self.first[frm[near]], self.first[frm[near] + 1]
+        n = hi - lo
+        if len(near):
+            every = np.repeat(lo, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+            other = np.where(every == np.repeat(near, n), 0.0, self.p[every])
+            self.rest[near] = np.add.reduceat(other, np.cumsum(n) - n)
 
 
 def _uniform(seed: np.ndarray, count: np.ndarray) -> np.ndarray:
@@ -217,7 +223,7 @@ def walk(lat: Lattices, node: np.ndarray, seed: np.ndarray, unit: np.ndarray) ->
     live = np.flatnonzero(lat.first[node + 1] > lat.first[node])
     at = node[live]
     while len(live):
-        u = _uniform(seed[live], unit[live] * 64 + step)
+        u = _uniform(seed[live], (unit[live] << 32) + step)
         e = lat.first[at]
         open_ = np.flatnonzero(u >= lat.cum[e])
         while len(open_):                                      # on to the edge whose running sum passes u
@@ -276,7 +282,7 @@ def sample_segmentations(pieces: Pieces, texts: list[str], keys: np.ndarray, k:
     bound = np.searchsorted(doc, np.arange(len(texts) + 1))
     place = np.arange(len(s)) - bound[doc]
     base = mix(keys.astype(_U) + _U((seed * 0x9E3779B97F4A7C15 + 0x1234567) & ((1 << 64) - 1)))
-    log_edge = np.log(np.maximum(lat.p, 1e-300))
+    log_edge = lat.logp
 
     def fresh(walkers: np.ndarray, node: np.ndarray, round_: int):
         stream = mix(base[doc[walkers]] ^ _U(round_ * 0x51ED270B + 77))
@@ -356,10 +362,12 @@ def _open(lat: Lattices, agenda: list, path: _Path, t: int, before: float, witho
         m = min(limit, n)
         logp = path.logp[t:t + m]
         mass = before + np.concatenate(([0.0], np.cumsum(logp)))
-        rest = 1 - np.exp(logp)
+        rest = lat.rest[path.edge[t:t + m]]
         if without:
-            rest[0] = 1 - lat.p[list(without)].sum()
-        left = np.flatnonzero(rest > 1e-12)
+            node = _node(lat, path, t)
+            edges = np.arange(lat.first[node], lat.first[node + 1])
+            rest = np.concatenate(([lat.p[edges[~np.isin(edges, without)]].sum()], rest[1:]))
+        left = np.flatnonzero(rest > 0)
         phi = mass[left] + np.log(rest[left])
         g = -np.logaddexp(-path.priority, np.log(draws(m)[left]) - phi)
         # an unopened entry's priority cannot exceed its mass by more than _REACH

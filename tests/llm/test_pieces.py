@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tardy.llm.piece_lattice import UNIT_BYTES, default_model, load, sample_segmentations
+from tardy.llm.piece_lattice import Lattices, default_model, load, sample_segmentations
 from tardy.llm.piece_sampling import decode_pieces, sample_pieces
 
 
@@ -69,8 +69,53 @@ def test_inclusion_scores_estimate_totals(pieces):
     assert abs(est.mean() - 1) < 4 * est.std() / math.sqrt(n) + 5e-3
 
 
+def log_total(pieces, raw):
+    """Log of the total weight of all ways to cut ``raw``, a byte at a time."""
+    table = {}
+    for i, b in enumerate(pieces.bytes):
+        state = 1
+        for c in b:
+            state = int(pieces.next[state, c])
+        if b and state and pieces.final[state] == i:
+            table[b] = float(pieces.logp[state])
+    total = [-math.inf] * len(raw) + [0.0]
+    for at in range(len(raw) - 1, -1, -1):
+        ways = [table[raw[at:at + n]] + total[at + n] for n in range(1, pieces.longest + 1) if at + n <= len(raw) and raw[at:at + n] in table]
+        top = max(ways, default=-math.inf)
+        total[at] = top + math.log(sum(math.exp(w - top) for w in ways)) if top > -math.inf else top
+    return total[0], table
+
+
+@pytest.mark.parametrize("text", ["thequickbrownfox" * 13, "漢字仮名交じり文" * 30, "q" * 3000, "ab" * 20_000])
+def test_long_runs_are_one_lattice(pieces, text):
+    """A run without spaces is not cut: log p is the piece weights less the
+    whole run's total, and a piece may lie anywhere."""
+    raw = (" " + text).encode()
+    ends = set()
+    for key in range(4):
+        known = [b for b in raw.decode() if b.encode() in pieces.single]
+        for ids, lp, inclusion in sample_segmentations(pieces, [text], np.array([key]), 3)[0]:
+            assert pieces.decode(ids.tolist()) == text and inclusion <= 1e-9
+            if len(known) == len(raw.decode()):
+                total, table = log_total(pieces, raw) if not ends else (keep, table)
+                keep = total
+                assert abs(lp - (sum(table[pieces.bytes[i]] for i in ids.tolist()) - total)) < 1e-6 * max(1, len(raw) / 100)
+            ends |= set(np.cumsum([len(pieces.bytes[i]) for i in ids.tolist()]).tolist())
+    assert len(ends) > 3
+
+
+def test_little_mass_is_kept(pieces):
+    """The rest beside a piece that takes nearly all is the sum of the others, never zero."""
+    buf = np.frombuffer(b" the of and", np.uint8)
+    lat = Lattices(pieces, buf, np.array([0, 4, 7]), np.array([4, 7, 11]))
+    node = np.repeat(np.arange(len(lat.first) - 1), np.diff(lat.first))
+    for e in range(len(lat.p)):
+        others = [lat.p[x] for x in range(len(lat.p)) if node[x] == node[e] and x != e]
+        assert math.isclose(lat.rest[e], sum(others), rel_tol=1e-9, abs_tol=1e-300) and (lat.rest[e] > 0) == bool(others)
+
+
 def test_round_trip_distinct_and_repeatable(pieces):
-    texts = ["", "a", " lead  and trail ", "Hello world\n\n漢😀é ▁z" + "q" * 300, "\x00\x7f\t", "é" * 200, "x" * (UNIT_BYTES - 4), "ciónmente que los " * 400]
+    texts = ["", "a", " lead  and trail ", "Hello world\n\n漢😀é ▁z" + "q" * 300, "\x00\x7f\t", "é" * 200, "x" * 44, "ciónmente que los " * 400]
     keys = np.arange(len(texts))
     got = sample_segmentations(pieces, texts, keys, 4)
     for t, x in zip(texts, got):
