@@ -274,6 +274,15 @@ def _between_components(members: DataFrame, texts: DataFrame, k: int, percent: i
             .select("_cluster", "_i", "_j", "_side", "_id", "_component", "_text").mapInArrow(_compare_blocks(k, percent), "center long, member long"))
 
 
+def _same_id(signed: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links between the classes of an id whose rows differ in their words."""
+    rows = signed.where("n_shingles > 0 and _id is not null")
+    several = rows.groupBy("_id").agg(F.min(F.struct("k1", "k2")).alias("a"), F.max(F.struct("k1", "k2")).alias("b")).where("a <> b").select("_id")
+    reps = materialize(rows.join(several, "_id", "left_semi").select("_id", "k1", "k2").distinct()
+                       .join(classes.select("k1", "k2", "rep"), ["k1", "k2"]).select("_id", F.col("rep").alias("member")))
+    return reps.join(reps.groupBy("_id").agg(F.min("member").alias("center")), "_id").where("member <> center").select("center", "member")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80,
                     k: int = 5, plan: Bands | None = None) -> DataFrame:
     """One row per document: ``id_col, n_shingles, component_id, kept``.
@@ -311,7 +320,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     found = connected_components(links, "center", "member").withColumnRenamed("node", "rep")
     placed = materialize(members.join(found, "rep", "left").select("pivot", "rep", F.coalesce("component", "rep").alias("component")))
     more = materialize(_between_components(placed, texts, k, percent))
-    label = connected_components(links.union(more), "center", "member")
+    label = connected_components(links.union(more).union(_same_id(signed, classes)), "center", "member")
     grouped = materialize(classes.select("k1", "k2", "rep", "copies").join(label.withColumnRenamed("node", "rep"), "rep", "left")
                           .select("k1", "k2", F.coalesce("component", "rep").alias("_component"), (F.col("copies") > 1).alias("more"), "component")
                           .where("more or component is not null").select("k1", "k2", "_component"))
@@ -323,6 +332,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, k: int = 5) -> DataFrame:
     """The rows of ``docs`` without the documents that :func:`near_duplicates`
-    does not keep.  Rows with a null id all stay."""
-    gone = materialize(near_duplicates(docs, id_col, text_col, percent, k).where(F.col(id_col).isNotNull() & ~F.col("kept")).select(id_col).distinct())
-    return docs.join(gone, id_col, "left_anti")
+    does not keep.  Rows that repeat an id with other texts are judged one by
+    one here, each by its own text, so no text goes without a copy that stays.
+    Rows with a null id all stay."""
+    ids, text = F.col(f"`{id_col}`"), F.xxhash64(F.col(f"`{text_col}`"))
+    several = materialize(docs.where(ids.isNotNull()).groupBy(ids.alias(id_col)).agg(F.min(text).alias("a"), F.max(text).alias("b")).where("a <> b").select(id_col))
+    node = id_col
+    if not several.isEmpty():
+        node = "__node"
+        own = F.when(F.col("__several"), F.xxhash64(ids, F.col(f"`{text_col}`"))).otherwise(ids.cast("long"))
+        docs = docs.join(several.withColumn("__several", F.lit(True)), id_col, "left").select(*docs.columns, own.alias(node))
+    gone = materialize(near_duplicates(docs, node, text_col, percent, k).where(F.col(node).isNotNull() & ~F.col("kept")).select(node).distinct())
+    kept = docs.join(gone, node, "left_anti")
+    return kept if node == id_col else kept.drop(node)

@@ -141,3 +141,19 @@ def test_edge_cases(spark):
     left = drop_near_duplicates(df)
     assert left.columns == df.columns and sorted((r[0] is None, r[0]) for r in left.collect() if r[0] is not None) == [(False, i) for i in (1, 2, 3, 4, 4, 6)]
     assert left.where("doc_id is null").count() == 3
+
+
+def test_ids_with_several_texts(spark):
+    """Texts of one id are linked; dropping leaves no text without a copy."""
+    from tardy.llm.near_dedup import drop_near_duplicates, near_duplicates
+
+    def text(i, n=60):
+        return " ".join(f"a{i}x{j}" for j in range(n))
+    rows = [(5, text(1)), (5, text(2)), (3, text(2)), (8, text(3)), (8, text(4)), (8, text(4) + " one more"), (9, text(5)), (9, text(5)), (None, text(1)), (7, text(4))]
+    df = spark.createDataFrame([(t, i, 1) for i, t in rows], "text string, doc_id long, __several int").repartition(3)
+    got = {(r["doc_id"], r["component_id"], r["kept"]) for r in near_duplicates(df, percent=85).collect()}
+    assert got == {(5, 3, False), (3, 3, True), (8, 7, False), (7, 7, True), (9, 9, True), (None, 3, False)}
+    left = drop_near_duplicates(df.drop("__several"), percent=85).collect()
+    texts = [r["text"] for r in left if r["doc_id"] is not None]
+    assert sorted(t[:2] for t in set(texts)) == ["a1", "a2", "a3", "a4", "a5"]
+    assert sum(t.startswith("a4") for t in texts) == 1 and sum(t.startswith("a2") for t in texts) == 1 and sum(t.startswith("a5") for t in texts) == 2
