@@ -186,6 +186,9 @@ METRICS_SQL = """count(*) AS n_keys,
        THEN round(1.0 - sum((est_tip - true_tip) ** 2) / sum((true_tip - mean_tip) ** 2), 9) ELSE 0.0 END AS r2"""
 
 
+METRIC_NAMES = ["n_keys", "true_sum", "est_sum", "global_error_pct", "mae", "mape_pct", "r2", "n_truth", "n_result", "correct", "missing", "extra"]
+
+
 def _centred(sql: str) -> str:
     """An aligned table with the mean of all truths, which R^2 is taken around."""
     return f"SELECT *, avg(true_tip) OVER () AS mean_tip FROM ({sql}) c"
@@ -560,6 +563,61 @@ def q_live_tumbling_sum(spark, sf_dir):
     return res.select("window_start_ms", "taxi_id", "sum_tip", "delay_ms", "flushed")
 
 
+# --- files written and read again --------------------------------------------------
+
+JOB_SQL = O.result_sql(EV_FILE, HOUR_MS, None, 30 * MINUTE_MS)
+
+
+@register("job_results_files", f"""WITH rs AS ({JOB_SQL}),
+q AS (SELECT coalesce(tr.true_tip, 0.0) AS true_tip, coalesce(rs.sum_tip, 0.0) AS est_tip,
+        tr.window_start_ms IS NOT NULL AS in_truth, rs.window_start_ms IS NOT NULL AS in_result
+      FROM ({O.truth_sql(EV_RAW, HOUR_MS, HOUR_MS)}) tr
+      FULL OUTER JOIN rs ON tr.window_start_ms = rs.window_start_ms AND tr.taxi_id = rs.taxi_id)
+SELECT {METRICS_SQL}, count(CASE WHEN {_VERDICT} THEN 1 END) AS correct,
+  (SELECT count(*) FROM rs) AS n_lines, (SELECT CAST(coalesce(sum(delay_ms), 0) AS BIGINT) FROM rs) AS delay_sum
+FROM ({_centred("SELECT * FROM q")}) z""")
+def q_job_results_files(spark, sf_dir):
+    """The command-line job without a bound argument (30 minutes): its result
+    folder of text lines is read again and compared with the exact answer."""
+    from tardy.plans.jobs import parse_bound_minutes, run
+    from tardy.session import scratch_path
+    from tardy.sources.results_text import last_per_key, read_results
+    out = scratch_path(spark, "job")
+    run(spark, "tumbling", f"{sf_dir}/events.parquet", out, parse_bound_minutes([]), columns=EVENTS_COLUMNS)
+    lines = read_results(spark, f"{out}/results")
+    result = last_per_key(lines, ["window_start_ms", "taxi_id"], ["src_file", "line_no"])
+    truth = acc.ground_truth(event_trips(spark, sf_dir, truncate_values=False), "start_ms", ["taxi_id"], "tip", HOUR_MS)
+    measures = {c: m for c, m in zip(METRIC_NAMES, acc.metric_columns(0.01))}
+    compared = acc.align_results(truth, result, ["taxi_id"]).agg(*[measures[c] for c in METRIC_NAMES[:7]], measures["correct"])
+    counted = lines.agg(F.count(F.lit(1)).alias("n_lines"), F.coalesce(F.sum("delay_ms"), F.lit(0)).cast("decimal(38,0)").alias("delay_sum"))
+    both = compared.withColumn("_one", F.lit(1)).join(counted.withColumn("_one", F.lit(1)), "_one").drop("_one")      # one row each
+    return both.withColumn("delay_sum", F.col("delay_sum").cast("long"))
+
+
+@register("scan_trips_csv_files", ORACLES["scan_trips_csv"])
+def q_scan_trips_csv_files(spark, sf_dir):
+    """Headered CSV files of trip lines, written and read by the file source."""
+    from tardy.session import scratch_path
+    from tardy.sources.trips import read_trips_csv
+    path = scratch_path(spark, "csv")
+    (_orders_lines(spark, sf_dir).repartition(4).write.option("header", "true").option("sep", "\u0001").option("quote", "\u0000")
+     .option("escape", "\u0000").option("quoteAll", "false").csv(path))
+    return read_trips_csv(spark, path)
+
+
+@register("record_forms", """SELECT event_id, epoch_us(ts) // 1000 AS ms, concat_ws(',', CAST(event_id AS VARCHAR), event_type, CAST(epoch_us(ts) AS VARCHAR)) AS record,
+  strftime(make_timestamp(epoch_us(ts) // 1000 * 1000), '%Y-%m-%d %H:%M:%S.%g') AS stamp,
+  count(*) OVER (PARTITION BY event_type, user_id) AS n_same FROM events""")
+def q_record_forms(spark, sf_dir):
+    """Epoch microseconds as milliseconds and those as a timestamp, a record as
+    text, and records told apart by hash: how many share an event's type and user."""
+    from tardy.functions.columns import micros_to_ms, ms_to_timestamp, record_hash, record_text
+    ev = table(spark, sf_dir, "events").withColumn("us", F.unix_micros(F.col("ts").cast("timestamp"))).withColumn("h", record_hash("event_type", "user_id"))
+    same = ev.groupBy("h").agg(F.count(F.lit(1)).alias("n_same"))
+    return ev.join(same, "h").select("event_id", micros_to_ms("us").alias("ms"), record_text("event_id", "event_type", "us").alias("record"),
+                                     F.date_format(ms_to_timestamp(micros_to_ms("us")), "yyyy-MM-dd HH:mm:ss.SSS").alias("stamp"), "n_same")
+
+
 # Live windows that every micro-batch closes (``streaming/emit.py``).  The feed is
 # the trips in arrival order, two million rows a file and four files at least.
 

@@ -43,12 +43,12 @@ def replay_files(spark, path: str, spec, bound_ms: int, truncate_values: bool =
     return res, late
 
 
-def run(spark, kind: str, path: str, out_dir: str, bound_min: int, truncate_values: bool = True) -> int:
+def run(spark, kind: str, path: str, out_dir: str, bound_min: int, truncate_values: bool = True, columns: dict | None = None) -> int:
     from tardy.plans.replay import HOUR_MS, MINUTE_MS, WindowSpec
     from tardy.sinks.text import write_results
 
     spec = WindowSpec(HOUR_MS, 30 * MINUTE_MS if kind == "sliding" else None)
-    res, late = replay_files(spark, path, spec, int(bound_min) * MINUTE_MS, truncate_values)
+    res, late = replay_files(spark, path, spec, int(bound_min) * MINUTE_MS, truncate_values, columns)
     write_results(res, f"{out_dir}/results")
     n = late.count()
     print(f"late rows: {n}")
