@@ -32,9 +32,10 @@ from pyspark.sql import types as T
 
 BLK = "_blk"
 
-# Most blocks chosen by default (an explicit ``n_blocks`` is taken as given):
-# per-block tables and the bound lookup stay a few MB.
-MAX_BLOCKS = 100_000
+# Keys of the sample that bounds are picked from: 64 for each block, fewer (8 at
+# least) past this many in all.  Blocks then vary more in size; their number
+# follows the rows without a cap.
+SAMPLE_KEYS = 4_000_000
 DEFAULT_ROWS_PER_BLOCK = 2_000_000
 #: what null keys read as: below every value that a key may have
 NULL_LEAD, NULL_TIE = -(2 ** 53), -(2 ** 63)
@@ -51,7 +52,7 @@ class Blocked:
 def _default_blocks(spark, total: int, rows_per_block: int) -> int:
     parts = int(spark.conf.get("spark.sql.shuffle.partitions", "8"))
     by_size = math.ceil(total / max(1, rows_per_block))
-    return max(1, min(MAX_BLOCKS, max(4 * parts, by_size)))
+    return max(1, 4 * parts, by_size)
 
 
 def range_blocks(df: DataFrame, order_by: list[str], n_blocks: int | None = None,
@@ -91,7 +92,8 @@ def range_blocks(df: DataFrame, order_by: list[str], n_blocks: int | None = None
 
     # Sample the order keys (bounded size), pick n_blocks-1 bounds on the driver.
     # the sample follows the number of blocks, so blocks stay even at any size
-    frac = min(1.0, n_blocks * sample_per_block / total)
+    per_block = max(8, min(sample_per_block, SAMPLE_KEYS // n_blocks))
+    frac = min(1.0, n_blocks * per_block / total)
     lead = F.coalesce(F.col(p_col).cast("long"), F.lit(NULL_LEAD))
     keys = [lead.alias("p")]
     if s_col:
