@@ -121,8 +121,10 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         return (F.size(F.array_intersect(part, "pairs")) >= F.lit(containment) * F.size("pairs")) & (F.size(F.array_except("needed", part)) == 0)
 
     def near(place: Column) -> Column:
-        """All stretches that hold the window at ``place``."""
-        return F.exists(F.sequence(F.greatest(place + F.lit(WINDOW) - F.col("stretch"), F.lit(0)), place), holds)
+        """All stretches that hold the window at ``place``, if it has two of the
+        template's pairs; a stretch that verifies it has such a window."""
+        two = F.size(F.array_intersect(F.slice("own", place + 1, F.lit(WINDOW - 1)), "pairs")) >= F.least(F.lit(2), F.size("pairs"))
+        return two & F.exists(F.sequence(F.greatest(place + F.lit(WINDOW) - F.col("stretch"), F.lit(0)), place), holds)
     checked = ordered.join(candidates, "_key").join(F.broadcast(rules), "license").where(F.exists("places", near))
     matched = checked.groupBy("_key").agg(F.sort_array(F.collect_set("license")).alias("licenses"))
     return (rows.select("_id", "_key").join(matched, "_key", "left")
