@@ -46,6 +46,12 @@ class Agg:
     def of_rows(self) -> Column:
         return self._apply(F.col(self.col) if self.col else F.lit(1), self.fn)
 
+    def of_row(self, kind) -> Column:
+        """A row as a part of type ``kind``."""
+        if self.fn == "count":
+            return F.col(self.col).isNotNull().cast(kind) if self.col else F.lit(1).cast(kind)
+        return F.col(self.col).cast(kind)
+
     def of_parts(self) -> Column:
         return self._apply(F.col(self.name), "sum" if self.fn == "count" else self.fn)
 

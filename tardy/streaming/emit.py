@@ -7,6 +7,8 @@
 * ``windows/batch_id=N``: by ``role`` the windows that fired (``first``), their
   later changes within the allowed lateness (``update``), and what stays open
   (``open``): partial aggregates of windows that have not fired or may change;
+* ``merged`` (and ``judged``): what the batch reads more than once, overwritten
+  by the next;
 * ``commits/batch_id=N``, last: the manifest of the batch, which is also the
   state the next batch starts from (rows so far, largest event time behind the
   watermark, each lane's, late rows so far).
@@ -146,43 +148,47 @@ class LiveWindows:
         by = ["window_start_ms", "window_end_ms", *self.keys]
         values = sorted({a.col for a in self.aggs if a.col})
         pairs = row_pairs(written, self.ts_ms, self.keys, values, self.size_ms, self.slide_ms, self.bound_ms, self.allowed_lateness_ms)
-        fresh = pairs.where(F.col("_kind") == EARLY).groupBy(*by).agg(*[a.of_rows().alias(a.name) for a in self.aggs])
-        fresh = fresh.select(*by, *names, F.lit(None).cast("long").alias("fire_max_ms"), F.lit(0).cast("long").alias("update"))
-        held = self._open(spark, batch_id - 1).drop("delay_ms")
-        whole = held.unionByName(fresh).groupBy(*by).agg(*[a.of_parts().alias(a.name) for a in self.aggs], F.max("fire_max_ms").alias("fire_max_ms"),
-                                                         F.max("update").alias("update"))
-        steps = pairs.where(F.col("_kind") == STEP).groupBy("window_end_ms").agg(F.min("m_after").alias("_fire"))
-        ends = whole.where("fire_max_ms is null").select("window_end_ms", F.lit(None).cast("long").alias("_fire")).distinct()
-        now = firing(ends.unionByName(steps), "window_end_ms", "_fire", int(self.slide_ms or self.size_ms))
+        none = F.lit(None).cast("long")
+        # rows and watermark steps join what was held in one pass, kept for the readers below
+        fresh = pairs.where(F.col("_kind") != AFTER).select(
+            "_kind", *by, *[a.of_row(self._agg_type(a)).alias(a.name) for a in self.aggs],
+            F.when(F.col("_kind") == STEP, F.col("m_after")).alias("_fire"), none.alias("fire_max_ms"), F.lit(0).cast("long").alias("update"))
+        held = self._open(spark, batch_id - 1).select(F.lit(EARLY).alias("_kind"), *by, *names, none.alias("_fire"), "fire_max_ms", "update")
+        merged = self._kept(spark, "merged", held.unionByName(fresh).groupBy("_kind", *by).agg(
+            *[a.of_parts().alias(a.name) for a in self.aggs], *[f(c).alias(c) for f, c in ((F.min, "_fire"), (F.max, "fire_max_ms"), (F.max, "update"))]))
+        whole = merged.where(F.col("_kind") == EARLY).drop("_kind", "_fire")
+        now = firing(merged.where("fire_max_ms is null").select("window_end_ms", "_fire"), "window_end_ms", "_fire", int(self.slide_ms or self.size_ms))
         # ``update``: rows of the log so far; a window that fires now has one
         judged = whole.join(now, "window_end_ms", "left").withColumn("_now", F.col("fire_max_ms").isNull() & F.col("_fire").isNotNull())
         judged = judged.select(*by, *names, F.coalesce("fire_max_ms", "_fire").alias("fire_max_ms"),
                                (F.col("update") + F.col("_now").cast("long")).alias("update"), "_now")
         out = ["window_start_ms", "window_end_ms", *self.keys, *names, "fire_max_ms", "update", "delay_ms", "role"]
+        if not self.allowed_lateness_ms:                       # a window fires or stays open, never both
+            return judged.withColumn("delay_ms", F.col("fire_max_ms") - F.col("window_end_ms")).withColumn("update", F.lit(0).cast("long")) \
+                .withColumn("role", F.when(F.col("_now"), "first").otherwise("open")).select(*out)
+        judged = self._kept(spark, "judged", judged)
         first = judged.where("_now").withColumn("delay_ms", F.col("fire_max_ms") - F.col("window_end_ms")) \
             .withColumn("update", F.lit(0).cast("long")).withColumn("role", F.lit("first"))
-        parts = [first.select(*out)]
-        after = judged.drop("_now")
-        if self.allowed_lateness_ms:
-            base = judged.select(*by, *[F.col(n).alias("_b_" + n) for n in names], F.col("update").alias("_before"))
-            late = running(pairs.where(F.col("_kind") == AFTER), by, self.aggs).join(base, by, "left")
-            change = late.select(*by, *[a.joined("_b_" + a.name, a.name).alias(a.name) for a in self.aggs],
-                                 F.col("m_vis").alias("fire_max_ms"), (F.coalesce("_before", F.lit(0)) + F.col("_n") - 1).cast("long").alias("update"),
-                                 (F.col("m_vis") - F.col("window_end_ms")).alias("delay_ms"), F.lit("update").alias("role"))
-            parts.append(change.select(*out))
-            newest = change.groupBy(*by).agg(F.max_by(F.struct(*names), "update").alias("_v"), F.max("fire_max_ms").alias("_f"), F.max("update").alias("_u"))
-            after = after.join(newest, by, "full_outer").select(
-                *by, *[F.when(F.col("_u").isNotNull(), F.col("_v")[n]).otherwise(F.col(n)).alias(n) for n in names],
-                F.coalesce("fire_max_ms", "_f").alias("fire_max_ms"), F.coalesce(F.col("_u") + 1, "update").alias("update"))
+        base = judged.select(*by, *[F.col(n).alias("_b_" + n) for n in names], F.col("update").alias("_before"))
+        late = running(pairs.where(F.col("_kind") == AFTER), by, self.aggs).join(base, by, "left")
+        change = late.select(*by, *[a.joined("_b_" + a.name, a.name).alias(a.name) for a in self.aggs],
+                             F.col("m_vis").alias("fire_max_ms"), (F.coalesce("_before", F.lit(0)) + F.col("_n") - 1).cast("long").alias("update"),
+                             (F.col("m_vis") - F.col("window_end_ms")).alias("delay_ms"), F.lit("update").alias("role"))
+        newest = change.groupBy(*by).agg(F.max_by(F.struct(*names), "update").alias("_v"), F.max("fire_max_ms").alias("_f"), F.max("update").alias("_u"))
+        after = judged.drop("_now").join(newest, by, "full_outer").select(
+            *by, *[F.when(F.col("_u").isNotNull(), F.col("_v")[n]).otherwise(F.col(n)).alias(n) for n in names],
+            F.coalesce("fire_max_ms", "_f").alias("fire_max_ms"), F.coalesce(F.col("_u") + 1, "update").alias("update"))
         stays = F.col("fire_max_ms").isNull()
-        if self.allowed_lateness_ms and wm is not None:
+        if wm is not None:
             stays = stays | (F.col("window_end_ms") - 1 + F.lit(self.allowed_lateness_ms) > F.lit(wm))
-        keep = after.where(stays).withColumn("delay_ms", F.lit(None).cast("long")).withColumn("role", F.lit("open"))
-        parts.append(keep.select(*out))
-        made = parts[0]
-        for x in parts[1:]:
-            made = made.unionByName(x)
-        return made
+        keep = after.where(stays).withColumn("delay_ms", none).withColumn("role", F.lit("open"))
+        return first.select(*out).unionByName(change.select(*out)).unionByName(keep.select(*out))
+
+    def _kept(self, spark: SparkSession, kind: str, made: DataFrame) -> DataFrame:
+        """A table that this batch reads more than once, written once; the next
+        batch overwrites it."""
+        made.write.mode("overwrite").parquet(self._path(kind))
+        return spark.read.schema(made.schema).parquet(self._path(kind))
 
     # --- the stream ------------------------------------------------------------
 

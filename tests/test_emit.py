@@ -153,3 +153,18 @@ def test_running_values_across_blocks(spark, monkeypatch):
             assert (got[r[0]]["s"], got[r[0]]["c"], got[r[0]]["m"], got[r[0]]["_n"]) == (sum(own) if own else None, len(own), max(own, default=None), i + 1)
     with pytest.raises(ValueError):
         Agg("x", "avg", "v")
+
+
+@pytest.mark.parametrize("lateness", [0, 60])
+def test_a_batch_makes_its_pairs_once(spark, tmp_path, lateness):
+    """Windows are read from what the batch merged and wrote once: of the pairs
+    only the updates within the allowed lateness are made again."""
+    rows = trips(random.Random(9), 24)
+    live = engine(spark, tmp_path, lateness=lateness)
+    live.process_batch(spark.createDataFrame(rows, SCHEMA), 0)
+    written = live._table(spark, "rows", live._row_schema().add("is_late", "boolean"), 0)
+    plan = live._windows(spark, written, 0, 0)._jdf.queryExecution().optimizedPlan().toString()
+    assert "merged" in {p.name for p in tmp_path.iterdir()} and ("Generate" in plan) == bool(lateness)
+    log, _, _ = update_log([r[1:] for r in rows], 20, 100, 50, lateness)
+    live.finish(spark)
+    assert sorted(map(row_of, live.emitted(spark).collect())) == sorted(log)
