@@ -12,10 +12,12 @@ encoded once, and a word's tokens are read off by walking back from its end.
 
 from __future__ import annotations
 
+import gc
 import json
 import re
 from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -122,8 +124,8 @@ class WordBPE:
             spelt[k] = spelt[i] + spelt[j]
             self.symbols[spelt[k]] = k
         self.length = [0] * n
-        # tokens by their symbols read backwards: state * 512 + symbol -> state; state -> token
-        self.back: dict[int, int] = {}
+        # tokens by their symbols read backwards: for each state, symbol -> state; state -> token
+        self.back: list[dict[str, int]] = [{}]
         self.token: list[int] = [-1]
         valid = {i: self.rank[i] < 0 or self.compatible(self.left[i], self.right[i], self.rank[i]) for i in spelt}
         for i in sorted(spelt, key=lambda i: self.rank[i]):
@@ -134,13 +136,15 @@ class WordBPE:
                 continue
             state = 0
             for c in reversed(spelt[i]):
-                key = state << 9 | ord(c)
-                state = self.back.get(key)
-                if state is None:
-                    state = self.back[key] = len(self.token)
+                after = self.back[state].get(c)
+                if after is None:
+                    after = self.back[state][c] = len(self.token)
+                    self.back.append({})
                     self.token.append(-1)
+                state = after
             self.token[state] = i
         self.plain = _plain_rule(kind)
+        self.marks = re.compile("|".join(map(re.escape, filter(None, self.added))) or r"(?!)")
         self.forget()
 
     def compatible(self, a: int, b: int, until: int | None = None) -> bool:
@@ -171,19 +175,18 @@ class WordBPE:
             trie.insert(w, i)
         out: list[list[int]] = [[]] * len(words)
         back, token, length, fits = self.back, self.token, self.length, self.fits
-        symbol: list[int] = []                       # symbols of the prefix, and the last token of each prefix of it
+        symbol: list[str] = []                       # symbols of the prefix, and the last token of each prefix of it
         last: list[int] = [-1]
         stack = [(edge, node, 0) for edge, node in trie.root[0].values()]
         while stack:
             edge, node, depth = stack.pop()
             del symbol[depth:], last[depth + 1:]
-            for c in edge:
-                symbol.append(ord(c))
-                depth += 1
+            symbol += edge
+            for depth in range(depth + 1, depth + len(edge) + 1):
                 state, at, best = 0, depth, -1
                 while at:
                     at -= 1
-                    state = back.get(state << 9 | symbol[at])
+                    state = back[state].get(symbol[at])
                     if state is None:
                         break
                     t = token[state]
@@ -223,22 +226,32 @@ class WordBPE:
         the tokenizer's own rules, the distinct words in one trie."""
         if self.kept + 150 * len(self.fits) > MEMORY:
             self.forget()
+        collecting = gc.isenabled()
+        gc.disable()                                 # many small lists and no cycles: nothing to be found among them
+        try:
+            self._learn(stretches)
+        finally:
+            if collecting:
+                gc.enable()
+
+    def _learn(self, stretches: set[str]) -> None:
         known, spelt = self.known, self.spelt
-        new = [s for s in stretches if s not in known]
+        new = list(stretches.difference(known))
         plans = [self._words(s) for s in new]
-        fresh = sorted({w for plan in plans for w in plan if w not in spelt and w not in self.added})
+        fresh = sorted(set(chain.from_iterable(plans)).difference(spelt, self.added))
         spelt.update(zip(fresh, self.encode_words([w[:-1] + chr(ord(w[-1]) + _END) for w in fresh])))
-        for s, plan in zip(new, plans):
-            known[s] = len(known)
-            for w in plan:
-                self.ids.extend(spelt[w] if w in spelt else (self.added[w],))
-            self.first.append(len(self.ids))
-            self.kept += len(s) + 250
-        self.kept += 400 * len(fresh)
+        known.update(zip(new, range(len(known), len(known) + len(new))))
+        added = {w: [i] for w, i in self.added.items() if w not in spelt}
+        ids = [spelt[w] if w in spelt else added[w] for w in chain.from_iterable(plans)]
+        self.ids.extend(chain.from_iterable(ids))
+        n = np.concatenate(([0], np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)))))
+        ends = np.cumsum(np.fromiter(map(len, plans), np.int64, len(plans)))
+        self.first.frombytes((self.first[-1] + n[ends]).tobytes())
+        self.kept += sum(map(len, new)) + 250 * len(new) + 400 * len(fresh)
 
     def _words(self, stretch: str) -> list[str]:
         """Words of a stretch, a byte a character, and added tokens as they stand."""
-        if stretch.isascii() and self.plain and not any(t in stretch for t in self.added):
+        if stretch.isascii() and self.plain and not self.marks.search(stretch):
             return self.plain.findall(stretch.lower())
         out = []
         for added, part in self._split_added(stretch):
@@ -268,13 +281,13 @@ class WordBPE:
         """(ids of all texts, where each text's ids begin).  No rule looks
         across a space or line end, so stretches between them are encoded."""
         parts = [(t or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        self.learn({s for p in parts for s in p})
-        known = self.known
-        at = np.array([known[s] for p in parts for s in p], np.int64)
-        flat, first = np.array(self.ids, np.int32), np.array(self.first, np.int64)
+        self.learn(set().union(*parts))
+        sizes = np.fromiter(map(len, parts), np.int64, len(parts))
+        at = np.fromiter(map(self.known.__getitem__, chain.from_iterable(parts)), np.int64, int(sizes.sum()))
+        flat, first = np.frombuffer(self.ids, np.int32) if len(self.ids) else np.zeros(0, np.int32), np.frombuffer(self.first, np.int64)
         n = first[at + 1] - first[at]
         ids = flat[np.repeat(first[at] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))]
-        cut = np.concatenate(([0], np.cumsum([len(p) for p in parts])))
+        cut = np.concatenate(([0], np.cumsum(sizes)))
         return ids, np.concatenate(([0], np.cumsum(n)))[cut]
 
 

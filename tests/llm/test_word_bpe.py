@@ -94,3 +94,28 @@ def test_neighbours_against_merging(library):
     for _ in range(150):
         a, b = rng.choice(short[:600]), rng.choice(short[:600])
         assert bpe.compatible(a, b) == (merged(atoms(a) + atoms(b)) == [a, b]), (a, b)
+
+
+def test_learning_is_not_searched_for_cycles():
+    """The collector stays off while words are learnt, and on after that, also
+    when learning fails."""
+    import gc
+
+    bpe = wb.WordBPE(open(wb.default_tokenizer(), encoding="utf-8").read())
+    words = {f"{i:x}q{i * 7919:x}" for i in range(20_000)}
+    runs = []
+    note = lambda phase, info: runs.append(phase)
+    gc.collect()
+    gc.callbacks.append(note)
+    try:
+        bpe.learn(words)
+    finally:
+        gc.callbacks.remove(note)
+    # what the allocations before and after it ask for, not one for each thousand words
+    assert len(runs) <= 4 and gc.isenabled() and words <= bpe.known.keys()
+    some = sorted(words)[:50]
+    ids, cut = bpe.encode(some)
+    assert [ids[a:b].tolist() for a, b in zip(cut, cut[1:])] == [bpe.tool.encode(w, add_special_tokens=False).ids for w in some]
+    with pytest.raises(AttributeError):
+        bpe.learn({None})
+    assert gc.isenabled()
