@@ -18,6 +18,8 @@ _U = np.uint64
 _SPACE = b"\xe2\x96\x81"                 # U+2581 stands for a space in pieces
 #: a draw of an exponential variate is at least exp(-_REACH)
 _REACH = 37.0
+#: nodes of a path that are looked at first when it splits an entry
+_LIMIT = 2048
 
 
 def default_model() -> str:
@@ -181,9 +183,11 @@ class Lattices:
         beta[self.root + length] = 0.0
         place = np.arange(total) - np.repeat(self.root, length + 1)
         weight = np.zeros(len(frm))
-        by_place = np.argsort(place[frm], kind="stable")       # edges by where in the unit they start
-        deepest = int(place[frm].max()) if len(frm) else -1
-        bound = np.searchsorted(place[frm][by_place], np.arange(deepest + 2))
+        begins = place[frm]
+        deepest = int(begins.max()) if len(frm) else -1
+        # edges by where in the unit they start; short numbers are sorted by digits
+        by_place = np.argsort(begins.astype(np.uint16) if deepest < 1 << 16 else begins, kind="stable")
+        bound = np.concatenate(([0], np.cumsum(np.bincount(begins, minlength=deepest + 1))))
         for k in range(deepest, -1, -1):                       # from the units' ends backward
             at = by_place[bound[k]:bound[k + 1]]
             if len(at):
@@ -198,6 +202,7 @@ class Lattices:
         base = running[self.first[frm]] - self.p[self.first[frm]] if len(frm) else running
         self.cum = running - base
         self.end = self.first[frm + 1] - 1 if len(frm) else frm
+        self.inner = self.first[1:] > self.first[:-1]          # whether a node has edges
         self.rest = 1 - self.p
         # where little is left, the other edges are added up: no mass is lost to the difference
         near = np.flatnonzero(self.rest < 1e-4)
@@ -211,7 +216,14 @@ class Lattices:
 
 def _uniform(seed: np.ndarray, count: np.ndarray) -> np.ndarray:
     """Uniform in (0, 1) by a counter."""
-    x = mix(seed + mix(count.astype(_U) * _U(0x9E3779B97F4A7C15) + _U(1)))
+    return _of_bits(mix(seed + _counter(count)))
+
+
+def _counter(count: np.ndarray) -> np.ndarray:
+    return mix(count.astype(_U) * _U(0x9E3779B97F4A7C15) + _U(1))
+
+
+def _of_bits(x: np.ndarray) -> np.ndarray:
     return ((x >> _U(11)).astype(np.float64) + 0.5) / (1 << 53)
 
 
@@ -220,7 +232,7 @@ def walk(lat: Lattices, node: np.ndarray, seed: np.ndarray, unit: np.ndarray) ->
     Returns (walker, edge), ordered by walker and step.  ``seed`` and ``unit``
     name the random stream of each walker."""
     who, edges, step = [], [], 0
-    live = np.flatnonzero(lat.first[node + 1] > lat.first[node])
+    live = np.flatnonzero(lat.inner[node])
     at = node[live]
     while len(live):
         u = _uniform(seed[live], (unit[live] << 32) + step)
@@ -233,7 +245,7 @@ def walk(lat: Lattices, node: np.ndarray, seed: np.ndarray, unit: np.ndarray) ->
         who.append(live)
         edges.append(e)
         at = lat.to[e]
-        more = lat.first[at + 1] > lat.first[at]
+        more = lat.inner[at]
         live, at, step = live[more], at[more], step + 1
     steps = np.zeros(len(node), np.int64)
     for w in who:
@@ -289,19 +301,31 @@ def sample_segmentations(pieces: Pieces, texts: list[str], keys: np.ndarray, k:
         who, edge = walk(lat, node, stream, place[walkers])
         return walkers[who], edge
 
-    def exponential(d: int, tag: int, n: int) -> np.ndarray:
-        return -np.log(_uniform(np.full(n, mix(base[d:d + 1] ^ _U(tag * 0x2545F491 + 991))[0], _U), np.arange(n)))
+    counters = _counter(np.arange(_LIMIT))
+
+    def exponentials(tag: int):
+        """For each text, its function of how many exponential variates to draw."""
+        streams = mix(base ^ _U(tag * 0x2545F491 + 991))
+
+        def draw(d: int, n: int) -> np.ndarray:
+            nonlocal counters
+            if n > len(counters):
+                counters = _counter(np.arange(n))
+            return -np.log(_of_bits(mix(streams[d] + counters[:n])))
+
+        return draw
 
     unit, edge = fresh(plain, root[plain], 0)
     cut = np.searchsorted(doc[unit], np.arange(len(texts) + 1))
     paths: list[list[_Path]] = []
     agenda: list[list] = []
+    draw = exponentials(1)
     tops = -np.log(-np.log(_uniform(base, np.zeros(len(texts), np.int64))))
     for d in range(len(texts)):
         a, b = cut[d], cut[d + 1]
         paths.append([_Path(edge[a:b], unit[a:b], log_edge[edge[a:b]], float(tops[d]))])
         agenda.append([])
-        _open(lat, agenda[d], paths[d][0], 0, 0.0, (), lambda n, d=d: exponential(d, 1, n), k)
+        _open(lat, agenda[d], paths[d][0], 0, 0.0, (), lambda n, d=d: draw(d, n), k)
     for round_ in range(1, k):
         taken, walkers, nodes, heads = [], [], [], []
         for d in range(len(texts)):
@@ -309,12 +333,10 @@ def sample_segmentations(pieces: Pieces, texts: list[str], keys: np.ndarray, k:
                 continue
             best = max(range(len(agenda[d])), key=lambda i: agenda[d][i][0])
             priority, parent, t, without, before = agenda[d].pop(best)
-            node_edges = np.arange(lat.first[_node(lat, parent, t)], lat.first[_node(lat, parent, t) + 1])
-            p = lat.p[node_edges] * ~np.isin(node_edges, without)
+            lo, p = _masses(lat, parent, t, without)
             u = _uniform(base[d:d + 1] ^ _U(round_ * 0x1F123BB5 + 5), np.array([t]))[0] * p.sum()
-            pick = node_edges[min(int(np.searchsorted(np.cumsum(p), u, "right")), len(p) - 1)]
-            if p[pick - node_edges[0]] == 0:
-                pick = node_edges[int(p.argmax())]
+            pick = min(int(np.searchsorted(np.cumsum(p), u, "right")), len(p) - 1)
+            pick = lo + (pick if p[pick] else int(p.argmax()))
             at = parent.unit[t]
             taken.append((d, parent, t, without, before, pick, priority))
             own = np.arange(at + 1, bound[d + 1])
@@ -326,21 +348,28 @@ def sample_segmentations(pieces: Pieces, texts: list[str], keys: np.ndarray, k:
             break
         unit, edge = fresh(np.concatenate(walkers), np.concatenate(nodes), round_)
         cut = np.searchsorted(doc[unit], np.arange(len(texts) + 1))
+        draw = exponentials(round_ + 1)
         for d, parent, t, without, before, pick, priority in taken:
             a, b = cut[d], cut[d + 1]
             new = _Path(np.concatenate((parent.edge[:t], [pick], edge[a:b])), np.concatenate((parent.unit[:t], [parent.unit[t]], unit[a:b])), None, priority)
             new.logp = np.concatenate((parent.logp[:t], [log_edge[pick]], log_edge[edge[a:b]]))
             paths[d].append(new)
-            _open(lat, agenda[d], new, t, before, (*without, pick), lambda n, d=d: exponential(d, round_ + 1, n), k)
+            _open(lat, agenda[d], new, t, before, (*without, pick), lambda n, d=d: draw(d, n), k)
+    odd = np.flatnonzero(lone)
+    size = e[odd] - s[odd]
+    cut = np.concatenate(([0], np.cumsum(size)))
+    spelt = pieces.byte_id[buf[np.repeat(s[odd] - cut[:-1], size) + np.arange(int(cut[-1]))]].astype(np.int32)
+    own = np.searchsorted(odd, bound)
     out = []
     for d in range(len(texts)):
+        a, b = own[d], own[d + 1]
         kappa = max((x[0] for x in agenda[d]), default=-np.inf)
         found = []
         for path in paths[d]:
             lp = float(path.logp.sum())
             x = lp - kappa
             inclusion = 0.0 if x > 700 else float(np.log(-np.expm1(-np.exp(x)))) if x > -30 else x
-            found.append((_ids(pieces, lat, path, buf, s, e, lone, bound[d], bound[d + 1]), lp, inclusion))
+            found.append((_ids(lat, path, odd[a:b], size[a:b], spelt[cut[a]:cut[b]]), lp, inclusion))
         out.append(found)
     return out
 
@@ -350,6 +379,16 @@ def _node(lat: Lattices, path: _Path, t: int) -> int:
     return int(np.searchsorted(lat.first, path.edge[t], "right") - 1)
 
 
+def _masses(lat: Lattices, path: _Path, t: int, without: tuple) -> tuple[int, np.ndarray]:
+    """The first edge of the node where step ``t`` of a path starts, and the
+    probabilities of its edges, zero for those in ``without``."""
+    node = _node(lat, path, t)
+    lo = int(lat.first[node])
+    p = lat.p[lo:int(lat.first[node + 1])].copy()
+    p[[int(e) - lo for e in without]] = 0.0
+    return lo, p
+
+
 def _open(lat: Lattices, agenda: list, path: _Path, t: int, before: float, without: tuple, draws, k: int) -> None:
     """Split what is left of the entry that ``path`` was drawn from (it left
     the prefix at step ``t``, where ``without`` are the edges it may not take,
@@ -357,16 +396,16 @@ def _open(lat: Lattices, agenda: list, path: _Path, t: int, before: float, witho
     n = len(path.edge) - t
     if n <= 0:
         return
-    limit = 64
+    limit = _LIMIT
     while True:
         m = min(limit, n)
         logp = path.logp[t:t + m]
-        mass = before + np.concatenate(([0.0], np.cumsum(logp)))
+        mass = np.zeros(m + 1)
+        np.cumsum(logp, out=mass[1:])
+        mass += before
         rest = lat.rest[path.edge[t:t + m]]
         if without:
-            node = _node(lat, path, t)
-            edges = np.arange(lat.first[node], lat.first[node + 1])
-            rest = np.concatenate(([lat.p[edges[~np.isin(edges, without)]].sum()], rest[1:]))
+            rest[0] = _masses(lat, path, t, without)[1].sum()
         left = np.flatnonzero(rest > 0)
         phi = mass[left] + np.log(rest[left])
         g = -np.logaddexp(-path.priority, np.log(draws(m)[left]) - phi)
@@ -374,21 +413,21 @@ def _open(lat: Lattices, agenda: list, path: _Path, t: int, before: float, witho
         if m == n or (len(g) > k and np.partition(g, -k - 1)[-k - 1] > mass[m] + _REACH):
             break
         limit *= 4
-    keep = np.argsort(-g, kind="stable")[:k + 1]
-    for i in keep:
+    keep = np.flatnonzero(g >= np.partition(g, -k - 1)[-k - 1]) if len(g) > k else np.arange(len(g))
+    for i in keep[np.argsort(-g[keep], kind="stable")[:k + 1]]:
         step = t + int(left[i])
         agenda.append((float(g[i]), path, step, without if step == t and without else (int(path.edge[step]),), float(mass[left[i]])))
 
 
-def _ids(pieces: Pieces, lat: Lattices, path: _Path, buf, s, e, lone, lo: int, hi: int) -> np.ndarray:
-    """Ids of a path, with the bytes of the characters that have no piece."""
+def _ids(lat: Lattices, path: _Path, odd: np.ndarray, size: np.ndarray, spelt: np.ndarray) -> np.ndarray:
+    """Ids of a path, with the bytes ``spelt`` of the characters ``odd`` that
+    have no piece, ``size`` for each."""
     ids = lat.piece[path.edge].astype(np.int32)
-    odd = lo + np.flatnonzero(lone[lo:hi])
     if not len(odd):
         return ids
-    size = e[odd] - s[odd]
-    inner = np.arange(int(size.sum())) - np.repeat(np.concatenate(([0], np.cumsum(size)[:-1])), size)
-    spelt = pieces.byte_id[buf[np.repeat(s[odd], size) + inner]].astype(np.int32)
-    unit = np.concatenate((path.unit, np.repeat(odd, size)))
-    order = np.argsort(unit, kind="stable")
-    return np.concatenate((ids, spelt))[order]
+    at = np.repeat(np.searchsorted(path.unit, odd), size) + np.arange(len(spelt))     # a path's units rise
+    out = np.empty(len(ids) + len(spelt), np.int32)
+    own = np.ones(len(out), bool)
+    own[at] = False
+    out[at], out[own] = spelt, ids
+    return out

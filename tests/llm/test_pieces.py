@@ -141,3 +141,26 @@ def test_dataframe_form(spark):
     assert all(r["n_ids"] == len(r["ids"]) for r in back) and sum(r["extra"] == 7 for r in back) == 3
     assert sample_pieces(df.limit(0)).count() == 0
     assert decode_pieces(spark.createDataFrame([(None,)], "ids array<int>")).first()["text"] is None
+
+
+def test_an_entry_is_split_in_one_look(monkeypatch):
+    """Paths of ordinary texts are looked at once when they split an entry, and
+    how much is looked at first changes no sample."""
+    from tardy.llm import piece_lattice as pl
+
+    pieces, rng = pl.load(pl.default_model()), np.random.default_rng(4)
+    texts = [" ".join("".join(rng.choice(list("etaoinsh一\u0007"), 6)) for _ in range(n)) for n in (3, 90, 300)]
+    keys, looks, real = np.arange(3).astype(np.uint64), [], pl._open
+
+    def noted(lat, agenda, path, t, before, without, draws, k):
+        real(lat, agenda, path, t, before, without, lambda n: looks.append(n) or draws(n), k)
+
+    monkeypatch.setattr(pl, "_open", noted)
+    found = pl.sample_segmentations(pieces, texts, keys, 3)
+    assert len(looks) == 9
+    monkeypatch.setattr(pl, "_LIMIT", 16)
+    again = pl.sample_segmentations(pieces, texts, keys, 3)
+    assert len(looks) > 18
+    for a, b in zip(found, again):
+        assert [(x[0].tolist(), *x[1:]) for x in a] == [(x[0].tolist(), *x[1:]) for x in b]
+        assert len({tuple(x[0].tolist()) for x in a}) == 3
