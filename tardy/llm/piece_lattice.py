@@ -3,7 +3,7 @@
 A text is cut into units (spaces and what follows them up to the next space or
 line end); pieces never cross units, so its lattice is the chain of its units'
 lattices.  Lattices and backward masses are built once for each distinct unit
-of a batch, in numpy.
+of a batch, in numpy, and those of the first units are remembered.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from __future__ import annotations
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 
 from tardy.llm.text import join_bytes, mix, range_hashes
 
@@ -20,6 +21,8 @@ _SPACE = b"\xe2\x96\x81"                 # U+2581 stands for a space in pieces
 _REACH = 37.0
 #: nodes of a path that are looked at first when it splits an entry
 _LIMIT = 2048
+#: edges that a process remembers (some 50 bytes each)
+KEPT_EDGES = 3 << 20
 
 
 def default_model() -> str:
@@ -28,6 +31,57 @@ def default_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+class ByteTrie:
+    """Trie over bytes in two flat arrays: a step by byte ``b`` from ``state``
+    leads to the slot ``base[state] + b``, if that slot's owner is ``state``.
+    A state is its slot; 0 is nowhere, 1 the root.  A few hundred kilobytes, so
+    a lookup stays in the processor's cache.
+    """
+
+    def __init__(self, children: list[dict[int, int]]):
+        """``children``: for each node (0: the root) its steps, byte -> node."""
+        free = bytearray(2) + bytearray(b"\1") * (2 * len(children) + 1024)
+        slot = [1] * len(children)
+        base = [2] * len(children)
+        low, width = 258, 0                                    # from 258 on no base is below 2
+        for node in sorted(range(len(children)), key=lambda i: -len(children[i])):
+            steps = list(children[node])
+            if not steps:
+                break
+            if len(steps) != width:                            # fewer steps fit into gaps left before
+                low, width = 258, len(steps)
+            low = at = free.find(1, low)
+            tries = 0
+            while True:
+                if at < 0 or at + 512 > len(free):
+                    free += bytearray(b"\1") * len(free)
+                    at = max(at, low)
+                begin = at - steps[0]
+                if all([free[begin + b] for b in steps]):
+                    break
+                at = free.find(1, at + 1)
+                tries += 1
+            if tries > 16:                                     # crowded up to here
+                low = at
+            base[node] = begin
+            for b in steps:
+                free[begin + b] = 0
+                slot[children[node][b]] = begin + b
+        self.slot = np.array(slot, np.int64)
+        self.base = np.full(max(max(slot), max(base)) + 257, 2, np.int64)
+        self.base[self.slot] = base
+        self.owner = np.full(len(self.base), -1, np.int64)
+        for node, steps in enumerate(children):
+            for child in steps.values():
+                self.owner[slot[child]] = slot[node]
+
+    def __getitem__(self, key):
+        """States after a byte from a state (numbers or arrays), 0 where there is no step."""
+        state, byte = key
+        to = self.base[state] + byte
+        return np.where(self.owner[to] == state, to, 0)
+
+
 class Pieces:
     """Pieces of a SentencePiece model with byte fallback.
 
@@ -56,34 +110,29 @@ class Pieces:
                 self.bytes.append(raw)
                 if sp.get_score(i) > -1e8 or len(piece) == 1:    # a lone space is ranked last
                     words[raw] = (i, -float(np.log(10 - max(sp.get_score(i), -sp.get_piece_size()))))
-        # trie over bytes; row 0: nowhere, row 1: root
-        steps, at = [], {b"": 1}
-        final, logp = [-1, -1], [0.0, 0.0]
-        for raw, (i, lp) in sorted(words.items()):
+        nodes, children = {b"": 0}, [{}]
+        for raw in sorted(words):
             for n in range(1, len(raw) + 1):
-                if raw[:n] not in at:
-                    at[raw[:n]] = len(final)
-                    steps.append((at[raw[:n - 1]], raw[n - 1], len(final)))
-                    final.append(-1)
-                    logp.append(0.0)
-            final[at[raw]], logp[at[raw]] = i, lp
-        self.next = np.zeros((len(final), 256), np.int32)
-        frm, byte, to = np.array(steps).T
-        self.next[frm, byte] = to
-        self.final, self.logp = np.array(final, np.int32), np.array(logp)
+                if raw[:n] not in nodes:
+                    nodes[raw[:n]] = len(children)
+                    children[nodes[raw[:n - 1]]][raw[n - 1]] = len(children)
+                    children.append({})
+        self.next = ByteTrie(children)
+        self.final, self.logp = np.full(len(self.next.base), -1, np.int32), np.zeros(len(self.next.base))
+        ends = self.next.slot[[nodes[raw] for raw in words]]
+        self.final[ends], self.logp[ends] = np.array(list(words.values())).T
         self.longest = max(map(len, words))
+        self.memory = LatticeMemory()
+        self.nul = any(b"\0" in raw for raw in words)
         self.single = {raw for raw in words if len(raw.decode()) == 1}
 
-        self.size = np.array([len(b) for b in self.bytes], np.int64)
-        self.offset = np.cumsum(self.size) - self.size
-        self.flat = np.frombuffer(b"".join(self.bytes), np.uint8)
+        self.table = pa.array(self.bytes, pa.large_binary())
 
     def decode_many(self, ids: np.ndarray, cut: np.ndarray) -> list[str]:
         """Texts of the sequences ids[cut[i]:cut[i + 1]]."""
-        size = self.size[ids]
-        end = np.concatenate((np.zeros(1, np.int64), np.cumsum(size)))
-        raw = self.flat[np.repeat(self.offset[ids] - end[:-1], size) + np.arange(int(end[-1]))].tobytes()
-        bound = end[cut].tolist()
+        spelt = self.table.take(pa.array(ids))
+        raw, bound = spelt.buffers()[2], np.frombuffer(spelt.buffers()[1], np.int64)[spelt.offset:][cut].tolist()
+        raw = raw.to_pybytes() if raw else b""
         parts = [raw[a:b] for a, b in zip(bound, bound[1:])]
         return [(b[1:] if b[:1] == b" " else b).decode("utf-8", "surrogatepass") for b in parts]
 
@@ -159,26 +208,37 @@ class Lattices:
         data = np.zeros(total, np.uint8)
         src = np.arange(int(length.sum())) - np.repeat(np.concatenate(([0], np.cumsum(length)[:-1])), length)
         data[np.repeat(self.root, length) + src] = buf[np.repeat(s, length) + src]
-        last = np.repeat(self.root + length, length + 1)       # the final node of each node's unit
-        inner = np.flatnonzero((np.arange(total) < last) & _char_starts(data))
-        starts, states, width = inner, np.ones(len(inner), np.int64), 0
-        frm, to, piece, logp = [], [], [], []
+        inner = _char_starts(data)
+        inner[self.root + length] = False                      # the final node of each unit
+        starts, width = np.flatnonzero(inner), 0
+        states = np.ones(len(starts), np.int64)
+        base, owner = pieces.next.base, pieces.next.owner
+        count = np.zeros(total, np.int64)                      # edges found so far of each node, the shorter first
+        found = []
+        last = np.repeat(self.root + length, length + 1) if pieces.nul else None
         while len(starts) and width < pieces.longest:
-            states = pieces.next[states, data[starts + width]].astype(np.int64)
+            # the byte at a unit's final node is 0: no step leads across it
+            at = base.take(states) + data.take(starts + width)
+            ok = np.flatnonzero(owner.take(at) == states)
+            starts, states = starts.take(ok), at.take(ok)
             width += 1
-            ok = states > 0
-            starts, states = starts[ok], states[ok]
-            hit = pieces.final[states] >= 0
-            frm.append(starts[hit])
-            to.append(starts[hit] + width)
-            piece.append(pieces.final[states[hit]])
-            logp.append(pieces.logp[states[hit]])
-            more = starts + width < last[starts]
-            starts, states = starts[more], states[more]
-        frm, to, piece, logp = (np.concatenate(x) for x in (frm, to, piece, logp))
-        order = np.argsort(frm, kind="stable")
-        frm, self.to, self.piece, w = frm[order], to[order], piece[order], logp[order]
-        self.first = np.searchsorted(frm, np.arange(total + 1))
+            if pieces.nul:
+                ok = np.flatnonzero(starts + width <= last.take(starts))
+                starts, states = starts.take(ok), states.take(ok)
+            hit = np.flatnonzero(pieces.final.take(states) >= 0)
+            node = starts.take(hit)
+            rank = count.take(node)
+            count[node] = rank + 1
+            found.append((node, rank, states.take(hit), width))
+        self.first = np.concatenate((np.zeros(1, np.int64), np.cumsum(count)))
+        # edges by their node, of a node by width
+        state, wide = np.zeros(self.first[-1], np.int64), np.zeros(self.first[-1], np.int64)
+        for node, rank, to, width in found:
+            rank += self.first.take(node)
+            state[rank], wide[rank] = to, width
+        del found
+        frm = np.repeat(np.arange(total), count)
+        self.to, self.piece, w = frm + wide, pieces.final.take(state), pieces.logp.take(state)
         beta = np.full(total, -np.inf)                         # log backward mass: a long unit's is far below any double
         beta[self.root + length] = 0.0
         place = np.arange(total) - np.repeat(self.root, length + 1)
@@ -191,18 +251,19 @@ class Lattices:
         for k in range(deepest, -1, -1):                       # from the units' ends backward
             at = by_place[bound[k]:bound[k + 1]]
             if len(at):
-                weight[at] = w[at] + beta[self.to[at]]
-                cut = np.flatnonzero(np.concatenate(([True], frm[at][1:] != frm[at][:-1])))
-                most = np.maximum.reduceat(weight[at], cut)
-                each = np.repeat(most, np.diff(np.concatenate((cut, [len(at)]))))
-                beta[frm[at][cut]] = most + np.log(np.add.reduceat(np.exp(weight[at] - each), cut))
-        self.logp = weight - beta[frm] if len(frm) else weight
+                x = w.take(at) + beta.take(self.to.take(at))
+                weight[at] = x
+                f = frm.take(at)
+                cut = np.flatnonzero(np.concatenate(([True], f[1:] != f[:-1])))
+                most = np.maximum.reduceat(x, cut)
+                x -= np.repeat(most, np.diff(np.concatenate((cut, [len(at)]))))
+                beta[f.take(cut)] = most + np.log(np.add.reduceat(np.exp(x), cut))
+        self.logp = weight - beta.take(frm)
         self.p = np.exp(self.logp)
         running = np.cumsum(self.p)
-        base = running[self.first[frm]] - self.p[self.first[frm]] if len(frm) else running
-        self.cum = running - base
-        self.end = self.first[frm + 1] - 1 if len(frm) else frm
-        self.inner = self.first[1:] > self.first[:-1]          # whether a node has edges
+        opens = self.first.take(frm)
+        self.cum = running - (running.take(opens) - self.p.take(opens))
+        self.inner = count > 0                                 # whether a node has edges
         self.rest = 1 - self.p
         # where little is left, the other edges are added up: no mass is lost to the difference
         near = np.flatnonzero(self.rest < 1e-4)
@@ -212,6 +273,70 @@ class Lattices:
             every = np.repeat(lo, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
             other = np.where(every == np.repeat(near, n), 0.0, self.p[every])
             self.rest[near] = np.add.reduceat(other, np.cumsum(n) - n)
+        with np.errstate(divide="ignore"):
+            self.log_rest = np.log(self.rest)
+
+
+class LatticeMemory:
+    """Lattices of units met before, by the units' hashes.
+
+    New units' lattices are appended to the remembered ones for their batch;
+    they stay up to ``KEPT_EDGES`` edges in all.  When most units of a batch are
+    new to a full memory, it starts again.
+    """
+
+    def __init__(self):
+        self.hash, self.root = np.zeros(0, _U), np.zeros(0, np.int64)
+        self.nodes = self.edges = 0
+        self.full = False
+        self.held: dict[str, np.ndarray] = {}
+        self.view: Lattices | None = None                      # what was last returned
+
+    def lattices(self, pieces: Pieces, buf: np.ndarray, s: np.ndarray, e: np.ndarray, h: np.ndarray) -> tuple[Lattices, np.ndarray]:
+        """Lattices that hold the units ``buf[s:e]`` of distinct, rising hashes
+        ``h`` (among others, valid up to the next call), and their roots."""
+        place, new = self._find(h)
+        if self.full and 2 * int(new.sum()) > len(h):
+            self.__init__()
+            place, new = self._find(h)
+        if len(h) and not new.any():
+            return self.view, self.root[place]
+        fresh = Lattices(pieces, buf, s[new], e[new])
+        nodes, edges = self.nodes + len(fresh.inner), self.edges + len(fresh.to)
+        self.view = both = Lattices.__new__(Lattices)
+        both.first = self._append("first", self.nodes, fresh.first + self.edges)
+        both.inner = self._append("inner", self.nodes, fresh.inner)
+        both.to = self._append("to", self.edges, fresh.to + self.nodes)
+        for name in ("piece", "logp", "p", "cum", "log_rest"):
+            setattr(both, name, self._append(name, self.edges, getattr(fresh, name)))
+        root = np.empty(len(h), np.int64)
+        root[new] = both.root = fresh.root + self.nodes
+        root[~new] = self.root[place[~new]]
+        if edges > KEPT_EDGES:
+            self.full = True
+        elif not self.full:
+            self.hash, self.root = np.insert(self.hash, place[new], h[new]), np.insert(self.root, place[new], both.root)
+            self.nodes, self.edges = nodes, edges
+        return both, root
+
+    def _find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        place = np.searchsorted(self.hash, h)
+        new = np.ones(len(h), bool)
+        inside = place < len(self.hash)
+        new[inside] = self.hash[place[inside]] != h[inside]
+        return place, new
+
+    def _append(self, name: str, at: int, values: np.ndarray) -> np.ndarray:
+        """The remembered values, up to ``at``, and ``values`` after them."""
+        end = at + len(values)
+        held = self.held.get(name)
+        if held is None or len(held) < end:
+            grown = np.empty(end + end // 4, values.dtype)
+            if held is not None:
+                grown[:at] = held[:at]
+            held = self.held[name] = grown
+        held[at:end] = values
+        return held[:end]
 
 
 def _uniform(seed: np.ndarray, count: np.ndarray) -> np.ndarray:
@@ -232,21 +357,25 @@ def walk(lat: Lattices, node: np.ndarray, seed: np.ndarray, unit: np.ndarray) ->
     Returns (walker, edge), ordered by walker and step.  ``seed`` and ``unit``
     name the random stream of each walker."""
     who, edges, step = [], [], 0
-    live = np.flatnonzero(lat.inner[node])
-    at = node[live]
+    live = np.flatnonzero(lat.inner.take(node))
+    at, seeds, units_ = node.take(live), seed.take(live), unit.take(live) << 32
     while len(live):
-        u = _uniform(seed[live], (unit[live] << 32) + step)
-        e = lat.first[at]
-        open_ = np.flatnonzero(u >= lat.cum[e])
-        while len(open_):                                      # on to the edge whose running sum passes u
-            open_ = open_[e[open_] < lat.end[e[open_]]]
-            e[open_] += 1
-            open_ = open_[u[open_] >= lat.cum[e[open_]]]
+        u = _uniform(seeds, units_ + step)
+        lo, e = lat.first.take(at), lat.first.take(at + 1) - 1
+        # the first edge whose running sum passes u, sought from the last one: long pieces take most of the mass
+        open_ = np.flatnonzero(e > lo)
+        open_ = open_.compress(u.take(open_) < lat.cum.take(e.take(open_) - 1))
+        while len(open_):
+            back = e.take(open_) - 1
+            e[open_] = back
+            more = np.flatnonzero(back > lo.take(open_))
+            more = more.compress(u.take(open_.take(more)) < lat.cum.take(back.take(more) - 1))
+            open_ = open_.take(more)
         who.append(live)
         edges.append(e)
-        at = lat.to[e]
-        more = lat.inner[at]
-        live, at, step = live[more], at[more], step + 1
+        at = lat.to.take(e)
+        more = np.flatnonzero(lat.inner.take(at))
+        live, at, seeds, units_, step = live.take(more), at.take(more), seeds.take(more), units_.take(more), step + 1
     steps = np.zeros(len(node), np.int64)
     for w in who:
         steps[w] += 1
@@ -287,10 +416,9 @@ def sample_segmentations(pieces: Pieces, texts: list[str], keys: np.ndarray, k:
     h = range_hashes(buf, s, e)
     plain = np.flatnonzero(~lone)
     distinct, index, which = np.unique(h[plain], return_index=True, return_inverse=True)
-    del distinct
-    lat = Lattices(pieces, buf, s[plain[index]], e[plain[index]])
+    lat, roots = pieces.memory.lattices(pieces, buf, s[plain[index]], e[plain[index]], distinct)
     root = np.full(len(s), -1, np.int64)
-    root[plain] = lat.root[which]
+    root[plain] = roots[which]
     bound = np.searchsorted(doc, np.arange(len(texts) + 1))
     place = np.arange(len(s)) - bound[doc]
     base = mix(keys.astype(_U) + _U((seed * 0x9E3779B97F4A7C15 + 0x1234567) & ((1 << 64) - 1)))
@@ -303,15 +431,22 @@ def sample_segmentations(pieces: Pieces, texts: list[str], keys: np.ndarray, k:
 
     counters = _counter(np.arange(_LIMIT))
 
-    def exponentials(tag: int):
-        """For each text, its function of how many exponential variates to draw."""
+    def exponentials(tag: int, steps: np.ndarray):
+        """For each text, its function of how many exponential variates' logarithms
+        to draw; those of the first ``_LIMIT`` of its ``steps`` are drawn at once."""
         streams = mix(base ^ _U(tag * 0x2545F491 + 991))
+        size = np.minimum(steps, _LIMIT)
+        end = np.cumsum(size)
+        at = np.arange(int(end[-1])) - np.repeat(end - size, size)
+        first = np.log(-np.log(_of_bits(mix(np.repeat(streams, size) + counters.take(at)))))
 
         def draw(d: int, n: int) -> np.ndarray:
             nonlocal counters
+            if n <= size[d]:
+                return first[end[d] - size[d]:end[d] - size[d] + n]
             if n > len(counters):
                 counters = _counter(np.arange(n))
-            return -np.log(_of_bits(mix(streams[d] + counters[:n])))
+            return np.log(-np.log(_of_bits(mix(streams[d] + counters[:n]))))
 
         return draw
 
@@ -319,7 +454,7 @@ def sample_segmentations(pieces: Pieces, texts: list[str], keys: np.ndarray, k:
     cut = np.searchsorted(doc[unit], np.arange(len(texts) + 1))
     paths: list[list[_Path]] = []
     agenda: list[list] = []
-    draw = exponentials(1)
+    draw = exponentials(1, np.diff(cut))
     tops = -np.log(-np.log(_uniform(base, np.zeros(len(texts), np.int64))))
     for d in range(len(texts)):
         a, b = cut[d], cut[d + 1]
@@ -348,7 +483,9 @@ def sample_segmentations(pieces: Pieces, texts: list[str], keys: np.ndarray, k:
             break
         unit, edge = fresh(np.concatenate(walkers), np.concatenate(nodes), round_)
         cut = np.searchsorted(doc[unit], np.arange(len(texts) + 1))
-        draw = exponentials(round_ + 1)
+        steps = np.diff(cut)
+        steps[[x[0] for x in taken]] += 1                      # the picked edge
+        draw = exponentials(round_ + 1, steps)
         for d, parent, t, without, before, pick, priority in taken:
             a, b = cut[d], cut[d + 1]
             new = _Path(np.concatenate((parent.edge[:t], [pick], edge[a:b])), np.concatenate((parent.unit[:t], [parent.unit[t]], unit[a:b])), None, priority)
@@ -403,20 +540,24 @@ def _open(lat: Lattices, agenda: list, path: _Path, t: int, before: float, witho
         mass = np.zeros(m + 1)
         np.cumsum(logp, out=mass[1:])
         mass += before
-        rest = lat.rest[path.edge[t:t + m]]
+        log_rest = lat.log_rest.take(path.edge[t:t + m])
         if without:
-            rest[0] = _masses(lat, path, t, without)[1].sum()
-        left = np.flatnonzero(rest > 0)
-        phi = mass[left] + np.log(rest[left])
-        g = -np.logaddexp(-path.priority, np.log(draws(m)[left]) - phi)
+            least = _masses(lat, path, t, without)[1].sum()
+            log_rest[0] = np.log(least) if least > 0 else -np.inf
+        low = draws(m) - (mass[:-1] + log_rest)                # an entry's priority falls as this rises
+        least = np.partition(low, k)[k] if len(low) > k else np.inf
         # an unopened entry's priority cannot exceed its mass by more than _REACH
-        if m == n or (len(g) > k and np.partition(g, -k - 1)[-k - 1] > mass[m] + _REACH):
+        if m == n or (len(low) > k and -np.logaddexp(-path.priority, least) > mass[m] + _REACH):
             break
         limit *= 4
-    keep = np.flatnonzero(g >= np.partition(g, -k - 1)[-k - 1]) if len(g) > k else np.arange(len(g))
-    for i in keep[np.argsort(-g[keep], kind="stable")[:k + 1]]:
-        step = t + int(left[i])
-        agenda.append((float(g[i]), path, step, without if step == t and without else (int(path.edge[step]),), float(mass[left[i]])))
+    # draws far above the parent's priority are cut off to that very number: all are kept, the first ones win
+    keep = np.flatnonzero(low <= max(least, -path.priority - 30))
+    keep = keep[low[keep] < np.inf]                            # no other edge to take
+    g = -np.logaddexp(-path.priority, low[keep])
+    for i in np.argsort(-g, kind="stable")[:k + 1]:
+        at = int(keep[i])
+        step = t + at
+        agenda.append((float(g[i]), path, step, without if step == t and without else (int(path.edge[step]),), float(mass[at])))
 
 
 def _ids(lat: Lattices, path: _Path, odd: np.ndarray, size: np.ndarray, spelt: np.ndarray) -> np.ndarray:

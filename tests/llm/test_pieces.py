@@ -164,3 +164,53 @@ def test_an_entry_is_split_in_one_look(monkeypatch):
     for a, b in zip(found, again):
         assert [(x[0].tolist(), *x[1:]) for x in a] == [(x[0].tolist(), *x[1:]) for x in b]
         assert len({tuple(x[0].tolist()) for x in a}) == 3
+
+
+def test_units_met_before_are_not_built_again(pieces, monkeypatch):
+    """A batch builds the lattices of units that are new to the process; what is
+    remembered, and how much of it, changes no sample."""
+    from tardy.llm import piece_lattice as pl
+
+    rng = np.random.default_rng(8)
+    texts = [" ".join("".join(rng.choice(list("etaoinsh一\u0007"), 3)) for _ in range(n)) for n in (0, 5, 60, 400)]
+    keys, built, real = np.arange(4).astype(np.uint64), [], pl.Lattices.__init__
+
+    def noted(self, pieces, buf, s, e):
+        built.append(len(s))
+        real(self, pieces, buf, s, e)
+
+    def plain(found):
+        return [[(x[0].tolist(), *x[1:]) for x in f] for f in found]
+
+    monkeypatch.setattr(pl.Lattices, "__init__", noted)
+    monkeypatch.setattr(pieces, "memory", pl.LatticeMemory())
+    first = plain(pl.sample_segmentations(pieces, texts, keys, 3))
+    assert plain(pl.sample_segmentations(pieces, texts, keys, 3)) == first and sum(built[1:]) == 0
+    pl.sample_segmentations(pieces, [texts[2] + " quite new"], keys[:1], 3)
+    assert sum(built[1:]) == 2
+    for kept in (0, 100, 3000):                                # full at once, or soon: the rest lasts one batch
+        monkeypatch.setattr(pl, "KEPT_EDGES", kept)
+        pieces.memory = pl.LatticeMemory()
+        for lo in (2, 0, 3, 1):
+            assert plain(pl.sample_segmentations(pieces, texts[lo:lo + 1], keys[lo:lo + 1], 3)) == first[lo:lo + 1]
+        assert pieces.memory.edges <= kept
+
+
+def test_byte_trie_takes_all_steps_and_no_other():
+    from tardy.llm.piece_lattice import ByteTrie
+
+    rng = np.random.default_rng(3)
+    words, nodes, children = {bytes(rng.integers(0, 256 if i % 2 else 4, rng.integers(1, 5)).astype(np.uint8)) for i in range(800)}, {b"": 0}, [{}]
+    for w in sorted(words):
+        for n in range(1, len(w) + 1):
+            if w[:n] not in nodes:
+                nodes[w[:n]] = len(children)
+                children[nodes[w[:n - 1]]][w[n - 1]] = len(children)
+                children.append({})
+    trie = ByteTrie(children)
+    assert trie.slot[0] == 1 and len(set(trie.slot.tolist())) == len(children) and trie.slot.min() > 0
+    for node, steps in enumerate(children):
+        want = np.zeros(256, np.int64)
+        want[list(steps)] = trie.slot[list(steps.values())]
+        assert (trie[int(trie.slot[node]), np.arange(256)] == want).all()
+    assert not trie[0, np.arange(256)].any()
