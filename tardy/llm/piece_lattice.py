@@ -32,28 +32,29 @@ def default_model() -> str:
 
 
 class ByteTrie:
-    """Trie over bytes in two flat arrays: a step by byte ``b`` from ``state``
+    """Trie over bytes, or other small numbers, in two flat arrays: a step by byte ``b`` from ``state``
     leads to the slot ``base[state] + b``, if that slot's owner is ``state``.
     A state is its slot; 0 is nowhere, 1 the root.  A few hundred kilobytes, so
     a lookup stays in the processor's cache.
     """
 
-    def __init__(self, children: list[dict[int, int]]):
-        """``children``: for each node (0: the root) its steps, byte -> node."""
-        free = bytearray(2) + bytearray(b"\1") * (2 * len(children) + 1024)
+    def __init__(self, children: list[dict[int, int]], size: int = 256):
+        """``children``: for each node (0: the root) its steps, byte -> node;
+        bytes are below ``size``."""
+        free = bytearray(2) + bytearray(b"\1") * (2 * len(children) + 4 * size)
         slot = [1] * len(children)
         base = [2] * len(children)
-        low, width = 258, 0                                    # from 258 on no base is below 2
+        low, width = size + 2, 0                               # from here on no base is below 2
         for node in sorted(range(len(children)), key=lambda i: -len(children[i])):
             steps = list(children[node])
             if not steps:
                 break
             if len(steps) != width:                            # fewer steps fit into gaps left before
-                low, width = 258, len(steps)
+                low, width = size + 2, len(steps)
             low = at = free.find(1, low)
             tries = 0
             while True:
-                if at < 0 or at + 512 > len(free):
+                if at < 0 or at + 2 * size > len(free):
                     free += bytearray(b"\1") * len(free)
                     at = max(at, low)
                 begin = at - steps[0]
@@ -68,7 +69,7 @@ class ByteTrie:
                 free[begin + b] = 0
                 slot[children[node][b]] = begin + b
         self.slot = np.array(slot, np.int64)
-        self.base = np.full(max(max(slot), max(base)) + 257, 2, np.int64)
+        self.base = np.full(max(max(slot), max(base)) + size + 1, 2, np.int64)
         self.base[self.slot] = base
         self.owner = np.full(len(self.base), -1, np.int64)
         for node, steps in enumerate(children):

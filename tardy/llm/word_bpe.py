@@ -5,9 +5,11 @@ tokens is the encoding exactly if each token is what its own symbols merge to
 and no merge would have joined two neighbours before their own merges were
 done.  So every prefix of a word has one last token: the one that ends there
 and fits the last token of the prefix before it.  The distinct words of a batch
-are inserted into a trie whose edges carry strings; a depth-first walk hands
-the last tokens of all prefixes down, so a prefix that many words share is
-encoded once, and a word's tokens are read off by walking back from its end.
+make a trie in which the last tokens of all prefixes are handed down, so a
+prefix that many words share is encoded once, and a word's tokens are read off
+by walking back from its end.  Words of ordinary length take a level of the trie
+at a time, in numpy; longer ones go depth-first through a trie whose edges carry
+strings.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ import json
 import re
 from array import array
 from collections.abc import Iterator
-from itertools import chain
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -25,12 +27,16 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tardy.llm.text import batches
+from tardy.llm.piece_lattice import ByteTrie
+from tardy.llm.text import batches, mix
 
 #: characters of text that are encoded at once
 BATCH_CHARS = 1 << 20
 #: bytes that a Python worker spends about on remembered encodings
 MEMORY = 256 << 20
+#: symbols of words that take a level of the trie at a time
+LEVELS = 32
+_PAIRS = 1 << 19                # pairs of neighbours whose test is remembered in arrays
 _END = 256                      # symbols: bytes, and bytes that end a word
 
 
@@ -143,6 +149,12 @@ class WordBPE:
                     self.token.append(-1)
                 state = after
             self.token[state] = i
+        self.steps = ByteTrie([{ord(c): to for c, to in d.items()} for d in self.back], 2 * _END)
+        self.token_at = np.full(len(self.steps.base), -1, np.int64)
+        self.token_at[self.steps.slot] = self.token
+        self.ranks, self.lefts, self.rights = (np.array(x, np.int64) for x in (self.rank, self.left, self.right))
+        self.pairs = np.array(sorted(self.merge), np.int64)
+        self.pair_ranks = np.array([self.merge[x] for x in self.pairs.tolist()], np.int64)
         self.plain = _plain_rule(kind)
         self.marks = re.compile("|".join(map(re.escape, filter(None, self.added))) or r"(?!)")
         self.forget()
@@ -168,8 +180,100 @@ class WordBPE:
             else:
                 limit, leftmost, a = rank[a], False, self.right[a]
 
+    def _compatible_many(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """:meth:`compatible` of arrays of tokens."""
+        out, live = np.ones(len(a), bool), np.arange(len(a))
+        limit, leftmost = np.full(len(a), len(self.pairs)), np.zeros(len(a), bool)
+        while len(live) and len(self.pairs):
+            key = a << 32 | b
+            at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
+            m = self.pair_ranks[at]
+            bad = (self.pairs[at] == key) & ((m < limit) | ((m == limit) & leftmost))
+            out[live[bad]] = False
+            right, left = self.ranks[b], self.ranks[a]
+            go = np.flatnonzero(~bad & (np.maximum(left, right) >= 0))
+            live, a, b, left, right = live[go], a[go], b[go], left[go], right[go]
+            leftmost = right >= left
+            limit = np.where(leftmost, right, left)
+            a, b = np.where(leftmost, a, self.rights[a]), np.where(leftmost, self.lefts[b], b)
+        return out
+
+    def _fit_many(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """:meth:`_compatible_many`, remembered; of pairs that share a place the last one."""
+        key = a << 32 | b
+        place = (mix(key.view(np.uint64)) & np.uint64(_PAIRS - 1)).view(np.int64)
+        out = self.pair_fits.take(place)
+        miss = np.flatnonzero(self.pair_keys.take(place) != key)
+        if len(miss):
+            new, which = np.unique(key[miss], return_inverse=True)
+            fits = self._compatible_many(new >> 32, new & 0xFFFFFFFF)[which]
+            out[miss] = fits
+            last = np.unique(place[miss][::-1], return_index=True)[1]
+            miss, fits = miss[::-1][last], fits[::-1][last]
+            self.pair_keys[place[miss]], self.pair_fits[place[miss]] = key[miss], fits
+        return out
+
+    def encode_levels(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Token ids of sorted distinct words, a byte a character, one word
+        after the other, and each word's number of them."""
+        length = np.fromiter(map(len, words), np.int64, len(words))
+        symbols = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).astype(np.int64)
+        symbols[np.cumsum(length) - 1] += _END
+        start = np.cumsum(length) - length
+        total = len(symbols) + 1                     # nodes at most; 0 is the root
+        symbol, parent = np.zeros(total, np.int64), np.zeros(total, np.int64)
+        # of each prefix: its last token, the prefix before that, the number of tokens
+        last, prev, count = np.full(total, -1), np.zeros(total, np.int64), np.zeros(total, np.int64)
+        at, made = np.zeros(len(words), np.int64), 1
+        live, depth = np.arange(len(words)), 0
+        while len(live):
+            c, up = symbols.take(start.take(live) + depth), at.take(live)
+            new = np.ones(len(live), bool)
+            new[1:] = (c[1:] != c[:-1]) | (up[1:] != up[:-1])
+            at[live] = made - 1 + np.cumsum(new)
+            new = np.flatnonzero(new)
+            node = np.arange(made, made + len(new))
+            made += len(new)
+            symbol[node], parent[node] = c.take(new), up.take(new)
+            self._last_tokens(node, symbol, parent, last, prev)
+            count[node] = count.take(prev.take(node)) + 1
+            depth += 1
+            live = live.compress(length.take(live) > depth)
+        n = count.take(at)
+        end = np.cumsum(n)
+        ids = np.empty(int(end[-1]) if len(end) else 0, np.int32)
+        live = np.flatnonzero(at)
+        while len(live):
+            here = at.take(live)
+            end[live] -= 1
+            ids[end.take(live)] = last.take(here)
+            at[live] = prev.take(here)
+            live = live.compress(at.take(live) > 0)
+        return ids, n
+
+    def _last_tokens(self, node: np.ndarray, symbol: np.ndarray, parent: np.ndarray, last: np.ndarray, prev: np.ndarray) -> None:
+        """Sets the last tokens of a level's nodes: of the tokens that end
+        there, the one that fits the last token of the prefix before it."""
+        base, owner = self.steps.base, self.steps.owner
+        up, state = node, np.ones(len(node), np.int64)
+        while len(node):
+            to = base.take(state) + symbol.take(up)
+            go = np.flatnonzero(owner.take(to) == state)
+            node, state, up = node.take(go), to.take(go), parent.take(up.take(go))
+            token = self.token_at.take(state)
+            ends = np.flatnonzero(token >= 0)
+            t, before, mine, here = token.take(ends), last.take(up.take(ends)), node.take(ends), up.take(ends)
+            fits = here == 0
+            check = np.flatnonzero(before >= 0)
+            fits[check] = self._fit_many(before.take(check), t.take(check))
+            last[mine[fits]], prev[mine[fits]] = t[fits], here[fits]
+            done = up == 0
+            done[ends[fits]] = True
+            go = np.flatnonzero(~done)
+            node, state, up = node.take(go), state.take(go), up.take(go)
+
     def encode_words(self, words: list[str]) -> list[list[int]]:
-        """Token ids of words given as symbols."""
+        """Token ids of words given as symbols, depth-first."""
         trie = WordTrie()
         for i, w in enumerate(words):
             trie.insert(w, i)
@@ -216,16 +320,18 @@ class WordBPE:
     def forget(self) -> None:
         """Drop what is remembered (memory only)."""
         self.fits: dict[int, bool] = {}              # neighbours -> whether they stay apart
+        self.pair_keys, self.pair_fits = np.full(_PAIRS, -1), np.zeros(_PAIRS, bool)
         self.known: dict[str, int] = {"": 0}         # stretch -> number
         self.ids, self.first = array("i"), array("q", [0, 0])
-        self.spelt: dict[str, list[int]] = {}        # word -> ids
+        # word -> number, and the words' ids; a line end closes a stretch
+        self.word = {"\n": 0, **{w: i + 1 for i, w in enumerate(self.added)}}
+        self.word_ids, self.word_first = array("i", self.added.values()), array("q", [0, *range(len(self.added) + 1)])
         self.kept = 0
 
     def learn(self, stretches: set[str]) -> None:
         """Encode stretches without spaces: normalised and cut into words by
         the tokenizer's own rules, the distinct words in one trie."""
-        if self.kept + 150 * len(self.fits) > MEMORY:
-            self.forget()
+        self._make_room()
         collecting = gc.isenabled()
         gc.disable()                                 # many small lists and no cycles: nothing to be found among them
         try:
@@ -234,21 +340,65 @@ class WordBPE:
             if collecting:
                 gc.enable()
 
+    def _make_room(self) -> None:
+        if self.kept + 150 * len(self.fits) > MEMORY:
+            self.forget()
+
     def _learn(self, stretches: set[str]) -> None:
-        known, spelt = self.known, self.spelt
-        new = list(stretches.difference(known))
-        plans = [self._words(s) for s in new]
-        fresh = sorted(set(chain.from_iterable(plans)).difference(spelt, self.added))
-        spelt.update(zip(fresh, self.encode_words([w[:-1] + chr(ord(w[-1]) + _END) for w in fresh])))
+        known, word = self.known, self.word
+        new, words = self._cut(list(stretches.difference(known)))
+        fresh = sorted(set(words).difference(word))
+        short = [w for w in fresh if len(w) <= LEVELS]
+        self._keep(short, *self.encode_levels(short))
+        long = [w for w in fresh if len(w) > LEVELS]
+        if long:
+            ids = self.encode_words([w[:-1] + chr(ord(w[-1]) + _END) for w in long])
+            self._keep(long, np.array([i for x in ids for i in x], np.int32), np.array([len(x) for x in ids], np.int64))
         known.update(zip(new, range(len(known), len(known) + len(new))))
-        added = {w: [i] for w, i in self.added.items() if w not in spelt}
-        ids = [spelt[w] if w in spelt else added[w] for w in chain.from_iterable(plans)]
-        self.ids.extend(chain.from_iterable(ids))
-        n = np.concatenate(([0], np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)))))
-        ends = np.cumsum(np.fromiter(map(len, plans), np.int64, len(plans)))
-        self.first.frombytes((self.first[-1] + n[ends]).tobytes())
+        number = np.fromiter(map(word.__getitem__, words), np.int64, len(words))
+        ids, n = _ranges(self.word_ids, self.word_first, number)
+        self.ids.frombytes(ids.tobytes())
+        self.first.frombytes((self.first[-1] + np.cumsum(n)[number == 0]).tobytes())
         self.kept += sum(map(len, new)) + 250 * len(new) + 400 * len(fresh)
 
+    def _keep(self, words: list[str], ids: np.ndarray, n: np.ndarray) -> None:
+        """Remember the ids of words."""
+        self.word.update(zip(words, range(len(self.word), len(self.word) + len(words))))
+        self.word_first.frombytes((self.word_first[-1] + np.cumsum(n)).tobytes())
+        self.word_ids.frombytes(ids.tobytes())
+
+    def _cut(self, stretches: list[str]) -> tuple[list[str], list[str]]:
+        """The stretches in another order, and the words of all of them, a line
+        end after each stretch's."""
+        plain, other, single = [], [], []
+        for s in stretches:
+            (plain if s.isascii() else other).append(s)
+        if self.plain is None or self.marks.search("\n".join(stretches)) or any("\n" in s for s in plain):
+            single = [s for s in stretches if self.plain is None or self.marks.search(s) or "\n" in s]
+            odd = set(single)
+            plain, other = [s for s in plain if s not in odd], [s for s in other if s not in odd]
+        if _SPACES.search("".join(other)):
+            single += filter(_SPACES.search, other)
+            other = [s for s in other if not _SPACES.search(s)]
+        words = re.compile(self.plain.pattern + "|\n", re.ASCII).findall("\n".join([*plain, ""]).lower()) if plain else []
+        if other:
+            # no rule looks across a space, and the stretches hold none
+            text = self.tool.normalizer.normalize_str(" ".join(other))
+            ends = np.cumsum([len(p) + 1 for p in text.split(" ")])
+            if len(ends) == len(other):
+                pieces = self.tool.pre_tokenizer.pre_tokenize_str(text)
+                bound = np.searchsorted(np.fromiter((at for _, (at, _) in pieces), np.int64, len(pieces)), ends).tolist()
+                cut = "\n".join([w for w, _ in pieces]).translate(self.byte_of).split("\n") if pieces else []
+                for a, b in zip([0, *bound], bound):
+                    words += cut[a:b]
+                    words.append("\n")
+            else:
+                other, single = [], single + other
+        for s in single:
+            words += self._words(s)
+            words.append("\n")
+        return plain + other + single, words
+
     def _words(self, stretch: str) -> list[str]:
         """Words of a stretch, a byte a character, and added tokens as they stand."""
         if stretch.isascii() and self.plain and not self.marks.search(stretch):
@@ -280,17 +430,38 @@ class WordBPE:
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, where each text's ids begin).  No rule looks
         across a space or line end, so stretches between them are encoded."""
-        parts = [(t or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        self.learn(set().union(*parts))
-        sizes = np.fromiter(map(len, parts), np.int64, len(parts))
-        at = np.fromiter(map(self.known.__getitem__, chain.from_iterable(parts)), np.int64, int(sizes.sum()))
-        flat, first = np.frombuffer(self.ids, np.int32) if len(self.ids) else np.zeros(0, np.int32), np.frombuffer(self.first, np.int64)
-        n = first[at + 1] - first[at]
-        ids = flat[np.repeat(first[at] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))]
-        cut = np.concatenate(([0], np.cumsum(sizes)))
+        lines = pa.array([(t or "").replace("\n", " ").replace("\t", " ").replace("\r", " ") for t in texts], pa.string())
+        parts = pc.split_pattern(lines, " ")
+        coded = parts.flatten().dictionary_encode()
+        # no stretch holds a line end
+        stretches = pc.binary_join(pa.ListArray.from_arrays([0, len(coded.dictionary)], coded.dictionary), "\n")[0].as_py().split("\n")
+        self._make_room()
+        number = np.fromiter(map(self.known.get, stretches, repeat(-1)), np.int64, len(coded.dictionary))
+        missing = np.flatnonzero(number < 0)
+        new = [stretches[i] for i in missing.tolist()]
+        if new:
+            self.learn(set(new))
+            number[missing] = np.fromiter(map(self.known.__getitem__, new), np.int64, len(new))
+        ids, n = _ranges(self.ids, self.first, number.take(coded.indices.to_numpy()))
+        cut = np.concatenate(([0], np.cumsum(pc.list_value_length(parts).to_numpy())))
         return ids, np.concatenate(([0], np.cumsum(n)))[cut]
 
 
+#: what may count as white space, in any Unicode version
+_SPACES = re.compile("[\\s\u180e\u200b-\u200f\u2060\ufeff]")
+
+
+def _ranges(values: array, first: array, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The values of the numbered ranges, one after the other, and the ranges' sizes."""
+    flat, first = np.frombuffer(values, np.int32) if len(values) else np.zeros(0, np.int32), np.frombuffer(first, np.int64)
+    begin = first.take(number)
+    n = first.take(number + 1) - begin
+    begin -= np.cumsum(n) - n
+    at = np.repeat(begin, n)
+    at += np.arange(len(at))
+    return flat.take(at), n
+
+
 def _plain_rule(kind: dict) -> re.Pattern | None:
     """The tokenizer's word pattern for ASCII stretches without spaces, where
     normalising is lower-casing; null if its rules are of another kind."""

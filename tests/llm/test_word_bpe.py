@@ -119,3 +119,44 @@ def test_learning_is_not_searched_for_cycles():
     with pytest.raises(AttributeError):
         bpe.learn({None})
     assert gc.isenabled()
+
+
+def test_levels_of_the_trie_agree_with_depth_first(texts, library, monkeypatch):
+    """Words by levels, in numpy, have the ids of the walk through the trie;
+    words of any length go either way.  Before, each word went alone."""
+    with open(wb.default_tokenizer(), encoding="utf-8") as f:
+        bpe = wb.WordBPE(f.read())
+    rng = random.Random(2)
+    words = sorted({"".join(rng.choice("aehlnorst'\xc3\xc4\x00\xff") for _ in range(rng.randrange(1, 50))) for _ in range(3000)} | {"a", "ab", "abc", "abd"})
+    ids, n = bpe.encode_levels(words)
+    ids = ids.tolist()
+    want = bpe.encode_words([w[:-1] + chr(ord(w[-1]) + 256) for w in words])
+    at = 0
+    for size, w in zip(n.tolist(), want):
+        assert ids[at:at + size] == w
+        at += size
+    pairs = [(rng.randrange(400), rng.randrange(49_000)) for _ in range(5000)]
+    a, b = (wb.np.array(x, wb.np.int64) for x in zip(*pairs))
+    assert bpe._compatible_many(a, b).tolist() == [bpe.compatible(*p) for p in pairs]
+    for places, levels in ((4, 32), (1 << 19, 0), (1 << 19, 3)):
+        monkeypatch.setattr(wb, "_PAIRS", places)
+        monkeypatch.setattr(wb, "LEVELS", levels)
+        bpe.forget()
+        some = texts[:400]
+        got, cut = bpe.encode(some)
+        assert [got[x:y].tolist() for x, y in zip(cut, cut[1:])] == [library.encode(t or "", add_special_tokens=False).ids for t in some]
+
+
+def test_stretches_are_cut_together(library):
+    """One call of the tokenizer's rules serves all stretches, also beside
+    stretches that hold odd spaces or special tokens."""
+    with open(wb.default_tokenizer(), encoding="utf-8") as f:
+        bpe = wb.WordBPE(f.read())
+    calls, real = [], bpe._words
+    bpe._words = lambda s: calls.append(s) or real(s)
+    text = " ".join(["ΟΔΟΣ", "ΣΑΣ", "́x", "Ünïcödé", "日本語テスト", "don't", "½²Ⅷ", "é", "가", "각", "İ"] * 3)
+    odd = ["a b", " ", " é", "é​é", "x\x1cy", "<|endoftext|>é"]
+    for t in (text, " ".join([*odd, text]), *odd):
+        ids, cut = bpe.encode([t])
+        assert ids.tolist() == library.encode(t, add_special_tokens=False).ids and cut.tolist() == [0, len(ids)], t
+    assert set(calls) <= set(odd)
