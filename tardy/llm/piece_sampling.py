@@ -14,7 +14,7 @@ from tardy.llm.text import batches
 
 SAMPLES = 2
 #: characters whose lattices are held at once (a hundred bytes of arrays each)
-LATTICE_CHARS = 1 << 20
+LATTICE_CHARS = 1 << 18
 
 
 def _keys(column: pa.Array) -> np.ndarray:
@@ -36,7 +36,7 @@ def sample_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Every sample decodes to the text exactly.  A null text reads as empty; an
     empty text has the one segmentation of its leading space.  A null id draws
     as id 0; repeated rows draw alike.  Whole texts are read; lattices are
-    built for about a million characters at a time.  Columns named like an
+    built for about a quarter of a million characters at a time.  Columns named like an
     output are replaced.
     """
     path = model or default_model()
